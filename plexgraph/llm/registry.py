@@ -1,9 +1,9 @@
 """Queries of the training-data operators."""
 
-from plexgraph.llm import simhash
+from plexgraph.llm import decontaminate, langid, simhash, toxicity
 
 QUERIES = {}
 ORACLE = {}
-for _m in (simhash,):
+for _m in (toxicity, langid, decontaminate, simhash):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
