@@ -1,15 +1,16 @@
 """Op 1. Toxicity by cumulative-link ordinal regression.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector shared by all
-ordered thresholds, over sparse features x = log(1 + count) of selected words.
-Weights carry an L1 penalty (proximal gradient with momentum), so that most are
-exactly zero; thresholds are kept in order. The result is the expected severity,
+ordered thresholds, over sparse features x = log(1 + count per 100 words) of selected words.
+Weights carry an L2 penalty and are found by L-BFGS; thresholds are written as a
+first one and positive gaps, so they stay in order. The result is the expected severity,
 the sum over k of P(grade > k).
 
 Fitted on a bounded sample of labelled documents (``MAX_DOCS``, half of them from
 each label where there are that many, reweighted to the labels' shares). The
-features are the ``MAX_WORDS`` words most associated with the label by a
-chi-square test over that sample. Labels say only toxic or not; the query's
+features are the words bound to the label by a chi-square test over that sample
+(``MIN_CHI``) that are in ``MIN_SHARE`` of either label's documents, the
+``MAX_WORDS`` strongest of them. Labels say only toxic or not; the query's
 grades are 0 (not toxic), 1 (toxic) and 2 (toxic, with more than the median
 share of toxicity-bound words among the toxic sample).
 
@@ -29,8 +30,10 @@ from plexgraph.llm.decontaminate import words
 MAX_DOCS = 20_000
 MAX_WORDS = 4096
 MIN_DOCS = 5
-L1 = 3e-4
-ROUNDS = 300
+MIN_SHARE = 0.01
+MIN_CHI = 40.0
+L2 = 1e-4
+ROUNDS = 200
 
 
 def draw(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, dict]:
@@ -70,18 +73,18 @@ def choose_words(rows: DataFrame, n_clean: int, n_toxic: int, most: int = MAX_WO
     has, a = F.col("clean") + F.col("toxic"), F.col("toxic")
     expected = has * n_toxic / F.lit(n)
     chi = F.pow(a - expected, 2) / (expected * (1 - has / F.lit(n)) * F.lit(n_clean / n) + 1e-9)
-    top = _document_counts(rows).filter(has >= MIN_DOCS).select("word", chi.alias("chi"), (a > expected).alias("bound")).orderBy(F.desc("chi"), "word").limit(most)
-    return [(bytes(r.word), r.bound and r.chi > 30) for r in top.collect()]
+    top = _document_counts(rows).filter((has >= MIN_DOCS) & ((a >= MIN_SHARE * n_toxic) | (F.col("clean") >= MIN_SHARE * n_clean))).select("word", chi.alias("chi"), (a > expected).alias("bound")).filter(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "word").limit(most)
+    return [(bytes(r.word), r.bound) for r in top.collect()]
 
 
 def features(text: bytes, index: dict):
-    """(feature numbers, log counts, number of words)."""
+    """(feature numbers, log of 1 + count per 100 words)."""
     import numpy as np
 
     w = words(text)
     at = np.array([index[x] for x in w if x in index], np.int32)
     at, n = np.unique(at, return_counts=True)
-    return at, np.log1p(n).astype(np.float32), len(w)
+    return at, np.log1p(100 * n / max(1, len(w))).astype(np.float32)
 
 
 def _sigmoid(z):
@@ -90,32 +93,62 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(at, value, row, grade, weight, n_words: int, l1: float = L1, rounds: int = ROUNDS):
-    """Sparse features as (feature, value, row) triples: (w, thresholds)."""
+def _loss(v, at, value, row, grade, weight, n_words: int, l2: float):
+    """Penalised mean negative log likelihood and its gradient; v: weights, first threshold, log gaps."""
     import numpy as np
 
     n, top = len(grade), int(grade.max())
-    weight = weight / weight.sum()
-    scale = np.bincount(row, value**2, n).max(initial=0) + top
-    share = [weight[grade <= k].sum() for k in range(top)]
-    theta = np.log((np.array(share) + 1e-4) / (1 - np.array(share) + 1e-4))
-    w, step = np.zeros(n_words), 4.0 / scale
-    yw, yt, t = w.copy(), theta.copy(), 1.0
+    w, gaps = v[:n_words], np.exp(v[n_words + 1 :])
+    theta = v[n_words] + np.concatenate([[0.0], np.cumsum(gaps)])
+    z = np.bincount(row, value * w[at], n)
+    up = np.where(grade < top, _sigmoid(theta[np.minimum(grade, top - 1)] - z), 1.0)
+    lo = np.where(grade > 0, _sigmoid(theta[np.maximum(grade - 1, 0)] - z), 0.0)
+    p = np.maximum(up - lo, 1e-12)
+    du, dl = weight * up * (1 - up) / p, weight * lo * (1 - lo) / p
+    by_theta = np.bincount(np.maximum(grade - 1, 0), dl * (grade > 0), top) - np.bincount(np.minimum(grade, top - 1), du * (grade < top), top)
+    after = np.cumsum(by_theta[::-1])[::-1]  # moving a threshold moves those above it
+    g = np.concatenate([np.bincount(at, value * (du - dl)[row], n_words) + l2 * w, after[:1], after[1:] * gaps])
+    return -(weight * np.log(p)).sum() + l2 / 2 * w @ w, g
+
+
+def fit(at, value, row, grade, weight, n_words: int, l2: float = L2, rounds: int = ROUNDS):
+    """Sparse features as (feature, value, row) triples: (w, thresholds). L-BFGS with backtracking."""
+    import numpy as np
+
+    weight, top = weight / weight.sum(), int(grade.max())
+    share = np.array([weight[grade <= k].sum() for k in range(top)])
+    theta = np.log(share + 1e-4) - np.log(1 - share + 1e-4)
+    v = np.concatenate([np.zeros(n_words), theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])
+    args = (at, value, row, grade, weight, n_words, l2)
+    f, g = _loss(v, *args)
+    past: list = []
     for _ in range(rounds):
-        z = np.bincount(row, value * yw[at], n)
-        up = np.where(grade < top, _sigmoid(yt[np.minimum(grade, top - 1)] - z), 1.0)
-        lo = np.where(grade > 0, _sigmoid(yt[np.maximum(grade - 1, 0)] - z), 0.0)
-        p = np.maximum(up - lo, 1e-9)
-        du, dl = up * (1 - up), lo * (1 - lo)
-        gz = weight * (du - dl) / p  # of the loss by z
-        gt = np.array([-(weight * ((grade == k) * du - (grade == k + 1) * dl) / p).sum() for k in range(top)])
-        nw = yw - step * np.bincount(at, value * gz[row], n_words)
-        nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
-        nt = np.maximum.accumulate(yt - step * gt)
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        yw, yt = nw + (t - 1) / t2 * (nw - w), np.maximum.accumulate(nt + (t - 1) / t2 * (nt - theta))
-        w, theta, t = nw, nt, t2
-    return w, theta
+        q, alphas = g.copy(), []
+        for s, y, r in reversed(past):
+            alphas.append(r * (s @ q))
+            q -= alphas[-1] * y
+        if past:
+            s, y, _r = past[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y, r), a in zip(past, reversed(alphas)):
+            q += s * (a - r * (y @ q))
+        step, slope = 1.0, -(g @ q)
+        while step > 1e-8:
+            new = v - step * q
+            f2, g2 = _loss(new, *args)
+            if f2 <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+        else:
+            break
+        s, y = new - v, g2 - g
+        done = f - f2 < 1e-9 * max(1.0, f)
+        v, f, g = new, f2, g2
+        if s @ y > 1e-12:
+            past = [*past[-9:], (s, y, 1 / (s @ y))]
+        if done:
+            break
+    return v[:n_words], v[n_words] + np.concatenate([[0.0], np.cumsum(np.exp(v[n_words + 1 :]))])
 
 
 def severity_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
@@ -139,16 +172,16 @@ def severity_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
 
         for b in batches:
             got = [features(t, index) for t in utf8(b.column("text"))]
-            cols = [pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary()), pa.array([g[2] for g in got], pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), *cols], ["toxic", "at", "value", "words"])
+            cols = [pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), *cols], ["toxic", "at", "value"])
 
-    sample = rows.mapInArrow(run, "toxic int, at binary, value binary, words long").collect()  # bounded by the sample
+    sample = rows.mapInArrow(run, "toxic int, at binary, value binary").collect()  # bounded by the sample
     at, value = ([np.frombuffer(bytes(r[c]), kind) for r in sample] for c, kind in (("at", np.int32), ("value", np.float32)))
     row = np.repeat(np.arange(len(sample)), [len(a) for a in at])
-    toxic, size = np.array([r.toxic for r in sample]), np.array([max(1, r.words) for r in sample])
+    toxic = np.array([r.toxic for r in sample])
     at, value = np.concatenate(at), np.concatenate(value).astype(float)
     bound = np.array([b for _, b in vocabulary])
-    density = np.bincount(row, bound[at] * np.expm1(value), len(sample)) / size
+    density = np.bincount(row, bound[at] * np.expm1(value), len(sample))
     grade = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
     w, theta = fit(at, value, row, grade, np.array([by_label[t] for t in toxic]), len(index))
     return {x: float(w[k]) for x, k in index.items() if w[k]}, theta
@@ -170,7 +203,7 @@ def score(docs: DataFrame, model, keep: tuple = ("doc_id",)) -> DataFrame:
         for b in batches:
             z = []
             for t in utf8(b.column("text")):
-                at, value, _ = features(t, index)
+                at, value = features(t, index)
                 z.append(float(value @ w[at]) if len(at) else 0.0)
             above = _sigmoid(np.array(z)[:, None] - theta)  # P(grade > k)
             full = np.concatenate([np.ones((len(z), 1)), above, np.zeros((len(z), 1))], axis=1)
