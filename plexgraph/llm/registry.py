@@ -1,9 +1,9 @@
 """Queries of the training-data operators."""
 
-from plexgraph.llm import decontaminate, langid, simhash, toxicity
+from plexgraph.llm import decontaminate, langid, simhash, tokenfile, toxicity
 
 QUERIES = {}
 ORACLE = {}
-for _m in (toxicity, langid, decontaminate, simhash):
+for _m in (toxicity, langid, tokenfile, decontaminate, simhash):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE
