@@ -5,7 +5,10 @@ centroid is product-quantised. A query probes the lists of the centroids nearest
 by inner product, scores their codes with one asymmetric table of inner products,
 and reranks the best of each list exactly, in double precision, on the original
 vectors, which the index keeps. Centroids and codebooks are fitted on at most
-about ``SAMPLE`` vectors; every vector is indexed.
+about ``SAMPLE`` vectors; every vector is indexed. The number of probes is the
+least that finds ``RECALL`` of the neighbours inside that sample, so it is small
+for clustered vectors and large for scattered ones. A query's (k + 1)-th best in
+the sample bounds its results from below, and lists return nothing beneath it.
 
 Equal vectors are indexed and searched once: as they tie everywhere, only the
 ``k`` + 1 smallest ids of such a group can be results, and these stay with it.
@@ -27,8 +30,10 @@ from plexgraph.llm.common import small_batches, stored, table
 
 K = 20
 SAMPLE = 20_000
+SAMPLE_MB = 32
 MAX_LISTS = 4096
-PROBES = 24
+MIN_PROBES = 4
+RECALL = 0.97
 RERANK = 64
 SUB = 4
 PART = 32_768
@@ -69,6 +74,21 @@ def fit(x, lists: int, seed: int = 5):
     return c, np.stack([_kmeans(r[:, k : k + SUB], 256, 8, rng) for k in range(0, r.shape[1], SUB)])
 
 
+def calibrate(x, c, k: int, recall: float = RECALL, seed: int = 6) -> int:
+    """The least number of probes that finds ``recall`` of the k nearest of sample vectors within the sample."""
+    import numpy as np
+
+    who = np.random.default_rng(seed).choice(len(x), min(len(x), 300), replace=False)
+    s = x[who] @ x.T
+    s[np.arange(len(who)), who] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :k]
+    order = np.argsort(-(x[who] @ c.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(c)), order.shape), 1)
+    found = place[np.arange(len(who))[:, None], _near(x, c)[top]]
+    return next((p for p in range(min(MIN_PROBES, len(c)), len(c)) if (found < p).mean() >= recall), len(c))
+
+
 def _near(x, c):
     return (x @ c.T - (c * c).sum(1) / 2).argmax(1)
 
@@ -93,20 +113,30 @@ def _index(model):
     return run
 
 
-def _probe(model, probes: int):
+def _probe(model, sampled, sizes: dict, probes: int, k: int):
+    """The lists that a query probes; those first ones that hold k + 1 vectors return their best whatever the bound."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         c, _ = model.value
+        some = sampled.value
+        held = np.array([sizes.get(j, 0) for j in range(len(c))])
         for b in batches:
             x = np.array(b.column("v").to_pylist(), float)
             if not len(x):
                 continue
-            n = min(probes, len(c))
-            top = np.argpartition(-(x @ c.T), n - 1, axis=1)[:, :n]
-            who = np.repeat(np.arange(len(x)), n)
-            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(top.ravel().astype(np.int32))], ["q", "v", "list"])
+            order = np.argsort(-(x @ c.T), axis=1)
+            before = np.cumsum(held[order], axis=1) - held[order]
+            freely = before <= k
+            chosen = freely | (np.arange(len(c)) < probes)
+            who, top = np.nonzero(chosen)[0], order[chosen]
+            least = np.full(len(x), -np.inf)
+            for at in range(0, len(x) if len(some) > k else 0, 256):
+                least[at : at + 256] = np.partition(x[at : at + 256] @ some.T, len(some) - k - 1, axis=1)[:, len(some) - k - 1]
+            least = np.where(freely[chosen], -np.inf, (least - 1e-9 * np.abs(least))[who])
+            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(least), pa.array(top.astype(np.int32))], ["q", "v", "least", "list"])
 
     return run
 
@@ -164,13 +194,14 @@ def _search(model, k: int, rerank: int):
                 padded = np.pad(qv, ((0, 0), (0, len(books) * SUB - qv.shape[1]))).reshape(len(qv), len(books), 1, SUB)
                 tables = (padded * books[None]).sum(-1)  # queries, sub-vectors, 256
                 out = ([], [], [])
-                for t, q, v in zip(tables, qs, qv):
+                for t, q, v, least in zip(tables, qs, qv, get("least").to_pylist()):
                     best = np.arange(len(ids))
                     if len(ids) > rerank:
                         approx = t[np.arange(len(books)), code].sum(1)  # the centroid's share is the same for the whole list
                         cut = np.partition(approx, len(ids) - rerank)[len(ids) - rerank]
                         best = np.flatnonzero(approx >= cut)
                     exact = vectors[best] @ v
+                    best, exact = best[exact >= least], exact[exact >= least]
                     top = np.lexsort((ids[best], -exact))[: k + 1]
                     out[0].append(np.full(len(top), q))
                     out[1].append(ids[best][top])
@@ -180,7 +211,7 @@ def _search(model, k: int, rerank: int):
     return run
 
 
-def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int = PROBES, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int | None = None, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on vec_id) selects, its k nearest others found."""
     spark = rows.sparkSession
     small_batches(spark, 5000)
@@ -196,20 +227,24 @@ def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int = PROBES,
 
     drawn = groups.filter(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < F.lit(min(1.0, sample / n) * 1_000_003)).select("v").limit(2 * sample).collect() or groups.select("v").limit(1).collect()
     x = np.array([r.v for r in drawn], float)
-    lists = int(min(MAX_LISTS, max(1, round(n**0.5)), len(x)))
-    model = spark.sparkContext.broadcast(fit(x, lists))
+    x = x[: max(1, int(SAMPLE_MB * 1e6 / 8 / x.shape[1]))]
+    lists = int(min(MAX_LISTS, max(1, round(n ** (1 / 3))), len(x)))
+    fitted = fit(x, lists)
+    probes = probes or calibrate(x, fitted[0], k)
+    model, sampled = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(x)
     indexed = stored(groups.select("x", "v").mapInArrow(_index(model), "x long, v array<double>, list int, code binary"))
-    parts = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each list, MAX_LISTS at most
-    cut = indexed.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x", "v", "code")
+    parts = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each list, MAX_LISTS at most
+    sizes = {r.list: r.size for r in parts.collect()}
+    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x", "v", "code")
     one = lambda df, most, cols: df.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(_packed(most, cols), f"list int, part long, {', '.join(f'{c} array<{dict(df.dtypes)[c]}>' for c in cols)}")
     blocks = stored(one(cut, 8192, ["x", "v", "code"]))
     asked = own.filter(queries).select("vec_id", "h1", "h2")
     asked_groups = asked.select("h1", "h2").distinct().join(groups, ["h1", "h2"])
-    probed = asked_groups.select(F.col("x").alias("q"), "v").mapInArrow(_probe(model, probes), "q long, v array<double>, list int")
-    probed = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"))
-    met = stored(one(probed, 256, ["q", "qv"])).join(blocks, ["list", "part"])
+    probed = asked_groups.select(F.col("x").alias("q"), "v").mapInArrow(_probe(model, sampled, sizes, probes, k), "q long, v array<double>, least double, list int")
+    probed = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"), "least")
+    met = stored(one(probed, 256, ["q", "qv", "least"])).join(blocks, ["list", "part"])
     small_batches(spark, 16)
-    found = met.select("q", "qv", "x", "v", "code").mapInArrow(_search(model, k, rerank), "q long, x long, score double")
+    found = met.select("q", "qv", "least", "x", "v", "code").mapInArrow(_search(model, k, rerank), "q long, x long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "x")
     top = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", "x", "score"))
     members = groups.select("x", "ids")
