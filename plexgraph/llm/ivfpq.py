@@ -1,7 +1,8 @@
 """Op 3. Approximate nearest neighbours by an inverted file with product quantisation.
 
-Coarse centroids split the vectors into lists; a vector's residual from its
-centroid is product-quantised. A query probes the lists of the centroids nearest
+Coarse centroids split the vectors into lists; the direction of a vector's
+residual from its centroid is product-quantised and its length kept, so that
+tight and wide lists are told apart equally well. A query probes the lists of the centroids nearest
 by inner product, scores their codes with one asymmetric table of inner products,
 and reranks the best of each list exactly, in double precision, on the original
 vectors, which the index keeps. Centroids and codebooks are fitted on at most
@@ -34,7 +35,7 @@ SAMPLE_MB = 32
 MAX_LISTS = 4096
 MIN_PROBES = 4
 RECALL = 0.97
-RERANK = 64
+RERANK = 256
 SUB = 4
 PART = 32_768
 
@@ -62,15 +63,27 @@ def _kmeans(x, k: int, rounds: int, rng):
     return c
 
 
+def _near(x, c):
+    return (x @ c.T - (c * c).sum(1) / 2).argmax(1)
+
+
+def _residuals(x, c, near):
+    """(directions of the residuals, padded to whole sub-vectors; their lengths)."""
+    import numpy as np
+
+    r = x - c[near]
+    length = np.linalg.norm(r, axis=1)
+    r = np.divide(r, length[:, None], out=np.zeros_like(r), where=length[:, None] > 0)
+    return np.pad(r, ((0, 0), (0, -r.shape[1] % SUB))), length
+
+
 def fit(x, lists: int, seed: int = 5):
     """(centroids, codebooks of each sub-vector) from sample vectors."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     c = _kmeans(x, lists, 12, rng)
-    r = x - c[(x @ c.T - (c * c).sum(1) / 2).argmax(1)]
-    pad = -r.shape[1] % SUB
-    r = np.pad(r, ((0, 0), (0, pad)))
+    r, _ = _residuals(x, c, _near(x, c))
     return c, np.stack([_kmeans(r[:, k : k + SUB], 256, 8, rng) for k in range(0, r.shape[1], SUB)])
 
 
@@ -89,10 +102,6 @@ def calibrate(x, c, k: int, recall: float = RECALL, seed: int = 6) -> int:
     return next((p for p in range(min(MIN_PROBES, len(c)), len(c)) if (found < p).mean() >= recall), len(c))
 
 
-def _near(x, c):
-    return (x @ c.T - (c * c).sum(1) / 2).argmax(1)
-
-
 def _index(model):
     """Adds the list and the code of each vector."""
 
@@ -106,9 +115,9 @@ def _index(model):
             if not len(x):
                 continue
             near = _near(x, c)
-            r = np.pad(x - c[near], ((0, 0), (0, books.shape[0] * SUB - x.shape[1])))
+            r, length = _residuals(x, c, near)
             code = np.stack([_near(r[:, k * SUB : (k + 1) * SUB], books[k]) for k in range(len(books))], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array([row.tobytes() for row in code], pa.binary())], [*b.schema.names, "list", "code"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array([row.tobytes() for row in code], pa.binary()), pa.array(length)], [*b.schema.names, "list", "code", "length"])
 
     return run
 
@@ -189,7 +198,7 @@ def _search(model, k: int, rerank: int):
                 vectors = np.array(get("v").to_pylist(), float)
                 code = np.frombuffer(b"".join(get("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 order = np.argsort(ids, kind="stable")
-                ids, vectors, code = ids[order], vectors[order], code[order]
+                ids, vectors, code, length = ids[order], vectors[order], code[order], np.array(get("length").to_pylist())[order]
                 qs, qv = np.array(get("q").to_pylist()), np.array(get("qv").to_pylist(), float)
                 padded = np.pad(qv, ((0, 0), (0, len(books) * SUB - qv.shape[1]))).reshape(len(qv), len(books), 1, SUB)
                 tables = (padded * books[None]).sum(-1)  # queries, sub-vectors, 256
@@ -197,7 +206,7 @@ def _search(model, k: int, rerank: int):
                 for t, q, v, least in zip(tables, qs, qv, get("least").to_pylist()):
                     best = np.arange(len(ids))
                     if len(ids) > rerank:
-                        approx = t[np.arange(len(books)), code].sum(1)  # the centroid's share is the same for the whole list
+                        approx = t[np.arange(len(books)), code].sum(1) * length  # the centroid's share is the same for the whole list
                         cut = np.partition(approx, len(ids) - rerank)[len(ids) - rerank]
                         best = np.flatnonzero(approx >= cut)
                     exact = vectors[best] @ v
@@ -232,19 +241,19 @@ def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int | None =
     fitted = fit(x, lists)
     probes = probes or calibrate(x, fitted[0], k)
     model, sampled = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(x)
-    indexed = stored(groups.select("x", "v").mapInArrow(_index(model), "x long, v array<double>, list int, code binary"))
+    indexed = stored(groups.select("x", "v").mapInArrow(_index(model), "x long, v array<double>, list int, code binary, length double"))
     parts = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each list, MAX_LISTS at most
     sizes = {r.list: r.size for r in parts.collect()}
-    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x", "v", "code")
+    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x", "v", "code", "length")
     one = lambda df, most, cols: df.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(_packed(most, cols), f"list int, part long, {', '.join(f'{c} array<{dict(df.dtypes)[c]}>' for c in cols)}")
-    blocks = stored(one(cut, 8192, ["x", "v", "code"]))
+    blocks = stored(one(cut, 8192, ["x", "v", "code", "length"]))
     asked = own.filter(queries).select("vec_id", "h1", "h2")
     asked_groups = asked.select("h1", "h2").distinct().join(groups, ["h1", "h2"])
     probed = asked_groups.select(F.col("x").alias("q"), "v").mapInArrow(_probe(model, sampled, sizes, probes, k), "q long, v array<double>, least double, list int")
     probed = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"), "least")
     met = stored(one(probed, 256, ["q", "qv", "least"])).join(blocks, ["list", "part"])
     small_batches(spark, 16)
-    found = met.select("q", "qv", "least", "x", "v", "code").mapInArrow(_search(model, k, rerank), "q long, x long, score double")
+    found = met.select("q", "qv", "least", "x", "v", "code", "length").mapInArrow(_search(model, k, rerank), "q long, x long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "x")
     top = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", "x", "score"))
     members = groups.select("x", "ids")
