@@ -114,7 +114,7 @@ def _join(docs: DataFrame, index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x for _, x in kept + new], [x for x, _ in kept + new])
 
     kinds = index.value[2]
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kinds)
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kinds)
     return docs.mapInArrow(run, f"{schema}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
@@ -126,7 +126,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, group_mb:
     mb = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     groups = max(1, int(-(-mb // group_mb)))
     if groups > 1:
-        docs = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *keep, "text"))
+        docs = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys((*keep, "text"))))
     parts = None
     for g in range(groups):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()

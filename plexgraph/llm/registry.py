@@ -1,9 +1,9 @@
 """Queries of the training-data operators."""
 
-from plexgraph.llm import decontaminate, ivfpq, langid, separators, simhash, tokenfile, toxicity
+from plexgraph.llm import decontaminate, ivfpq, langid, mixture, separators, simhash, tokenfile, toxicity
 
 QUERIES = {}
 ORACLE = {}
-for _m in (toxicity, separators, ivfpq, langid, tokenfile, decontaminate, simhash):
+for _m in (toxicity, separators, ivfpq, langid, tokenfile, decontaminate, simhash, mixture):
     QUERIES |= _m.QUERIES
     ORACLE |= _m.ORACLE

@@ -54,8 +54,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): one row per document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep: tuple = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and fp, the fingerprint of ``text`` as a signed long: one row per document."""
 
     def run(batches):
         import numpy as np
@@ -65,10 +65,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
 
         for b in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in utf8(b.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
     small_batches(docs.sparkSession)
-    return doc_text(docs).mapInArrow(run, "doc_id long, fp long")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{schema}, fp long")
 
 
 def _blocks(free: int, n: int) -> list[int]:
@@ -163,18 +164,27 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), component_id (smallest doc_id reachable over links)."""
-    marks = stored(fingerprints(docs, shingle, seed))
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET, keep: tuple = ("doc_id",)) -> DataFrame:
+    """One row per document: ``keep`` (with doc_id), fp (signed long), root (one for each group), component_id (smallest doc_id reachable over links)."""
+    marks = stored(fingerprints(docs, shingle, seed, keep))
     per_fp = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = components(links(per_fp.select("fp"), max_bits, bucket))
     rooted = per_fp.join(comp.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return marks.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, **how) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates, with its own columns; of repeated rows one."""
+    told = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
+    groups = near_duplicates(told, keep=("doc_id", "_h"), **how)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m._h").alias("_k"))
+    kept = told.join(first, told["doc_id"].eqNullSafe(first["_d"]) & (told["_h"] == first["_k"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = near_duplicates(table(spark, sf_dir, "documents"))
+    out = near_duplicates(doc_text(table(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
