@@ -8,8 +8,8 @@ before it number its documents, the ids before it place them, and the ids since
 the last separator before it are the part of its first document that lies in
 earlier blocks, however many of them that document spans.
 
-Nulls: a null text is empty and counts only its separator; a null doc_id sorts
-first. Repeated documents keep their rows. Ids after the last separator of a file
+Nulls: a null text is empty and counts only its separator; a null doc_id keeps
+its row. Repeated documents keep their rows. Ids after the last separator of a file
 form a last document. Empty tables and empty files give no rows. Other columns
 are ignored.
 """
@@ -43,7 +43,7 @@ def _encoding(path: str):
 
 
 def write_flat(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int = BLOCK) -> None:
-    """Writes a file of 16-bit ids for each part, in ascending doc_id order, and beside it the doc_ids in that order."""
+    """Writes a file of 16-bit ids for each part of the input, in its order, and beside it the doc_ids in that order."""
 
     def run(batches):
         import numpy as np
@@ -75,9 +75,7 @@ def write_flat(docs: DataFrame, path: str, tokenizer: str, end: int = END, block
 
     spark = docs.sparkSession
     small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(path)
+    docs.mapInArrow(run, _SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _scan(end: int):
@@ -120,7 +118,7 @@ def count_documents(blocks: DataFrame, end: int = END) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, start, n_tokens) from flat files written for docs; n_tokens counts the separator, start runs over all files."""
+    """(doc_id, n_tokens) from flat files written for docs; n_tokens counts the separator."""
     spark = docs.sparkSession
     path = shared_dir(spark)
     write_flat(doc_text(docs), path, tokenizer or tokenizer_path(TOKENIZER), block=block)
@@ -137,13 +135,7 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, block: int = BLO
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), part, np.int32)), pa.array(first + np.arange(len(x))), pa.array(x[:, 0], mask=x[:, 1] == 1)], ["part", "ordinal", "doc_id"])
 
     named = rows.filter(F.col("kind") == _NAMES).select("part", "block", "data").mapInArrow(names, "part int, ordinal long, doc_id long")
-    sizes = rows.filter(F.col("kind") == _IDS).groupBy("part").agg(F.sum(F.octet_length("data") / 2).cast("long").alias("n")).collect()  # a row for each part
-    base, at = [], 0
-    for r in sorted(sizes, key=lambda r: r.part):
-        base.append((r.part, at))
-        at += r.n
-    bases = spark.createDataFrame(base, "part int, base long")
-    return named.join(counts, ["part", "ordinal"]).join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens")
+    return named.join(counts, ["part", "ordinal"]).select("doc_id", "n_tokens")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
