@@ -259,6 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from plexgraph.llm.common import utf8
         from plexgraph.llm.tokens import encoder
 
         part, number, ids, of, size = TaskContext.get().partitionId(), 0, [], [], 0
@@ -269,7 +270,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int
 
         schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
         for b in batches:
-            got = [x + tail for x in enc.encode([t or "" for t in b.column("text").to_pylist()])]
+            got = [x + tail for x in enc.encode(utf8(b.column("text")))]
             for d, x in zip(b.column("doc_id").to_pylist(), got):
                 of.append(d)
                 ids.append(x)

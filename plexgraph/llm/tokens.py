@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+
 #: Entries of each of the two generations of a worker's cache.
-CACHE = 250_000
+CACHE = 150_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,9 +17,9 @@ def tokenizer_path(name: str) -> str:
 class Encoder:
     """encode(text) -> little-endian 16-bit ids of the whole text.
 
-    The tokenizer never joins what stands on both sides of a blank or a line
-    end (its pre-tokenizer drops white space), so the pieces between them are
-    encoded one by one, each distinct piece once while it stays in the cache.
+    The tokenizer lower-cases and never joins what stands on both sides of white
+    space (its pre-tokenizer drops it), so the pieces between ASCII white space,
+    with A-Z lower-cased, are encoded one by one, each distinct piece once while it stays in the cache.
     Pieces of letters alone give one word each, whose last id, and no other, is
     that of an entry with the word-end mark; so they can be encoded as one text
     and told apart by those ids; one sign that ends such a piece is a word of its own. The vocabulary has to have fewer than 65,536 ids.
@@ -33,45 +35,46 @@ class Encoder:
             raise ValueError("ids do not fit into 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.seen: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.seen: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[bytes]) -> None:
         import numpy as np
 
-        tailed = [w for w in new if w[-1] in ",.;:!?" and w[:-1].isalpha()]
-        plain = {w for w in new if w.isalpha()}
-        other = list(set(new).difference(plain, tailed))
+        tailed = [w for w in new if w[-1:] in b",.;:!?" and w[:-1].decode().isalpha()]
+        plain = {w for w in new if w.decode().isalpha()}
+        other = list(new.difference(plain, tailed))
         plain.update(b for w in tailed if (b := w[:-1]) not in self.seen)
-        other += {w[-1] for w in tailed}.difference(self.seen)
+        other += {w[-1:] for w in tailed}.difference(self.seen)
         plain = list(plain)
-        for k in range(0, len(plain), 5000):
-            part = plain[k : k + 5000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+        for k in range(0, len(plain), 2000):
+            part = plain[k : k + 2000]
+            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(part) or at[-1] != len(ids):
                 other += part
                 continue
             flat, cut = ids.tobytes(), (at * 2).tolist()
             self.seen.update((w, flat[i:j]) for w, i, j in zip(part, [0, *cut], cut))
-        for k in range(0, len(other), 5000):
-            part = other[k : k + 5000]
-            got = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            self.seen.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(part, got))
+        for k in range(0, len(other), 2000):
+            part = other[k : k + 2000]
+            got = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.seen.update((w, struct.pack(f"<{len(e.ids)}H", *e.ids)) for w, e in zip(part, got))
         get = self.seen.__getitem__
-        self.seen.update([(w, get(w[:-1]) + get(w[-1])) for w in tailed])
+        self.seen.update([(w, get(w[:-1]) + get(w[-1:])) for w in tailed])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """texts: UTF-8."""
+        pieces = [t.lower().split() for t in texts]
         if len(self.seen) > CACHE:
-            self.old, self.seen = self.seen, {"": b""}
+            self.old, self.seen = self.seen, {}
         known, old = self.seen.get, self.old
         found = [list(map(known, p)) for p in pieces]
         short = [k for k, f in enumerate(found) if None in f]
         new = {w for k in short for w, x in zip(pieces[k], found[k]) if x is None}
         held = new.intersection(old)
         self.seen.update((w, old[w]) for w in held)
-        self._learn(list(new - held))
+        self._learn(new - held)
         for k in short:
             found[k] = map(known, pieces[k])
         return [b"".join(f) for f in found]
