@@ -1,8 +1,12 @@
 """All registered queries of the graph engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from plexgraph.plans import cypher_queries
+from plexgraph.plans.cypher import execute
+from plexgraph.plans.projection import trade_graph
+from plexgraph.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return execute(trade_graph(spark, sf_dir), cypher_queries.FLAGSHIP).df
