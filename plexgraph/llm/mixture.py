@@ -55,7 +55,7 @@ def default_targets(cells: DataFrame, temper: dict = TEMPER) -> dict[str, DataFr
     out = {}
     for c, power in temper.items():
         part = cells.groupBy(F.col(c).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("p"))
-        out[c] = part.crossJoin(F.broadcast(part.agg(F.sum("p").alias("all")))).select("value", (F.col("p") / F.col("all")).alias("share"))  # by one row
+        out[c] = part.select("value", (F.col("p") / part.agg(F.sum("p")).scalar()).alias("share"))
     return out
 
 
