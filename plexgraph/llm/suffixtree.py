@@ -304,6 +304,24 @@ def score(docs: DataFrame, counts: DataFrame, words: list, tree: Tree, n_docs: i
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, ``most`` at most, with their counts, descending: all that reach a common count.
+
+    That count is found in a histogram over powers of 2 ** (1 / 16), so that no more than the result reaches the driver.
+    """
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("b")).collect()
+    held, least = 0, None
+    for r in bins:
+        held += r.k
+        if held > most:
+            break
+        least = r.b
+    if least is None:
+        return []
+    top = counts.filter(F.floor(F.log2("n") * 16) >= least).collect()
+    return sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
@@ -317,7 +335,7 @@ def score_documents(docs: DataFrame, held: F.Column) -> DataFrame:
     n_docs = train.count()
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = n + n_docs, v + (n_docs > 0)
-    words = [(bytes(r.word), r.n) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    words = frequent(counts, HEAD)
     tree = fit(train, words, n_docs, total, distinct)
     out = score(docs, counts, words, tree, n_docs, total, distinct)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
