@@ -37,7 +37,7 @@ LENGTH = 200
 GRAM = 73
 HOT = 3000
 SORT_BYTES = 1 << 18
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _TABLES: dict = {}
 
@@ -294,7 +294,7 @@ def _packed_spans(batches):
 
 
 def _cut_out(batches):
-    """Each document with the runs to remove: (doc_id, text, n_bytes, starts, ends)."""
+    """Each document with the runs to remove and what is left: (doc_id, n_bytes, starts, ends, kept)."""
     import numpy as np
     import pyarrow as pa
 
@@ -305,11 +305,16 @@ def _cut_out(batches):
         r = Regions([t if f else b"" for t, f in zip(texts, found)])
         u = r.u.view(np.int64)
         cut = np.searchsorted(r.text, np.arange(len(texts) + 1))
-        starts, ends = [], []
+        starts, ends, kept = [], [], []
         for k, (t, f) in enumerate(zip(texts, found)):
             known = {x["u"]: x["spans"] for x in f or ()}
-            edge = np.zeros(len(t) + 1, np.int64)
-            for j in range(cut[k], cut[k + 1]) if known else ():
+            if not known:
+                starts.append([])
+                ends.append([])
+                kept.append(t)
+                continue
+            edge = np.zeros(len(t) + 1, np.int32)
+            for j in range(cut[k], cut[k + 1]):
                 if (x := int(u[j])) in known:
                     s = int(r.start[j])
                     spans = [(0, int(r.end[j]) - s)] if known[x] is None else np.frombuffer(known[x], "<i4").reshape(-1, 2).tolist()
@@ -320,8 +325,9 @@ def _cut_out(batches):
             step = np.diff(gone)
             starts.append(np.flatnonzero(step == 1).tolist())
             ends.append(np.flatnonzero(step == -1).tolist())
+            kept.append(b"".join(t[a:e] for a, e in zip([0, *ends[-1]], [*starts[-1], len(t)])))
         kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(starts, kind), pa.array(ends, kind)], ["doc_id", "text", "n_bytes", "starts", "ends"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(starts, kind), pa.array(ends, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
 def _slots(spark: SparkSession, n: int) -> list[int]:
@@ -343,8 +349,11 @@ def _slot_of(slots: list[int]) -> F.Column:
     return F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod(F.shiftright("row", 33), F.lit(len(slots))) + 1).cast("int")).cast("long")
 
 
-def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, text as bytes, n_bytes, starts, ends): the maximal runs of bytes to remove from each document."""
+def remove_repeats(docs: DataFrame, hot: int = HOT, digest: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, starts, ends, kept): the maximal runs of bytes to remove from each document, and the bytes left.
+
+    digest: instead (doc_id, n_bytes, n_removed, n_spans, kept_sha256).
+    """
     spark = docs.sparkSession
     small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -368,24 +377,24 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     whole = told.filter("NOT alone").select("row", "u", F.lit(None).cast("binary").alias("spans"))
     found = whole.unionByName(calm).unionByName(stormy).groupBy("row").agg(F.collect_list(F.struct("u", "spans")).alias("found")).withColumn("slot", _slot_of(slots))
     full = texts.join(found.hint("shuffle_hash"), ["slot", "row"], "left").select("doc_id", "text", "found")
-    return full.mapInArrow(_cut_out, "doc_id long, text binary, n_bytes long, starts array<long>, ends array<long>")
+    if digest:
+        return full.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return full.mapInArrow(_cut_out, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
 def _digest(batches):
+    """The same with the kept bytes hashed where they are made."""
     import pyarrow as pa
 
-    for b in batches:
-        removed, runs, sha = [], [], []
-        for text, starts, ends in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends"))):
-            removed.append(sum(ends) - sum(starts))
-            runs.append(len(starts))
-            sha.append(hashlib.sha256(b"".join(text[a:e] for a, e in zip([0, *ends], [*starts, len(text)]))).hexdigest())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for b in _cut_out(batches):
+        starts, ends = b.column("starts").to_pylist(), b.column("ends").to_pylist()
+        sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("kept")]
+        removed = [sum(e) - sum(s) for s, e in zip(starts, ends)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array([len(s) for s in starts], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return remove_repeats(table(spark, sf_dir, "documents"), digest=True)
 
 
 QUERIES = {"op7_suffix_array": op7_suffix_array}
