@@ -14,11 +14,11 @@ from plexgraph.schema import flag, prop
 WITH = f"WITH {CODE_SQL}\n"
 
 
-def scalar(name: str, source: str, key: str, columns: dict, sql: str) -> None:
-    """A query that projects functions of one table's columns."""
+def scalar(name: str, source: str, key: str, columns, sql: str) -> None:
+    """A query that projects functions of one table's columns; columns() makes them, as that needs a session."""
     def run(spark, sf_dir):
         df = code_nodes(spark, sf_dir) if source == "nodes" else code_edges(spark, sf_dir) if source == "edges" else table(spark, sf_dir, source)
-        return df.select(key, *[c.alias(n) for n, c in columns.items()])
+        return df.select(key, *[c.alias(n) for n, c in columns().items()])
 
     register(f"scalar_{name}", (WITH if source in ("nodes", "edges") else "") + sql)(run)
 
@@ -29,28 +29,28 @@ register("graph_edges", WITH + "SELECT * FROM edges")(code_edges)
 
 _CAMEL = "regexp_replace({}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
 _MIXED = "replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN 'X' ELSE '_cfg.' END)"
-scalar("camel_split", "part", "p_partkey", {"v": S.camel_split(F.expr(_MIXED))}, f"SELECT p_partkey, {_CAMEL.format(_MIXED)} AS v FROM part")
+scalar("camel_split", "part", "p_partkey", lambda: {"v": S.camel_split(F.expr(_MIXED))}, f"SELECT p_partkey, {_CAMEL.format(_MIXED)} AS v FROM part")
 _PAIRS = [x.split() for x in S.ABBREVIATIONS.replace("\n", " ").split(",")]
 _ABBR = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in _PAIRS) + "}"
-scalar("identifier_tokens", "part", "p_partkey", {"v": F.array_join(S.identifier_tokens(F.expr(_MIXED)), "|")}, f"SELECT p_partkey, array_to_string(list_concat(t, [x FOR x IN [{_ABBR}[y] FOR y IN t] IF x IS NOT NULL]), '|') AS v FROM (SELECT p_partkey, [x FOR x IN string_split_regex(lower(regexp_replace({_CAMEL.format('regexp_replace(m, ' + chr(39) + '[./_ (),:-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '[^A-Za-z0-9 ]', '', 'g')), ' +') IF x <> ''] AS t FROM (SELECT p_partkey, {_MIXED} AS m FROM part))")
-scalar("decorator_tokens", "part", "p_partkey", {"v": F.array_join(S.decorator_tokens(F.concat(F.lit("@app.routeFor_"), F.expr("replace(p_name, ' ', '_')"), F.lit("('/x')"))), "|")}, "SELECT p_partkey, 'route|' || array_to_string([x FOR x IN string_split(p_name, ' ') IF x <> 'new'], '|') AS v FROM part")
-scalar("config_key_norm", "part", "p_partkey", {"v": S.config_key_norm(F.expr(_MIXED))}, f"SELECT p_partkey, lower(replace(trim(regexp_replace({_CAMEL.format('regexp_replace(m, ' + chr(39) + '[_.-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' +', ' ', 'g')), ' ', '_')) AS v FROM (SELECT p_partkey, {_MIXED} AS m FROM part)")
-scalar("glob_like", "nodes", "id", {"a": c("file_path").like(S.glob_to_like("**/*.py")), "b": c("file_path").like(S.glob_to_like("**/economy/**")), "d": c("file_path").like(S.glob_to_like("src/**")), "e": c("file_path").like(S.glob_to_like("src/large/brand?.go"))}, "SELECT id, file_path LIKE '%%.py' AS a, file_path LIKE '%economy%' AS b, file_path LIKE 'src%' AS d, file_path LIKE 'src/large/brand_.go' AS e FROM nodes")
-scalar("qn_package", "nodes", "id", {"p": S.qn_package(c("qualified_name")), "t": S.qn_top_package(c("qualified_name")), "one": S.qn_package(c("name"))}, "SELECT id, CASE WHEN len(s) >= 4 THEN s[3] WHEN len(s) >= 2 THEN s[2] ELSE '' END AS p, CASE WHEN len(s) >= 2 THEN s[2] ELSE '' END AS t, '' AS one FROM (SELECT id, string_split(qualified_name, '.') AS s FROM nodes)")
-scalar("test_path", "nodes", "id", {"p": S.is_test_path(c("file_path")), "n": S.is_test_name(c("name")), "prod": S.test_to_prod_path(c("file_path"))}, f"SELECT id, regexp_matches(file_path, '{S.TEST_PATH}') AS p, regexp_matches(name, '{S.TEST_NAME}') AS n, CASE WHEN suffix(file_path, '_test.go') THEN regexp_replace(file_path, '_test\\.go$', '.go') WHEN regexp_matches(file_path, '(^|/)test_[^/]*\\.py$') THEN regexp_replace(file_path, '(^|/)test_([^/]*\\.py)$', '\\1\\2') END AS prod FROM nodes")
+scalar("identifier_tokens", "part", "p_partkey", lambda: {"v": F.array_join(S.identifier_tokens(F.expr(_MIXED)), "|")}, f"SELECT p_partkey, array_to_string(list_concat(t, [x FOR x IN [{_ABBR}[y] FOR y IN t] IF x IS NOT NULL]), '|') AS v FROM (SELECT p_partkey, [x FOR x IN string_split_regex(lower(regexp_replace({_CAMEL.format('regexp_replace(m, ' + chr(39) + '[./_ (),:-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '[^A-Za-z0-9 ]', '', 'g')), ' +') IF x <> ''] AS t FROM (SELECT p_partkey, {_MIXED} AS m FROM part))")
+scalar("decorator_tokens", "part", "p_partkey", lambda: {"v": F.array_join(S.decorator_tokens(F.concat(F.lit("@app.routeFor_"), F.expr("replace(p_name, ' ', '_')"), F.lit("('/x')"))), "|")}, "SELECT p_partkey, 'route|' || array_to_string([x FOR x IN string_split(p_name, ' ') IF x <> 'new'], '|') AS v FROM part")
+scalar("config_key_norm", "part", "p_partkey", lambda: {"v": S.config_key_norm(F.expr(_MIXED))}, f"SELECT p_partkey, lower(replace(trim(regexp_replace({_CAMEL.format('regexp_replace(m, ' + chr(39) + '[_.-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' +', ' ', 'g')), ' ', '_')) AS v FROM (SELECT p_partkey, {_MIXED} AS m FROM part)")
+scalar("glob_like", "nodes", "id", lambda: {"a": c("file_path").like(S.glob_to_like("**/*.py")), "b": c("file_path").like(S.glob_to_like("**/economy/**")), "d": c("file_path").like(S.glob_to_like("src/**")), "e": c("file_path").like(S.glob_to_like("src/large/brand?.go"))}, "SELECT id, file_path LIKE '%%.py' AS a, file_path LIKE '%economy%' AS b, file_path LIKE 'src%' AS d, file_path LIKE 'src/large/brand_.go' AS e FROM nodes")
+scalar("qn_package", "nodes", "id", lambda: {"p": S.qn_package(c("qualified_name")), "t": S.qn_top_package(c("qualified_name")), "one": S.qn_package(c("name"))}, "SELECT id, CASE WHEN len(s) >= 4 THEN s[3] WHEN len(s) >= 2 THEN s[2] ELSE '' END AS p, CASE WHEN len(s) >= 2 THEN s[2] ELSE '' END AS t, '' AS one FROM (SELECT id, string_split(qualified_name, '.') AS s FROM nodes)")
+scalar("test_path", "nodes", "id", lambda: {"p": S.is_test_path(c("file_path")), "n": S.is_test_name(c("name")), "prod": S.test_to_prod_path(c("file_path"))}, f"SELECT id, regexp_matches(file_path, '{S.TEST_PATH}') AS p, regexp_matches(name, '{S.TEST_NAME}') AS n, CASE WHEN suffix(file_path, '_test.go') THEN regexp_replace(file_path, '_test\\.go$', '.go') WHEN regexp_matches(file_path, '(^|/)test_[^/]*\\.py$') THEN regexp_replace(file_path, '(^|/)test_([^/]*\\.py)$', '\\1\\2') END AS prod FROM nodes")
 _ROUTE = "'/api/' || lower(p_type) || CASE p_partkey % 5 WHEN 0 THEN '/:id' WHEN 1 THEN '/{{id}}/x' WHEN 2 THEN '/<int:id>' WHEN 3 THEN '/$' || '{{id}}' ELSE '/a:b' END".replace("{{", "{").replace("}}", "}")
-scalar("route_canon", "part", "p_partkey", {"v": S.route_canon(F.expr(_ROUTE))}, "SELECT p_partkey, '/api/' || lower(p_type) || CASE p_partkey % 5 WHEN 0 THEN '/{}' WHEN 1 THEN '/{}/x' WHEN 2 THEN '/{}' WHEN 3 THEN '/{}' ELSE '/a:b' END AS v FROM part")
-scalar("url_path", "pages", "page_id", {"v": S.url_path(c("url"))}, "SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS v FROM pages")
-scalar("template_match", "pages", "page_id", {"v": S.template_match(S.url_path(c("url")), F.lit("/en/{}")), "w": S.template_match(S.url_path(c("url")), F.lit("/{}/{}/"))}, "SELECT page_id, regexp_full_match(u, '/?en/[^/]+/*') AS v, regexp_full_match(u, '/?[^/]+/[^/]+/*') AS w FROM (SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS u FROM pages)")
-scalar("confidence_band", "edges", "id", {"v": S.confidence_band(prop("confidence").cast("double"))}, "SELECT id, CASE WHEN k >= 0.7 THEN 'high' WHEN k >= 0.45 THEN 'medium' WHEN k >= 0.25 THEN 'speculative' ELSE '' END AS v FROM (SELECT id, CAST(json_extract_string(properties, '$.confidence') AS DOUBLE) AS k FROM edges)")
-scalar("risk_label", "nodes", "id", {"v": S.risk(c("id") % 7)}, "SELECT id, CASE WHEN id % 7 <= 1 THEN 'CRITICAL' WHEN id % 7 = 2 THEN 'HIGH' WHEN id % 7 = 3 THEN 'MEDIUM' ELSE 'LOW' END AS v FROM nodes")
-scalar("json_props", "nodes", "id", {"k": prop("complexity").cast("int"), "e": flag("is_entry_point"), "bad": prop("x", F.lit("no json"))}, "SELECT id, CAST(json_extract_string(properties, '$.complexity') AS INT) AS k, coalesce(json_extract_string(properties, '$.is_entry_point') = 'true', false) AS e, CAST(NULL AS VARCHAR) AS bad FROM nodes")
-scalar("proximity", "nodes", "id", {"v": F.round(S.proximity(c("file_path"), F.lit("src/economy/brand1.py")), 6)}, "SELECT id, round(1 + 0.1 * CASE WHEN p[1] = 'src' THEN CASE WHEN p[2] = 'economy' THEN 2 ELSE 1 END ELSE 0 END / 2.0, 6) AS v FROM (SELECT id, string_split(file_path, '/') AS p FROM nodes)")
-scalar("fqn", "nodes", "id", {"v": S.fqn(c("project"), c("file_path"), c("name"))}, "SELECT id, project || '.' || replace(regexp_replace(file_path, '\\.[^./]*$', ''), '/', '.') || '.' || name AS v FROM nodes")
-scalar("secrets", "documents", "doc_id", {"v": S.is_secret(c("source"), c("text"))}, f"SELECT doc_id, coalesce(regexp_matches(lower(source), '{'|'.join(S.SECRET_KEYS)}'), false) OR coalesce(regexp_matches(text, '{S.SECRET_VALUES}'), false) AS v FROM documents")
-scalar("names", "orders", "o_orderkey", {"env": S.is_env_var_name(c("o_orderpriority")), "cfg": S.has_config_extension(F.concat(F.lit("a/b."), F.lower("o_orderstatus"), F.lit("/x.yml"))), "exc": S.is_checked_exception(c("o_orderpriority"))}, "SELECT o_orderkey, regexp_matches(o_orderpriority, '^[A-Z0-9_]{2,}$') AND regexp_matches(o_orderpriority, '[A-Z]') AS env, true AS cfg, NOT regexp_matches(o_orderpriority, 'Error|Panic') AS exc FROM orders")
-scalar("sha256", "nodes", "id", {"v": F.sha2(c("qualified_name"), 256)}, "SELECT id, sha256(qualified_name) AS v FROM nodes")
-scalar("minhash_hex", "part", "p_partkey", {"v": S.minhash_hex(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: c("p_partkey") * 64 + k)), "back": F.element_at(S.minhash_from_hex(S.minhash_hex(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: c("p_partkey") * 64 + k))), 64)}, "SELECT p_partkey, array_to_string([lower(printf('%08x', p_partkey * 64 + k)) FOR k IN range(64)], '') AS v, p_partkey * 64 + 63 AS back FROM part")
+scalar("route_canon", "part", "p_partkey", lambda: {"v": S.route_canon(F.expr(_ROUTE))}, "SELECT p_partkey, '/api/' || lower(p_type) || CASE p_partkey % 5 WHEN 0 THEN '/{}' WHEN 1 THEN '/{}/x' WHEN 2 THEN '/{}' WHEN 3 THEN '/{}' ELSE '/a:b' END AS v FROM part")
+scalar("url_path", "pages", "page_id", lambda: {"v": S.url_path(c("url"))}, "SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS v FROM pages")
+scalar("template_match", "pages", "page_id", lambda: {"v": S.template_match(S.url_path(c("url")), F.lit("/en/{}")), "w": S.template_match(S.url_path(c("url")), F.lit("/{}/{}/"))}, "SELECT page_id, regexp_full_match(u, '/?en/[^/]+/*') AS v, regexp_full_match(u, '/?[^/]+/[^/]+/*') AS w FROM (SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS u FROM pages)")
+scalar("confidence_band", "edges", "id", lambda: {"v": S.confidence_band(prop("confidence").cast("double"))}, "SELECT id, CASE WHEN k >= 0.7 THEN 'high' WHEN k >= 0.45 THEN 'medium' WHEN k >= 0.25 THEN 'speculative' ELSE '' END AS v FROM (SELECT id, CAST(json_extract_string(properties, '$.confidence') AS DOUBLE) AS k FROM edges)")
+scalar("risk_label", "nodes", "id", lambda: {"v": S.risk(c("id") % 7)}, "SELECT id, CASE WHEN id % 7 <= 1 THEN 'CRITICAL' WHEN id % 7 = 2 THEN 'HIGH' WHEN id % 7 = 3 THEN 'MEDIUM' ELSE 'LOW' END AS v FROM nodes")
+scalar("json_props", "nodes", "id", lambda: {"k": prop("complexity").cast("int"), "e": flag("is_entry_point"), "bad": prop("x", F.lit("no json"))}, "SELECT id, CAST(json_extract_string(properties, '$.complexity') AS INT) AS k, coalesce(json_extract_string(properties, '$.is_entry_point') = 'true', false) AS e, CAST(NULL AS VARCHAR) AS bad FROM nodes")
+scalar("proximity", "nodes", "id", lambda: {"v": F.round(S.proximity(c("file_path"), F.lit("src/economy/brand1.py")), 6)}, "SELECT id, round(1 + 0.1 * CASE WHEN p[1] = 'src' THEN CASE WHEN p[2] = 'economy' THEN 2 ELSE 1 END ELSE 0 END / 2.0, 6) AS v FROM (SELECT id, string_split(file_path, '/') AS p FROM nodes)")
+scalar("fqn", "nodes", "id", lambda: {"v": S.fqn(c("project"), c("file_path"), c("name"))}, "SELECT id, project || '.' || replace(regexp_replace(file_path, '\\.[^./]*$', ''), '/', '.') || '.' || name AS v FROM nodes")
+scalar("secrets", "documents", "doc_id", lambda: {"v": S.is_secret(c("source"), c("text"))}, f"SELECT doc_id, coalesce(regexp_matches(lower(source), '{'|'.join(S.SECRET_KEYS)}'), false) OR coalesce(regexp_matches(text, '{S.SECRET_VALUES}'), false) AS v FROM documents")
+scalar("names", "orders", "o_orderkey", lambda: {"env": S.is_env_var_name(c("o_orderpriority")), "cfg": S.has_config_extension(F.concat(F.lit("a/b."), F.lower("o_orderstatus"), F.lit("/x.yml"))), "exc": S.is_checked_exception(c("o_orderpriority"))}, "SELECT o_orderkey, regexp_matches(o_orderpriority, '^[A-Z0-9_]{2,}$') AND regexp_matches(o_orderpriority, '[A-Z]') AS env, true AS cfg, NOT regexp_matches(o_orderpriority, 'Error|Panic') AS exc FROM orders")
+scalar("sha256", "nodes", "id", lambda: {"v": F.sha2(c("qualified_name"), 256)}, "SELECT id, sha256(qualified_name) AS v FROM nodes")
+scalar("minhash_hex", "part", "p_partkey", lambda: {"v": S.minhash_hex(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: c("p_partkey") * 64 + k)), "back": F.element_at(S.minhash_from_hex(S.minhash_hex(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: c("p_partkey") * 64 + k))), 64)}, "SELECT p_partkey, array_to_string([lower(printf('%08x', p_partkey * 64 + k)) FOR k IN range(64)], '') AS v, p_partkey * 64 + 63 AS back FROM part")
 
 
 # lookups
