@@ -4,7 +4,8 @@ A file is a sequence of independently reset blocks; a block holds whole
 documents, ``BLOCK`` ids or a little more. Layout, little-endian: magic ``PXT1``,
 u32 documents, u32 ids, u32 lanes, u32 crc32 of the ids, u32 words; then the
 doc_ids as i64 with a byte each for null, the lengths as u32, the words each
-lane wrote as u32, and the words (u16) of all lanes.
+lane wrote as u32, the words (u16) of all lanes, and the u32 crc32 of all bytes
+before it.
 
 An id is predicted at three orders. The tables of order 2 and order 1 remember
 the id that last followed the two ids before, or the one before, with a count of
@@ -226,17 +227,20 @@ def write_block(doc_ids: list, ids: list[bytes]) -> bytes:
     head = struct.pack("<4s5I", MAGIC, len(doc_ids), len(x), lanes, zlib.crc32(flat), len(words))
     null = bytes(d is None for d in doc_ids)
     parts = [head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null, np.array([len(b) // 2 for b in ids], "<u4").tobytes(), sizes.astype("<u4").tobytes(), words.astype("<u2").tobytes()]
-    return b"".join(parts)
+    body = b"".join(parts)
+    return body + struct.pack("<I", zlib.crc32(body))
 
 
 def read_block(block: bytes) -> tuple[list, list[int], bytes]:
     """(doc_ids, lengths, all ids as 16-bit words); raises if the block is damaged."""
     import numpy as np
 
-    magic, docs, n, lanes, crc, n_words = struct.unpack_from("<4s5I", block)
-    at = 24
-    if magic != MAGIC:
+    if block[:4] != MAGIC or len(block) < 28:
         raise ValueError("not a block of token ids")
+    if zlib.crc32(block[:-4]) != struct.unpack("<I", block[-4:])[0]:
+        raise ValueError("checksum of a block differs")
+    _, docs, n, lanes, crc, n_words = struct.unpack_from("<4s5I", block)
+    at = 24
 
     def take(kind: str, count: int):
         nonlocal at
@@ -248,7 +252,7 @@ def read_block(block: bytes) -> tuple[list, list[int], bytes]:
     per_lane, words = take("<u4", lanes), take("<u2", n_words)
     flat = decode_ids(n, lanes, per_lane, words).astype("<u2").tobytes()
     if zlib.crc32(flat) != crc:
-        raise ValueError("checksum of a block differs")
+        raise ValueError("checksum of a block's ids differs")
     return [None if z else int(d) for d, z in zip(doc_ids, null)], sizes.tolist(), flat
 
 
