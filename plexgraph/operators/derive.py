@@ -141,15 +141,18 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, most:
     n = cand.groupBy("callee").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
     via = imports.select("module", F.col("local_name").alias("callee"), "target_qn")
     reach = imports.groupBy("module").agg(F.collect_set("target_qn").alias("seen"))
-    m = calls.join(n, "callee").join(cand, "callee").join(via, ["module", "callee"], "left").join(reach, "module", "left")
+    pairs = calls.select("module", "callee").distinct()
+    m = pairs.join(n, "callee").join(cand, "callee").join(via, ["module", "callee"], "left").join(reach, "module", "left")
     home = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
     near = F.coalesce(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q)), F.lit(False))
     half = F.when(near, 1.0).otherwise(0.5)
     strategy = F.when(F.col("qualified_name") == F.col("target_qn"), "import_map").when(home == F.col("module"), "same_module").when(F.col("n") == 1, "unique_name").otherwise("suffix_match")
     score = F.when(strategy == "import_map", 0.95).when(strategy == "same_module", 0.9).when(strategy == "unique_name", half * 0.75).otherwise(half * 0.55 * F.least(F.lit(1.0), 3.0 / F.col("n")))
     rank = F.when(strategy == "import_map", 0).when(strategy == "same_module", 1).when(strategy == "unique_name", 2).otherwise(3)
-    w = Window.partitionBy("call_id").orderBy("rank", F.desc("confidence"), is_test_path(F.col("file_path")), "qualified_name", "target_id")
-    return m.withColumns({"strategy": strategy, "confidence": score, "rank": rank}).withColumn("k", F.row_number().over(w)).filter("k = 1").select("call_id", "target_id", "strategy", "confidence")
+    m = m.withColumns({"strategy": strategy, "confidence": score, "rank": rank})
+    order = F.struct("rank", (-F.col("confidence")).alias("c"), is_test_path(F.col("file_path")).alias("t"), "qualified_name", "target_id", "strategy", "confidence")
+    best = m.groupBy("module", "callee").agg(F.min(order).alias("b"))  # combined before the shuffle
+    return calls.join(best, ["module", "callee"]).select("call_id", "b.target_id", "b.strategy", "b.confidence")
 
 
 def resolved_by_type(calls: DataFrame, records: DataFrame) -> DataFrame:

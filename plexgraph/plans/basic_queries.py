@@ -10,6 +10,7 @@ from plexgraph.operators import lookup, search, traverse
 from plexgraph.plans.projection import CODE_SQL, code_edges, code_graph, code_nodes, table
 from plexgraph.plans.registry import register
 from plexgraph.schema import flag, prop
+from plexgraph.shared import spread
 
 WITH = f"WITH {CODE_SQL}\n"
 
@@ -108,7 +109,7 @@ on_code("search_name_regex", f"{_FOUND} WHERE regexp_matches(name, '(?i)SMALL.*7
 on_code("search_paged_total", f"{_FOUND} WHERE label = 'Function' AND lower(file_path) LIKE 'src%.py' ORDER BY name, n.id LIMIT 15 OFFSET 20")(lambda g: search.search_graph(g, label="Function", file="src/**/*.py", limit=15, offset=20))
 on_code("search_degree_filter", f"{_FOUND} WHERE i + o >= 4 AND i + o <= 6 AND label <> 'Class' ORDER BY i + o DESC, name, n.id LIMIT 25")(lambda g: search.search_graph(g, min_degree=4, max_degree=6, exclude_labels=("Class",), sort="degree", limit=25))
 on_code("search_relationship", f"{_FOUND} WHERE n.id IN (SELECT source_id FROM edges WHERE type = 'HTTP_CALLS') AND json_extract_string(properties, '$.is_entry_point') IS NULL ORDER BY name, n.id LIMIT 30")(lambda g: search.search_graph(g, relationship=["HTTP_CALLS"], direction="out", exclude_entry_points=True, limit=30))
-register("search_bm25", "WITH t AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') IF x <> ''] AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), h AS (SELECT id, len(t) AS dl, q, len(list_filter(t, lambda x: x = q)) AS tf FROM t, (VALUES ('erha'), ('license'), ('on'), ('the')) v(q)), d AS (SELECT q, count(*) AS df FROM h WHERE tf > 0 GROUP BY q) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM h JOIN d USING (q), s WHERE tf > 0 GROUP BY id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, id LIMIT 10")(lambda spark, d: search.bm25(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "erha license onThe").withColumn("score", F.round("score", 9)))
+register("search_bm25", "WITH t AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+') IF x <> ''] AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t), h AS (SELECT id, len(t) AS dl, q, len(list_filter(t, lambda x: x = q)) AS tf FROM t, (VALUES ('erha'), ('license'), ('on'), ('the')) v(q)), d AS (SELECT q, count(*) AS df FROM h WHERE tf > 0 GROUP BY q) SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM h JOIN d USING (q), s WHERE tf > 0 GROUP BY id ORDER BY sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) DESC, id LIMIT 10")(lambda spark, d: search.bm25(spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")), "erha license onThe").withColumn("score", F.round("score", 9)))
 _QUERY = [((k * 37) % 17 - 8) / 8 for k in range(64)]
 register("search_vector_topk", f"SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_QUERY}), 9) AS score FROM embeddings ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_QUERY}) DESC, vec_id LIMIT 10")(lambda spark, d: search.vector_topk(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), _QUERY).withColumn("score", F.round("score", 9)))
 register("search_code_context", "WITH l AS (SELECT conv_id * 1000 + turn AS id, string_split(text, chr(10)) AS w FROM conversations), x AS (SELECT id, w, unnest(range(1, len(w) + 1)) AS k FROM l) SELECT id, CAST(k AS INT) AS line, w[k] AS text, CASE WHEN k > 1 THEN w[k - 1] ELSE '' END AS before, coalesce(w[k + 1], '') AS after FROM x WHERE regexp_matches(w[k], '(tion|ung)\\.$')")(lambda spark, d: search.search_lines(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), r"(tion|ung)\.$"))

@@ -13,6 +13,7 @@ from plexgraph.plans.basic_queries import WITH, on_code, table
 from plexgraph.plans.projection import CODE_SQL, code_graph
 from plexgraph.plans.registry import register
 from plexgraph.schema import prop
+from plexgraph.shared import spread
 from plexgraph.sources import files as X
 from plexgraph.sources import git, traces
 from plexgraph.streaming import incremental as I
@@ -152,7 +153,7 @@ register("derive_loop_depth", f"WITH RECURSIVE {CODE_SQL}, c AS (SELECT DISTINCT
 # similarity
 
 def texts(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "").alias("tokens"))
 
 
 _TOK = "t AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '[^a-z0-9]+') IF x <> ''] AS tokens FROM documents)"

@@ -19,3 +19,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = os.path.join(root, f"plexgraph-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table that its files split into fewer parts than there are cores: one large row group is one task. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
