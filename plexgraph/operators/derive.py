@@ -312,3 +312,87 @@ def loop_depths(nodes: DataFrame, calls: DataFrame, cap: int = 256, rounds: int
             break
         before = now
     return cur
+
+
+def fuzzy_resolve(calls: DataFrame, nodes: DataFrame, imports: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+    """(call_id, target_id, confidence): by name alone, 0.40 if it is the only definition and 0.30 for the first of several; halved if no import of the module reaches it."""
+    cand = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("callee"), "qualified_name")
+    best = cand.groupBy("callee").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("qualified_name", "target_id")).alias("b")).filter(F.col("n") <= most)
+    reach = imports.groupBy("module").agg(F.collect_set("target_qn").alias("seen"))
+    m = calls.join(best, "callee").join(reach, "module", "left")
+    home = F.regexp_replace("b.qualified_name", r"\.[^.]*$", "")
+    near = F.coalesce(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q)), F.lit(False))
+    return m.select("call_id", "b.target_id", (F.when(F.col("n") == 1, 0.4).otherwise(0.3) * F.when(near, 1.0).otherwise(0.5)).alias("confidence"))
+
+
+def resolve_imports(imports: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(import_id, target_id, how): the first of exact file, module path, a member of the module, or the file beside the importer.
+
+    imports: (import_id, from_path, target, member); nodes: (id, label, qualified_name, file_path).
+    """
+    n = nodes.select(F.col("id").alias("target_id"), "label", "qualified_name", "file_path")
+    module = n.select("target_id", F.col("qualified_name").alias("key"), F.when(F.col("label").isin("Module", "File"), 3).otherwise(2).alias("rank"))
+    path = n.select("target_id", F.col("file_path").alias("key"), F.lit(1).alias("rank")).filter("key IS NOT NULL")
+    directory = F.regexp_replace("from_path", r"/?[^/]*$", "")
+    keys = F.array(
+        F.struct(F.col("target").alias("key"), F.lit("file").alias("how")),
+        F.struct(F.concat_ws(".", F.regexp_replace("target", "/", "."), F.nullif("member", F.lit(""))).alias("key"), F.lit("member").alias("how")),
+        F.struct(F.regexp_replace("target", "/", ".").alias("key"), F.lit("module").alias("how")),
+        F.struct(F.concat_ws("/", F.nullif(directory, F.lit("")), "target").alias("key"), F.lit("sibling").alias("how")),
+    )
+    asked = imports.select("import_id", F.posexplode(keys).alias("try", "k")).select("import_id", "try", "k.key", "k.how")
+    met = asked.join(module.unionByName(path), "key")
+    best = met.groupBy("import_id").agg(F.min(F.struct("try", "rank", "target_id", "how")).alias("b"))
+    return best.select("import_id", "b.target_id", "b.how")
+
+
+def prefix_bridge(prefixes: DataFrame, routes: DataFrame) -> DataFrame:
+    """(route, handler): routes (dir, method, path, handler) below the prefix that a registration (dir, prefix) puts on their directory."""
+    j = routes.join(prefixes, "dir")
+    return j.select(route_qn(F.col("method"), F.concat(F.regexp_replace("prefix", "/$", ""), F.col("path"))).alias("route"), "handler").distinct()
+
+
+def infra_bindings(bindings: DataFrame) -> DataFrame:
+    """(topic_route, url_route): bindings (broker, topic, url) of a topic to an address."""
+    topic = F.concat(F.lit("__route__"), F.coalesce("broker", F.lit("async")), F.lit("__"), F.col("topic"))
+    return bindings.select(topic.alias("topic_route"), route_qn(F.lit(None).cast("string"), F.regexp_replace("url", r"^[a-z]+://[^/]*", "")).alias("url_route")).distinct()
+
+
+#: Keys of configuration whose addresses are no routes.
+DENIED_KEYS = r"(?i)(^|[_.-])(ci|upstream|registry|mirror|proxy|repository|homepage|docs?)([_.-]|$)"
+
+
+def infra_string_routes(strings: DataFrame) -> DataFrame:
+    """(route, path): addresses in configuration (path, key, value) as routes, denied keys left out."""
+    s = strings.filter(F.col("value").rlike(r"^https?://[^/]+/") & ~F.col("key").rlike(DENIED_KEYS))
+    return s.select(route_qn(F.lit(None).cast("string"), F.regexp_extract("value", r"^https?://[^/]+(/[^?#]*)", 1)).alias("route"), "path").distinct()
+
+
+def return_types(methods: DataFrame) -> DataFrame:
+    """(owner, name, type): one for each method; several are decided by their text."""
+    return methods.filter("type IS NOT NULL AND type <> ''").groupBy("owner", "name").agg(F.min("type").alias("type"))
+
+
+def cross_async(publishes: DataFrame, subscribes: DataFrame) -> DataFrame:
+    """(route, caller, handler) of asynchronous calls across projects that name one broker and topic. Both: (project, broker, topic, id)."""
+    route = F.concat(F.lit("__route__"), F.coalesce("broker", F.lit("async")), F.lit("__"), F.col("topic"))
+    a = publishes.select(F.col("project").alias("p"), route.alias("route"), F.col("id").alias("caller"))
+    b = subscribes.select(F.col("project").alias("q"), route.alias("route"), F.col("id").alias("handler"))
+    return a.join(b, "route").filter("p <> q").select("route", "caller", "handler").distinct()
+
+
+def cross_typed(calls: DataFrame, services: DataFrame) -> DataFrame:
+    """(type, caller, handler): gRPC, GraphQL and tRPC calls met by their method's name across projects. (project, type, qn, id)"""
+    a = calls.select(F.col("project").alias("p"), "type", "qn", F.col("id").alias("caller"))
+    b = services.select(F.col("project").alias("q"), "type", "qn", F.col("id").alias("handler"))
+    return a.join(b, ["type", "qn"]).filter("p <> q").select(F.concat(F.lit("CROSS_"), "type").alias("type"), "caller", "handler").distinct()
+
+
+def exception_edges(throws: DataFrame) -> DataFrame:
+    """(id, exception, type): RAISES for unchecked ones, THROWS for the others."""
+    return throws.select("id", "exception", F.when(F.col("exception").rlike("Error|Panic"), "RAISES").otherwise("THROWS").alias("type")).distinct()
+
+
+def linked_projects(cross: DataFrame) -> DataFrame:
+    """(project, target): distinct target projects of CROSS_ edges, from their properties."""
+    return cross.filter(F.startswith("type", F.lit("CROSS_"))).select("project", prop("target_project").alias("target")).filter("target IS NOT NULL").distinct()

@@ -112,3 +112,22 @@ def snippet(files: DataFrame, nodes: DataFrame, qn: str) -> DataFrame:
     """Source lines of a definition; files: (path, text)."""
     n = nodes.filter(F.col("qualified_name") == qn)
     return n.join(files, n["file_path"] == files["path"]).select("qualified_name", F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("source"))
+
+
+def semantic_query(terms: DataFrame, weights: DataFrame, vectors: DataFrame, keywords: list[str], k: int = 10) -> DataFrame:
+    """(id, score): vectors (id, v) nearest to the idf-weighted sum of the keywords' term vectors (term, v). The sum is one row."""
+    asked = sorted({x.lower() for x in keywords})
+    rows = terms.filter(F.col("term").isin(asked)).join(weights, "term").select("v", "idf").collect()
+    if not rows:
+        return vectors.select("id", F.lit(0.0).alias("score")).limit(0)
+    merged = [sum(r.idf * r.v[i] for r in rows) for i in range(len(rows[0].v))]
+    return vector_topk(vectors, merged, k)
+
+
+def search_files(files: DataFrame, pattern: str, path_like: str | None = None, mode: str = "compact", limit: int = 100) -> DataFrame:
+    """Text search by mode: ``files`` gives (id, n), ``compact`` (id, line, text), ``full`` with the lines around."""
+    f = files.filter(F.col("id").like(glob_to_like(path_like))) if path_like else files
+    hits = search_lines(f, pattern, context=3 if mode == "full" else 0)
+    if mode == "files":
+        return hits.groupBy("id").agg(F.count(F.lit(1)).alias("n")).orderBy("id").limit(limit)
+    return (hits if mode == "full" else hits.select("id", "line", "text")).orderBy("id", "line").limit(limit)
