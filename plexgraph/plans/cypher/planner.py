@@ -306,6 +306,8 @@ class _Planner:
                     return f(got, F.lit(y.value)) if x is a else f(F.lit(y.value), got)
         p, q = self.value(a, kinds), self.value(b, kinds)
         m, n = p.try_cast("double"), q.try_cast("double")
+        if op in ("=", "<>"):  # one form for numbers and texts, so that joins can hash it
+            return f(F.coalesce(m.cast("string"), p.cast("string")), F.coalesce(n.cast("string"), q.cast("string")))
         return F.when(m.isNotNull() & n.isNotNull(), f(m, n)).otherwise(f(p.cast("string"), q.cast("string")))
 
     def operation(self, e: Expr, kinds: dict) -> Column:
