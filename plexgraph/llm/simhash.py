@@ -176,11 +176,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates, with its own columns; of repeated rows one."""
-    told = docs.withColumn("_h", F.xxhash64(F.col("text").cast("string")))
-    groups = near_duplicates(told, keep=("doc_id", "_h"), **how)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h")).alias("m")).select(F.col("m.doc_id").alias("_d"), F.col("m._h").alias("_k"))
-    kept = told.join(first, told["doc_id"].eqNullSafe(first["_d"]) & (told["_h"] == first["_k"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    inner = {c: f"own {c}" for c in ("_h", "_d") if c in docs.columns}
+    told = docs.withColumnsRenamed(inner).withColumns({"_h": F.xxhash64(F.col("text").cast("string")), "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    groups = near_duplicates(told, keep=("doc_id", "_h", "_d"), **how)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h", "_d")).alias("m")).select("m._d", "m._h")
+    kept = told.join(first, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])  # dealt out once for both
+    return kept.drop("_h", "_d").withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
