@@ -17,15 +17,17 @@ def _steps(g: PropertyGraph, types: tuple, direction: str) -> DataFrame:
     e = g.of_type(*types)
     out = e.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     back = e.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
-    return {"outbound": out, "inbound": back}.get(direction, out.unionByName(back)).distinct()
+    return {"outbound": out, "inbound": back}.get(direction, out.unionByName(back))
 
 
 def bfs(g: PropertyGraph, seeds: DataFrame, types: tuple = ("CALLS",), direction: str = "outbound", max_depth: int = 3) -> DataFrame:
     """(id, hop): nodes reached from any seed (``id``) at their least hop; seeds are left out.
 
     One join a hop: the frontier meets the edges, those seen are taken off, and
-    the new level is written to the shared folder, so that plans stay short and a
-    level survives lost executors. It ends when a level is empty.
+    the new level is written to the shared folder, so that plans stay short, a
+    level survives lost executors, and its size is known: a small frontier is
+    broadcast and the edges are only scanned, a large one is shuffled. It ends
+    when a level is empty.
     """
     steps = _steps(g, types, direction)
     start = seeds.select("id").distinct()
