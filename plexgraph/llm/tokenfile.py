@@ -129,7 +129,9 @@ def encode_ids(ids, vocabulary: int = VOCABULARY):
         rng[who] <<= u(16)
 
     for t in range(steps):
-        x, live = grid[:, t], full > t
+        x = grid[:, t]
+        every = t < full[-1]  # the last lane is the shortest
+        live = slice(None) if every else full > t
         g2, g1, f2, f1 = m.predict()
         f1 = np.where(g1 == g2, 0, f1)
         is2 = x == g2
@@ -152,7 +154,7 @@ def encode_ids(ids, vocabulary: int = VOCABULARY):
             tiny = (rng < u(1 << 32)) & ~same
             if tiny.any():
                 rng[tiny] = (~low[tiny] + u(1)) & u((1 << 32) - 1)
-            who = np.flatnonzero((same | tiny) & live)
+            who = np.flatnonzero(same | tiny if every else (same | tiny) & live)
             if not len(who):
                 break
             put(who)
@@ -183,7 +185,8 @@ def decode_ids(n: int, lanes: int, sizes, words, vocabulary: int = VOCABULARY):
     at += 4
     m = _Model(lanes, vocabulary)
     for t in range(steps):
-        live = full > t
+        every = t < full[-1]
+        live = slice(None) if every else full > t
         g2, g1, f2, f1 = m.predict()
         f1 = np.where(g1 == g2, 0, f1)
         r = rng >> u(_TOTAL_BITS)
@@ -195,7 +198,8 @@ def decode_ids(n: int, lanes: int, sizes, words, vocabulary: int = VOCABULARY):
         aim = np.where(rest, 0, ((off - r0) // np.maximum(q, u(1))).astype(np.int64))
         x = np.searchsorted(m.cum, np.minimum(aim, m.cum[-1] - 1), side="right") - 1
         x = np.where(is2, g2, np.where(rest, g1, x))
-        x[~live] = 0
+        if not every:
+            x[~live] = 0
         add = np.where(is2, u(0), np.where(rest, b2, r0 + q * m.cum[x].astype(u)))
         size = np.where(is2, b2, np.where(rest, r0 - b2, q * m.counts[x].astype(u)))
         low[live] += add[live]
@@ -207,7 +211,7 @@ def decode_ids(n: int, lanes: int, sizes, words, vocabulary: int = VOCABULARY):
             tiny = (rng < u(1 << 32)) & ~same
             if tiny.any():
                 rng[tiny] = (~low[tiny] + u(1)) & u((1 << 32) - 1)
-            who = np.flatnonzero((same | tiny) & live)
+            who = np.flatnonzero(same | tiny if every else (same | tiny) & live)
             if not len(who):
                 break
             low[who] <<= u(16)

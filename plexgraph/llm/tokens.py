@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 
 #: Entries of each of the two generations of a worker's cache.
-CACHE = 150_000
+CACHE = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -27,9 +27,13 @@ class Encoder:
 
     def __init__(self, path: str):
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # for words of a-z alone the normaliser does nothing and the pre-tokenizer only cuts at blanks
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tok.get_vocab()
         if max(vocabulary.values(), default=0) >= 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
@@ -46,10 +50,12 @@ class Encoder:
         other = list(new.difference(plain, tailed))
         plain.update(b for w in tailed if (b := w[:-1]) not in self.seen)
         other += {w[-1:] for w in tailed}.difference(self.seen)
-        plain = list(plain)
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
+        ascii_ = [w for w in plain if w.isalpha()]
+        runs = [(self.bare, ascii_[k : k + 300]) for k in range(0, len(ascii_), 300)]
+        rest = list(plain.difference(ascii_))
+        runs += [(self.tok, rest[k : k + 300]) for k in range(0, len(rest), 300)]
+        for tok, part in runs:
+            ids = np.array(tok.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) != len(part) or at[-1] != len(ids):
                 other += part
