@@ -70,11 +70,11 @@ _D_BOTH = _DEGREE.format("type IN ('CALLS', 'INHERITS')")
 on_code("lookup_degree_calls", f"SELECT id, i AS in_degree, o AS out_degree FROM {_D_CALLS}")(lambda g: lookup.degrees(g, ["CALLS"]))
 on_code("lookup_qn_suffix", "SELECT id FROM nodes WHERE qualified_name = 'brand7.red_widget1' OR suffix(qualified_name, '.red_widget1') OR suffix(qualified_name, '.small_ring13')")(lambda g: lookup.by_qn_suffix(g.nodes, "red_widget1").unionByName(lookup.by_qn_suffix(g.nodes, "small_ring13")).select("id"))
 on_code("lookup_lines", "SELECT id FROM nodes WHERE file_path = 'src/economy/brand2.go' AND start_line <= 300 AND end_line >= 100")(lambda g: lookup.in_lines(g.nodes, "src/economy/brand2.go", 100, 300).select("id"))
-_HUNKS = "SELECT file_path AS path, min(start_line) + 3 AS start_line, min(start_line) + 40 AS end_line FROM nodes WHERE id % 10 = 3 GROUP BY file_path"
+_HUNKS = "SELECT file_path AS path, min(start_line) + 3 AS start_line, min(start_line) + 40 AS end_line FROM nodes WHERE label = 'Interface' GROUP BY file_path"
 
 
 def hunks(g: PropertyGraph):
-    return g.nodes.filter("id % 10 = 3").groupBy(F.col("file_path").alias("path")).agg((F.min("start_line") + 3).alias("start_line"), (F.min("start_line") + 40).alias("end_line"))
+    return g.nodes.filter("label = 'Interface'").groupBy(F.col("file_path").alias("path")).agg((F.min("start_line") + 3).alias("start_line"), (F.min("start_line") + 40).alias("end_line"))
 
 
 on_code("lookup_range_overlap", f"SELECT n.id FROM nodes n WHERE EXISTS (SELECT 1 FROM ({_HUNKS}) h WHERE h.path = n.file_path AND n.start_line <= h.end_line AND n.end_line >= h.start_line)")(lambda g: lookup.in_hunks(g.nodes, hunks(g)).select("id"))
@@ -99,7 +99,7 @@ on_code("graph_node_dedup", "SELECT id, qualified_name FROM (SELECT *, row_numbe
 on_code("graph_edge_dedup", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY source_id % 40, target_id % 40, type ORDER BY CAST(json_extract_string(properties, '$.confidence') AS DOUBLE) DESC, properties DESC, id) AS k FROM edges) WHERE k = 1")(lambda g: dedup_edges(doubled(g).edges).select("id"))
 on_code("graph_orphan_edges", "SELECT id FROM edges WHERE source_id % 3 <> 0 AND target_id % 3 <> 0")(lambda g: PropertyGraph(g.nodes.filter("id % 3 <> 0"), g.edges).without_orphans().edges.select("id"))
 on_code("graph_delete_cascade", "SELECT id FROM edges WHERE source_id NOT IN (SELECT id FROM nodes WHERE label = 'Class') AND target_id NOT IN (SELECT id FROM nodes WHERE label = 'Class')")(lambda g: g.without_nodes(g.nodes.filter("label = 'Class'")).edges.select("id"))
-on_code("graph_merge", "SELECT source_id AS a, target_id AS b, type AS t FROM edges")(lambda g: g.merged(PropertyGraph(g.nodes.filter("id < 500").withColumn("id", F.col("id") + 1_000_000), g.edges.filter("source_id < 500 AND target_id < 500").withColumns({"source_id": F.col("source_id") + 1_000_000, "target_id": F.col("target_id") + 1_000_000}))).edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("type").alias("t")))
+on_code("graph_merge", "SELECT source_id AS a, target_id AS b, type AS t FROM edges")(lambda g: g.merged(PropertyGraph(g.nodes.withColumn("id", F.col("id") + 1_000_000), g.edges.withColumns({"source_id": F.col("source_id") + 1_000_000, "target_id": F.col("target_id") + 1_000_000}))).edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("type").alias("t")))
 
 
 # search
@@ -130,9 +130,9 @@ def on_walk(name: str, walk: str, sql: str):
     return put
 
 
-_ONE, _MANY = "SELECT id FROM nodes WHERE id = 7", "SELECT id FROM nodes WHERE id % 97 = 5"
+_ONE, _MANY = "SELECT id FROM nodes WHERE id = 7", "SELECT id FROM nodes WHERE json_extract_string(properties, '$.is_entry_point') = 'true'"
 one = lambda g: g.nodes.filter("id = 7").select("id")
-many = lambda g: g.nodes.filter("id % 97 = 5").select("id")
+many = lambda g: g.nodes.filter(flag("is_entry_point")).select("id")
 on_walk("traverse_bfs_out", _bfs_sql(_ONE, 4), "SELECT id, hop FROM seen")(lambda g: traverse.bfs(g, one(g), max_depth=4))
 on_walk("traverse_bfs_in", _bfs_sql(_ONE, 3, a="target_id", b="source_id"), "SELECT id, hop FROM seen")(lambda g: traverse.bfs(g, one(g), direction="inbound", max_depth=3))
 on_walk("traverse_bfs_multi", _bfs_sql(_MANY, 3, "'CALLS', 'HTTP_CALLS'"), "SELECT id, hop FROM seen")(lambda g: traverse.bfs(g, many(g), ("CALLS", "HTTP_CALLS"), max_depth=3))

@@ -26,15 +26,14 @@ cypher("expand_out", "MATCH (a:Function)-[r:CALLS]->(b:Method) RETURN a.id AS a,
 cypher("expand_in", "MATCH (a:Class)<-[:INHERITS|USAGE]-(b) RETURN a.id AS a, b.id AS b", "SELECT a.id AS a, e.source_id AS b FROM nodes a JOIN edges e ON e.target_id = a.id AND e.type IN ('INHERITS', 'USAGE') WHERE a.label = 'Class'")
 cypher("expand_any", "MATCH (a:Interface)-[:CALLS]-(b) RETURN a.id AS a, count(b) AS n", "SELECT a.id AS a, count(*) AS n FROM nodes a JOIN (SELECT source_id AS f FROM edges WHERE type = 'CALLS' UNION ALL SELECT target_id FROM edges WHERE type = 'CALLS') e ON e.f = a.id WHERE a.label = 'Interface' GROUP BY a.id")
 cypher("two_hop", "MATCH (a:Class)-[:CALLS]->(b)-[:CALLS]->(c:Class) RETURN a.id AS a, b.id AS b, c.id AS c", "SELECT a.id AS a, e.target_id AS b, c.id AS c FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' JOIN edges f ON f.source_id = e.target_id AND f.type = 'CALLS' AND f.id <> e.id JOIN nodes c ON c.id = f.target_id WHERE a.label = 'Class' AND c.label = 'Class'")
-_REACH = "r AS (SELECT a.id AS s, e.target_id AS t, 1 AS h FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' WHERE a.label = 'Interface' AND a.id < 400"
-cypher("var_length_1_3", "MATCH (a:Interface)-[:CALLS*1..3]->(b:Class) WHERE a.id < 400 RETURN a.id AS a, b.id AS b", f", r1 AS (SELECT DISTINCT a.id AS s, e.target_id AS t FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' WHERE a.label = 'Interface' AND a.id < 400), r2 AS (SELECT DISTINCT s, e.target_id AS t FROM r1 JOIN edges e ON e.source_id = r1.t AND e.type = 'CALLS'), r3 AS (SELECT DISTINCT s, e.target_id AS t FROM r2 JOIN edges e ON e.source_id = r2.t AND e.type = 'CALLS') SELECT DISTINCT s AS a, t AS b FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) x JOIN nodes n ON n.id = t AND n.label = 'Class' WHERE s <> t".lstrip())
-cypher("var_length_2_2", "MATCH (a:Interface)-[:CALLS*2]->(b) WHERE a.id < 200 RETURN a.id AS a, count(b) AS n", ", r1 AS (SELECT DISTINCT a.id AS s, e.target_id AS t FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' WHERE a.label = 'Interface' AND a.id < 200), r2 AS (SELECT DISTINCT s, e.target_id AS t FROM r1 JOIN edges e ON e.source_id = r1.t AND e.type = 'CALLS') SELECT s AS a, count(*) AS n FROM (SELECT * FROM r2 WHERE s <> t EXCEPT SELECT * FROM r1) GROUP BY s")
+cypher("var_length_1_3", "MATCH (a:Interface)-[:CALLS*1..3]->(b:Class) RETURN a.id AS a, b.id AS b", f", r1 AS (SELECT DISTINCT a.id AS s, e.target_id AS t FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' WHERE a.label = 'Interface'), r2 AS (SELECT DISTINCT s, e.target_id AS t FROM r1 JOIN edges e ON e.source_id = r1.t AND e.type = 'CALLS'), r3 AS (SELECT DISTINCT s, e.target_id AS t FROM r2 JOIN edges e ON e.source_id = r2.t AND e.type = 'CALLS') SELECT DISTINCT s AS a, t AS b FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3) x JOIN nodes n ON n.id = t AND n.label = 'Class' WHERE s <> t".lstrip())
+cypher("var_length_2_2", "MATCH (a:Interface)-[:CALLS*2]->(b) RETURN a.id AS a, count(b) AS n", ", r1 AS (SELECT DISTINCT a.id AS s, e.target_id AS t FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' WHERE a.label = 'Interface'), r2 AS (SELECT DISTINCT s, e.target_id AS t FROM r1 JOIN edges e ON e.source_id = r1.t AND e.type = 'CALLS') SELECT s AS a, count(*) AS n FROM (SELECT * FROM r2 WHERE s <> t EXCEPT SELECT * FROM r1) GROUP BY s")
 cypher("optional_match_dead", "MATCH (f:Function) OPTIONAL MATCH (c)-[:CALLS]->(f) WITH f, c WHERE c IS NULL RETURN f.id AS id", "SELECT id FROM nodes n WHERE label = 'Function' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.type = 'CALLS')")
 cypher("optional_match_count", "MATCH (f:Method) OPTIONAL MATCH (f)-[:HTTP_CALLS]->(g) RETURN f.id AS id, count(g) AS n", "SELECT n.id, count(e.target_id) AS n FROM nodes n LEFT JOIN edges e ON e.source_id = n.id AND e.type = 'HTTP_CALLS' WHERE label = 'Method' GROUP BY n.id")
 cypher("bound_join", "MATCH (a:Class)-[:CALLS]->(b) MATCH (c:Interface)-[:CALLS]->(b) RETURN a.id AS a, b.id AS b, c.id AS c", "SELECT a.id AS a, e.target_id AS b, c.id AS c FROM nodes a JOIN edges e ON e.source_id = a.id AND e.type = 'CALLS' JOIN edges f ON f.target_id = e.target_id AND f.type = 'CALLS' JOIN nodes c ON c.id = f.source_id WHERE a.label = 'Class' AND c.label = 'Interface'")
 cypher("cross_patterns", "MATCH (a:Region), (b:Nation) WHERE a.id < b.id RETURN a.name AS a, b.name AS b", "SELECT a.name AS a, b.name AS b FROM nodes a, nodes b WHERE a.label = 'Region' AND b.label = 'Nation' AND a.id < b.id", "trade")
 cypher("exists_semi", "MATCH (n:Function) WHERE EXISTS { (n)-[:HTTP_CALLS]->() } RETURN n.id AS id", "SELECT id FROM nodes n WHERE label = 'Function' AND EXISTS (SELECT 1 FROM edges e WHERE e.source_id = n.id AND e.type = 'HTTP_CALLS')")
-cypher("not_exists_anti", "MATCH (n:Function) WHERE NOT EXISTS { (n)<-[:CALLS]-() } AND n.id < 1500 RETURN n.id AS id", "SELECT id FROM nodes n WHERE label = 'Function' AND id < 1500 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.type = 'CALLS')")
+cypher("not_exists_anti", "MATCH (n:Function) WHERE NOT EXISTS { (n)<-[:CALLS]-() } AND n.complexity < 30 RETURN n.id AS id", "SELECT id FROM nodes n WHERE label = 'Function' AND CAST(json_extract_string(n.properties, '$.complexity') AS INT) < 30 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target_id = n.id AND e.type = 'CALLS')")
 cypher("exists_in_or", "MATCH (n:Class) WHERE n.complexity > 40 OR EXISTS { (n)-[:ASYNC_CALLS]-() } RETURN n.id AS id", f"SELECT id FROM nodes n WHERE label = 'Class' AND (CAST({_j('complexity')} AS INT) > 40 OR EXISTS (SELECT 1 FROM edges e WHERE (e.source_id = n.id OR e.target_id = n.id) AND e.type = 'ASYNC_CALLS'))")
 cypher("where_bool_xor", "MATCH (n) WHERE (n.complexity >= 25 XOR n.loop_depth = 1) AND NOT (n.label = 'Class' OR n.start_line < 100) RETURN n.id AS id", f"SELECT id FROM nodes n WHERE (CAST({_j('complexity')} AS INT) >= 25) <> (CAST({_j('loop_depth')} AS INT) = 1) AND NOT (label = 'Class' OR start_line < 100)")
 cypher("comparisons", "MATCH (n) WHERE n.complexity <> 7 AND n.start_line >= 10 AND n.end_line <= 300 AND n.loop_depth < 3 AND n.complexity > 3 RETURN count(*) AS n", f"SELECT count(*) AS n FROM nodes n WHERE CAST({_j('complexity')} AS INT) <> 7 AND start_line >= 10 AND end_line <= 300 AND CAST({_j('loop_depth')} AS INT) < 3 AND CAST({_j('complexity')} AS INT) > 3")

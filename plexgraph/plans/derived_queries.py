@@ -13,7 +13,7 @@ from plexgraph.plans.basic_queries import WITH, on_code, table
 from plexgraph.plans.projection import CODE_SQL, code_graph
 from plexgraph.plans.registry import register
 from plexgraph.schema import prop
-from plexgraph.shared import spread
+from plexgraph.shared import spread, stored
 from plexgraph.sources import files as X
 from plexgraph.sources import git, traces
 from plexgraph.streaming import incremental as I
@@ -67,12 +67,12 @@ register("derive_decorator_tags", f"WITH {CODE_SQL}, {_TAG} SELECT id, array_to_
 
 def config_pairs(spark, d):
     p = table(spark, d, "part")
-    conf = p.filter("p_partkey % 40 = 1").select(F.col("p_partkey").alias("id"), S.config_key_norm(F.expr("replace(p_name, ' ', '.')")).alias("norm")).filter(F.forall(F.split("norm", "_"), lambda x: F.length(x) >= 3))
-    sym = p.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), S.config_key_norm(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'get_' ELSE '' END || replace(p_name, ' ', '_')")).alias("norm"))
+    conf = p.groupBy(S.config_key_norm(F.expr("replace(p_name, ' ', '.')")).alias("norm")).agg(F.min("p_partkey").alias("id")).select("id", "norm").filter(F.forall(F.split("norm", "_"), lambda x: F.length(x) >= 3))
+    sym = p.select(F.col("p_partkey").alias("id"), S.config_key_norm(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'get_' ELSE '' END || replace(p_name, ' ', '_')")).alias("norm"))
     return derive.config_links(conf, sym)
 
 
-_LINK = "c AS (SELECT p_partkey AS config, replace(p_name, ' ', '_') AS k FROM part WHERE p_partkey % 40 = 1 AND len(list_filter(string_split(p_name, ' '), lambda x: length(x) < 3)) = 0), s AS (SELECT p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN 'get_' ELSE '' END || replace(p_name, ' ', '_') AS n FROM part WHERE p_partkey % 3 = 0)"
+_LINK = "c AS (SELECT min(p_partkey) AS config, replace(p_name, ' ', '_') AS k FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: length(x) < 3)) = 0 GROUP BY 2), s AS (SELECT p_partkey AS symbol, CASE WHEN p_partkey % 2 = 0 THEN 'get_' ELSE '' END || replace(p_name, ' ', '_') AS n FROM part)"
 register("derive_configlink", f"WITH {_LINK} SELECT config, symbol, CASE WHEN k = n THEN 0.85::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM c JOIN s ON contains('_' || n || '_', '_' || k || '_')")(config_pairs)
 register("derive_dependency_links", WITH + "SELECT DISTINCT split_part(qualified_name, '.', 4) AS dep, id AS import_id, 0.8::DOUBLE AS confidence FROM nodes WHERE split_part(qualified_name, '.', 4) IN ('brand1', 'brand7')")(lambda spark, d: derive.dependency_links(spark.createDataFrame([("brand1",), ("brand7",)], "name string"), code_graph(spark, d).nodes.select("id", F.col("qualified_name").alias("qn"))).withColumn("confidence", F.col("confidence").cast("double")))
 _ROUTES = "r AS (SELECT DISTINCT '__route__GET__' || replace(json_extract_string(properties, '$.route_path'), ':id', '{}') AS route, id AS handler FROM nodes WHERE json_extract_string(properties, '$.route_path') IS NOT NULL)"
@@ -100,13 +100,13 @@ register("derive_interface_division", f"WITH {CODE_SQL}, m AS (SELECT DISTINCT s
 def resolution(spark, d):
     g = code_graph(spark, d)
     n = g.nodes.select("id", F.regexp_replace("name", r"\d+$", "").alias("name"), "qualified_name", "file_path")
-    calls = g.of_type("CALLS").join(g.nodes.select(F.col("id").alias("source_id"), F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("module")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("name").alias("callee")), "target_id").filter("target_id % 3 = 0").select(F.col("id").alias("call_id"), "module", "callee")
+    calls = g.of_type("CALLS").join(g.nodes.select(F.col("id").alias("source_id"), F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("module")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("name").alias("callee")), "target_id").select(F.col("id").alias("call_id"), "module", "callee")
     imports = g.of_type("IMPORTS").join(g.nodes.select(F.col("id").alias("source_id"), F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("module")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("name").alias("local_name"), F.col("qualified_name").alias("target_qn")), "target_id").groupBy("module", "local_name").agg(F.min("target_qn").alias("target_qn"))
     return derive.resolve_calls(calls, n, imports).withColumn("confidence", F.round("confidence", 6))
 
 
 _RES = """n AS (SELECT id, regexp_replace(name, '\\d+$', '') AS name, qualified_name AS qn, regexp_replace(qualified_name, '\\.[^.]*$', '') AS home, file_path FROM nodes),
-k AS (SELECT e.id AS call_id, a.home AS module, b.name AS callee FROM edges e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE type = 'CALLS' AND target_id % 3 = 0),
+k AS (SELECT e.id AS call_id, a.home AS module, b.name AS callee FROM edges e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE type = 'CALLS'),
 i AS (SELECT a.home AS module, b.name AS local_name, min(b.qn) AS target_qn FROM edges e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE type = 'IMPORTS' GROUP BY ALL),
 z AS (SELECT name, count(*) AS c FROM n GROUP BY name HAVING count(*) <= 256),
 x AS (SELECT call_id, n.id AS target_id, n.qn, n.file_path, CASE WHEN n.qn = i.target_qn THEN 'import_map' WHEN n.home = k.module THEN 'same_module' WHEN z.c = 1 THEN 'unique_name' ELSE 'suffix_match' END AS strategy, z.c,
@@ -117,21 +117,21 @@ register("derive_resolve_chain", f"WITH {CODE_SQL}, {_RES} SELECT call_id, targe
 
 def cross_routes(spark, d):
     p = table(spark, d, "pages").select("page_id", S.url_path(F.col("url")).alias("path"))
-    calls = p.filter("page_id % 2 = 0").select(F.lit("web").alias("project"), F.col("page_id").alias("caller"), F.lit("GET").alias("method"), "path")
+    calls = p.select(F.lit("web").alias("project"), F.col("page_id").alias("caller"), F.lit("GET").alias("method"), "path")
     routes = spark.createDataFrame([("api", "GET", "/en/{id}", 1), ("api", None, "/de/:id", 2), ("api", "POST", "/fr/{x}", 3), ("web", "GET", "/es/{x}", 4)], "project string, method string, path string, handler long")
     return derive.cross_http(calls, routes)
 
 
-register("derive_cross_route", "SELECT 'web' AS caller_project, page_id AS caller, 'api' AS target_project, CAST(CASE WHEN starts_with(p, '/en/') THEN 1 ELSE 2 END AS BIGINT) AS handler, 'template' AS how FROM (SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS p FROM pages) WHERE page_id % 2 = 0 AND regexp_full_match(p, '/(en|de)/[^/]+/*')")(cross_routes)
+register("derive_cross_route", "SELECT 'web' AS caller_project, page_id AS caller, 'api' AS target_project, CAST(CASE WHEN starts_with(p, '/en/') THEN 1 ELSE 2 END AS BIGINT) AS handler, 'template' AS how FROM (SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS p FROM pages) WHERE regexp_full_match(p, '/(en|de)/[^/]+/*')")(cross_routes)
 
 
 def channels(spark, d):
-    n = code_graph(spark, d).nodes.select("project", (F.col("id") % 30).cast("string").alias("channel"), "id", F.lit("kafka").alias("transport"))
-    return derive.cross_channels(n.filter("id % 7 = 1"), n.filter("id % 7 = 2"))
+    n = code_graph(spark, d).nodes.select("label", "project", (F.col("id") % 31).cast("string").alias("channel"), "id", F.lit("kafka").alias("transport"))
+    return derive.cross_channels(n.filter("label = 'Method'"), n.filter("label = 'Class'"))
 
 
-register("derive_cross_channel", WITH + ", l AS (SELECT project, CAST(id % 30 AS VARCHAR) AS channel, min(id) AS listener FROM nodes WHERE id % 7 = 2 GROUP BY ALL) SELECT DISTINCT l.channel, n.id AS emitter, listener FROM nodes n JOIN l ON l.channel = CAST(n.id % 30 AS VARCHAR) AND l.project <> n.project WHERE n.id % 7 = 1".lstrip())(channels)
-register("derive_k8s_services", "SELECT DISTINCT s.o_orderkey AS service, CAST(w.p_partkey AS VARCHAR) AS workload FROM orders s JOIN part w ON s.o_orderpriority = w.p_type OR CAST(s.o_orderkey AS VARCHAR) = CAST(w.p_partkey AS VARCHAR) WHERE s.o_orderkey < 500")(lambda spark, d: derive.service_workloads(table(spark, d, "orders").filter("o_orderkey < 500").select(F.col("o_orderkey").alias("service"), F.create_map(F.lit("tier"), "o_orderpriority", F.lit("app"), F.col("o_orderkey").cast("string")).alias("selector")), table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("workload"), F.create_map(F.lit("tier"), "p_type").alias("labels"))))
+register("derive_cross_channel", WITH + ", l AS (SELECT project, CAST(id % 31 AS VARCHAR) AS channel, min(id) AS listener FROM nodes WHERE label = 'Class' GROUP BY ALL) SELECT DISTINCT l.channel, n.id AS emitter, listener FROM nodes n JOIN l ON l.channel = CAST(n.id % 31 AS VARCHAR) AND l.project <> n.project WHERE n.label = 'Method'".lstrip())(channels)
+register("derive_k8s_services", "SELECT DISTINCT s.o_orderkey AS service, CAST(w.p_partkey AS VARCHAR) AS workload FROM orders s JOIN part w ON s.o_orderpriority = w.p_type OR CAST(s.o_orderkey AS VARCHAR) = CAST(w.p_partkey AS VARCHAR)")(lambda spark, d: derive.service_workloads(table(spark, d, "orders").select(F.col("o_orderkey").alias("service"), F.create_map(F.lit("tier"), "o_orderpriority", F.lit("app"), F.col("o_orderkey").cast("string")).alias("selector")), table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("workload"), F.create_map(F.lit("tier"), "p_type").alias("labels"))))
 on_code("derive_rpc_services", "SELECT s.name AS service, m.name AS method FROM nodes s JOIN nodes m ON m.file_path = s.file_path AND m.start_line >= s.start_line AND m.end_line <= s.end_line WHERE s.label IN ('Class', 'Interface') AND m.label = 'Method'")(lambda g: derive.rpc_in_services(g.nodes.filter("label IN ('Class', 'Interface')"), g.nodes.filter("label = 'Method'")))
 on_code("derive_structure", "SELECT DISTINCT array_to_string(list_slice(s, 1, k - 1), '/') AS parent, array_to_string(list_slice(s, 1, k), '/') AS child, CASE WHEN k = len(s) THEN 'CONTAINS_FILE' ELSE 'CONTAINS_FOLDER' END AS type FROM (SELECT s, unnest(range(1, len(s) + 1)) AS k FROM (SELECT string_split(file_path, '/') AS s FROM nodes))")(lambda g: derive.structure(g.nodes.select(F.col("file_path").alias("path")).distinct()))
 on_code("derive_import_map", "SELECT module, count(*) AS n, max(local_name) AS last FROM (SELECT DISTINCT regexp_replace(a.qualified_name, '\\.[^.]*$', '') AS module, b.name AS local_name FROM edges e JOIN nodes a ON a.id = source_id JOIN nodes b ON b.id = target_id WHERE type = 'IMPORTS') GROUP BY module")(lambda g: derive.import_map(g.of_type("IMPORTS").join(g.nodes.select(F.col("id").alias("source_id"), F.regexp_replace("qualified_name", r"\.[^.]*$", "").alias("module")), "source_id").join(g.nodes.select(F.col("id").alias("target_id"), F.col("name").alias("local_name"), F.col("qualified_name").alias("target_qn")), "target_id")).select("module", F.size("map").cast("long").alias("n"), F.array_max(F.map_keys("map")).alias("last")))
@@ -143,11 +143,18 @@ on_code("derive_classify_calls", f"SELECT id, {_FAM} AS family, CASE WHEN contai
 register("derive_multi_pattern", "SELECT doc_id AS id, CAST(contains(text, 'license') AS BIGINT) + 2 * CAST(contains(text, 'idiot') AS BIGINT) + 4 * CAST(contains(text, '@') AS BIGINT) AS mask FROM documents")(lambda spark, d: derive.multi_pattern(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["license", "idiot", "@"]))
 
 
-def acyclic(g):
-    return g.of_type("CALLS").filter("source_id < target_id AND target_id - source_id < 400")
+_ROUNDS = 12
 
 
-register("derive_loop_depth", f"WITH RECURSIVE {CODE_SQL}, c AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges WHERE type = 'CALLS' AND source_id < target_id AND target_id - source_id < 400), w AS (SELECT id AS s, id AS t, CAST({_J.format('loop_depth')} AS BIGINT) AS d FROM nodes UNION SELECT w.s, c.b, w.d + CAST(json_extract_string(n.properties, '$.loop_depth') AS BIGINT) FROM w JOIN c ON c.a = w.t JOIN nodes n ON n.id = c.b) SELECT s AS id, max(d) AS depth FROM w GROUP BY s")(lambda spark, d: derive.loop_depths((g := code_graph(spark, d)).nodes.select("id", prop("loop_depth").cast("long").alias("loop_depth")), acyclic(g)))
+def _depth_sql() -> str:
+    own = "CAST(json_extract_string(properties, '$.loop_depth') AS BIGINT)"
+    steps = [f"d0 AS MATERIALIZED (SELECT id, {own} AS own, {own} AS depth FROM nodes)"]
+    for k in range(_ROUNDS):
+        steps.append(f"d{k + 1} AS MATERIALIZED (SELECT d.id, own, least(256, own + coalesce(m, 0)) AS depth FROM d{k} d LEFT JOIN (SELECT source_id AS id, max(x.depth) AS m FROM edges JOIN d{k} x ON x.id = target_id WHERE type = 'CALLS' AND source_id <> target_id GROUP BY 1) USING (id))")
+    return f"WITH {CODE_SQL}, {', '.join(steps)} SELECT id, depth FROM d{_ROUNDS}"
+
+
+register("derive_loop_depth", _depth_sql())(lambda spark, d: derive.loop_depths((g := code_graph(spark, d)).nodes.select("id", prop("loop_depth").cast("long").alias("loop_depth")), g.of_type("CALLS"), rounds=_ROUNDS))
 
 
 # similarity
@@ -162,15 +169,15 @@ _FP = f"s AS (SELECT DISTINCT id, {_HASH.format(chr(39) + chr(39) + ' || array_t
 register("derive_minhash", f"WITH {_TOK}, {_FP} SELECT id, array_to_string(list(m ORDER BY i), ',') AS fp FROM f GROUP BY id")(lambda spark, d: similar.minhash(texts(spark, d)).select("id", F.array_join("fp", ",").alias("fp")))
 register("derive_lsh_similar", f"WITH {_TOK}, {_FP}, g AS (SELECT id, list(m ORDER BY i) AS fp FROM f GROUP BY id), q AS (SELECT fp, min(id) AS rep, list(id) AS ids FROM g GROUP BY fp), p AS (SELECT a.rep AS a, b.rep AS b, len(list_filter(list_zip(a.fp, b.fp), lambda z: z[1] = z[2])) / 64 AS jaccard FROM q a JOIN q b ON a.rep < b.rep), u AS (SELECT rep AS a, unnest(ids) AS b, 1.0::DOUBLE AS jaccard FROM q UNION ALL SELECT a, b, jaccard FROM p WHERE jaccard >= 0.95) SELECT a, b, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS k FROM u WHERE a <> b) WHERE k <= 10")(lambda spark, d: similar.similar(similar.minhash(texts(spark, d)).withColumn("ext", F.lit("txt"))))
 register("derive_idf", f"WITH {_TOK} SELECT w AS term, round(ln((SELECT count(*) FROM t) / count(*)), 9) AS idf FROM (SELECT DISTINCT id, unnest(tokens) AS w FROM t) GROUP BY w")(lambda spark, d: similar.idf(texts(spark, d)).withColumn("idf", F.round("idf", 9)))
-register("derive_cooccurrence", f"WITH {_TOK}, p AS (SELECT id, k, tokens[k] AS w FROM (SELECT id, tokens, unnest(range(1, len(tokens) + 1)) AS k FROM t WHERE id < 40)), c AS (SELECT a.w AS a, b.w AS b, 1.0 / (b.k - a.k) AS x FROM p a JOIN p b ON a.id = b.id AND b.k > a.k AND b.k <= a.k + 5) SELECT a, b, round(sum(x), 6) AS w FROM (SELECT * FROM c UNION ALL SELECT b, a, x FROM c) GROUP BY a, b")(lambda spark, d: similar.cooccurrence(texts(spark, d).filter("id < 40")).withColumn("w", F.round("w", 6)))
-register("derive_tfidf_cosine", f"WITH {_TOK}, f AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(tokens) AS w FROM t) GROUP BY ALL), i AS (SELECT w, ln((SELECT count(*) FROM t) / count(*)) AS idf FROM f GROUP BY w), v AS (SELECT id, w, tf * idf AS x FROM f JOIN i USING (w) WHERE idf > 0), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id), p AS (SELECT id AS a, id + 1 AS b FROM t WHERE id % 10 = 0) SELECT a, b, round(coalesce(s, 0), 6) AS score FROM p LEFT JOIN (SELECT p.a, p.b, sum(x.x / m.n * y.x / o.n) AS s FROM p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b AND y.w = x.w JOIN n m ON m.id = p.a JOIN n o ON o.id = p.b GROUP BY ALL) USING (a, b)")(lambda spark, d: similar.tfidf_cosine(similar.tfidf(texts(spark, d)), texts(spark, d).filter("id % 10 = 0").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).withColumn("score", F.round("score", 6)))
+register("derive_cooccurrence", f"WITH {_TOK}, p AS (SELECT id, k, tokens[k] AS w FROM (SELECT id, tokens, unnest(range(1, len(tokens) + 1)) AS k FROM t)), c AS (SELECT a.w AS a, b.w AS b, 1.0 / (b.k - a.k) AS x FROM p a JOIN p b ON a.id = b.id AND b.k > a.k AND b.k <= a.k + 5) SELECT a, b, round(sum(x), 6) AS w FROM (SELECT * FROM c UNION ALL SELECT b, a, x FROM c) GROUP BY a, b")(lambda spark, d: similar.cooccurrence(texts(spark, d)).withColumn("w", F.round("w", 6)))
+register("derive_tfidf_cosine", f"WITH {_TOK}, f AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(tokens) AS w FROM t) GROUP BY ALL), i AS (SELECT w, ln((SELECT count(*) FROM t) / count(*)) AS idf FROM f GROUP BY w), v AS (SELECT id, w, tf * idf AS x FROM f JOIN i USING (w) WHERE idf > 0), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id), p AS (SELECT id AS a, id + 1 AS b FROM t) SELECT a, b, round(coalesce(s, 0), 6) AS score FROM p LEFT JOIN (SELECT p.a, p.b, sum(x.x / m.n * y.x / o.n) AS s FROM p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b AND y.w = x.w JOIN n m ON m.id = p.a JOIN n o ON o.id = p.b GROUP BY ALL) USING (a, b)")(lambda spark, d: similar.tfidf_cosine(similar.tfidf(texts(spark, d)), texts(spark, d).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).withColumn("score", F.round("score", 6)))
 
 
 def semantic(spark, d):
-    docs = texts(spark, d).filter("id < 60").withColumn("tokens", F.slice("tokens", 1, 512))
-    terms = similar.term_vectors(docs, dim=64)
-    v = similar.document_vectors(docs, terms, similar.idf(docs), dim=64)
-    b = similar.hyperplane_bands(v, 64)
+    docs = stored(texts(spark, d))
+    terms = stored(similar.term_vectors(docs, dim=64))
+    v = stored(similar.document_vectors(docs, terms, similar.idf(docs), dim=64))
+    b = similar.hyperplane_bands(v, 64, rows=12)
     pairs = b.alias("x").join(b.alias("y"), ["band", "key"]).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).filter("a < b").distinct()
     w = v.select("id", "v")
     s = pairs.join(w.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(w.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
@@ -196,12 +203,12 @@ register("ingest_otlp", "SELECT 'svc' || CAST(user_id % 3 AS VARCHAR) AS service
 
 
 def diff_lines(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 2000")
+    o = table(spark, d, "orders")
     lines = F.array(F.concat(F.lit("+++ b/f"), (F.col("o_orderkey") % 50).cast("string"), F.lit(".py")), F.concat(F.lit("@@ -1,2 +"), F.col("o_custkey").cast("string"), F.lit(","), (F.col("o_orderkey") % 9).cast("string"), F.lit(" @@ x")), F.concat(F.lit("@@ -7 +"), (F.col("o_custkey") + 20).cast("string"), F.lit(" @@")))
     return o.select(F.col("o_orderkey").alias("part"), F.posexplode(lines).alias("n", "value"))
 
 
-register("ingest_diff_hunks", "SELECT 'f' || CAST(o_orderkey % 50 AS VARCHAR) || '.py' AS path, CAST(greatest(c, 1) AS INT) AS start_line, CAST(greatest(c, 1) + greatest(s, 1) - 1 AS INT) AS end_line FROM (SELECT o_orderkey, o_custkey AS c, o_orderkey % 9 AS s FROM orders WHERE o_orderkey < 2000 UNION ALL SELECT o_orderkey, o_custkey + 20, 1 FROM orders WHERE o_orderkey < 2000)")(lambda spark, d: git.parse_hunks(diff_lines(spark, d)))
+register("ingest_diff_hunks", "SELECT 'f' || CAST(o_orderkey % 50 AS VARCHAR) || '.py' AS path, CAST(greatest(c, 1) AS INT) AS start_line, CAST(greatest(c, 1) + greatest(s, 1) - 1 AS INT) AS end_line FROM (SELECT o_orderkey, o_custkey AS c, o_orderkey % 9 AS s FROM orders UNION ALL SELECT o_orderkey, o_custkey + 20, 1 FROM orders)")(lambda spark, d: git.parse_hunks(diff_lines(spark, d)))
 register("ingest_name_status", "SELECT o_orderstatus AS status, 'b' || CAST(o_orderkey AS VARCHAR) AS path, CAST(NULL AS VARCHAR) AS old_path FROM orders WHERE o_orderkey % 2 = 1 UNION ALL SELECT 'R', 'n' || CAST(o_orderkey AS VARCHAR), 'a' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 0")(lambda spark, d: git.parse_name_status(table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 1, F.concat_ws("\t", "o_orderstatus", F.concat(F.lit("b"), F.col("o_orderkey").cast("string")))).otherwise(F.concat_ws("\t", F.lit("R100"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")))).alias("value"))))
 register("ingest_git_log", "SELECT CAST(o_orderkey AS VARCHAR) AS commit_id, CAST(o_custkey AS BIGINT) AS ts, 'f' || CAST(o_orderkey % 7 AS VARCHAR) AS file FROM orders")(lambda spark, d: git.parse_log(table(spark, d, "orders").select(F.col("o_orderkey").alias("part"), F.posexplode(F.array(F.concat_ws(":", F.lit("COMMIT"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")), F.lit(""), F.concat(F.lit("f"), (F.col("o_orderkey") % 7).cast("string")))).alias("n", "value"))))
 

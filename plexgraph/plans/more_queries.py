@@ -9,6 +9,7 @@ from plexgraph.operators.architecture import documents
 from plexgraph.plans.basic_queries import WITH, on_code, table
 from plexgraph.plans.derived_queries import texts
 from plexgraph.plans.registry import register
+from plexgraph.shared import stored
 from plexgraph.sources import files as X
 
 _MOD = "regexp_replace({}, '\\.[^.]*$', '')"
@@ -32,27 +33,27 @@ def imports_of(g):
 
 
 on_code("derive_import_resolution", "SELECT id AS import_id, CASE WHEN id % 3 = 0 THEN (SELECT min(m.id) FROM nodes m WHERE m.file_path = n.file_path) ELSE id END AS target_id, CASE WHEN id % 3 = 0 THEN 'file' ELSE 'member' END AS how FROM nodes n WHERE id % 3 <> 2")(imports_of)
-on_code("derive_prefix_bridge", "SELECT DISTINCT '__route__GET__/v1/' || string_split(file_path, '/')[2] || '/x' AS route, id AS handler FROM nodes WHERE id % 9 = 0 AND file_path LIKE 'src/%'")(lambda g: derive.prefix_bridge(g.nodes.filter("file_path LIKE 'src/%'").select(F.regexp_extract("file_path", "^(.*)/", 1).alias("dir")).distinct().withColumn("prefix", F.concat(F.lit("/v1/"), F.split_part("dir", F.lit("/"), F.lit(2)), F.lit("/"))), g.nodes.filter("id % 9 = 0").select(F.regexp_extract("file_path", "^(.*)/", 1).alias("dir"), F.lit("get").alias("method"), F.lit("/x").alias("path"), F.col("id").alias("handler"))))
+on_code("derive_prefix_bridge", "SELECT DISTINCT '__route__GET__/v1/' || string_split(file_path, '/')[2] || '/x' AS route, id AS handler FROM nodes WHERE file_path LIKE 'src/%'")(lambda g: derive.prefix_bridge(g.nodes.filter("file_path LIKE 'src/%'").select(F.regexp_extract("file_path", "^(.*)/", 1).alias("dir")).distinct().withColumn("prefix", F.concat(F.lit("/v1/"), F.split_part("dir", F.lit("/"), F.lit(2)), F.lit("/"))), g.nodes.select(F.regexp_extract("file_path", "^(.*)/", 1).alias("dir"), F.lit("get").alias("method"), F.lit("/x").alias("path"), F.col("id").alias("handler"))))
 register("derive_infra_bindings", "SELECT DISTINCT '__route__kafka__t' || CAST(user_id % 9 AS VARCHAR) AS topic_route, '__route__ANY__/in/' || CAST(user_id % 5 AS VARCHAR) || '/{}' AS url_route FROM events")(lambda spark, d: derive.infra_bindings(table(spark, d, "events").select(F.lit("kafka").alias("broker"), F.concat(F.lit("t"), (F.col("user_id") % 9).cast("string")).alias("topic"), F.concat(F.lit("https://h.example/in/"), (F.col("user_id") % 5).cast("string"), F.lit("/:id")).alias("url"))))
 register("derive_infra_string_routes", "SELECT DISTINCT '__route__ANY__' || regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS route, 'c' || CAST(page_id % 4 AS VARCHAR) AS path FROM pages WHERE page_id % 3 <> 0 AND regexp_matches(url, '^https?://[^/]+/')")(lambda spark, d: derive.infra_string_routes(table(spark, d, "pages").select(F.concat(F.lit("c"), (F.col("page_id") % 4).cast("string")).alias("path"), F.when(F.col("page_id") % 3 == 0, "ci_url").otherwise("backend").alias("key"), F.col("url").alias("value"))))
 on_code("derive_return_types", "SELECT id % 50 AS owner, label AS name, min(json_extract_string(properties, '$.brand')) AS type FROM nodes GROUP BY ALL")(lambda g: derive.return_types(g.nodes.select((F.col("id") % 50).alias("owner"), F.col("label").alias("name"), F.get_json_object("properties", "$.brand").alias("type"))))
 
 
 def topics(g, k):
-    return g.nodes.filter(f"id % 8 = {k}").select("project", F.lit("sqs").alias("broker"), F.concat(F.lit("q"), (F.col("id") % 39).cast("string")).alias("topic"), "id")
+    return g.nodes.filter(f"label = '{k}'").select("project", F.lit("sqs").alias("broker"), F.concat(F.lit("q"), (F.col("id") % 39).cast("string")).alias("topic"), "id")
 
 
-on_code("derive_cross_async", "SELECT DISTINCT '__route__sqs__q' || CAST(a.id % 39 AS VARCHAR) AS route, a.id AS caller, b.id AS handler FROM nodes a JOIN nodes b ON a.id % 39 = b.id % 39 AND a.project <> b.project WHERE a.id % 8 IN (1, 4) AND b.id % 8 IN (1, 4)")(lambda g: derive.cross_async(topics(g, 1).unionByName(topics(g, 4)), topics(g, 1).unionByName(topics(g, 4))))
+on_code("derive_cross_async", "SELECT DISTINCT '__route__sqs__q' || CAST(a.id % 39 AS VARCHAR) AS route, a.id AS caller, b.id AS handler FROM nodes a JOIN nodes b ON a.id % 39 = b.id % 39 AND a.project <> b.project WHERE a.label = 'Class' AND b.label = 'Method'")(lambda g: derive.cross_async(topics(g, "Class"), topics(g, "Method")))
 on_code("derive_cross_typed", "SELECT DISTINCT 'CROSS_GRPC_CALLS' AS type, a.id AS caller, b.id AS handler FROM nodes a JOIN nodes b ON a.id % 90 = b.id % 90 AND a.project <> b.project WHERE a.label = 'Function' AND b.label = 'Method'")(lambda g: derive.cross_typed(*[g.nodes.filter(f"label = '{x}'").select("project", F.lit("GRPC_CALLS").alias("type"), (F.col("id") % 90).cast("string").alias("qn"), "id") for x in ("Function", "Method")]))
 register("derive_exceptions", "SELECT DISTINCT o_orderkey AS id, o_orderpriority || CASE WHEN o_orderkey % 2 = 0 THEN 'Error' ELSE '' END AS exception, CASE WHEN o_orderkey % 2 = 0 THEN 'RAISES' ELSE 'THROWS' END AS type FROM orders")(lambda spark, d: derive.exception_edges(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, "Error").otherwise("")).alias("exception"))))
 on_code("derive_linked_projects", "SELECT DISTINCT project, 't' || CAST(source_id % 6 AS VARCHAR) AS target FROM edges WHERE type = 'HTTP_CALLS'")(lambda g: derive.linked_projects(g.edges.select("project", F.when(F.col("type") == "HTTP_CALLS", "CROSS_HTTP_CALLS").otherwise(F.col("type")).alias("type"), F.concat(F.lit('{"target_project":"t'), (F.col("source_id") % 6).cast("string"), F.lit('"}')).alias("properties"))))
-on_code("derive_infra_match", "SELECT DISTINCT id AS route, split_part(file_path, '/', 2) AS service FROM nodes WHERE id % 25 = 3 AND file_path LIKE 'src/%'")(lambda g: derive.infra_routes(g.nodes.filter("id % 25 = 3").select(F.col("id").alias("route"), F.concat(F.lit("/"), "file_path").alias("path")), g.nodes.select(F.split_part("file_path", F.lit("/"), F.lit(2)).alias("service"), F.concat(F.lit("https://h.example/"), "file_path").alias("url"), "file_path").filter("file_path LIKE 'src/%'").distinct()))
+on_code("derive_infra_match", "SELECT DISTINCT id AS route, split_part(file_path, '/', 2) AS service FROM nodes WHERE file_path LIKE 'src/%'")(lambda g: derive.infra_routes(g.nodes.select(F.col("id").alias("route"), F.concat(F.lit("/"), "file_path").alias("path")), g.nodes.select(F.split_part("file_path", F.lit("/"), F.lit(2)).alias("service"), F.concat(F.lit("https://h.example/"), "file_path").alias("url"), "file_path").filter("file_path LIKE 'src/%'").distinct()))
 on_code("derive_depends", "SELECT id, CAST(unnest(['dep_' || CAST(id % 7 AS VARCHAR), 'get_user']) AS VARCHAR) AS callee FROM nodes WHERE label = 'Function'")(lambda g: derive.injected(g.nodes.filter("label = 'Function'").select("id", F.concat(F.lit("(a=Depends(dep_"), (F.col("id") % 7).cast("string"), F.lit("), u: U = Depends( get_user ))")).alias("signature"))))
-register("derive_model_lineage", "SELECT DISTINCT 'm' || CAST(o_orderkey AS VARCHAR) AS model, unnest(['stg_' || lower(o_orderstatus), 'raw.t' || CAST(o_custkey % 5 AS VARCHAR)]) AS ref FROM orders WHERE o_orderkey < 300")(lambda spark, d: derive.model_lineage(table(spark, d, "orders").filter("o_orderkey < 300").select(F.concat(F.lit("models/m"), F.col("o_orderkey").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("select * from {{ ref('stg_"), F.lower("o_orderstatus"), F.lit("') }} join raw.t"), (F.col("o_custkey") % 5).cast("string"), F.lit(" using (k)")).alias("text"))))
-on_code("derive_env_access", "SELECT DISTINCT 'KEY_' || CAST(id % 12 AS VARCHAR) AS key, id FROM nodes WHERE id % 4 = 1")(lambda g: derive.env_edges(g.nodes.filter("id % 4 = 1").select(F.concat(F.lit("KEY_"), (F.col("id") % 12).cast("string")).alias("key"), "id")))
+register("derive_model_lineage", "SELECT DISTINCT 'm' || CAST(o_orderkey AS VARCHAR) AS model, unnest(['stg_' || lower(o_orderstatus), 'raw.t' || CAST(o_custkey % 5 AS VARCHAR)]) AS ref FROM orders")(lambda spark, d: derive.model_lineage(table(spark, d, "orders").select(F.concat(F.lit("models/m"), F.col("o_orderkey").cast("string"), F.lit(".sql")).alias("path"), F.concat(F.lit("select * from {{ ref('stg_"), F.lower("o_orderstatus"), F.lit("') }} join raw.t"), (F.col("o_custkey") % 5).cast("string"), F.lit(" using (k)")).alias("text"))))
+on_code("derive_env_access", "SELECT DISTINCT 'KEY_' || CAST(id % 12 AS VARCHAR) AS key, id FROM nodes")(lambda g: derive.env_edges(g.nodes.select(F.concat(F.lit("KEY_"), (F.col("id") % 12).cast("string")).alias("key"), "id")))
 on_code("derive_channels", "SELECT DISTINCT 'ws:c' || CAST(id % 15 AS VARCHAR) AS channel, id, CASE WHEN id % 2 = 0 THEN 'EMITS' ELSE 'LISTENS_ON' END AS type FROM nodes WHERE label = 'Method'")(lambda g: derive.channel_edges(g.nodes.filter("label = 'Method'").select("id", F.concat(F.lit("c"), (F.col("id") % 15).cast("string")).alias("channel"), F.lit("ws").alias("transport"), (F.col("id") % 2 == 0).alias("emits"))))
 on_code("derive_namespaces", "SELECT split_part(qualified_name, '.', 3) AS namespace, array_to_string(list_sort(list(DISTINCT file_path)), '|') AS files FROM nodes GROUP BY 1")(lambda g: derive.namespace_files(g.nodes.select(F.split_part("qualified_name", F.lit("."), F.lit(3)).alias("namespace"), F.col("file_path").alias("path"))).select("namespace", F.array_join("files", "|").alias("files")))
-on_code("derive_typed_calls", "SELECT id AS call, id AS target FROM nodes WHERE id % 2 = 0")(lambda g: derive.resolved_by_type(g.nodes.select(F.col("file_path").alias("file"), F.col("id").alias("site_start"), F.col("end_line").alias("site_end"), F.col("id").alias("call")), g.nodes.filter("id % 2 = 0").select(F.col("file_path").alias("file"), F.col("id").alias("site_start"), F.col("end_line").alias("site_end"), F.col("id").alias("target"))).select("call", "target"))
+on_code("derive_typed_calls", "SELECT id AS call, id AS target FROM nodes WHERE label = 'Function'")(lambda g: derive.resolved_by_type(g.nodes.select(F.col("file_path").alias("file"), F.col("id").alias("site_start"), F.col("end_line").alias("site_end"), F.col("id").alias("call")), g.nodes.filter("label = 'Function'").select(F.col("file_path").alias("file"), F.col("id").alias("site_start"), F.col("end_line").alias("site_end"), F.col("id").alias("target"))).select("call", "target"))
 _LANG = "['Perl', 'JavaScript', 'TSX', 'Python'][id % 4 + 1]"
 _LANG2 = "['Perl', 'TSX', 'Python'][id % 3 + 1]"
 _STR = "['suffix_match', 'unique_name', 'same_module', 'import_map', 'fuzzy'][id % 5 + 1]"
@@ -62,19 +63,19 @@ on_code("derive_suppression", f"SELECT id FROM (SELECT id, {_LANG} AS l, {_LANG2
 # sources
 
 def config_files(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey < 400")
+    o = table(spark, d, "orders")
     k = F.col("o_orderkey").cast("string")
     return o.select(F.concat(F.lit("svc"), k, F.when(F.col("o_orderkey") % 2 == 0, "/Dockerfile").otherwise("/main.tf")).alias("path"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("FROM base:"), k, F.lit("\nENV API_URL=https://h/"), k, F.lit("\nENV DB_PASSWORD=https://x\nEXPOSE 80\n"))).otherwise(F.concat(F.lit('resource "aws_x" "r'), k, F.lit('" {\n  url = "https://t/'), k, F.lit('"\n}\nvariable "v" {}\n'))).alias("text"))
 
 
-register("ingest_env_urls", "SELECT 'svc' || k || '/Dockerfile' AS path, 'API_URL' AS key, 'https://h/' || k AS url FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey < 400 AND o_orderkey % 2 = 0) UNION ALL SELECT 'svc' || k || '/main.tf', 'url', 'https://t/' || k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey < 400 AND o_orderkey % 2 = 1)")(lambda spark, d: X.env_urls(config_files(spark, d)))
-register("ingest_dockerfile", "SELECT 'svc' || k || '/Dockerfile' AS path, unnest(['FROM', 'ENV', 'ENV', 'EXPOSE']) AS kind, unnest(['base:' || k, 'API_URL=https://h/' || k, 'DB_PASSWORD=https://x', '80']) AS value FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey < 400 AND o_orderkey % 2 = 0)")(lambda spark, d: X.dockerfile(config_files(spark, d)))
-register("ingest_terraform", "SELECT 'svc' || k || '/main.tf' AS path, 'resource' AS kind, 'aws_x' AS type, 'r' || k AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey < 400 AND o_orderkey % 2 = 1) UNION ALL SELECT 'svc' || CAST(o_orderkey AS VARCHAR) || '/main.tf', 'variable', NULL, 'v' FROM orders WHERE o_orderkey < 400 AND o_orderkey % 2 = 1")(lambda spark, d: X.terraform(config_files(spark, d)))
-register("ingest_packages", "SELECT 'a' || k || '/package.json' AS path, unnest(['package', 'dependency']) AS kind, unnest(['n' || k, 'lib' || CAST(o_custkey % 9 AS VARCHAR)]) AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_custkey FROM orders WHERE o_orderkey < 300)")(lambda spark, d: X.packages(table(spark, d, "orders").filter("o_orderkey < 300").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name":"n'), F.col("o_orderkey").cast("string"), F.lit('","dependencies":{"lib'), (F.col("o_custkey") % 9).cast("string"), F.lit('":"1"}}')).alias("text"))))
-register("ingest_kubernetes", "SELECT 'k' || CAST(o_orderkey AS VARCHAR) || '.yaml' AS path, 'Service' AS kind, 'web' || CAST(o_orderkey AS VARCHAR) AS name, 'a' || CAST(o_custkey % 9 AS VARCHAR) AS app FROM orders WHERE o_orderkey < 200")(lambda spark, d: X.kubernetes(table(spark, d, "orders").filter("o_orderkey < 200").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit(".yaml")).alias("path"), F.concat(F.lit("kind: Service\nmetadata:\n  name: web"), F.col("o_orderkey").cast("string"), F.lit("\nspec:\n  selector:\n    app: a"), (F.col("o_custkey") % 9).cast("string"), F.lit("\n")).alias("text"))).select("path", "kind", "name", F.col("selector")["app"].alias("app")))
+register("ingest_env_urls", "SELECT 'svc' || k || '/Dockerfile' AS path, 'API_URL' AS key, 'https://h/' || k AS url FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 0) UNION ALL SELECT 'svc' || k || '/main.tf', 'url', 'https://t/' || k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 1)")(lambda spark, d: X.env_urls(config_files(spark, d)))
+register("ingest_dockerfile", "SELECT 'svc' || k || '/Dockerfile' AS path, unnest(['FROM', 'ENV', 'ENV', 'EXPOSE']) AS kind, unnest(['base:' || k, 'API_URL=https://h/' || k, 'DB_PASSWORD=https://x', '80']) AS value FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 0)")(lambda spark, d: X.dockerfile(config_files(spark, d)))
+register("ingest_terraform", "SELECT 'svc' || k || '/main.tf' AS path, 'resource' AS kind, 'aws_x' AS type, 'r' || k AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT 'svc' || CAST(o_orderkey AS VARCHAR) || '/main.tf', 'variable', NULL, 'v' FROM orders WHERE o_orderkey % 2 = 1")(lambda spark, d: X.terraform(config_files(spark, d)))
+register("ingest_packages", "SELECT 'a' || k || '/package.json' AS path, unnest(['package', 'dependency']) AS kind, unnest(['n' || k, 'lib' || CAST(o_custkey % 9 AS VARCHAR)]) AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_custkey FROM orders)")(lambda spark, d: X.packages(table(spark, d, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name":"n'), F.col("o_orderkey").cast("string"), F.lit('","dependencies":{"lib'), (F.col("o_custkey") % 9).cast("string"), F.lit('":"1"}}')).alias("text"))))
+register("ingest_kubernetes", "SELECT 'k' || CAST(o_orderkey AS VARCHAR) || '.yaml' AS path, 'Service' AS kind, 'web' || CAST(o_orderkey AS VARCHAR) AS name, 'a' || CAST(o_custkey % 9 AS VARCHAR) AS app FROM orders")(lambda spark, d: X.kubernetes(table(spark, d, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit(".yaml")).alias("path"), F.concat(F.lit("kind: Service\nmetadata:\n  name: web"), F.col("o_orderkey").cast("string"), F.lit("\nspec:\n  selector:\n    app: a"), (F.col("o_custkey") % 9).cast("string"), F.lit("\n")).alias("text"))).select("path", "kind", "name", F.col("selector")["app"].alias("app")))
 register("ingest_compile_flags", "SELECT p_partkey AS id, 'inc/' || p_type AS include, 'B=' || CAST(p_size AS VARCHAR) AS define FROM part")(lambda spark, d: X.compile_flags(table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.concat(F.lit("cc -Iinc/"), "p_type", F.lit(" -D B="), F.col("p_size").cast("string"), F.lit(" -c x.c")).alias("command"))).select(F.col("file").alias("id"), F.element_at("includes", 1).alias("include"), F.element_at("defines", 1).alias("define")))
 on_code("ingest_languages", "SELECT DISTINCT file_path AS path, CASE regexp_extract(file_path, '\\.([^./]+)$', 1) WHEN 'py' THEN 'Python' WHEN 'go' THEN 'Go' ELSE 'ECMAScript' END AS language FROM nodes")(lambda g: g.nodes.select(F.col("file_path").alias("path")).distinct().select("path", X.language(F.col("path"), overrides={"js": "ECMAScript"}).alias("language")))
-on_code("architecture_documents", "SELECT DISTINCT 'docs/adr/' || name || '.md' AS path FROM nodes WHERE id % 10 = 0")(lambda g: documents(g.nodes.select(F.when(F.col("id") % 10 == 0, F.concat(F.lit("docs/adr/"), "name", F.lit(".md"))).otherwise(F.col("file_path")).alias("path"))))
+on_code("architecture_documents", "SELECT DISTINCT 'docs/adr/' || name || '.md' AS path FROM nodes WHERE label = 'Class'")(lambda g: documents(g.nodes.select(F.when(F.col("label") == "Class", F.concat(F.lit("docs/adr/"), "name", F.lit(".md"))).otherwise(F.col("file_path")).alias("path"))))
 
 
 # searches
@@ -87,8 +88,8 @@ on_code("traverse_first_hops", "SELECT id % 100 AS id, min(start_line) AS hop FR
 
 
 def semantic_search(spark, d):
-    docs = texts(spark, d).filter("id < 60").withColumn("tokens", F.slice("tokens", 1, 512))
-    terms, idf = similar.term_vectors(docs, dim=64), similar.idf(docs)
+    docs = stored(texts(spark, d))
+    terms, idf = stored(similar.term_vectors(docs, dim=64)), similar.idf(docs)
     return search.semantic_query(terms, idf, similar.document_vectors(docs, terms, idf, dim=64), ["license", "thing", "erha"])
 
 
