@@ -4,7 +4,7 @@ A file is a sequence of independently reset blocks; a block holds whole
 documents, ``BLOCK`` ids or a little more. Layout, little-endian: magic ``PXT1``,
 u32 documents, u32 ids, u32 lanes, u32 crc32 of the ids, u32 words; then the
 doc_ids as i64 with a byte each for null, the lengths as u32, the words each
-lane wrote as u32, the words (u16) of all lanes, and the u32 crc32 of all bytes
+lane wrote as u32, the words (u32) of all lanes, and the u32 crc32 of all bytes
 before it.
 
 An id is predicted at three orders. The tables of order 2 and order 1 remember
@@ -43,58 +43,62 @@ TOKENIZER = "word_bpe_49k.json"
 _TOTAL_BITS = 16
 _TOTAL = 1 << _TOTAL_BITS
 _CONF = 8
+_MOST = 1 << 27
 
 
 class _Model:
-    """What coder and decoder share: predictions from, and updates by, the ids of all lanes at a step."""
+    """What coder and decoder share: predictions from, and updates by, the ids of all lanes at a step.
+
+    A table's entry is an id and, in its low 3 bits, the count of how often it held.
+    """
 
     def __init__(self, lanes: int, vocabulary: int):
         import numpy as np
 
-        self.np, self.lanes = np, lanes
-        self.p1, self.p2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.c1, self.c2 = np.zeros(SLOTS, np.int8), np.zeros(SLOTS, np.int8)
+        self.np = np
+        self.t1, self.t2 = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.a, self.b = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # the id before the last, the last
         self.hits = np.ones((_CONF * _CONF, 3))  # by the two counts: order 2 held, order 1 held, neither
         self.hits[:, 2] = 2
-        self.share()
         self.counts = np.ones(vocabulary, np.int64)
-        self.count_total, self.step, self.next_fresh, self.pending = vocabulary, 0, 1, []
+        self.step, self.next_fresh, self.pending, self.kinds = 0, 1, [], []
         self.fresh()
 
-    def share(self) -> None:
-        np = self.np
-        f = self.hits / self.hits.sum(axis=1, keepdims=True) * (_TOTAL - 64)
-        self.f2, self.f1 = f[:, 0].astype(np.int64) + 16, f[:, 1].astype(np.int64) + 16
-
     def fresh(self) -> None:
-        """Adds the ids since the last time to order 0; its cumulative frequencies."""
+        """Adds what came since the last time to order 0 and to the shares; cumulative frequencies."""
         np = self.np
         if self.pending:
             self.counts += 24 * np.bincount(np.concatenate(self.pending), minlength=len(self.counts))
-            self.pending = []
+            self.hits += np.bincount(np.concatenate(self.kinds), minlength=self.hits.size).reshape(self.hits.shape)
+            self.pending, self.kinds = [], []
+        while self.counts.sum() > _MOST:  # so that a single count keeps some of the smallest range
+            self.counts = (self.counts + 1) >> 1
         self.cum = np.concatenate([[0], np.cumsum(self.counts)])
-        self.share()
+        self.low0, self.size0, self.total0 = self.cum[:-1].astype(np.uint64), self.counts.astype(np.uint64), np.uint64(self.cum[-1])
+        f = self.hits / self.hits.sum(axis=1, keepdims=True) * (_TOTAL - _TOTAL // 16 - 64) + 16  # order 0 keeps a sixteenth at least
+        self.f2, self.f1 = f[:, 0].astype(np.uint64), f[:, 1].astype(np.uint64)
 
-    def predict(self):
-        """(slots, predictions and shares): what the interval of an id follows from."""
+    def predict(self, r):
+        """(id of order 2, id of order 1, end of order 2's part of the code space, end of order 1's), r being the size of a share."""
         np = self.np
         self.s1 = (self.b * 40503 >> 3) & (SLOTS - 1)
         self.s2 = (self.a * 62089911 + self.b * 2654435761 >> 11) & (SLOTS - 1)
-        g1, g2 = self.p1[self.s1], self.p2[self.s2]
-        self.k1, self.k2 = self.c1[self.s1], self.c2[self.s2]
-        self.mix = self.k2.astype(np.int64) * _CONF + self.k1
-        return g2, g1, self.f2[self.mix], self.f1[self.mix]
-
-    def update(self, ids, live, g2, g1) -> None:
+        self.e1, self.e2 = self.t1[self.s1], self.t2[self.s2]
+        self.k1, self.k2 = self.e1 & 7, self.e2 & 7
+        g1, g2 = self.e1 >> 3, self.e2 >> 3
+        self.mix = self.k2 * _CONF + self.k1
+        b2 = r * self.f2[self.mix]
+        return g2, g1, b2, b2 + r * self.f1[self.mix] * (g1 != g2)
+
+    def update(self, ids, live, h2, h1) -> None:
+        """h2, h1: does the prediction of order 2, of order 1 hold?"""
         np = self.np
-        h2, h1 = ids == g2, ids == g1
-        kind = np.where(h2, 0, np.where(h1, 1, 2))
-        self.hits += np.bincount((self.mix * 3 + kind)[live], minlength=self.hits.size).reshape(self.hits.shape)
-        for table, conf, slot, k, h in ((self.p2, self.c2, self.s2, self.k2, h2), (self.p1, self.c1, self.s1, self.k1, h1)):
-            table[slot] = np.where(h | (k > 1), table[slot], ids)
-            conf[slot] = np.where(h, np.minimum(k + 1, _CONF - 1), k >> 1)
+        self.kinds.append((self.mix * 3 + np.where(h2, 0, 2 - h1))[live])
         self.pending.append(ids[live])
+        new = (ids << 3).astype(np.int32)
+        for table, slot, e, k, h in ((self.t2, self.s2, self.e2, self.k2, h2), (self.t1, self.s1, self.e1, self.k1, h1)):
+            half = k >> 1
+            table[slot] = np.where(h, e + (k < _CONF - 1), np.where(k > 1, e - k, new) + half)
         self.a, self.b = self.b, ids
         self.step += 1
         if self.step >= self.next_fresh:
@@ -102,67 +106,63 @@ class _Model:
             self.next_fresh = self.step + min(32, max(1, self.step // 2))
 
 
+def _shifted(low, rng, who):
+    """Drops the upper 32 bits of the lanes whose range has become small; a range across a boundary is cut there, so no carry can follow. Their upper bits."""
+    import numpy as np
+
+    u = np.uint64
+    x, r = low[who], rng[who]
+    across = (x ^ (x + (r - u(1)))) >> u(32) != 0
+    r = np.where(across, (~x + u(1)) & u((1 << 32) - 1), r)
+    low[who], rng[who] = x << u(32), r << u(32)
+    return x >> u(32)
+
+
 def _lanes(n: int) -> int:
     return max(1, -(-n // LANE_STEPS))
 
 
 def encode_ids(ids, vocabulary: int = VOCABULARY):
-    """ids (numpy) -> (lanes, words of each lane, all words)."""
+    """ids (numpy) -> (lanes, words of each lane, all words of 32 bits)."""
     import numpy as np
 
     n = len(ids)
+    if not n:
+        return 1, np.zeros(1, np.int64), np.zeros(0, np.uint32)
     lanes = _lanes(n)
-    steps = -(-n // lanes) if n else 0
+    steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     full = (n - np.arange(lanes) * steps).clip(0, steps)  # ids of each lane
     m = _Model(lanes, vocabulary)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out_lane, out_word = [], []
     u = np.uint64
-
-    def put(who):
-        out_lane.append(who)
-        out_word.append((low[who] >> u(48)).astype(np.uint16))
-        low[who] <<= u(16)
-        rng[who] <<= u(16)
-
+    low, rng = np.zeros(lanes, u), np.full(lanes, (1 << 64) - 1, u)
+    out_lane, out_word = [], []
     for t in range(steps):
-        x = grid[:, t]
+        x = grid[t]
         every = t < full[-1]  # the last lane is the shortest
         live = slice(None) if every else full > t
-        g2, g1, f2, f1 = m.predict()
-        f1 = np.where(g1 == g2, 0, f1)
-        is2 = x == g2
-        is1 = (x == g1) & ~is2
-        rest = is2 | is1
-        start = np.where(is1, f2, 0)
-        freq = np.where(is2, f2, f1)
-        r = rng >> u(_TOTAL_BITS)
-        r0 = r * (f2 + f1).astype(u)
-        left = rng - r0
-        q = left // u(m.cum[-1])
-        lo0, fr0 = m.cum[x], m.counts[x]
-        add = np.where(rest, r * start.astype(u), r0 + q * lo0.astype(u))
-        size = np.where(rest, r * freq.astype(u), q * fr0.astype(u))
-        low[live] += add[live]
-        rng[live] = size[live]
-        m.update(x, live, g2, g1)
-        while True:
-            same = (low ^ (low + rng)) < u(1 << 48)
-            tiny = (rng < u(1 << 32)) & ~same
-            if tiny.any():
-                rng[tiny] = (~low[tiny] + u(1)) & u((1 << 32) - 1)
-            who = np.flatnonzero(same | tiny if every else (same | tiny) & live)
-            if not len(who):
-                break
-            put(who)
-    for _ in range(4 if n else 0):
-        put(np.arange(lanes))
-    if not n:
-        return 1, np.zeros(1, np.int64), np.zeros(0, np.uint16)
-    lane, word = np.concatenate(out_lane), np.concatenate(out_word)
+        g2, g1, b2, b1 = m.predict(rng >> u(_TOTAL_BITS))
+        h2, h1 = x == g2, x == g1
+        q = (rng - b1) // m.total0
+        add = np.where(h2, u(0), np.where(h1, b2, b1 + q * m.low0[x]))
+        size = np.where(h2, b2, np.where(h1, b1 - b2, q * m.size0[x]))
+        if every:
+            low += add
+            rng = size
+        else:
+            low[live] += add[live]
+            rng[live] = size[live]
+        m.update(x, live, h2, h1)
+        who = np.flatnonzero(rng < u(1 << 32))
+        if len(who):
+            out_lane.append(who)
+            out_word.append(_shifted(low, rng, who))
+    for part in (low >> u(32), low & u((1 << 32) - 1)):
+        out_lane.append(np.arange(lanes))
+        out_word.append(part)
+    lane, word = np.concatenate(out_lane), np.concatenate(out_word).astype(np.uint32)
     return lanes, np.bincount(lane, minlength=lanes), word[np.argsort(lane, kind="stable")]
 
 
@@ -175,50 +175,42 @@ def decode_ids(n: int, lanes: int, sizes, words, vocabulary: int = VOCABULARY):
     u = np.uint64
     steps = -(-n // lanes)
     full = (n - np.arange(lanes) * steps).clip(0, steps)
-    grid = np.zeros((lanes, steps), np.int64)
+    grid = np.zeros((steps, lanes), np.int64)
     at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    words = np.concatenate([words, np.zeros(4, words.dtype)]).astype(u)
-    low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << u(16) | words[at + k]
-    at += 4
+    words = np.concatenate([words, np.zeros(2, words.dtype)]).astype(u)
+    code = words[at] << u(32) | words[at + 1]
+    at += 2
+    low, rng = np.zeros(lanes, u), np.full(lanes, (1 << 64) - 1, u)
     m = _Model(lanes, vocabulary)
     for t in range(steps):
         every = t < full[-1]
         live = slice(None) if every else full > t
-        g2, g1, f2, f1 = m.predict()
-        f1 = np.where(g1 == g2, 0, f1)
-        r = rng >> u(_TOTAL_BITS)
-        b2 = r * f2.astype(u)
-        r0 = r * (f2 + f1).astype(u)
+        g2, g1, b2, b1 = m.predict(rng >> u(_TOTAL_BITS))
         off = code - low
-        is2, rest = off < b2, off < r0
-        q = (rng - r0) // u(m.cum[-1])
-        aim = np.where(rest, 0, ((off - r0) // np.maximum(q, u(1))).astype(np.int64))
-        x = np.searchsorted(m.cum, np.minimum(aim, m.cum[-1] - 1), side="right") - 1
-        x = np.where(is2, g2, np.where(rest, g1, x))
+        h2 = off < b2
+        known = off < b1
+        q = (rng - b1) // m.total0
+        aim = ((off - b1) // np.maximum(q, u(1))).astype(np.int64)
+        x = np.searchsorted(m.cum, np.where(known, 0, np.minimum(aim, m.cum[-1] - 1)), side="right") - 1
+        x = np.where(h2, g2, np.where(known, g1, x))
         if not every:
             x[~live] = 0
-        add = np.where(is2, u(0), np.where(rest, b2, r0 + q * m.cum[x].astype(u)))
-        size = np.where(is2, b2, np.where(rest, r0 - b2, q * m.counts[x].astype(u)))
-        low[live] += add[live]
-        rng[live] = size[live]
-        grid[:, t] = x
-        m.update(x, live, g2, g1)
-        while True:
-            same = (low ^ (low + rng)) < u(1 << 48)
-            tiny = (rng < u(1 << 32)) & ~same
-            if tiny.any():
-                rng[tiny] = (~low[tiny] + u(1)) & u((1 << 32) - 1)
-            who = np.flatnonzero(same | tiny if every else (same | tiny) & live)
-            if not len(who):
-                break
-            low[who] <<= u(16)
-            rng[who] <<= u(16)
-            code[who] = code[who] << u(16) | words[np.minimum(at[who], len(words) - 1)]
+        add = np.where(h2, u(0), np.where(known, b2, b1 + q * m.low0[x]))
+        size = np.where(h2, b2, np.where(known, b1 - b2, q * m.size0[x]))
+        if every:
+            low += add
+            rng = size
+        else:
+            low[live] += add[live]
+            rng[live] = size[live]
+        grid[t] = x
+        m.update(x, live, x == g2, x == g1)
+        who = np.flatnonzero(rng < u(1 << 32))
+        if len(who):
+            _shifted(low, rng, who)
+            code[who] = code[who] << u(32) | words[np.minimum(at[who], len(words) - 1)]
             at[who] += 1
-    return grid.ravel()[: lanes * steps][np.arange(n)]
+    return grid.T.ravel()[:n]
 
 
 def write_block(doc_ids: list, ids: list[bytes]) -> bytes:
@@ -230,7 +222,7 @@ def write_block(doc_ids: list, ids: list[bytes]) -> bytes:
     lanes, sizes, words = encode_ids(x)
     head = struct.pack("<4s5I", MAGIC, len(doc_ids), len(x), lanes, zlib.crc32(flat), len(words))
     null = bytes(d is None for d in doc_ids)
-    parts = [head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null, np.array([len(b) // 2 for b in ids], "<u4").tobytes(), sizes.astype("<u4").tobytes(), words.astype("<u2").tobytes()]
+    parts = [head, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null, np.array([len(b) // 2 for b in ids], "<u4").tobytes(), sizes.astype("<u4").tobytes(), words.astype("<u4").tobytes()]
     body = b"".join(parts)
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -253,7 +245,7 @@ def read_block(block: bytes) -> tuple[list, list[int], bytes]:
         return out
 
     doc_ids, null, sizes = take("<i8", docs), take("u1", docs), take("<u4", docs)
-    per_lane, words = take("<u4", lanes), take("<u2", n_words)
+    per_lane, words = take("<u4", lanes), take("<u4", n_words)
     flat = decode_ids(n, lanes, per_lane, words).astype("<u2").tobytes()
     if zlib.crc32(flat) != crc:
         raise ValueError("checksum of a block's ids differs")
