@@ -142,10 +142,13 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, most:
     via = imports.select("module", F.col("local_name").alias("callee"), "target_qn")
     reach = imports.groupBy("module").agg(F.collect_set("target_qn").alias("seen"))
     pairs = calls.select("module", "callee").distinct()
-    m = pairs.join(n, "callee").join(cand, "callee").join(via, ["module", "callee"], "left").join(reach, "module", "left")
-    home = F.regexp_replace("qualified_name", r"\.[^.]*$", "")
-    near = F.coalesce(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q)), F.lit(False))
-    half = F.when(near, 1.0).otherwise(0.5)
+    cand = cand.withColumn("home", F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
+    home = F.col("home")
+    # whether a module reaches another is asked once for each two, not for each candidate
+    meet = pairs.join(n, "callee").join(cand.select("callee", "home").distinct(), "callee").select("module", "home").distinct()
+    near = meet.join(reach, "module").filter(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q))).select("module", "home", F.lit(True).alias("near"))
+    m = pairs.join(n, "callee").join(cand, "callee").join(via, ["module", "callee"], "left").join(near, ["module", "home"], "left")
+    half = F.when(F.col("near"), 1.0).otherwise(0.5)
     strategy = F.when(F.col("qualified_name") == F.col("target_qn"), "import_map").when(home == F.col("module"), "same_module").when(F.col("n") == 1, "unique_name").otherwise("suffix_match")
     score = F.when(strategy == "import_map", 0.95).when(strategy == "same_module", 0.9).when(strategy == "unique_name", half * 0.75).otherwise(half * 0.55 * F.least(F.lit(1.0), 3.0 / F.col("n")))
     rank = F.when(strategy == "import_map", 0).when(strategy == "same_module", 1).when(strategy == "unique_name", 2).otherwise(3)
