@@ -2,19 +2,27 @@
 
 Tokens are the words of a text, with A-Z lower-cased, and one end. Counts of all
 words are taken over all training documents. The root of the tree is the unigram
-distribution (c + 1) / (N + V + 1). A node is a context of one or two words whose
-share of the tokens is at least ``P_CONTEXT``; it is retained if the distribution
-of its next symbols diverges from that of its suffix: their Kullback-Leibler
-divergence times the context's count must exceed half of ln N for each free
-parameter. Its distribution lists the next symbols with a joint share of at least
-``P_NEXT``, less an absolute discount, and shares what is left out in proportion
-to the suffix's distribution, so that each node's probabilities sum to 1. A token
-is scored in the state of the longest retained suffix of what stands before it.
-
-The tree has at most 1 / P_CONTEXT nodes and 1 / P_NEXT listed symbols of each
-order whatever the corpus, so it is broadcast; so are the ``HEAD`` most frequent
-words with their counts. All other words of a document meet their counts in a
-join: none of them is frequent, so no key is hot.
+distribution (c + 1) / (N + V + 1). A node is a context of one or two words; it
+is retained if the distribution of its next symbols diverges from that of its
+suffix: their Kullback-Leibler divergence times the context's count must exceed
+half of ln N for each free parameter. Its distribution lists the next symbols,
+of all words, seen at least ``MIN_COUNT`` times after it, less an absolute
+discount, and shares what is left out in proportion to the suffix's distribution,
+so that each node's probabilities sum to 1. A token is scored in the state of the
+longest retained suffix of what stands before it. Both bounds are counts, so the
+tree grows with the corpus.
+
+The tree is a table in the shared folder. A text's score is its root score and a
+sum of one number for each run of one, two and three tokens: a context's backoff
+factor, and by how much a listed symbol differs from it and from the suffix. So
+a text meets the tree in one join by key. Only the ``NODES`` entries met most
+often are broadcast, with the ``HEAD`` most frequent words; what remains is
+joined and not frequent, so no key is hot. Bitmaps of ``BITS`` bits keep runs
+that cannot occur in a table out of the shuffles; what they let pass wrongly
+finds nothing in the join.
+
+Symbols and runs are known by 64-bit hashes: with n of them a false meeting has a
+chance of about n squared / 2 ** 65.
 
 Nulls: a null text is empty and has only its end; a null doc_id is training.
 Repeated rows count and are scored one by one. Without training documents N and V
@@ -29,11 +37,13 @@ from pyspark.sql import functions as F
 from plexgraph.llm.common import doc_text, small_batches, stored, table
 
 HEAD = 200_000
-P_CONTEXT = 5e-5
-P_NEXT = 2e-6
+NODES = 250_000
+HOT = 10_000
+BITS = 26
 MIN_COUNT = 4
 DISCOUNT = 0.5
 FLUSH = 400_000
+SEED = 42
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -80,26 +90,87 @@ def _ids(texts, index: dict, end: int):
     return np.concatenate(parts), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
 
 
-def _before(sym, first, back: int):
-    """The symbol ``back`` places before each token, -1 if that lies before its text or is no symbol."""
+class _Hashes(dict):
+    """Symbols by word, made when first asked for: as F.xxhash64 of the word."""
+
+    def __missing__(self, word):
+        from xxhash import xxh64_intdigest
+
+        self[word] = h = xxh64_intdigest(word, SEED)
+        return h
+
+
+def _symbols(texts, known: _Hashes, end: int):
+    """Symbols of texts in a row, each with its end, and their places from 0 in their texts."""
     import numpy as np
 
-    out = np.full(len(sym), -1, np.int64)
-    out[back:] = sym[:-back] if back < len(sym) else sym[:0]
-    for k in range(back):
-        at = first + k
-        out[at[at < len(sym)]] = -1
-    size = np.diff(np.concatenate([first, [len(sym)]]))
-    if back > 1:  # a text shorter than ``back`` must not have wiped the next one's, which is wiped anyway
-        assert (size >= 1).all()
+    if len(known) > FLUSH:
+        known.clear()
+    parts, places = [], []
+    for t in texts:
+        w = tokens(t)
+        parts += [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), np.array([end], np.uint64)]
+        places.append(np.arange(len(w) + 1))
+    return np.concatenate(parts), np.concatenate(places)
+
+
+def _end() -> int:
+    return _Hashes()[b""]  # no word is empty
+
+
+def _key(*symbols):
+    """One number for each run of symbols (unsigned)."""
+    import numpy as np
+
+    out = np.full(len(symbols[0]), len(symbols), np.uint64)
+    for x in symbols:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + x
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out ^= out >> np.uint64(31)
     return out
 
 
-def _follow(texts: DataFrame, index, contexts) -> DataFrame:
-    """(key, n): how often each symbol follows each context; key = context number x symbols + symbol.
+def _keyed(df: DataFrame, runs: list[str], *more: str) -> DataFrame:
+    """(key, *more): the keys of runs in columns of signed symbols."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            key = _key(*(b.column(c).to_numpy().view(np.uint64) for c in runs))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in more)], ["key", *more])
+
+    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more)
+    return df.select(*runs, *more).mapInArrow(run, f"key long{kinds}")
+
+
+def _bitmap(keys: DataFrame):
+    """A broadcast of 2 ** BITS bits, set where the upper bits of a ``key`` fall: of the same size whatever the table."""
+    import numpy as np
+
+    spark = keys.sparkSession
+    place = F.shiftrightunsigned("key", 64 - BITS)
+    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return spark.sparkContext.broadcast(out)
+
+
+def _passes(bits, key):
+    import numpy as np
 
-    contexts: None for single symbols, else the sorted keys of pairs.
+    place = key >> np.uint64(64 - BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def runs_of(texts: DataFrame, order: int, parts) -> DataFrame:
+    """(s0, s1[, s2], n): runs of ``order`` symbols that occur MIN_COUNT times or more.
+
+    parts: the bitmap of the shorter runs that do so, which both parts of such a run are among.
     """
+    names = [f"s{k}" for k in range(order)]
 
     def run(batches):
         import numpy as np
@@ -107,49 +178,182 @@ def _follow(texts: DataFrame, index, contexts) -> DataFrame:
 
         from plexgraph.llm.common import utf8
 
-        words, end = index.value
-        m = end + 1
+        known, end, bits = _Hashes(), _end(), parts.value
         held, size = [], 0
 
         def merged():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+            key, cols, n = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
+            key, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+            return key, cols[at], np.bincount(inverse, n, len(key)).astype(np.int64)
+
+        def out():
+            _, cols, n = held[0]
+            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(cols[:, k]).view(np.int64)) for k in range(order)), pa.array(n)], [*names, "n"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            sym, first = _ids(utf8(b.column("text")), words, end)
-            one = _before(sym, first, 1)
-            if contexts is None:
-                ctx = one
-            else:
-                pair = contexts.value
-                two = _before(sym, first, 2)
-                key = two * m + one
-                at = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                ctx = np.where((one >= 0) & (two >= 0) & (pair[at] == key), at, -1)
-            ok = (ctx >= 0) & (sym >= 0)
-            held.append(np.unique(ctx[ok] * m + sym[ok], return_counts=True))
-            size += len(held[-1][0])
-            if size > 2_000_000:
+            sym, place = _symbols(utf8(b.column("text")), known, end)
+            part = [sym[k : len(sym) - order + 1 + k] for k in range(order)]
+            if not len(part[0]):
+                continue
+            short = _passes(bits, _key(sym) if order == 2 else _key(sym[:-1], sym[1:]))
+            ok = (place[order - 1 :] >= order - 1) & short[:-1] & short[1:]
+            cols = np.stack([p[ok] for p in part], axis=1)
+            key, at, n = np.unique(_key(*cols.T), return_index=True, return_counts=True)
+            held.append((key, cols[at], n))
+            size += len(key)
+            if size > 1_500_000:
                 held = [merged()]
                 size = len(held[0][0])
                 if size > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in held[0]], ["key", "n"])
+                    yield out()
                     held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in merged()], ["key", "n"])
+            held = [merged()]
+            yield out()
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long")
+    return found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
 
 
-def _collected(df: DataFrame):
+def _met(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
+    """An inner join with a table of one row a key, of which the HOT rows with the greatest ``by`` are broadcast: hot keys of ``left`` stay where they are."""
+    least = least_count(right, by, HOT)
+    if least is None:
+        return left.join(right, on)
+    hot, rest = F.broadcast(right.filter(F.col(by) >= least)), right.filter(F.col(by) < least)
+    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(rest, on))
+
+
+def _nodes(rows: DataFrame, context: list[str], total: int) -> DataFrame:
+    """(*context, back): the contexts retained and log10 of the factor their suffix's probabilities get.
+
+    rows: (*context, n, m, q): counts n of a next symbol and m of the context, log10 q of the symbol's probability in the suffix.
+    """
+    p = F.col("n") / F.col("m")
+    by = rows.groupBy(*context, "m").agg(
+        F.sum(p).alias("p"), F.sum(F.pow(F.lit(10.0), "q")).alias("q"), F.sum(p * (F.log(p) - F.col("q") * F.log(F.lit(10.0)))).alias("kl"),
+        F.sum((F.col("n") - DISCOUNT) / F.col("m")).alias("d"), F.count(F.lit(1)).alias("k"),
+    )
+    rest_p, rest_q, left = F.greatest(1 - F.col("p"), F.lit(0.0)), F.greatest(1 - F.col("q"), F.lit(1e-12)), F.greatest(1 - F.col("d"), F.lit(1e-12))
+    kl = F.col("kl") + F.when(rest_p > 0, rest_p * F.log(rest_p / rest_q)).otherwise(0.0)
+    return by.filter(kl * F.col("m") > F.lit(0.5) * F.log(F.lit(float(max(total, 2)))) * F.col("k")).select(*context, "m", F.log10(left / rest_q).alias("back"))
+
+
+def fit(texts: DataFrame, counts: DataFrame, n_docs: int, total: int, distinct: int) -> DataFrame:
+    """(key, n, d): the tree. What a run adds to log10 of a text's probability at the root, and how often it occurs.
+
+    counts: (word, n) of all words; total and distinct count the end too.
+    """
+    spark = texts.sparkSession
+    end = _end() - (1 << 64) if _end() >> 63 else _end()
+    ends = spark.range(1).select(F.lit(end).cast("long").alias("s"), F.lit(n_docs).cast("long").alias("n"))
+    words = stored(counts.select(F.xxhash64("word").alias("s"), "n").unionByName(ends).filter(F.col("n") >= MIN_COUNT))
+    log_d = F.log10((F.col("n") - DISCOUNT) / F.col("m"))
+
+    pairs = stored(runs_of(texts, 2, _bitmap(_keyed(words, ["s"]))))
+    named = lambda c, n: words.select(F.col("s").alias(c), F.col("n").alias(n))
+    told = _met(_met(pairs, named("s0", "m"), ["s0"], "m"), named("s1", "n1"), ["s1"], "n1")
+    told = stored(told.withColumn("q", F.log10((F.col("n1") + 1) / (total + distinct + 1))))
+    one = stored(_nodes(told, ["s0"], total))
+    listed = stored(_met(told, one.select("s0", "back", F.col("m").alias("by")), ["s0"], "by").select("s0", "s1", "n", log_d.alias("p"), (log_d - F.col("q") - F.col("back")).alias("d")))
+    # log10 of each pair's probability in the state of its first symbol
+    state = stored(told.select("s0", "s1", "n", "q").join(listed.select("s0", "s1", "p"), ["s0", "s1"], "left").select("s0", "s1", "n", F.coalesce("p", "q").alias("q")))
+
+    runs = stored(runs_of(texts, 3, _bitmap(_keyed(pairs, ["s0", "s1"]))))
+    suffix = state.select(F.col("s0").alias("s1"), F.col("s1").alias("s2"), "q", F.col("n").alias("by"))
+    runs = _met(_met(runs, pairs.withColumnRenamed("n", "m"), ["s0", "s1"], "m"), suffix, ["s1", "s2"], "by")
+    runs = stored(runs.select("s0", "s1", "s2", "n", "m", "q"))
+    two = stored(_nodes(runs, ["s0", "s1"], total))
+    longer = _met(runs.drop("m"), two, ["s0", "s1"], "m").withColumn("d", log_d - F.col("q") - F.col("back"))
+
+    tree = _keyed(one.withColumnsRenamed({"m": "n", "back": "d"}), ["s0"], "n", "d")
+    for part, cols in ((listed, ["s0", "s1"]), (two.withColumnsRenamed({"m": "n", "back": "d"}), ["s0", "s1"]), (longer, ["s0", "s1", "s2"])):
+        tree = tree.unionByName(_keyed(part, cols, "n", "d"))
+    return stored(tree.groupBy("key").agg(F.max("n").alias("n"), F.sum("d").alias("d")))
+
+
+def score(docs: DataFrame, counts: DataFrame, words: list, tree: DataFrame, n_docs: int, total: int, distinct: int) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs (doc_id, text, held_out)."""
     import numpy as np
 
-    t = df.toArrow()
-    key, n = (t.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-    order = np.argsort(key)
-    return key[order], n[order]
+    spark = docs.sparkSession
+    unit = np.log10(total + distinct + 1)
+    logs = np.log10(np.array([c for _, c in words] + [n_docs], float) + 1) - unit  # the end is last
+    least = least_count(tree, "n", NODES)
+    top = tree.filter(F.col("n") >= least).toArrow() if least is not None else tree.limit(0).toArrow()
+    key, d = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("d").to_numpy()
+    model = spark.sparkContext.broadcast(({w: k for k, (w, _) in enumerate(words)}, logs, key[order := np.argsort(key)], d[order]))
+    rest = tree if least is None else tree.filter(F.col("n") < least)
+    bits, rest_bits = _bitmap(tree), _bitmap(rest)
+
+    def run(batches):
+        from collections import Counter
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        from plexgraph.llm.common import utf8
+
+        index, log, keys, add_d = model.value
+        end, base_row = len(index), TaskContext.get().partitionId() << 40
+        known, end_symbol = _Hashes(), _end()
+        names = ["row", "word", "key", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = utf8(b.column("text"))
+            ids, first = _ids(texts, index, end)
+            rows = base_row + np.arange(len(texts))
+            base_row += len(texts)
+            base = np.where(ids >= 0, log[ids], -unit)
+            sym, place = _symbols(texts, known, end_symbol)
+            full, rows_at, keys_at = base.copy(), [], []
+            for size in (1, 2, 3):
+                at = np.flatnonzero((place >= size - 1) & (ids != end if size == 1 else True))
+                key = _key(*(sym[at - size + 1 + k] for k in range(size)))
+                ok = _passes(bits.value, key)
+                at, key = at[ok], key[ok]
+                if len(keys):
+                    near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    hit = keys[near] == key
+                    full[at[hit]] += add_d[near[hit]]
+                    at, key = at[~hit], key[~hit]
+                ok = _passes(rest_bits.value, key)
+                rows_at.append(rows[np.searchsorted(first, at[ok], side="right") - 1])
+                keys_at.append(key[ok].view(np.int64))
+            rare = ids < 0
+            add = lambda x: np.add.reduceat(x, first)
+            n = np.diff(np.concatenate([first, [len(ids)]]))
+            empty = [None] * len(texts)
+            cols = [rows, empty, empty, empty, b.column("doc_id"), b.column("held_out"), n, add((ids >= 0) & ((ids < end) | (n_docs > 0))), add(base), add(full)]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            row, word, tf = [], [], []
+            at = np.flatnonzero(rare)
+            of = np.searchsorted(first, at, side="right") - 1
+            for k in np.unique(of):
+                w = tokens(texts[k])
+                got = Counter(w[j] for j in (at[of == k] if len(texts) < 2 else at[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]) - first[k])
+                row += [int(rows[k])] * len(got)
+                word += got.keys()
+                tf += got.values()
+            row_k, key_k = np.concatenate(rows_at), np.concatenate(keys_at)
+            for cols in ([row, word, None, tf], [row_k, None, key_k, None]):
+                cols += [None] * (len(kinds) - len(cols))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[0]), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+    told = stored(docs.mapInArrow(run, "row long, word binary, key long, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
+    rare = told.filter("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
+    more = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
+    deep = told.filter("key IS NOT NULL").select("row", "key").join(rest, "key").groupBy("row").agg(F.sum("d").alias("deep"))
+    rows = told.filter("word IS NULL AND key IS NULL").drop("word", "key", "tf").join(more, "row", "left").join(deep, "row", "left")
+    log, deep = F.coalesce("logs", F.lit(0.0)), F.coalesce("deep", F.lit(0.0))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log + deep).alias("score"))
+
+
+# The same on one machine, over numbered symbols: what the joins are compared with in tests.
 
 
 def _level(key, n, count, suffix_p, m: int, total: float):
@@ -207,118 +411,25 @@ class Tree:
         return np.where(listed, np.log10(p[at]) if len(p) else 0.0, np.where(node >= 0, factor, 0.0)), listed
 
 
-def fit(texts: DataFrame, words: list, n_docs: int, total: int, distinct: int) -> Tree:
-    """words: (word, count) of the most frequent words, descending; total and distinct count the end too."""
-    import numpy as np
-
-    spark = texts.sparkSession
-    often = [(w, c) for w, c in words if c >= max(MIN_COUNT, P_CONTEXT * total)]
-    end = len(often)
-    m = end + 1
-    count = np.array([c for _, c in often] + [n_docs], float)
-    tree = Tree((count + 1) / (total + distinct + 1), m)
-    if not often:
-        return tree
-    index = spark.sparkContext.broadcast(({w: k for k, (w, _) in enumerate(often)}, end))
-    least = max(MIN_COUNT, P_NEXT * total)
-    pair_key, pair_n = _collected(_follow(texts, index, None).filter(F.col("n") >= least))
-    tree.levels[0] = _level(pair_key, pair_n, count, lambda c, s: tree.root[s], m, total)
-    frequent = (pair_n >= max(MIN_COUNT, P_CONTEXT * total)) & (pair_key % m != end)
-    pair_key, pair_n = pair_key[frequent], pair_n[frequent]
-    if len(pair_key):
-        key, n = _collected(_follow(texts, index, spark.sparkContext.broadcast(pair_key)).filter(F.col("n") >= least))
-
-        def suffix(ctx, sym):
-            logs, listed = tree.logs(0, pair_key[ctx] % m, sym)
-            return np.where(listed, 10**logs, 10**logs * tree.root[sym])
-
-        own, back, keys, p = _level(key, n, pair_n.astype(float), suffix, m, total)
-        order = np.argsort(pair_key[own])
-        wide = pair_key[keys // m] * m + keys % m
-        by = np.argsort(wide)
-        tree.levels[1] = (pair_key[own][order], back[order], wide[by], p[by])
-    return tree
-
-
-def score(docs: DataFrame, counts: DataFrame, words: list, tree: Tree, n_docs: int, total: int, distinct: int) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs (doc_id, text, held_out)."""
-    import numpy as np
-
-    spark = docs.sparkSession
-    unit = np.log10(total + distinct + 1)
-    logs = np.log10(np.array([c for _, c in words] + [n_docs], float) + 1) - unit  # the end is last
-    model = spark.sparkContext.broadcast(({w: k for k, (w, _) in enumerate(words)}, logs, tree))
-
-    def run(batches):
-        from collections import Counter
-
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        from plexgraph.llm.common import utf8
-
-        index, log, t = model.value
-        end, often, base_row = len(index), t.m - 1, TaskContext.get().partitionId() << 40
-        names = ["row", "word", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = utf8(b.column("text"))
-            ids, first = _ids(texts, index, end)
-            rows = base_row + np.arange(len(texts))
-            base_row += len(texts)
-            sym = np.where(ids == end, often, np.where(ids < often, ids, -1))
-            base = np.where(ids >= 0, log[ids], -unit)
-            one, two = _before(sym, first, 1), _before(sym, first, 2)
-            pair = np.where((one >= 0) & (two >= 0), two * t.m + one, -1)
-            two_log, in_two = t.logs(1, pair, sym)
-            one_log, in_one = t.logs(0, one, sym)
-            full = np.where(in_two, two_log, two_log + np.where(in_one, one_log, one_log + base))
-            rare = ids < 0
-            direct = rare & ~in_two & ~in_one  # always so: what is listed is frequent
-            assert (direct == rare).all()
-            add = lambda x: np.add.reduceat(x, first)
-            n = np.diff(np.concatenate([first, [len(ids)]]))
-            empty = [None] * len(texts)
-            cols = [rows, empty, empty, b.column("doc_id"), b.column("held_out"), n, add((ids >= 0) & ((ids < end) | (n_docs > 0))), add(base), add(full)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
-            row, word, tf = [], [], []
-            at = np.flatnonzero(rare)
-            of = np.searchsorted(first, at, side="right") - 1
-            for k in np.unique(of):
-                w = tokens(texts[k])
-                got = Counter(w[j] for j in (at[of == k] if len(texts) < 2 else at[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]) - first[k])
-                row += [int(rows[k])] * len(got)
-                word += got.keys()
-                tf += got.values()
-            none = [None] * len(row)
-            cols = [row, word, tf, none, none, none, none, none, none]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    told = stored(docs.mapInArrow(run, "row long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
-    rare = told.filter("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
-    more = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
-    rows = told.filter("word IS NULL").drop("word", "tf").join(more, "row", "left")
-    log = F.coalesce("logs", F.lit(0.0))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"))
-
-
-def frequent(counts: DataFrame, most: int) -> list:
-    """The most frequent words, ``most`` at most, with their counts, descending: all that reach a common count.
+def least_count(counts: DataFrame, by: str, most: int) -> int | None:
+    """A least ``by`` that at most ``most`` rows reach, None if there is none.
 
     That count is found in a histogram over powers of 2 ** (1 / 16), so that no more than the result reaches the driver.
     """
-    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("b")).collect()
+    bins = counts.groupBy(F.floor(F.log2(by) * 16).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(by).alias("least")).orderBy(F.desc("b")).collect()
     held, least = 0, None
     for r in bins:
         held += r.k
         if held > most:
             break
-        least = r.b
-    if least is None:
-        return []
-    top = counts.filter(F.floor(F.log2("n") * 16) >= least).collect()
+        least = r.least
+    return least
+
+
+def frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent words, ``most`` at most, with their counts, descending: all that reach a common count."""
+    least = least_count(counts, "n", most)
+    top = [] if least is None else counts.filter(F.col("n") >= least).collect()
     return sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
 
 
@@ -336,7 +447,7 @@ def score_documents(docs: DataFrame, held: F.Column) -> DataFrame:
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = n + n_docs, v + (n_docs > 0)
     words = frequent(counts, HEAD)
-    tree = fit(train, words, n_docs, total, distinct)
+    tree = fit(train, counts, n_docs, total, distinct)
     out = score(docs, counts, words, tree, n_docs, total, distinct)
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
 

@@ -358,6 +358,53 @@ def test_tree_probabilities_sum_to_one():
         assert abs(total_p - 1) < 1e-9
 
 
+def expect_scores(rows, held):
+    """Scores by dictionaries: every context and next symbol of all words, by the rules of the module."""
+    train = [[*(t or "").encode().lower().split(), None] for d, t in rows if not held(d)]
+    one = Counter(x for w in train for x in w)
+    total, unit = sum(one.values()), sum(one.values()) + len(one) + 1
+    prob = lambda ctx, x: nodes[ctx][1].get(x, 0) or nodes[ctx][0] * prob(ctx[1:], x) if ctx in nodes else prob(ctx[1:], x) if ctx else (one[x] + 1) / unit
+    nodes = {}
+    for k in (1, 2):
+        after = {}
+        for w in train:
+            for i in range(k, len(w)):
+                after.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+        found = {}
+        for ctx, c in after.items():
+            m, seen = sum(c.values()), {x: n for x, n in c.items() if n >= suffixtree.MIN_COUNT}
+            q = {x: prob(ctx[1:], x) for x in seen}
+            rest_p, rest_q = max(1 - sum(seen.values()) / m, 0), max(1 - sum(q.values()), 1e-12)
+            kl = sum(n / m * math.log(n / m / q[x]) for x, n in seen.items()) + (rest_p * math.log(rest_p / rest_q) if rest_p > 0 else 0)
+            if seen and kl * m > 0.5 * math.log(total) * len(seen):
+                d = {x: (n - suffixtree.DISCOUNT) / m for x, n in seen.items()}
+                found[ctx] = (max(1 - sum(d.values()), 1e-12) / rest_q, d)
+        nodes |= found
+    out = {}
+    for d, t in rows:
+        w = [*(t or "").encode().lower().split(), None]
+        out[d] = sum(math.log10(prob(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w))
+    return out, nodes
+
+
+@pytest.mark.parametrize("bound", [250_000, 20])
+def test_scores_are_brute_force(monkeypatch, docs, small, awkward, bound):
+    monkeypatch.setattr(suffixtree, "NODES", bound)  # most of the tree is met by the join
+    monkeypatch.setattr(suffixtree, "HOT", bound)
+    for df, rows in ((docs, small), (awkward, texts(AWKWARD))):
+        want, nodes = expect_scores(rows, is_held)
+        assert df is awkward or {len(c) for c in nodes} == {1, 2}
+        for r in suffixtree.score_documents(df, suffixtree.held_out()).collect():
+            assert abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id]))
+
+
+def test_rare_contexts_stay_in_the_tree(spark):
+    rows = [(k, " ".join(f"c{(k * j) % 97}" for j in range(400))) for k in range(1, 701)]
+    rows += [(1000 + k, "zig zag zog") for k in range(8)]  # their share of 280,000 tokens is below 5e-5
+    got = {r.doc_id: r for r in suffixtree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), suffixtree.held_out()).collect()}
+    assert got[1000].score > 0.5 * got[1000].base_score
+
+
 def test_scores_of_empty_tables(empty):
     assert suffixtree.score_documents(empty, suffixtree.held_out()).collect() == []
 
