@@ -295,19 +295,21 @@ def multi_pattern(texts: DataFrame, patterns: list[str]) -> DataFrame:
     return texts.select("id", mask.alias("mask"))
 
 
-def loop_depths(nodes: DataFrame, calls: DataFrame, cap: int = 256, rounds: int = 64) -> DataFrame:
+def loop_depths(nodes: DataFrame, calls: DataFrame, cap: int = 256, rounds: int | None = None) -> DataFrame:
     """(id, depth): a definition's own loop depth (id, loop_depth) plus the greatest of those it calls, along acyclic paths.
 
     Relaxation from the leaves up: each round a definition takes its own depth
-    plus its callees' of the round before, until nothing changes. Definitions on
-    a cycle grow every round; they are cut off at ``cap`` and by ``rounds``.
+    plus its callees' of the round before, until nothing changes. Depths never
+    fall and end at ``cap``, as those on a cycle with a loop do, so a fixed point
+    is reached. ``rounds``, if given, stops before it and cuts longer chains.
     """
     from plexgraph.shared import stored
 
     e = stored(calls.select("source_id", "target_id").filter("source_id <> target_id").distinct())
     cur, own = nodes.select("id", F.col("loop_depth").alias("depth")), nodes.select("id", "loop_depth")
-    before = None
-    for _ in range(rounds):
+    before, k = None, 0
+    while rounds is None or k < rounds:
+        k += 1
         best = e.join(cur.select(F.col("id").alias("target_id"), "depth"), "target_id").groupBy(F.col("source_id").alias("id")).agg(F.max("depth").alias("m"))
         cur = stored(own.join(best, "id", "left").select("id", F.least(F.lit(cap), F.col("loop_depth") + F.coalesce("m", F.lit(0))).alias("depth")))
         now = cur.agg(F.sum("depth")).first()[0]

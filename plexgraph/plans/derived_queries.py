@@ -154,7 +154,14 @@ def _depth_sql() -> str:
     return f"WITH {CODE_SQL}, {', '.join(steps)} SELECT id, depth FROM d{_ROUNDS}"
 
 
-register("derive_loop_depth", _depth_sql())(lambda spark, d: derive.loop_depths((g := code_graph(spark, d)).nodes.select("id", prop("loop_depth").cast("long").alias("loop_depth")), g.of_type("CALLS"), rounds=_ROUNDS))
+def depths(spark, d, rounds=None):
+    g = code_graph(spark, d)
+    return derive.loop_depths(g.nodes.select("id", prop("loop_depth").cast("long").alias("loop_depth")), g.of_type("CALLS"), rounds=rounds)
+
+
+#: As many rounds as the SQL twin has: longer chains are cut. The whole depths have no twin.
+register("derive_loop_depth", _depth_sql())(lambda spark, d: depths(spark, d, _ROUNDS))
+register("derive_loop_depth_whole")(depths)
 
 
 # similarity

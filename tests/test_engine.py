@@ -144,6 +144,13 @@ def test_loop_depth_is_bounded_on_cycles(spark):
     assert d[3] == 2 and d[1] == d[2] == 16
 
 
+def test_loop_depth_of_a_long_chain(spark):
+    n = 75
+    nodes = spark.createDataFrame([(k, 1) for k in range(n)], "id long, loop_depth long").coalesce(1)
+    calls = spark.createDataFrame([(k, k + 1) for k in range(n - 1)], "source_id long, target_id long").coalesce(1)
+    assert dict(derive.loop_depths(nodes, calls).collect()) == {k: n - k for k in range(n)}
+
+
 def test_ignore_rules():
     own = files.Ignore().add("*.log\n!keep.log\n/build\ndocs/**/x\n[ab].txt\ntmp/\n").add("*.py\n", "sub")
     got = [own.ignored(p) for p in ("a.log", "keep.log", "build/x", "src/build", "docs/q/x", "a.txt", "c.txt", "tmp/x", "tmp", "sub/d/e.py", "e.py")]
