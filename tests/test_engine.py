@@ -137,6 +137,15 @@ def test_similar_fingerprints(spark):
     assert capped.count() == 10
 
 
+def test_semantic_links_are_those_of_all_pairs(spark, data, monkeypatch):
+    from plexgraph.plans import derived_queries
+
+    got = ids(derived_queries.semantic(spark, data), "a", "b")
+    monkeypatch.setattr(similar, "hyperplane_bands", lambda v, dim, **how: v.select("id", F.lit(0).alias("band"), F.lit("").alias("key")))
+    want = ids(derived_queries.semantic(spark, data), "a", "b")
+    assert want and len(set(got) & set(want)) >= 0.95 * len(set(got) | set(want))
+
+
 def test_loop_depth_is_bounded_on_cycles(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, loop_depth long")
     calls = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "source_id long, target_id long")
