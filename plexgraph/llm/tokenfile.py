@@ -29,7 +29,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import doc_text, shared_dir, small_batches, table
+from plexgraph.llm.common import doc_text, parts_for, shared_dir, sliced, table
 from plexgraph.llm.tokens import tokenizer_path
 
 MAGIC = b"PXT1"
@@ -145,9 +145,11 @@ def encode_ids(ids, vocabulary: int = VOCABULARY):
         live = slice(None) if every else full > t
         g2, g1, b2, b1 = m.predict(rng >> u(_TOTAL_BITS))
         h2, h1 = x == g2, x == g1
-        q = (rng - b1) // m.total0
-        add = np.where(h2, u(0), np.where(h1, b2, b1 + q * m.low0[x]))
-        size = np.where(h2, b2, np.where(h1, b1 - b2, q * m.size0[x]))
+        add, size = np.where(h2, u(0), b2), np.where(h2, b2, b1 - b2)
+        rest = np.flatnonzero(~(h2 | h1))
+        x0, b0 = x[rest], b1[rest]
+        q = (rng[rest] - b0) // m.total0
+        add[rest], size[rest] = b0 + q * m.low0[x0], q * m.size0[x0]
         if every:
             low += add
             rng = size
@@ -188,15 +190,16 @@ def decode_ids(n: int, lanes: int, sizes, words, vocabulary: int = VOCABULARY):
         g2, g1, b2, b1 = m.predict(rng >> u(_TOTAL_BITS))
         off = code - low
         h2 = off < b2
-        known = off < b1
-        q = (rng - b1) // m.total0
-        aim = ((off - b1) // np.maximum(q, u(1))).astype(np.int64)
-        x = np.searchsorted(m.cum, np.where(known, 0, np.minimum(aim, m.cum[-1] - 1)), side="right") - 1
-        x = np.where(h2, g2, np.where(known, g1, x))
+        x = np.where(h2, g2, g1).astype(np.int64)
+        add, size = np.where(h2, u(0), b2), np.where(h2, b2, b1 - b2)
+        rest = np.flatnonzero(off >= b1)
+        b0 = b1[rest]
+        q = (rng[rest] - b0) // m.total0
+        aim = ((off[rest] - b0) // np.maximum(q, u(1))).astype(np.int64)
+        x0 = np.searchsorted(m.cum, np.minimum(aim, m.cum[-1] - 1), side="right") - 1
+        x[rest], add[rest], size[rest] = x0, b0 + q * m.low0[x0], q * m.size0[x0]
         if not every:
             x[~live] = 0
-        add = np.where(h2, u(0), np.where(known, b2, b1 + q * m.low0[x]))
-        size = np.where(h2, b2, np.where(known, b1 - b2, q * m.size0[x]))
         if every:
             low += add
             rng = size
@@ -252,8 +255,14 @@ def read_block(block: bytes) -> tuple[list, list[int], bytes]:
     return [None if z else int(d) for d, z in zip(doc_ids, null)], sizes.tolist(), flat
 
 
+_SCHEMA = "part int, block long, before long, n_ids long, data binary"
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int = BLOCK) -> None:
-    """Encodes all documents in ascending doc_id order and writes the blocks: a table (part, block, n_ids, data)."""
+    """Encodes all documents in ascending doc_id order and writes the blocks: a table (part, block, before, n_ids, data).
+
+    ``before`` counts the ids of the part before the block.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -262,45 +271,37 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END, block: int
         from plexgraph.llm.common import utf8
         from plexgraph.llm.tokens import encoder
 
-        part, number, ids, of, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, number, before, ids, of, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         enc, tail = encoder(tokenizer), end.to_bytes(2, "little")
 
         def row():
-            return pa.RecordBatch.from_pydict({"part": [part], "block": [number], "n_ids": [size], "data": [write_block(of, ids)]}, schema=schema)
+            return pa.RecordBatch.from_pydict({"part": [part], "block": [number], "before": [before], "n_ids": [size], "data": [write_block(of, ids)]}, schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("before", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
         for b in batches:
-            got = [x + tail for x in enc.encode(utf8(b.column("text")))]
-            for d, x in zip(b.column("doc_id").to_pylist(), got):
+            for d, x in zip(b.column("doc_id").to_pylist(), enc.encode(utf8(b.column("text")), tail)):
                 of.append(d)
                 ids.append(x)
                 size += len(x) // 2
                 if size >= block:
                     yield row()
-                    number, ids, of, size = number + 1, [], [], 0
+                    number, before, ids, of, size = number + 1, before + size, [], [], 0
         if of:
             yield row()
 
-    spark = docs.sparkSession
-    small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    ordered.mapInArrow(run, "part int, block long, n_ids long, data binary").write.option("compression", "uncompressed").parquet(path)
+    ordered = docs.repartitionByRange(parts_for(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered.mapInArrow(sliced(run), _SCHEMA).write.option("compression", "uncompressed").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the blocks at a path; ids are 32-bit little-endian."""
-    blocks = spark.read.schema("part int, block long, n_ids long, data binary").parquet(path)
+    blocks = spark.read.schema(_SCHEMA).parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row for each written partition
     base, at = {}, 0
     for r in sorted(sizes, key=lambda r: r.part):
         base[r.part], at = at, at + r.n
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(w), F.lit(0)).alias("before"))  # a row for each block
     starts = spark.createDataFrame(sorted(base.items()), "part int, base long") if base else spark.createDataFrame([], "part int, base long")
-    placed = blocks.join(before.join(F.broadcast(starts), "part").select("part", "block", (F.col("base") + F.col("before")).alias("start")), ["part", "block"])
+    placed = blocks.join(F.broadcast(starts), "part").withColumn("start", F.col("base") + F.col("before"))
 
     def run(batches):
         import numpy as np
@@ -317,8 +318,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ids = [wide[i:j].tobytes() for i, j in zip(first[s], ends[s])]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[s], pa.int64()), pa.array(start + first[s], pa.int64()), pa.array(sizes[s], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    small_batches(spark)
-    return placed.select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("start", "data").mapInArrow(sliced(run, 1), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
