@@ -17,6 +17,8 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
 #: Bytes of input (as stored, about) for each part of a shuffle of whole texts.
 PART_BYTES = 64 << 20
+#: The shuffle files of a step go when it has ended, not when the driver next collects its garbage.
+_CLEAN = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return _written(df, shared_dir(df.sparkSession))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, **_CLEAN):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,8 +59,7 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         path = self.path()
-        df.write.option("compression", "zstd").parquet(path)
-        self.paths[path] = out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = out = _written(df, path)
         return out
 
     def drop(self, *tables: DataFrame) -> None:

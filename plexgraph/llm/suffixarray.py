@@ -5,18 +5,26 @@ anywhere else. Strings are compared where they can be equal: each string of
 ``LENGTH`` bytes picks the least hash among its substrings of ``GRAM`` bytes as its
 anchor, and equal strings pick the same. The strings of a document that share an
 anchor start next to one another, so they form one region of text. An anchor that
-occurs once is done with. If a region's whole text occurs again, all its strings
-repeat. Only where regions of one anchor differ are their different texts brought
-together, each once, and their suffixes sorted in two stages: suffixes smaller
-than their successors directly, the others induced from them by one scan over the
-buckets of first bytes. Adjacent common prefixes of at least ``LENGTH`` bytes are
-the repeated strings.
+occurs once is done with. The regions of all others are brought together by anchor:
+each different text once, or as two copies if it occurs again. Their suffixes are
+sorted in two stages: suffixes smaller than their successors directly, the others
+induced from them by one scan over the buckets of first bytes. Adjacent common
+prefixes of at least ``LENGTH`` bytes are the repeated strings.
+
+An anchor may have more than ``GROUP`` different regions. They are split by the
+bytes around the anchor: a string holds ``k`` bytes before the anchor's substring
+and ``LENGTH - GRAM - k`` after it, so two equal strings agree either on the upper
+half of the possible bytes before it or on the upper half of those after it. Each
+region goes to the bucket of either half, and a bucket that is still too large is
+split again, until it holds one string alone, which then needs no sorting. So every
+bucket is bounded and no pair of equal strings is parted.
 
 Texts stay where they are: they are written once, in buckets, and what is found
-about a document is sent to its bucket. Anchors, regions and their counts are
-rows of hashes (64 bits) that are summed before they are shuffled. An anchor with
-more than ``HOT`` different regions is not sorted in one task: the hashes of its
-regions' strings are counted instead, each a key of its own.
+about a document is sent to its bucket. Anchors, regions and their counts are rows
+of hashes that are summed before they are shuffled. Copies of a region are known by
+three hashes of 64 bits: its anchor's, one of the whole region, and, where bytes are
+cut out, another one of these bytes against those that were sorted. All steps are
+tables in the shared folder and are removed once the next one is stored.
 
 Nulls: a null text is empty; a null doc_id keeps its row. Repeated documents keep
 their rows and are repeats of one another. Texts shorter than ``LENGTH`` lose
@@ -31,28 +39,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import doc_text, shared_dir, small_batches, stored, table
+from plexgraph.llm.common import Scratch, doc_text, parts_for, settings, sliced, stored, table
+from plexgraph.llm.words import mixed as _mixed
 
 LENGTH = 200
 GRAM = 73
-HOT = 3000
+#: Regions that are sorted together at most; one has less than 2 x LENGTH bytes.
+GROUP = 4096
 SORT_BYTES = 1 << 18
 CHUNK = 1 << 18
 
 _TABLES: dict = {}
 
 
-def _mixed(x):
-    """A bijection of 64-bit numbers that spreads their bits."""
-    import numpy as np
-
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def _tables():
     """(a random number for each byte, powers of the base, powers of its inverse)."""
     import numpy as np
@@ -67,7 +66,7 @@ def _tables():
 
 
 class Regions:
-    """The regions of some texts: arrays text, start, end (of the text), anchor and u, the hash of the region's text."""
+    """The regions of some texts: arrays text, start, end and at, the anchor's place (in the text), anchor and u, the hash of the region's text."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         import numpy as np
@@ -83,8 +82,8 @@ class Regions:
                 size += len(piece)
         if group:
             parts.append(self._of(group, length, gram))
-        none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-        self.text, self.start, self.end, self.anchor, self.u = (np.concatenate(x) for x in zip(*parts)) if parts else none
+        none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
+        self.text, self.start, self.end, self.at, self.anchor, self.u = (np.concatenate(x) for x in zip(*parts)) if parts else none
 
     @staticmethod
     def _of(group, length: int, gram: int):
@@ -115,7 +114,25 @@ class Regions:
         of = np.searchsorted(first, s, side="right") - 1
         text = np.array([k for k, _, _ in group])[of]
         offset = np.array([o for _, o, _ in group])[of] - first[of]
-        return text, s + offset, e + offset, grams[a], u
+        return text, s + offset, e + offset, a + offset, grams[a], u
+
+    def key(self):
+        """One number for each region of each text."""
+        return _keys(self.u, self.text)
+
+
+def _keys(u, text):
+    import numpy as np
+
+    return _mixed(u + _mixed(text.astype(np.uint64)))
+
+
+def _listed(column, *fields: str):
+    """Of an Arrow column of lists of structs: the row of each struct, and its fields."""
+    import numpy as np
+
+    flat, size = column.flatten(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), size), [flat.field(f) for f in fields]
 
 
 def _pairs(batches):
@@ -127,32 +144,28 @@ def _pairs(batches):
 
     for b in batches:
         r = Regions(utf8(b.column("text")))
-        key = _mixed(r.u + _mixed(r.text.astype(np.uint64)))
-        _, one, n = np.unique(key, return_index=True, return_counts=True)
+        _, one, n = np.unique(r.key(), return_index=True, return_counts=True)
         rows = np.array(b.column("row").to_pylist(), np.int64)[r.text[one]]
         yield pa.RecordBatch.from_arrays([pa.array(r.anchor[one].view(np.int64)), pa.array(r.u[one].view(np.int64)), pa.array(rows), pa.array(n.astype(np.int32))], ["anchor", "u", "row", "n"])
 
 
 def _texts_of(batches):
-    """The texts of the regions asked for: (anchor, u, row, alone, hot, content)."""
+    """The texts of the regions asked for: (anchor, u, twice, at, content)."""
     import numpy as np
     import pyarrow as pa
 
     from plexgraph.llm.common import utf8
 
     for b in batches:
-        texts, asked = utf8(b.column("text")), b.column("asked").to_pylist()
+        texts = utf8(b.column("text"))
         r = Regions(texts)
-        u = r.u.view(np.int64)
-        cut = np.searchsorted(r.text, np.arange(len(texts) + 1))
-        rows, out = b.column("row").to_pylist(), []
-        for k, some in enumerate(asked):
-            want = {x["u"]: x for x in some or ()}
-            for j in range(cut[k], cut[k + 1]):
-                if x := want.pop(int(u[j]), None):
-                    out.append((int(r.anchor[j].view(np.int64)), x["u"], rows[k], x["alone"], x["hot"], texts[k][r.start[j] : r.end[j]]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], ["anchor", "u", "row", "alone", "hot", "content"])
+        of, (u, twice) = _listed(b.column("asked"), "u", "twice")
+        key = r.key()
+        order = np.argsort(key, kind="stable")
+        j = order[np.searchsorted(key[order], _keys(u.to_numpy().view(np.uint64), of))]
+        content = [texts[k][s:e] for k, s, e in zip(of, r.start[j], r.end[j])]
+        cols = [pa.array(r.anchor[j].view(np.int64)), u, twice, pa.array((r.at[j] - r.start[j]).astype(np.int32)), pa.array(content, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["anchor", "u", "twice", "at", "content"])
 
 
 def sort_suffixes(t, raw: bytes, depth: int = LENGTH):
@@ -244,53 +257,83 @@ def _spans(starts, length: int = LENGTH) -> bytes:
     return np.stack([a, b], axis=1).astype("<i4").tobytes()
 
 
-def _sorted_groups(batches):
-    """Rows sorted by anchor: (row, u, spans) of regions that occur once but hold repeated strings."""
+_FOUND = "anchor long, u long, check long, spans binary"
+
+
+def _found(rows: list):
+    """A batch of (anchor, u, check, spans); check is a hash of the region's bytes."""
     import pyarrow as pa
 
+    cols = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "u", "check", "spans"])
+
+
+def _check(content: bytes) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(content) - (1 << 63)
+
+
+def _sorted_groups(batches):
+    """Rows sorted by key: the repeated strings of each region, as spans; null if that is all of it."""
     held, size, key = [], 0, None
 
     def out():
-        found = [(r, u, _spans(s)) for (r, u, alone, _), s in zip(held, repeated([h[3] for h in held])) if alone and len(s)]
-        cols = list(zip(*found)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary()))], ["row", "u", "spans"])
+        strings = [h[3] for h in held]
+        starts = repeated(strings + [h[3] for h in held if h[2]])
+        return _found([(a, u, _check(c), None if len(s) == len(c) - LENGTH + 1 else _spans(s)) for (a, u, _, c), s in zip(held, starts) if len(s)])
 
     for b in batches:
-        for anchor, u, row, alone, content in zip(*(b.column(c).to_pylist() for c in ("anchor", "u", "row", "alone", "content"))):
-            if anchor != key and size >= SORT_BYTES:
+        for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "anchor", "u", "twice", "content"))):
+            if k != key and size >= SORT_BYTES:
                 yield out()
                 held, size = [], 0
-            key = anchor
-            held.append((row, u, alone, content))
-            size += len(content)
+            key = k
+            held.append(row)
+            size += len(row[3])
     if held:
         yield out()
 
 
-def _strings(batches):
-    """(h1, h2, row, u, at, alone): 128 bits of hash of each string of the regions of hot anchors."""
-    import numpy as np
-    import pyarrow as pa
-
-    random, power, inverse = _tables()
-    for b in batches:
-        for u, row, alone, content in zip(*(b.column(c).to_pylist() for c in ("u", "row", "alone", "content"))):
-            x = np.frombuffer(content, np.uint8)
-            n = len(x) - LENGTH + 1
-            h = []
-            for values in (random, _mixed(random)):
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(values[x] * power[: len(x)])])
-                h.append(_mixed((sums[LENGTH:] - sums[:n]) * inverse[:n]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, row)), pa.array(np.full(n, u)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, alone))], ["h1", "h2", "row", "u", "at", "alone"])
-
-
-def _packed_spans(batches):
+def _single_strings(batches):
+    """Rows of buckets that hold one string, ``l`` bytes before the anchor: that string of each region."""
     import numpy as np
-    import pyarrow as pa
 
     for b in batches:
-        spans = [_spans(np.sort(np.array(a, np.int64))) for a in b.column("at").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("row"), b.column("u"), pa.array(spans, pa.binary())], ["row", "u", "spans"])
+        rows = zip(*(b.column(c).to_pylist() for c in ("anchor", "u", "at", "l", "content")))
+        yield _found([(a, u, _check(c), _spans(np.array([at - l]))) for a, u, at, l, c in rows])
+
+
+def _split(rows: DataFrame) -> DataFrame:
+    """Rows (l, r, at, content, ...), whose strings have ``l`` bytes at least before the anchor and ``r`` after it, in the buckets of either half."""
+    free = LENGTH - GRAM
+    middle = F.col("l") + ((free + 1 - F.col("l") - F.col("r")) / 2).cast("int")
+    halves = F.array(F.struct(middle.alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (free + 1 - middle).alias("r")))
+    after = F.octet_length("content") - GRAM - F.col("at")
+    out = rows.withColumn("half", F.explode(F.when(F.col("l") + F.col("r") < free, halves).otherwise(F.array(F.struct("l", "r")))))
+    out = out.withColumns({"l": F.col("half.l"), "r": F.col("half.r")}).drop("half").filter((F.col("at") >= F.col("l")) & (after >= F.col("r")))
+    around = F.substring("content", F.col("at") - F.col("l") + 1, F.col("l") + GRAM + F.col("r"))
+    return out.withColumn("key", F.md5(F.concat(around, F.concat_ws(",", "l", "r").cast("binary"))))
+
+
+def _sorted(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.select("key", "anchor", "u", "twice", "content").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(sliced(_sorted_groups), _FOUND)
+
+
+def _split_groups(scratch: Scratch, content: DataFrame, parts: int, group: int) -> DataFrame:
+    """What ``_sorted_groups`` finds in the regions of anchors that have more than ``group`` of them, bucket by bucket."""
+    rows, found = content.withColumns({"l": F.lit(0), "r": F.lit(0)}), None
+    while True:
+        rows = scratch.put(_split(rows))
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("again")).filter("k > 1 OR again")
+        met = scratch.put(rows.join(sizes.select("key", "k"), "key"))
+        single = (F.col("k") > group) & (F.col("l") + F.col("r") == LENGTH - GRAM)
+        part = scratch.put(_sorted(met.filter(F.col("k") <= group), parts).unionByName(met.filter(single).mapInArrow(sliced(_single_strings), _FOUND)))
+        found = part if found is None else found.unionByName(part)
+        left = met.filter((F.col("k") > group) & ~single).drop("k", "key")
+        if left.isEmpty():
+            return found
+        rows = left
 
 
 def _cut_out(batches):
@@ -301,85 +344,84 @@ def _cut_out(batches):
     from plexgraph.llm.common import utf8
 
     for b in batches:
-        texts, found = utf8(b.column("text")), b.column("found").to_pylist()
-        r = Regions([t if f else b"" for t, f in zip(texts, found)])
-        u = r.u.view(np.int64)
-        cut = np.searchsorted(r.text, np.arange(len(texts) + 1))
+        texts = utf8(b.column("text"))
+        of, (u, check, spans) = _listed(b.column("found"), "u", "check", "spans")
+        some = np.zeros(len(texts), bool)
+        some[of] = True
+        r = Regions([t if s else b"" for t, s in zip(texts, some)])
+        key, asked = r.key(), _keys(u.to_numpy().view(np.uint64), of)
+        order = np.argsort(key, kind="stable")
+        left, right = np.searchsorted(key[order], asked), np.searchsorted(key[order], asked, side="right")
+        size = right - left
+        at = np.repeat(np.arange(len(asked)), size)  # what was found, for each region it holds for
+        j = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(left, size)]
+        whole, checks = spans.is_null().to_numpy(zero_copy_only=False), check.to_numpy()
+        cuts: list[list] = [[] for _ in texts]
+        for i, k, s, e in zip(at.tolist(), of[at].tolist(), r.start[j].tolist(), r.end[j].tolist()):
+            if _check(texts[k][s:e]) == checks[i]:
+                cuts[k] += [(s, e)] if whole[i] else [(s + x, s + y) for x, y in np.frombuffer(spans[i].as_py(), "<i4").reshape(-1, 2).tolist()]
         starts, ends, kept = [], [], []
-        for k, (t, f) in enumerate(zip(texts, found)):
-            known = {x["u"]: x["spans"] for x in f or ()}
-            if not known:
-                starts.append([])
-                ends.append([])
-                kept.append(t)
-                continue
-            edge = np.zeros(len(t) + 1, np.int32)
-            for j in range(cut[k], cut[k + 1]):
-                if (x := int(u[j])) in known:
-                    s = int(r.start[j])
-                    spans = [(0, int(r.end[j]) - s)] if known[x] is None else np.frombuffer(known[x], "<i4").reshape(-1, 2).tolist()
-                    for a, e in spans:
-                        edge[s + a] += 1
-                        edge[s + e] -= 1
-            gone = np.concatenate([[False], np.cumsum(edge) > 0]).astype(np.int8)
-            step = np.diff(gone)
-            starts.append(np.flatnonzero(step == 1).tolist())
-            ends.append(np.flatnonzero(step == -1).tolist())
-            kept.append(b"".join(t[a:e] for a, e in zip([0, *ends[-1]], [*starts[-1], len(t)])))
+        for t, own in zip(texts, cuts):
+            runs: list[list[int]] = []
+            for s, e in sorted(own):
+                if runs and s <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], e)
+                else:
+                    runs.append([s, e])
+            starts.append([s for s, _ in runs])
+            ends.append([e for _, e in runs])
+            kept.append(b"".join(t[x:y] for x, y in zip([0, *ends[-1]], [*starts[-1], len(t)])) if runs else t)
         kind = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(starts, kind), pa.array(ends, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
-def _slots(spark: SparkSession, n: int) -> list[int]:
-    """For each of n buckets, a number that falls into it."""
-    rows = spark.range(n * 30 + 200).groupBy(F.pmod(F.hash(F.col("id")), F.lit(n)).alias("b")).agg(F.min("id").alias("v")).orderBy("b").collect()
-    return [r.v for r in rows]
-
-
-def _bucketed(docs: DataFrame, n: int, slots: list[int]) -> DataFrame:
-    """(row, slot, doc_id, text) written in n buckets by slot; a row's slot follows from its part of the input."""
-    spark = docs.sparkSession
-    named = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").withColumn("slot", _slot_of(slots))
-    name = f"plexgraph_{uuid.uuid4().hex}"
-    named.write.bucketBy(n, "slot").option("compression", "zstd").option("path", shared_dir(spark)).saveAsTable(name)
-    return spark.table(name)
-
-
-def _slot_of(slots: list[int]) -> F.Column:
-    return F.element_at(F.array(*[F.lit(s) for s in slots]), (F.pmod(F.shiftright("row", 33), F.lit(len(slots))) + 1).cast("int")).cast("long")
-
-
-def remove_repeats(docs: DataFrame, hot: int = HOT, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, group: int = GROUP, digest: bool = False) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): the maximal runs of bytes to remove from each document, and the bytes left.
 
     digest: instead (doc_id, n_bytes, n_removed, n_spans, kept_sha256).
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = _slots(spark, n)
-    texts = _bucketed(doc_text(docs), len(slots), slots)
-    pairs = stored(texts.select("row", "text").mapInArrow(_pairs, "anchor long, u long, row long, n int"))
+    scratch, n, name = Scratch(spark), parts_for(docs), f"plexgraph_{uuid.uuid4().hex}"
+    slot = F.shiftright("row", 33).alias("slot")  # the number of the part that the row was in
+    named = doc_text(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").select("*", slot)
+    # so that what goes to a part's documents is dealt by their slot alone, and the texts stay
+    with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+        try:
+            named.write.bucketBy(n, "slot").option("compression", "zstd").option("path", scratch.path()).saveAsTable(name)
+            texts = spark.table(name)
+            found = _repeats(scratch, texts, n, group)
+            by_row = found.groupBy("row").agg(F.collect_list(F.struct("u", "check", "spans")).alias("found")).select("*", slot)
+            full = texts.join(by_row.hint("shuffle_hash"), ["slot", "row"], "left").select("doc_id", "text", "found")
+            if digest:
+                return stored(full.mapInArrow(sliced(_digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+            return stored(full.mapInArrow(sliced(_cut_out), "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            scratch.drop()
+
+
+def _repeats(scratch: Scratch, texts: DataFrame, n: int, group: int) -> DataFrame:
+    """(row, u, check, spans): what is repeated of the regions of each row."""
+    pairs = scratch.put(texts.select("row", "text").mapInArrow(sliced(_pairs), "anchor long, u long, row long, n int"))
     again = pairs.groupBy("anchor").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("anchor")
-    some = pairs.join(again, "anchor")
-    by_u = stored(some.groupBy("anchor", "u").agg(F.sum("n").alias("c"), F.min("row").alias("first")))
-    by_anchor = by_u.groupBy("anchor").agg(F.count(F.lit(1)).alias("different"), F.count_if(F.col("c") == 1).alias("single")).filter("single > 0 AND different > 1")
-    state = by_u.join(by_anchor, "anchor", "left").filter("c > 1 OR different IS NOT NULL")
-    state = state.select("anchor", "u", (F.col("c") == 1).alias("alone"), F.when(F.col("different").isNotNull(), F.col("first")).alias("from"), F.coalesce(F.col("different") > hot, F.lit(False)).alias("hot"))
-    told = pairs.select("anchor", "u", "row").join(state, ["anchor", "u"]).withColumn("ask", F.coalesce(F.col("from") == F.col("row"), F.lit(False))).filter("ask OR NOT alone")
-    told = stored(told.select("row", "u", "alone", "hot", "ask"))
-    asked = told.filter("ask").groupBy("row").agg(F.collect_list(F.struct("u", "alone", "hot")).alias("asked")).withColumn("slot", _slot_of(slots))
-    content = stored(texts.join(asked.hint("shuffle_hash"), ["slot", "row"]).select("row", "text", "asked").mapInArrow(_texts_of, "anchor long, u long, row long, alone boolean, hot boolean, content binary"))
-    calm = content.filter("NOT hot").repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, "row long, u long, spans binary")
-    strings = content.filter("hot").mapInArrow(_strings, "h1 long, h2 long, row long, u long, at int, alone boolean")
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2")
-    stormy = strings.filter("alone").join(twice, ["h1", "h2"]).groupBy("row", "u").agg(F.collect_list("at").alias("at")).mapInArrow(_packed_spans, "row long, u long, spans binary")
-    whole = told.filter("NOT alone").select("row", "u", F.lit(None).cast("binary").alias("spans"))
-    found = whole.unionByName(calm).unionByName(stormy).groupBy("row").agg(F.collect_list(F.struct("u", "spans")).alias("found")).withColumn("slot", _slot_of(slots))
-    full = texts.join(found.hint("shuffle_hash"), ["slot", "row"], "left").select("doc_id", "text", "found")
-    if digest:
-        return full.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return full.mapInArrow(_cut_out, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
+    some = scratch.put(pairs.join(again, "anchor"))
+    scratch.drop(pairs)
+    by_u = scratch.put(some.groupBy("anchor", "u").agg((F.sum("n") > 1).alias("twice"), F.min("row").alias("row")))
+    hot = scratch.put(by_u.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > group).select("anchor"))
+
+    def content(regions: DataFrame) -> DataFrame:
+        asked = regions.groupBy("row").agg(F.collect_list(F.struct("u", "twice")).alias("asked")).select("*", F.shiftright("row", 33).alias("slot"))
+        met = texts.join(asked.hint("shuffle_hash"), ["slot", "row"]).select("text", "asked")
+        return met.mapInArrow(sliced(_texts_of), "anchor long, u long, twice boolean, at int, content binary")
+
+    if hot.isEmpty():
+        found = _sorted(content(by_u).withColumn("key", F.col("anchor")), n)
+    else:
+        calm = content(by_u.join(hot, "anchor", "left_anti")).withColumn("key", F.col("anchor"))
+        split = _split_groups(scratch, scratch.put(content(by_u.join(hot, "anchor"))), n, group)
+        found = _sorted(calm, n).unionByName(split)
+    found = scratch.put(found)
+    return scratch.put(some.select("anchor", "u", "row").join(found, ["anchor", "u"]).select("row", "u", "check", "spans"))
 
 
 def _digest(batches):
