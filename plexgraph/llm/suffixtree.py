@@ -2,27 +2,29 @@
 
 Tokens are the words of a text, with A-Z lower-cased, and one end. Counts of all
 words are taken over all training documents. The root of the tree is the unigram
-distribution (c + 1) / (N + V + 1). A node is a context of one or two words; it
-is retained if the distribution of its next symbols diverges from that of its
-suffix: their Kullback-Leibler divergence times the context's count must exceed
-half of ln N for each free parameter. Its distribution lists the next symbols,
-of all words, seen at least ``MIN_COUNT`` times after it, less an absolute
-discount, and shares what is left out in proportion to the suffix's distribution,
-so that each node's probabilities sum to 1. A token is scored in the state of the
-longest retained suffix of what stands before it. Both bounds are counts, so the
-tree grows with the corpus.
+distribution (c + 1) / (N + V + 1). A node is a context of one or more words; it is
+retained if the distribution of its next symbols diverges from that of its suffix:
+their Kullback-Leibler divergence times the context's count must exceed half of
+ln N for each free parameter. Its distribution lists the next symbols, of all words,
+seen at least ``MIN_COUNT`` times after it, less an absolute discount, and shares
+what is left out in proportion to the suffix's distribution, so that each node's
+probabilities sum to 1. The tree grows level by level: only contexts whose suffix
+was retained are tested, until none passes (or has ``DEPTH`` words). A token is
+scored in the state of the longest retained suffix of what stands before it. Both
+bounds are counts, so the tree grows with the corpus.
 
 The tree is a table in the shared folder. A text's score is its root score and a
-sum of one number for each run of one, two and three tokens: a context's backoff
-factor, and by how much a listed symbol differs from it and from the suffix. So
-a text meets the tree in one join by key. Only the ``NODES`` entries met most
-often are broadcast, with the ``HEAD`` most frequent words; what remains is
-joined and not frequent, so no key is hot. Bitmaps of ``BITS`` bits keep runs
-that cannot occur in a table out of the shuffles; what they let pass wrongly
-finds nothing in the join.
-
-Symbols and runs are known by 64-bit hashes: with n of them a false meeting has a
-chance of about n squared / 2 ** 65.
+sum of one number for each run of tokens: as a context, its backoff factor, and as
+a context with a listed symbol, by how much that differs from it and from the
+suffix. So a text meets the tree in one join by key. Only the ``NODES`` entries met
+most often are broadcast, with the ``HEAD`` most frequent words, 16 bytes each;
+what remains is joined and not frequent, so no key is hot. Bitmaps of ``BITS`` bits
+keep runs that cannot occur in a table out of the shuffles; what they let pass
+wrongly finds nothing in the join.
+
+A word is known by a 64-bit hash, and a run of words by one of the keys of the run
+without its last word and of the run without its first: with n of them a false
+meeting has a chance of about n squared / 2 ** 65.
 
 Nulls: a null text is empty and has only its end; a null doc_id is training.
 Repeated rows count and are scored one by one. Without training documents N and V
@@ -34,403 +36,330 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import doc_text, small_batches, stored, table
+from plexgraph.llm.common import Scratch, doc_text, sliced, stored, table
+from plexgraph.llm.words import Table, Words, chunks, mixed
 
-HEAD = 200_000
-NODES = 250_000
-HOT = 10_000
+HEAD = 500_000
+NODES = 1_000_000
 BITS = 26
+DEPTH = 12
 MIN_COUNT = 4
 DISCOUNT = 0.5
-FLUSH = 400_000
-SEED = 42
+#: Records that a worker sums before it emits them.
+HELD = 1_500_000
+#: The key of the end, which no word has by more than chance.
+END = 0x5851F42D4C957F2D
 
 
-def tokens(text: bytes) -> list[bytes]:
-    return text.lower().split()
+class Runs:
+    """Symbols of texts in a row, each text's end included: arrays ``key`` (of the runs of ``order`` symbols that start there), ``left`` (symbols from there to the text's end) and ``first`` (the first symbol of each text)."""
 
+    def __init__(self, texts: list[bytes]):
+        import numpy as np
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over all rows of ``text``."""
+        w = Words(texts)
+        size = np.diff(w.cut) + 1
+        self.end = np.cumsum(size)
+        self.first = self.end - size
+        self.key = np.full(self.end[-1] if len(size) else 0, END, np.uint64)
+        word = np.ones(len(self.key), bool)
+        word[self.end - 1] = False
+        self.key[word] = w.key
+        self.left = np.repeat(self.end, size) - np.arange(len(self.key))
+        self.order = 1
+
+    def longer(self) -> None:
+        """On to runs of one symbol more; keys of runs over a text's end mean nothing."""
+        self.key = run_key(self.key[:-1], self.key[1:])
+        self.left = self.left[: len(self.key)]
+        self.order += 1
+
+
+def run_key(a, b):
+    """The key of a run from those of the run without its last and without its first symbol."""
+    import numpy as np
 
-    def run(batches):
-        from collections import Counter
+    return mixed((a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + b)
 
-        import pyarrow as pa
 
-        from plexgraph.llm.common import utf8
+def _passes(bits, key):
+    import numpy as np
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+    place = key >> np.uint64(64 - BITS)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
 
-        n = Counter()
-        for b in batches:
-            for t in utf8(b.column("text")):
-                n.update(tokens(t))
-                if len(n) > FLUSH:
-                    yield out()
-                    n = Counter()
-        yield out()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _bitmap(keys: DataFrame):
+    """A broadcast of 2 ** BITS bits, set where the upper bits of a ``key`` fall: of the same size whatever the table."""
+    import numpy as np
 
+    spark = keys.sparkSession
+    place = F.shiftrightunsigned("key", 64 - BITS)
+    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return spark.sparkContext.broadcast(out)
 
-def _ids(texts, index: dict, end: int):
-    """Token numbers of texts in a row, each with its end: (ids, first token of each text); -1 for words not in the index."""
-    from itertools import repeat
 
+def _summed(batches_of, names: list[str]):
+    """Batches (*names, n) of arrays of keys from many, those of one worker summed; batches_of yields (key, arrays)."""
     import numpy as np
+    import pyarrow as pa
+
+    held, size = [], 0
+
+    def merged():
+        key, n = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+        order = np.argsort(key, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        one = order[at]
+        return key[one], [np.concatenate([h[1][k] for h in held])[one] for k in range(len(names))], np.add.reduceat(n[order], at)
+
+    def out():
+        _, cols, n = held[0]
+        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(n)], [*names, "n"])
+
+    for key, cols in batches_of:
+        if not len(key):
+            continue
+        held.append((key, cols, np.ones(len(key), np.int64)))
+        size += len(key)
+        if size > HELD:
+            held = [merged()]
+            size = len(held[0][0])
+            if size > HELD * 2 // 3:
+                yield out()
+                held, size = [], 0
+    if held:
+        held = [merged()]
+        yield out()
 
-    parts, size = [], []
-    for t in texts:
-        w = tokens(t)
-        parts.append(np.fromiter(map(index.get, w, repeat(-1)), np.int64, len(w)))
-        parts.append(np.array([end]))
-        size.append(len(w) + 1)
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
 
+def symbol_counts(texts: DataFrame) -> DataFrame:
+    """(key, n) of all symbols over all rows of ``text``."""
 
-class _Hashes(dict):
-    """Symbols by word, made when first asked for: as F.xxhash64 of the word."""
+    def run(batches):
+        from plexgraph.llm.common import utf8
 
-    def __missing__(self, word):
-        from xxhash import xxh64_intdigest
+        def keys():
+            for b in batches:
+                for _, some in chunks(utf8(b.column("text"))):
+                    key = Runs(some).key
+                    yield key, [key]
 
-        self[word] = h = xxh64_intdigest(word, SEED)
-        return h
+        return _summed(keys(), ["key"])
 
+    return texts.mapInArrow(sliced(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def _symbols(texts, known: _Hashes, end: int):
-    """Symbols of texts in a row, each with its end, and their places from 0 in their texts."""
-    import numpy as np
 
-    if len(known) > FLUSH:
-        known.clear()
-    parts, places = [], []
-    for t in texts:
-        w = tokens(t)
-        parts += [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)), np.array([end], np.uint64)]
-        places.append(np.arange(len(w) + 1))
-    return np.concatenate(parts), np.concatenate(places)
+def runs_of(texts: DataFrame, order: int, shorter, grown=None) -> DataFrame:
+    """(a, b, n): runs of ``order`` symbols that occur MIN_COUNT times or more, by the keys of their parts.
 
+    shorter: a bitmap of the runs of one symbol less that do so, which both parts of such a run are among; grown: one of the contexts retained so far, which what is between the first and the last symbol is among.
+    """
 
-def _end() -> int:
-    return _Hashes()[b""]  # no word is empty
+    def run(batches):
+        from plexgraph.llm.common import utf8
 
+        def keys():
+            for b in batches:
+                for _, some in chunks(utf8(b.column("text"))):
+                    r, inner = Runs(some), None
+                    while r.order < order - 1:
+                        inner = r.key
+                        r.longer()
+                    if len(r.key) < 2:
+                        continue
+                    fine = _passes(shorter.value, r.key)
+                    ok = fine[:-1] & fine[1:] & (r.left[: len(r.key) - 1] >= order)
+                    if inner is not None:
+                        ok &= _passes(grown.value, inner[1 : len(ok) + 1])
+                    a, b_ = r.key[:-1][ok], r.key[1:][ok]
+                    yield run_key(a, b_), [a, b_]
 
-def _key(*symbols):
-    """One number for each run of symbols (unsigned)."""
-    import numpy as np
+        return _summed(keys(), ["a", "b"])
 
-    out = np.full(len(symbols[0]), len(symbols), np.uint64)
-    for x in symbols:
-        out = out * np.uint64(0x9E3779B97F4A7C15) + x
-        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out ^= out >> np.uint64(31)
-    return out
+    found = texts.mapInArrow(sliced(run), "a long, b long, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
 
 
-def _keyed(df: DataFrame, runs: list[str], *more: str) -> DataFrame:
-    """(key, *more): the keys of runs in columns of signed symbols."""
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with the keys of the runs of its columns a and b."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            key = _key(*(b.column(c).to_numpy().view(np.uint64) for c in runs))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(b.column(c) for c in more)], ["key", *more])
+            key = run_key(*(b.column(c).to_numpy().view(np.uint64) for c in "ab"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", *b.schema.names])
 
-    kinds = "".join(f", {c} {df.schema[c].dataType.simpleString()}" for c in more)
-    return df.select(*runs, *more).mapInArrow(run, f"key long{kinds}")
+    return df.mapInArrow(run, f"key long, {', '.join(f'{c} {t}' for c, t in df.dtypes)}")
 
 
-def _bitmap(keys: DataFrame):
-    """A broadcast of 2 ** BITS bits, set where the upper bits of a ``key`` fall: of the same size whatever the table."""
-    import numpy as np
+def _nodes(rows: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
+    """(a, m, back): the contexts retained, their counts, and log10 of the factor their suffix's probabilities get.
 
-    spark = keys.sparkSession
-    place = F.shiftrightunsigned("key", 64 - BITS)
-    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(out)
+    rows: (a, n, q): counts n of a next symbol, log10 q of its probability in the suffix; contexts: (key, n).
+    """
+    q, n = F.pow(F.lit(10.0), "q"), F.col("n")
+    by = rows.groupBy("a").agg(F.sum("n").alias("s"), F.sum(n * (F.log(n) - F.col("q") * F.log(F.lit(10.0)))).alias("l"), F.sum(q).alias("q"), F.count(F.lit(1)).alias("k"))
+    by = by.join(contexts.select(F.col("key").alias("a"), F.col("n").alias("m")), "a")
+    m, k = F.col("m"), F.col("k")
+    kl = F.col("l") / m - F.col("s") / m * F.log(m)
+    rest_p, rest_q, left = F.greatest(1 - F.col("s") / m, F.lit(0.0)), F.greatest(1 - F.col("q"), F.lit(1e-12)), F.greatest(1 - (F.col("s") - DISCOUNT * k) / m, F.lit(1e-12))
+    kl = kl + F.when(rest_p > 0, rest_p * F.log(rest_p / rest_q)).otherwise(0.0)
+    return by.filter(kl * m > F.lit(0.5) * F.log(F.lit(float(max(total, 2)))) * k).select("a", "m", F.log10(left / rest_q).alias("back"))
 
 
-def _passes(bits, key):
-    import numpy as np
+def fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+    """(key, n, d): the tree. What a run adds to log10 of a text's probability at the root, and how often it occurs.
 
-    place = key >> np.uint64(64 - BITS)
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    counts: (key, n) of all symbols.
+    """
+    unit = float(total + distinct + 1)
+    last = scratch.put(counts.filter(F.col("n") >= MIN_COUNT).select("key", "n", F.log10((F.col("n") + 1) / unit).alias("q")))
+    grown, entries = None, []
+    for words in range(1, DEPTH + 1):
+        runs = scratch.put(runs_of(texts, words + 1, _bitmap(last), grown))
+        told = scratch.put(runs.join(last.select(F.col("key").alias("b"), "q"), "b").select("a", "b", "n", "q"))
+        nodes = scratch.put(_nodes(told, last, total))
+        scratch.drop(runs)
+        if nodes.isEmpty():
+            break
+        p = F.log10((F.col("n") - DISCOUNT) / F.col("m"))
+        state = _keyed(told).join(nodes, "a", "left").select("key", "n", F.coalesce(p, "q").alias("q"), (p - F.col("q") - F.col("back")).alias("d"))
+        scratch.drop(last)
+        last = scratch.put(state)
+        scratch.drop(told)
+        entries.append(nodes.select(F.col("a").alias("key"), F.col("m").alias("n"), F.col("back").alias("d")))
+        entries.append(scratch.put(last.filter("d IS NOT NULL").select("key", "n", "d")))
+        grown = _bitmap(nodes.select(F.col("a").alias("key")))
+    tree = entries[0] if entries else last.select("key", "n", F.col("q").alias("d")).limit(0)
+    for part in entries[1:]:
+        tree = tree.unionByName(part)
+    tree = scratch.put(tree.groupBy("key").agg(F.max("n").alias("n"), F.sum("d").alias("d")))
+    return tree, words
 
 
-def runs_of(texts: DataFrame, order: int, parts) -> DataFrame:
-    """(s0, s1[, s2], n): runs of ``order`` symbols that occur MIN_COUNT times or more.
+def least_count(counts: DataFrame, by: str, most: int) -> int | None:
+    """A least ``by`` that at most ``most`` rows reach, None if there is none.
 
-    parts: the bitmap of the shorter runs that do so, which both parts of such a run are among.
+    That count is found in a histogram over powers of 2 ** (1 / 16), so that no more than the result reaches the driver.
     """
-    names = [f"s{k}" for k in range(order)]
+    bins = counts.groupBy(F.floor(F.log2(by) * 16).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(by).alias("least")).orderBy(F.desc("b")).collect()
+    held, least = 0, None
+    for r in bins:
+        held += r.k
+        if held > most:
+            break
+        least = r.least
+    return least
 
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
 
-        from plexgraph.llm.common import utf8
+_MET: dict = {}
 
-        known, end, bits = _Hashes(), _end(), parts.value
-        held, size = [], 0
 
-        def merged():
-            key, cols, n = (np.concatenate(x) for x in ([h[0] for h in held], [h[1] for h in held], [h[2] for h in held]))
-            key, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-            return key, cols[at], np.bincount(inverse, n, len(key)).astype(np.int64)
+def _met(model):
+    """The broadcast arrays (keys, values) as tables, made once in a worker."""
+    import numpy as np
 
-        def out():
-            _, cols, n = held[0]
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(cols[:, k]).view(np.int64)) for k in range(order)), pa.array(n)], [*names, "n"])
+    if model.id not in _MET:
+        _MET.clear()
+        out = []
+        for key, value in model.value:
+            t = Table()
+            t.add(key, np.arange(len(key), dtype=np.int32))
+            out.append((t, np.append(value, 0.0)))  # -1 is none
+        _MET[model.id] = out
+    return _MET[model.id]
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sym, place = _symbols(utf8(b.column("text")), known, end)
-            part = [sym[k : len(sym) - order + 1 + k] for k in range(order)]
-            if not len(part[0]):
-                continue
-            short = _passes(bits, _key(sym) if order == 2 else _key(sym[:-1], sym[1:]))
-            ok = (place[order - 1 :] >= order - 1) & short[:-1] & short[1:]
-            cols = np.stack([p[ok] for p in part], axis=1)
-            key, at, n = np.unique(_key(*cols.T), return_index=True, return_counts=True)
-            held.append((key, cols[at], n))
-            size += len(key)
-            if size > 1_500_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            held = [merged()]
-            yield out()
 
-    found = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", n long")
-    return found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+class _Broadcast:
+    """A broadcast with a number that workers know it by."""
 
+    def __init__(self, spark: SparkSession, *tables: DataFrame):
+        import uuid
 
-def _met(left: DataFrame, right: DataFrame, on: list[str], by: str) -> DataFrame:
-    """An inner join with a table of one row a key, of which the HOT rows with the greatest ``by`` are broadcast: hot keys of ``left`` stay where they are."""
-    least = least_count(right, by, HOT)
-    if least is None:
-        return left.join(right, on)
-    hot, rest = F.broadcast(right.filter(F.col(by) >= least)), right.filter(F.col(by) < least)
-    return left.join(hot, on).unionByName(left.join(hot.select(*on), on, "left_anti").join(rest, on))
+        import numpy as np
 
+        arrow = [t.toArrow() for t in tables]  # bounded by least_count
+        self.id = uuid.uuid4().hex
+        self.held = spark.sparkContext.broadcast([(t.column(0).to_numpy().astype(np.int64).view(np.uint64), t.column(1).to_numpy().astype(float)) for t in arrow])
 
-def _nodes(rows: DataFrame, context: list[str], total: int) -> DataFrame:
-    """(*context, back): the contexts retained and log10 of the factor their suffix's probabilities get.
+    @property
+    def value(self):
+        return self.held.value
 
-    rows: (*context, n, m, q): counts n of a next symbol and m of the context, log10 q of the symbol's probability in the suffix.
-    """
-    p = F.col("n") / F.col("m")
-    by = rows.groupBy(*context, "m").agg(
-        F.sum(p).alias("p"), F.sum(F.pow(F.lit(10.0), "q")).alias("q"), F.sum(p * (F.log(p) - F.col("q") * F.log(F.lit(10.0)))).alias("kl"),
-        F.sum((F.col("n") - DISCOUNT) / F.col("m")).alias("d"), F.count(F.lit(1)).alias("k"),
-    )
-    rest_p, rest_q, left = F.greatest(1 - F.col("p"), F.lit(0.0)), F.greatest(1 - F.col("q"), F.lit(1e-12)), F.greatest(1 - F.col("d"), F.lit(1e-12))
-    kl = F.col("kl") + F.when(rest_p > 0, rest_p * F.log(rest_p / rest_q)).otherwise(0.0)
-    return by.filter(kl * F.col("m") > F.lit(0.5) * F.log(F.lit(float(max(total, 2)))) * F.col("k")).select(*context, "m", F.log10(left / rest_q).alias("back"))
 
+def _ge(df: DataFrame, least: int | None) -> F.Column:
+    return F.lit(False) if least is None else F.col("n") >= least
 
-def fit(texts: DataFrame, counts: DataFrame, n_docs: int, total: int, distinct: int) -> DataFrame:
-    """(key, n, d): the tree. What a run adds to log10 of a text's probability at the root, and how often it occurs.
 
-    counts: (word, n) of all words; total and distinct count the end too.
-    """
-    spark = texts.sparkSession
-    end = _end() - (1 << 64) if _end() >> 63 else _end()
-    ends = spark.range(1).select(F.lit(end).cast("long").alias("s"), F.lit(n_docs).cast("long").alias("n"))
-    words = stored(counts.select(F.xxhash64("word").alias("s"), "n").unionByName(ends).filter(F.col("n") >= MIN_COUNT))
-    log_d = F.log10((F.col("n") - DISCOUNT) / F.col("m"))
-
-    pairs = stored(runs_of(texts, 2, _bitmap(_keyed(words, ["s"]))))
-    named = lambda c, n: words.select(F.col("s").alias(c), F.col("n").alias(n))
-    told = _met(_met(pairs, named("s0", "m"), ["s0"], "m"), named("s1", "n1"), ["s1"], "n1")
-    told = stored(told.withColumn("q", F.log10((F.col("n1") + 1) / (total + distinct + 1))))
-    one = stored(_nodes(told, ["s0"], total))
-    listed = stored(_met(told, one.select("s0", "back", F.col("m").alias("by")), ["s0"], "by").select("s0", "s1", "n", log_d.alias("p"), (log_d - F.col("q") - F.col("back")).alias("d")))
-    # log10 of each pair's probability in the state of its first symbol
-    state = stored(told.select("s0", "s1", "n", "q").join(listed.select("s0", "s1", "p"), ["s0", "s1"], "left").select("s0", "s1", "n", F.coalesce("p", "q").alias("q")))
-
-    runs = stored(runs_of(texts, 3, _bitmap(_keyed(pairs, ["s0", "s1"]))))
-    suffix = state.select(F.col("s0").alias("s1"), F.col("s1").alias("s2"), "q", F.col("n").alias("by"))
-    runs = _met(_met(runs, pairs.withColumnRenamed("n", "m"), ["s0", "s1"], "m"), suffix, ["s1", "s2"], "by")
-    runs = stored(runs.select("s0", "s1", "s2", "n", "m", "q"))
-    two = stored(_nodes(runs, ["s0", "s1"], total))
-    longer = _met(runs.drop("m"), two, ["s0", "s1"], "m").withColumn("d", log_d - F.col("q") - F.col("back"))
-
-    tree = _keyed(one.withColumnsRenamed({"m": "n", "back": "d"}), ["s0"], "n", "d")
-    for part, cols in ((listed, ["s0", "s1"]), (two.withColumnsRenamed({"m": "n", "back": "d"}), ["s0", "s1"]), (longer, ["s0", "s1", "s2"])):
-        tree = tree.unionByName(_keyed(part, cols, "n", "d"))
-    return stored(tree.groupBy("key").agg(F.max("n").alias("n"), F.sum("d").alias("d")))
-
-
-def score(docs: DataFrame, counts: DataFrame, words: list, tree: DataFrame, n_docs: int, total: int, distinct: int) -> DataFrame:
+def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame, words: int, total: int, distinct: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs (doc_id, text, held_out)."""
     import numpy as np
 
-    spark = docs.sparkSession
-    unit = np.log10(total + distinct + 1)
-    logs = np.log10(np.array([c for _, c in words] + [n_docs], float) + 1) - unit  # the end is last
-    least = least_count(tree, "n", NODES)
-    top = tree.filter(F.col("n") >= least).toArrow() if least is not None else tree.limit(0).toArrow()
-    key, d = top.column("key").to_numpy().astype(np.int64).view(np.uint64), top.column("d").to_numpy()
-    model = spark.sparkContext.broadcast(({w: k for k, (w, _) in enumerate(words)}, logs, key[order := np.argsort(key)], d[order]))
-    rest = tree if least is None else tree.filter(F.col("n") < least)
-    bits, rest_bits = _bitmap(tree), _bitmap(rest)
+    spark, unit = docs.sparkSession, float(np.log10(total + distinct + 1))
+    often, near = _ge(counts, least_count(counts, "n", HEAD)), _ge(tree, least_count(tree, "n", NODES))
+    model = _Broadcast(spark, counts.filter(often).select("key", F.log10(F.col("n") + 1)), tree.filter(near).select("key", "d"))
+    # what isn't broadcast: a word's share, known by its key, and an entry of the tree, known by the complement of its key
+    seldom = counts.filter(~often).select("key", F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("one"), F.lit(0).alias("node"))
+    deep = tree.filter(~near).select("key", F.col("d").alias("value"), F.lit(0).alias("one"), F.lit(1).alias("node"))
+    bits, rare_bits = _bitmap(deep), _bitmap(seldom)
+    rest = seldom.unionByName(deep.withColumn("key", F.bitwise_not("key")))
+    names = ["row", "key", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
     def run(batches):
-        from collections import Counter
-
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         from plexgraph.llm.common import utf8
 
-        index, log, keys, add_d = model.value
-        end, base_row = len(index), TaskContext.get().partitionId() << 40
-        known, end_symbol = _Hashes(), _end()
-        names = ["row", "word", "key", "tf", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        (log, log_value), (node, node_value) = _met(model)
+        base_row = TaskContext.get().partitionId() << 40
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         for b in batches:
-            if not b.num_rows:
-                continue
-            texts = utf8(b.column("text"))
-            ids, first = _ids(texts, index, end)
-            rows = base_row + np.arange(len(texts))
-            base_row += len(texts)
-            base = np.where(ids >= 0, log[ids], -unit)
-            sym, place = _symbols(texts, known, end_symbol)
-            full, rows_at, keys_at = base.copy(), [], []
-            for size in (1, 2, 3):
-                at = np.flatnonzero((place >= size - 1) & (ids != end if size == 1 else True))
-                key = _key(*(sym[at - size + 1 + k] for k in range(size)))
-                ok = _passes(bits.value, key)
-                at, key = at[ok], key[ok]
-                if len(keys):
-                    near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    hit = keys[near] == key
-                    full[at[hit]] += add_d[near[hit]]
-                    at, key = at[~hit], key[~hit]
-                ok = _passes(rest_bits.value, key)
-                rows_at.append(rows[np.searchsorted(first, at[ok], side="right") - 1])
-                keys_at.append(key[ok].view(np.int64))
-            rare = ids < 0
-            add = lambda x: np.add.reduceat(x, first)
-            n = np.diff(np.concatenate([first, [len(ids)]]))
-            empty = [None] * len(texts)
-            cols = [rows, empty, empty, empty, b.column("doc_id"), b.column("held_out"), n, add((ids >= 0) & ((ids < end) | (n_docs > 0))), add(base), add(full)]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
-            row, word, tf = [], [], []
-            at = np.flatnonzero(rare)
-            of = np.searchsorted(first, at, side="right") - 1
-            for k in np.unique(of):
-                w = tokens(texts[k])
-                got = Counter(w[j] for j in (at[of == k] if len(texts) < 2 else at[np.searchsorted(of, k) : np.searchsorted(of, k, side="right")]) - first[k])
-                row += [int(rows[k])] * len(got)
-                word += got.keys()
-                tf += got.values()
-            row_k, key_k = np.concatenate(rows_at), np.concatenate(keys_at)
-            for cols in ([row, word, None, tf], [row_k, None, key_k, None]):
-                cols += [None] * (len(kinds) - len(cols))
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(cols[0]), k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds)], names)
-
-    told = stored(docs.mapInArrow(run, "row long, word binary, key long, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
-    rare = told.filter("word IS NOT NULL").select("row", "word", "tf").join(counts, "word")
-    more = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("logs"))
-    deep = told.filter("key IS NOT NULL").select("row", "key").join(rest, "key").groupBy("row").agg(F.sum("d").alias("deep"))
-    rows = told.filter("word IS NULL AND key IS NULL").drop("word", "key", "tf").join(more, "row", "left").join(deep, "row", "left")
-    log, deep = F.coalesce("logs", F.lit(0.0)), F.coalesce("deep", F.lit(0.0))
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), (F.col("base") + log).alias("base_score"), (F.col("score") + log + deep).alias("score"))
-
-
-# The same on one machine, over numbered symbols: what the joins are compared with in tests.
-
-
-def _level(key, n, count, suffix_p, m: int, total: float):
-    """Nodes retained at one order.
-
-    key, n: context x m + symbol and its count; count: of each context; suffix_p(contexts, symbols): probabilities in the suffix.
-    Returns (contexts retained, log10 of the backoff factor of each, explicit keys, their probabilities).
-    """
-    import numpy as np
-
-    ctx, sym = key // m, key % m
-    p = n / count[ctx]
-    q = np.maximum(suffix_p(ctx, sym), 1e-300)
-    own, at = np.unique(ctx, return_inverse=True)
-    by = lambda x: np.bincount(at, x, len(own))
-    rest_p, rest_q = np.maximum(1 - by(p), 0), np.maximum(1 - by(q), 1e-12)
-    kl = by(p * np.log(p / q)) + np.where(rest_p > 0, rest_p * np.log(np.maximum(rest_p, 1e-300) / rest_q), 0)
-    kept = kl * count[own] > 0.5 * np.log(max(total, 2)) * by(np.ones(len(p)))
-    d = (n - DISCOUNT) / count[ctx]
-    left = np.maximum(1 - by(d), 1e-12)
-    keep_row = kept[at]
-    return own[kept], np.log10(left / rest_q)[kept], key[keep_row], d[keep_row]
-
-
-class Tree:
-    """Retained contexts as sorted arrays: ``one`` over symbols, ``two`` over keys of pairs."""
-
-    def __init__(self, root, m: int):
-        import numpy as np
-
-        self.root, self.m = root, m  # probability of each symbol at the root
-        none = np.zeros(0, np.int64)
-        self.levels = [(none, np.zeros(0), none, np.zeros(0))] * 2
-
-    def node(self, level: int, ctx):
-        """Places of contexts among the retained ones of an order, -1 if not retained."""
-        import numpy as np
-
-        own = self.levels[level][0]
-        if not len(own):
-            return np.full(len(ctx), -1)
-        at = np.minimum(np.searchsorted(own, ctx), len(own) - 1)
-        return np.where(own[at] == ctx, at, -1)
-
-    def logs(self, level: int, ctx, sym):
-        """(log10 of the listed probability or of the backoff factor, is listed); (0, False) where the context isn't retained."""
-        import numpy as np
-
-        _, back, keys, p = self.levels[level]
-        node = self.node(level, ctx)
-        key = ctx * self.m + sym
-        at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-        listed = (node >= 0) & (sym >= 0) & ((keys[at] == key) if len(keys) else False)
-        factor = back[node] if len(back) else np.zeros(len(ctx))
-        return np.where(listed, np.log10(p[at]) if len(p) else 0.0, np.where(node >= 0, factor, 0.0)), listed
-
-
-def least_count(counts: DataFrame, by: str, most: int) -> int | None:
-    """A least ``by`` that at most ``most`` rows reach, None if there is none.
-
-    That count is found in a histogram over powers of 2 ** (1 / 16), so that no more than the result reaches the driver.
-    """
-    bins = counts.groupBy(F.floor(F.log2(by) * 16).alias("b")).agg(F.count(F.lit(1)).alias("k"), F.min(by).alias("least")).orderBy(F.desc("b")).collect()
-    held, least = 0, None
-    for r in bins:
-        held += r.k
-        if held > most:
-            break
-        least = r.least
-    return least
-
-
-def frequent(counts: DataFrame, most: int) -> list:
-    """The most frequent words, ``most`` at most, with their counts, descending: all that reach a common count."""
-    least = least_count(counts, "n", most)
-    top = [] if least is None else counts.filter(F.col("n") >= least).collect()
-    return sorted(((bytes(r.word), r.n) for r in top), key=lambda x: (-x[1], x[0]))
+            for at, some in chunks(utf8(b.column("text"))):
+                r = Runs(some)
+                rows = base_row + np.arange(len(some))
+                base_row += len(some)
+                first, end, n = r.first, r.end, r.end - r.first
+                k = log.find(r.key)
+                base, more = log_value[k] - unit, np.zeros(len(r.key))
+                rare = np.flatnonzero(k < 0)
+                rare = rare[_passes(rare_bits.value, r.key[rare])]
+                asked = [(rare, r.key[rare].view(np.int64))]
+                known = np.add.reduceat(k >= 0, first, dtype=np.int64)
+                for _ in range(words + 1):
+                    j = node.find(r.key)
+                    fine = r.left >= r.order
+                    value = node_value[j]
+                    value[~fine] = 0
+                    more[: len(value)] += value
+                    far = np.flatnonzero(fine & (j < 0))
+                    far = far[_passes(bits.value, r.key[far])]
+                    asked.append((far, ~r.key[far].view(np.int64)))
+                    if len(r.key) < 2:
+                        break
+                    r.longer()
+                add = lambda x: np.add.reduceat(x, first)
+                total_base = add(base)
+                cols = [rows, None, b.column("doc_id").slice(at, len(some)), b.column("held_out").slice(at, len(some)), n, known, total_base, total_base + add(more)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                of, key = np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked])
+                row = rows[np.searchsorted(end, of, side="right")]
+                for s in range(0, len(row), 500_000):
+                    x = slice(s, s + 500_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[x], kinds[0]), pa.array(key[x], kinds[1]), *(pa.nulls(len(row[x]), t) for t in kinds[2:])], names)
+
+    told = scratch.put(docs.mapInArrow(sliced(run), "row long, key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
+    met = told.filter("key IS NOT NULL").select("row", "key").join(rest, "key")
+    more = met.groupBy("row").agg(F.sum("one").alias("ones"), F.sum(F.col("value") * F.col("one")).alias("logs"), F.sum(F.col("value") * F.col("node")).alias("deep"))
+    rows = told.filter("key IS NULL").drop("key").join(more, "row", "left")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + of("ones")).alias("n_known"), (F.col("base") + of("logs")).alias("base_score"), (F.col("score") + of("logs") + of("deep")).alias("score"))
 
 
 def held_out() -> F.Column:
@@ -439,17 +368,15 @@ def held_out() -> F.Column:
 
 def score_documents(docs: DataFrame, held: F.Column) -> DataFrame:
     """Learns from the rows that aren't held out and scores all: adds train_tokens to what ``score`` gives."""
-    small_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
     docs = doc_text(docs).withColumn("held_out", held)
     train = docs.filter(~F.col("held_out")).select("text")
-    counts = stored(word_counts(train))
-    n_docs = train.count()
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    total, distinct = n + n_docs, v + (n_docs > 0)
-    words = frequent(counts, HEAD)
-    tree = fit(train, counts, n_docs, total, distinct)
-    out = score(docs, counts, words, tree, n_docs, total, distinct)
-    return out.withColumn("train_tokens", F.lit(total).cast("long"))
+    counts = scratch.put(symbol_counts(train))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    tree, words = fit(scratch, train, counts, total, distinct)
+    out = stored(score(scratch, docs, counts, tree, words, total, distinct).withColumn("train_tokens", F.lit(total).cast("long")))
+    scratch.drop()
+    return out
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
