@@ -12,14 +12,15 @@ for clustered vectors and large for scattered ones. A query's (k + 1)-th best in
 the sample bounds its results from below, and lists return nothing beneath it.
 
 Equal vectors are indexed and searched once: as they tie everywhere, only the
-``k`` + 1 smallest ids of such a group can be results, and these stay with it.
+smallest ids of such a group can be results, and these stay with it.
 Lists are cut into parts of about ``PART`` vectors that queries meet one by one,
 so a large list is spread over tasks.
 
 Vectors that are null, zero or hold null or non-finite components take no part,
 nor do those whose length differs from the most frequent one, nor null ids.
-Repeated ids are candidates once for each different vector. Empty tables give no
-rows. Other columns are ignored.
+Every row is a candidate, with repeated ids too, but for those of the query's own
+id; a query id with different vectors is a query with each of them, each with its
+own ranks. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import small_batches, stored, table
+from plexgraph.llm.common import sliced, stored, table
 
 K = 20
 SAMPLE = 20_000
@@ -184,7 +185,7 @@ def _packed(most: int, columns: list[str]):
 
 
 def _search(model, k: int, rerank: int):
-    """Packed vectors and packed queries of a list part: each query's best k + 1."""
+    """Packed vectors and packed queries of a list part: each query's best k."""
 
     def run(batches):
         import numpy as np
@@ -194,15 +195,15 @@ def _search(model, k: int, rerank: int):
         for b in batches:
             for j in range(b.num_rows):
                 get = lambda n: b.column(n)[j].values
-                ids = np.array(get("x").to_pylist())
+                ids, groups = np.array(get("x").to_pylist()), np.array(get("g").to_pylist())
                 vectors = np.array(get("v").to_pylist(), float)
                 code = np.frombuffer(b"".join(get("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 order = np.argsort(ids, kind="stable")
-                ids, vectors, code, length = ids[order], vectors[order], code[order], np.array(get("length").to_pylist())[order]
+                ids, groups, vectors, code, length = ids[order], groups[order], vectors[order], code[order], np.array(get("length").to_pylist())[order]
                 qs, qv = np.array(get("q").to_pylist()), np.array(get("qv").to_pylist(), float)
                 padded = np.pad(qv, ((0, 0), (0, len(books) * SUB - qv.shape[1]))).reshape(len(qv), len(books), 1, SUB)
                 tables = (padded * books[None]).sum(-1)  # queries, sub-vectors, 256
-                out = ([], [], [])
+                out = ([], [], [], [])
                 for t, q, v, least in zip(tables, qs, qv, get("least").to_pylist()):
                     best = np.arange(len(ids))
                     if len(ids) > rerank:
@@ -211,11 +212,12 @@ def _search(model, k: int, rerank: int):
                         best = np.flatnonzero(approx >= cut)
                     exact = vectors[best] @ v
                     best, exact = best[exact >= least], exact[exact >= least]
-                    top = np.lexsort((ids[best], -exact))[: k + 1]
+                    top = np.lexsort((ids[best], -exact))[:k]
                     out[0].append(np.full(len(top), q))
                     out[1].append(ids[best][top])
-                    out[2].append(exact[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["q", "x", "score"])
+                    out[2].append(groups[best][top])
+                    out[3].append(exact[top])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["q", "x", "g", "score"])
 
     return run
 
@@ -223,46 +225,50 @@ def _search(model, k: int, rerank: int):
 def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int | None = None, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on vec_id) selects, its k nearest others found."""
     spark = rows.sparkSession
-    small_batches(spark, 5000)
     own = valid(rows).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
+    asked = own.filter(queries).select("vec_id", "h1", "h2")
+    # a result list begins with rows of the query's own id, as many as there are, one by far the most often
+    m = k + (asked.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1)
     first = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    few = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= k + 1)  # at most k + 1 of each map task
-    groups = stored(few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("x", F.element_at("ids", 1)))
-    n = groups.count()
+    few = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= m)  # at most m of each map task
+    groups = few.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    # g names a group of equal vectors; x, its smallest id, may be that of other groups too
+    groups = stored(groups.withColumns({"g": F.monotonically_increasing_id(), "x": F.element_at("ids", 1)}))
+    n, dim = groups.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
     import numpy as np
 
-    drawn = groups.filter(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < F.lit(min(1.0, sample / n) * 1_000_003)).select("v").limit(2 * sample).collect() or groups.select("v").limit(1).collect()
-    x = np.array([r.v for r in drawn], float)
-    x = x[: max(1, int(SAMPLE_MB * 1e6 / 8 / x.shape[1]))]
+    most = max(1, min(sample, int(SAMPLE_MB * 1e6 / 8 / dim)))
+    drawn = groups.filter(F.pmod(F.xxhash64("h1", F.lit(3)), F.lit(1_000_003)) < F.lit(min(1.0, most / n) * 1_000_003)).select("v").limit(most).toArrow() if n > 1 else groups.select("v").toArrow()
+    if not drawn.num_rows:
+        drawn = groups.select("v").limit(1).toArrow()
+    x = drawn.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dim)
     lists = int(min(MAX_LISTS, max(1, round(n ** (1 / 3))), len(x)))
     fitted = fit(x, lists)
     probes = probes or calibrate(x, fitted[0], k)
     model, sampled = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(x)
-    indexed = stored(groups.select("x", "v").mapInArrow(_index(model), "x long, v array<double>, list int, code binary, length double"))
+    indexed = stored(groups.select("g", "x", "v").mapInArrow(sliced(_index(model), 5000), "g long, x long, v array<double>, list int, code binary, length double"))
     parts = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each list, MAX_LISTS at most
     sizes = {r.list: r.size for r in parts.collect()}
-    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("x"), "parts").alias("part"), "x", "v", "code", "length")
-    one = lambda df, most, cols: df.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(_packed(most, cols), f"list int, part long, {', '.join(f'{c} array<{dict(df.dtypes)[c]}>' for c in cols)}")
-    blocks = stored(one(cut, 8192, ["x", "v", "code", "length"]))
-    asked = own.filter(queries).select("vec_id", "h1", "h2")
+    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("g"), "parts").alias("part"), "g", "x", "v", "code", "length")
+    one = lambda df, most, cols: df.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(sliced(_packed(most, cols), 5000), f"list int, part long, {', '.join(f'{c} array<{dict(df.dtypes)[c]}>' for c in cols)}")
+    blocks = stored(one(cut, 8192, ["g", "x", "v", "code", "length"]))
     asked_groups = asked.select("h1", "h2").distinct().join(groups, ["h1", "h2"])
-    probed = asked_groups.select(F.col("x").alias("q"), "v").mapInArrow(_probe(model, sampled, sizes, probes, k), "q long, v array<double>, least double, list int")
+    probed = asked_groups.select(F.col("g").alias("q"), "v").mapInArrow(sliced(_probe(model, sampled, sizes, probes, m - 1), 5000), "q long, v array<double>, least double, list int")
     probed = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"), "least")
     met = stored(one(probed, 256, ["q", "qv", "least"])).join(blocks, ["list", "part"])
-    small_batches(spark, 16)
-    found = met.select("q", "qv", "least", "x", "v", "code", "length").mapInArrow(_search(model, k, rerank), "q long, x long, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "x")
-    top = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).select("q", "x", "score"))
-    members = groups.select("x", "ids")
-    each = top.join(members, "x").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("g"))
-    flat = F.flatten(F.transform("g", lambda g: F.transform(g["ids"], lambda i: F.struct((-g["score"]).alias("s"), i.alias("vec_id")))))
-    each = each.select("q", F.slice(F.array_sort(flat), 1, k + 1).alias("g"))
-    who = asked.join(groups.select("h1", "h2", F.col("x").alias("q")), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "q").distinct()
-    rest = who.join(each, "q").select("query_id", F.slice(F.filter("g", lambda s: s["vec_id"] != F.col("query_id")), 1, k).alias("g"))
-    return rest.select("query_id", F.posexplode("g").alias("p", "s")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "s.vec_id", (-F.col("s.s")).alias("score"))
+    found = met.select("q", "qv", "least", "g", "x", "v", "code", "length").mapInArrow(sliced(_search(model, m, rerank), 16), "q long, x long, g long, score double")
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "x", "g")
+    top = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= m).select("q", "g", "score"))
+    members = groups.select("g", "ids")
+    each = top.join(members, "g").groupBy("q").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
+    flat = F.flatten(F.transform("found", lambda m: F.transform(m["ids"], lambda i: F.struct((-m["score"]).alias("s"), i.alias("vec_id")))))
+    each = each.select("q", F.slice(F.array_sort(flat), 1, m).alias("found"))
+    who = asked.join(groups.select("h1", "h2", F.col("g").alias("q")), ["h1", "h2"]).select(F.col("vec_id").alias("query_id"), "q").distinct()
+    rest = who.join(each, "q").select("query_id", F.slice(F.filter("found", lambda s: s["vec_id"] != F.col("query_id")), 1, k).alias("found"))
+    return rest.select("query_id", F.posexplode("found").alias("p", "s")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "s.vec_id", (-F.col("s.s")).alias("score"))
 
 
 def op3_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
