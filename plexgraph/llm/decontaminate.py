@@ -26,8 +26,9 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plexgraph.llm.common import doc_text, small_batches, stored, table
+from plexgraph.llm.common import doc_text, sliced, stored, table
 
 SIZE = 10
 GROUP_MB = 8
@@ -74,7 +75,7 @@ def _count(docs: DataFrame, wanted) -> DataFrame:
                     n.update(p for p in zip(w) if p in keys)
         yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k) for k in n], pa.binary()), pa.array(list(n.values()), pa.int64())], ["key", "n"])
 
-    return docs.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(sliced(run), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _join(docs: DataFrame, index) -> DataFrame:
@@ -114,19 +115,21 @@ def _join(docs: DataFrame, index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x for _, x in kept + new], [x for x, _ in kept + new])
 
     kinds = index.value[2]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kinds)
-    return docs.mapInArrow(run, f"{schema}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    added = StructType.fromDDL("n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    return docs.mapInArrow(sliced(run), StructType([docs.schema[c] for c in kinds] + added.fields))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, group_mb: float = GROUP_MB, keep: tuple = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of docs (which has ``text``) with n_words, spans (maximal runs of hit words) and items (ids, sorted)."""
+    """Columns ``keep`` of docs (which has ``text``; none of them named like what is added) with n_words, spans (maximal runs of hit words) and items (ids, sorted)."""
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     mb = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
     groups = max(1, int(-(-mb // group_mb)))
+    row = "_row"
+    while row in {c.lower() for c in keep}:
+        row += "_"
     if groups > 1:
-        docs = stored(docs.select(F.monotonically_increasing_id().alias("_row"), *dict.fromkeys((*keep, "text"))))
+        docs = stored(docs.select(F.monotonically_increasing_id().alias(row), *dict.fromkeys((*keep, "text"))))
     parts = None
     for g in range(groups):
         own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == g).collect()
@@ -138,18 +141,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, group_mb:
             offset, p = min(enumerate(_shingles(w)), key=lambda x: (rarity.get(x[1], 0), x[1], x[0]))
             if p in rarity:
                 by.setdefault(p, {}).setdefault((offset, len(w)), {})[w] = of
-        index = spark.sparkContext.broadcast((by, any(len(p) == 1 for p in by), (["_row"] if groups > 1 else []) + list(keep)))
+        index = spark.sparkContext.broadcast((by, any(len(p) == 1 for p in by), ([row] if groups > 1 else []) + list(keep)))
         part = _join(docs, index)
         parts = part if parts is None else parts.unionByName(part)
     if groups == 1:
         return parts
-    return _merged(parts, keep)
+    return _merged(parts, row, keep)
 
 
-def _merged(parts: DataFrame, keep: tuple) -> DataFrame:
+def _merged(parts: DataFrame, row: str, keep: tuple) -> DataFrame:
     """One row per document from its rows of each group: spans united, items united."""
     firsts = [F.first(c).alias(c) for c in (*keep, "n_words")]
-    rows = parts.groupBy("_row").agg(*firsts, F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = parts.groupBy(row).agg(*firsts, F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     grow = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import small_batches, table
+from plexgraph.llm.common import sliced, table
 
 WINDOW = 128
 EMBED = 6
@@ -156,7 +156,7 @@ def sample_windows(rows: DataFrame, max_docs: int = MAX_DOCS, per_doc: int = DOC
                         out.append(x[at].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(out, pa.binary())], ["lang", "x"])
 
-    return drawn.mapInArrow(run, "lang string, x binary").collect()
+    return drawn.mapInArrow(sliced(run), "lang string, x binary").collect()
 
 
 def fit(rows: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict, list] | None:
@@ -174,7 +174,6 @@ def fit(rows: DataFrame, max_docs: int = MAX_DOCS) -> tuple[dict, list] | None:
 def predict(docs: DataFrame, model: tuple[dict, list] | None) -> DataFrame:
     """docs with lang_pred and score added, and any columns of those names replaced."""
     docs = docs.drop("lang_pred", "score")
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
@@ -198,7 +197,7 @@ def predict(docs: DataFrame, model: tuple[dict, list] | None) -> DataFrame:
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sliced(run), schema)
 
 
 def held_out() -> F.Column:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import stored
+from plexgraph.llm.common import quoted, stored
 
 SWEEPS = 6
 RATE = 1.0
@@ -72,27 +72,32 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     return cur
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
-    """docs with _topic, _tokens, _weight, _probability and _selected."""
-    text = F.col("text").cast("string")
-    told = docs.withColumns({
-        "_topic": F.coalesce(F.col(topic_col).cast("string"), F.lit(_NULL)) if topic_col else topic(text),
-        "_tokens": n_tokens(text),
-        "_source": F.coalesce(F.col("source").cast("string"), F.lit(_NULL)),
-        "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(_NULL)),
-    })
+def _drawn(docs: DataFrame, targets: dict[str, DataFrame] | None = None, topic_col: str | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
+    """(own, _topic, _tokens, _weight, _probability, _selected); own holds all columns of docs."""
+    text, name = F.col("text").cast("string"), lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NULL))
+    told = docs.select(
+        F.struct(F.col("*")).alias("own"), (name(topic_col) if topic_col else topic(text)).alias("_topic"), n_tokens(text).alias("_tokens"), name("source").alias("_source"), name("lang").alias("_lang"),
+    )
     cells = stored(told.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")))
     raked = rake(cells, targets or default_targets(cells), sweeps)
     most = raked.filter("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
     p = F.least(F.lit(1.0), F.col("weight") * min(rate, 1.0 / most))
     share = raked.select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("weight").alias("_weight"), p.alias("_probability"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SALT), F.coalesce(F.col("own.doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     return told.join(share, ["_source", "_lang", "_topic"]).withColumn("_selected", draw < F.col("_probability")).drop("_source", "_lang")
 
 
+_ADDED = ("_topic", "_tokens", "_weight", "_probability", "_selected")
+
+
+def probabilities(docs: DataFrame, **how) -> DataFrame:
+    """docs with _topic, _tokens, _weight, _probability and _selected, which replace columns of those names."""
+    return _drawn(docs, **how).select(*[F.col(f"own.{quoted(c)}") for c in docs.columns if c.lower() not in _ADDED], *_ADDED)
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The drawn documents, with their own columns."""
-    return probabilities(docs, **how).filter("_selected").select(*docs.columns)
+    """The drawn documents, with their own columns as they are."""
+    return _drawn(docs, **how).filter("_selected").select("own.*")
 
 
 def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

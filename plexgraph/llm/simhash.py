@@ -13,6 +13,11 @@ losing a pair. Within a bucket only the edges of a spanning forest of the links
 are emitted, never all pairs. Components come from alternating star contraction
 over those edges, written to the shared folder each round.
 
+``similar_documents`` asks for a similarity of texts instead, of 0.8 by words of
+five. That is some 15 % of a fingerprint's bits, more than blocks can promise to
+leave one alike; so its fingerprints are longer, and have as many blocks as let
+such pairs share one with a chance of ``RECALL``.
+
 Nulls: a null text has no words, so fingerprint 0, like an empty one. A null
 doc_id keeps its row, gets the component of its fingerprint, and is never chosen
 as a component's id unless no other is there. Repeated rows stay. Empty tables
@@ -21,17 +26,22 @@ give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import doc_text, small_batches, stored, table
+from plexgraph.llm.common import doc_text, packed, sliced, stored, table, unpacked
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
 BUCKET = 1024
+#: Of near-duplicates by similarity: words of a shingle, the least similarity, and the least share of pairs of that similarity that meet.
+WORDS = 5
+SIMILARITY = 0.8
+RECALL = 0.95
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -67,9 +77,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keep
             fp = np.array([fingerprint(t, shingle, seed) for t in utf8(b.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fp.view(np.int64))], [*keep, "fp"])
 
-    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{schema}, fp long")
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(sliced(run), f"{schema}, fp long")
 
 
 def _blocks(free: int, n: int) -> list[int]:
@@ -174,14 +183,183 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
     return marks.join(rooted.join(ids, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
 
 
+# Near-duplicates by similarity: longer fingerprints, of which a block is shared often enough.
+
+
+def block_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int, int]:
+    """(bits of a block, blocks, most bits that differ) for n different fingerprints.
+
+    Sets of Jaccard similarity s have a cosine of at least 2 s / (1 + s), so each bit
+    differs with a chance of at most p = acos(cosine) / pi. A block has log2(n) bits,
+    so that unlike fingerprints seldom share one, and there are as many blocks as let
+    pairs at the bound share one with a chance of ``recall``. Two standard deviations
+    above the mean are allowed to differ.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(32, max(16, math.ceil(math.log2(max(n, 2)))))
+    blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - p) ** bits))
+    total = bits * blocks
+    return bits, blocks, math.ceil(total * p + 2 * math.sqrt(total * p * (1 - p)))
+
+
+def _shingle_sets(texts: list[bytes], shingle: int):
+    """For each text, the different keys of its shingles; a text of fewer words is one shingle, none is the empty one."""
+    import numpy as np
+
+    from plexgraph.llm.words import Words, chunks, mixed
+
+    for _, some in chunks(texts):
+        w = Words(some)
+        run = w.key
+        for _ in range(shingle - 1):
+            run = mixed(run[:-1] * np.uint64(0x9E3779B97F4A7C15) + w.key[len(w.key) - len(run) + 1 :]) if len(run) else run
+        for i, j in zip(w.cut, w.cut[1:]):
+            if j - i >= shingle:
+                yield np.unique(run[i : j - shingle + 1])
+            else:
+                h = np.uint64(j - i)
+                for x in w.key[i:j]:
+                    h = mixed(np.array([h ^ x]))[0]
+                yield np.array([h], np.uint64)
+
+
+def _long_fingerprint(h, words: int):
+    """``words`` x 64 bits of a set of shingle keys: each the majority of a bit of their hashes."""
+    import numpy as np
+
+    from plexgraph.llm.words import mixed
+
+    salt = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    votes = np.zeros(64 * words, np.int64)
+    for k in range(0, len(h), 4080):
+        part = mixed(h[k : k + 4080, None] ^ salt[None, :])
+        for at in range(0, len(part), 255):  # so that the votes fit into bytes
+            bits = np.unpackbits(np.ascontiguousarray(part[at : at + 255]).view(np.uint8), axis=1)
+            votes += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(h))
+
+
+def long_fingerprints(docs: DataFrame, words: int, shingle: int = WORDS, keep: tuple = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and fp, ``words`` x 8 bytes for the set of word shingles of ``text``: one row per document."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        from plexgraph.llm.common import utf8
+
+        for b in batches:
+            fps = [_long_fingerprint(h, words).tobytes() for h in _shingle_sets(utf8(b.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps, pa.binary())], [*keep, "fp"])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(sliced(run), f"{schema}, fp binary")
+
+
+def _blocks_of(bits: int, blocks: int):
+    """(block and its bits in one number, id, sketch) of each fingerprint: its blocks, and its last 64 bits to tell unlike ones apart."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            fps = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            if not len(fps):
+                continue
+            flat = np.unpackbits(fps, axis=1)[:, : bits * blocks].reshape(len(fps), blocks, bits)
+            key = (flat.astype(np.int64) << np.arange(bits)).sum(axis=2) | np.arange(blocks) << 32
+            sketch = np.ascontiguousarray(fps[:, -8:]).view(np.int64).ravel()
+            cols = [key.ravel(), np.repeat(b.column("id").to_numpy(), blocks), np.repeat(sketch, blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "id", "sketch"])
+
+    return run
+
+
+def _close(most: int):
+    """For a bucket's (id, sketch): edges of a spanning forest of the pairs whose sketches differ by ``most`` bits at most."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        ones = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+        for b in batches:
+            src, dst = [], []
+            for got in b.column("met"):
+                ids, v = (got.values.field(c).to_numpy() for c in ("id", "sketch"))
+                v, todo = v.view(np.uint64), np.random.default_rng(int(ids.min()) & 0xFFFF).permutation(len(ids))
+                while len(todo):
+                    root, queue, todo = todo[0], [todo[0]], todo[1:]
+                    while queue and len(todo):
+                        at = queue.pop()
+                        x = v[todo] ^ v[at]
+                        near = sum(ones[(x >> np.uint64(s)).astype(np.uint16)] for s in (0, 16, 32, 48)) <= most
+                        found = todo[near]
+                        queue += found.tolist()
+                        src += [ids[at]] * len(found)
+                        dst += ids[found].tolist()
+                        todo = todo[~near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (src, dst)], ["a", "b"])
+
+    return run
+
+
+def candidates(keyed: DataFrame, most: int, bucket: int) -> DataFrame:
+    """(a, b): pairs of ids that share a key (key, id, sketch) and whose sketches are close, a spanning forest for each key.
+
+    A key that more than ``bucket`` ids share is split by 16 bits of their sketches, each quarter in turn, then by two
+    quarters, then by the whole sketch; ids that share even this are linked to the least.
+    """
+    edges, quarter = None, lambda q: F.shiftright("sketch", 16 * q).bitwiseAND(F.lit(0xFFFF))
+    for level in range(4):
+        met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = keyed.join(met, "key")
+        found = rows.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("met")).select("met").mapInArrow(sliced(_close(most)), "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        hot = rows.filter(F.col("n") > bucket)
+        if level == 3:
+            break
+        parts = [(q,) for q in range(4)] if level == 0 else list(combinations(range(4), 2)) if level == 1 else [(0, 1, 2, 3)]
+        keyed = hot.select(F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[quarter(q) for q in p]) for k, p in enumerate(parts)])).alias("key"), "id", "sketch")
+        keyed = stored(keyed)
+        if keyed.isEmpty():
+            return edges
+    first = hot.groupBy("key").agg(F.min("id").alias("b"))
+    return edges.unionByName(hot.join(first, "key").select(F.col("id").alias("a"), "b").filter("a <> b"))
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, keep: tuple = ("doc_id",)) -> DataFrame:
+    """One row per document: ``keep`` and root, the same for documents that chains of pairs link, whose sets of word shingles are alike to ``similarity`` or more by their fingerprints."""
+    texts = docs.agg(F.approx_count_distinct(F.xxhash64(F.col("text").cast("string")))).first()[0]
+    bits, blocks, most = block_plan(texts, similarity, recall)
+    marks = stored(long_fingerprints(docs, -(-bits * blocks // 64) + 1, shingle, keep).withColumn("id", F.xxhash64("fp")))
+    fps = stored(marks.groupBy("id").agg(F.first("fp").alias("fp")))
+    keyed = stored(fps.select("id", "fp").mapInArrow(sliced(_blocks_of(bits, blocks)), "key long, id long, sketch long"))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    pairs = stored(candidates(keyed, math.ceil(64 * p + 3.5 * math.sqrt(64 * p * (1 - p))), bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    one, other = (fps.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
+
+    def verify(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, : bits * blocks // 8] for c in ("fp_a", "fp_b"))
+            fine = np.unpackbits(x ^ y, axis=1).sum(axis=1) <= most if b.num_rows else np.zeros(0, bool)
+            yield b.select(["a", "b"]).filter(pa.array(fine))
+
+    edges = pairs.join(one, "a").join(other, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(sliced(verify), "a long, b long")
+    comp = components(stored(edges))
+    return marks.drop("fp").join(comp, marks["id"] == comp["v"], "left").select(*keep, F.coalesce("root", "id").alias("root"))
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates, with its own columns; of repeated rows one."""
-    inner = {c: f"own {c}" for c in ("_h", "_d") if c in docs.columns}
-    told = docs.withColumnsRenamed(inner).withColumns({"_h": F.xxhash64(F.col("text").cast("string")), "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
-    groups = near_duplicates(told, keep=("doc_id", "_h", "_d"), **how)
+    """The document with the smallest doc_id of each group of ``similar_documents``, with its own columns; of repeated rows one."""
+    told = packed(docs, "doc_id", "text").withColumns({"_h": F.xxhash64(F.col("text").cast("string")), "_d": F.coalesce(F.col("doc_id").cast("string"), F.lit(""))})
+    groups = similar_documents(told, keep=("doc_id", "_h", "_d"), **how)
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_h", "_d")).alias("m")).select("m._d", "m._h")
     kept = told.join(first, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"])  # dealt out once for both
-    return kept.drop("_h", "_d").withColumnsRenamed({v: k for k, v in inner.items()}).select(*docs.columns)
+    return unpacked(kept, docs.columns, "doc_id", "text")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import doc_text, small_batches, table
+from plexgraph.llm.common import doc_text, sliced, table
 from plexgraph.llm.decontaminate import words
 
 MAX_DOCS = 20_000
@@ -64,7 +64,7 @@ def _document_counts(rows: DataFrame) -> DataFrame:
         keys = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *(pa.array([c[k] for k in keys], pa.int64()) for c in n)], ["word", "clean", "toxic"])
 
-    return rows.mapInArrow(run, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return rows.mapInArrow(sliced(run), "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def choose_words(rows: DataFrame, n_clean: int, n_toxic: int, most: int = MAX_WORDS) -> list:
@@ -155,7 +155,6 @@ def severity_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
     """(words with their weights, thresholds) or None, learned from documents and labels."""
     import numpy as np
 
-    small_batches(docs.sparkSession)
     rows, by_label = draw(docs, labels, max_docs)
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
@@ -175,7 +174,7 @@ def severity_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
             cols = [pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].tobytes() for g in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), *cols], ["toxic", "at", "value"])
 
-    sample = rows.mapInArrow(run, "toxic int, at binary, value binary").collect()  # bounded by the sample
+    sample = rows.mapInArrow(sliced(run), "toxic int, at binary, value binary").collect()  # bounded by the sample
     at, value = ([np.frombuffer(bytes(r[c]), kind) for r in sample] for c, kind in (("at", np.int32), ("value", np.float32)))
     row = np.repeat(np.arange(len(sample)), [len(a) for a in at])
     toxic = np.array([r.toxic for r in sample])
@@ -189,7 +188,6 @@ def severity_model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
 
 def score(docs: DataFrame, model, keep: tuple = ("doc_id",)) -> DataFrame:
     """``keep`` with expected_severity, grade (the likeliest) and toxic (P(grade > 0) >= 1/2)."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
@@ -211,7 +209,7 @@ def score(docs: DataFrame, model, keep: tuple = ("doc_id",)) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], [*keep, "expected_severity", "grade", "toxic"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.mapInArrow(run, f"{schema}, expected_severity double, grade int, toxic boolean")
+    return docs.mapInArrow(sliced(run), f"{schema}, expected_severity double, grade int, toxic boolean")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plexgraph.llm import decontaminate, ivfpq, langid, mixture, registry, separators, simhash, suffixarray, suffixtree, tokenfile, tokens, toxicity
+from plexgraph.llm import common, decontaminate, ivfpq, langid, mixture, registry, separators, simhash, suffixarray, suffixtree, tokenfile, tokens, toxicity, words
 from tests.llm import brute
 from tests.oracle import connect, rows_of, rows_of_sql
 
@@ -86,7 +88,7 @@ def test_simhash_awkward(awkward, empty):
     assert simhash.near_duplicates(empty).collect() == []
     kept = simhash.one_of_each(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(kept.select("doc_id").collect(), key=repr) == sorted([(1,), (3,), (4,), (6,), (7,), (8,), (None,)], key=repr)
+    assert sorted(kept.select("doc_id").collect(), key=repr) == sorted([(1,), (3,), (4,), (6,), (7,), (8,)], key=repr)  # the row without id shares 56 of 63 shingles with 7
 
 
 def test_links_lose_nothing_in_hot_buckets(spark):
@@ -107,6 +109,36 @@ def test_links_lose_nothing_in_hot_buckets(spark):
 # 6
 
 
+def test_similar_documents(spark, monkeypatch):
+    rng = random.Random(5)
+    rows, group = [], {}
+    for g in range(60):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([40, 200, 900]))]
+        for k in range(3):
+            w = list(base)
+            for at in range(0, len(w) if k else 0, 60):  # about 1 of 60 words, so some 8 % of the shingles of each
+                w[min(at + rng.randrange(60), len(w) - 1)] = f"x{rng.randrange(10**6)}"
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w)))
+    more = [(1000, None), (1001, ""), (1002, "one two"), (1003, "one two"), (1004, "two one"), (1005, LONG), (None, "one  TWO")]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string")
+    for bucket in (simhash.BUCKET, 2):
+        root = {r.doc_id: r.root for r in simhash.similar_documents(df, bucket=bucket).collect()}
+        pairs = [(3 * g + i, 3 * g + j) for g in range(60) for i in range(3) for j in range(i)]
+        assert sum(root[a] == root[b] for a, b in pairs) > 0.9 * len(pairs)
+        assert len({(root[d], group[d]) for d in group}) == len({root[d] for d in group})  # no two groups meet
+        assert root[1000] == root[1001] and root[1002] == root[1003] == root[None] != root[1004]
+    left = simhash.one_of_each(df).collect()
+    assert {r.doc_id for r in left} >= {1000, 1002, 1004, 1005} and not {r.doc_id for r in left} & {1001, 1003, None}
+
+
+def test_block_plan():
+    for n in (10, 10**5, 10**8):
+        bits, blocks, most = simhash.block_plan(n)
+        p = math.acos(1.6 / 1.8) / math.pi
+        assert 1 - (1 - (1 - p) ** bits) ** blocks >= 0.95 and most < 0.25 * bits * blocks
+
+
 def test_decontamination_is_brute_force(spark, docs, small, data):
     items = spark.read.parquet(f"{data}/benchmark.parquet")
     want = sorted(brute.decontaminate(small, texts(items.collect())), key=repr)
@@ -125,9 +157,9 @@ def test_decontamination_awkward(spark, awkward, empty):
 # 7
 
 
-@pytest.mark.parametrize("hot", [3000, 2])
-def test_suffix_array_is_brute_force(docs, small, hot):
-    got = bag(suffixarray.remove_repeats(docs, hot=hot, digest=True))
+@pytest.mark.parametrize("group", [4096, 2, 1])
+def test_suffix_array_is_brute_force(docs, small, group):
+    got = bag(suffixarray.remove_repeats(docs, group=group, digest=True))
     assert got == sorted(((d, *b) for (d, _), b in zip(small, brute.repeats([(t or "").encode() for _, t in small]))), key=repr)
 
 
@@ -231,7 +263,23 @@ def test_token_counts(docs, small, awkward, empty):
     assert separators.token_counts(empty).collect() == []
 
 
-def test_scan_of_flat_files(spark):
+def test_long_white_space(spark):
+    enc = separators._encoding(tokens.tokenizer_path(separators.TOKENIZER))
+    space = ["", " ", "\n", "\t \n", "\u3000 ", "\x1c\x1d"]
+    for k in (separators.LONG_RUN - 1, separators.LONG_RUN, 1500):
+        for s in space:
+            run = (s * k)[: max(k, 1)]
+            for t in (run, f"a{run}b", f"{run}.", f"x{run}", f"{run}'s{run}\n9{run}"):
+                assert separators.encode(enc, t) == enc.encode_ordinary(t)
+    long = [(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b"), (3, None)]
+    got = dict(tuple(r) for r in separators.token_counts(spark.createDataFrame(long, "doc_id long, text string")).collect())
+    piece = lambda t: len(enc._core_bpe.encode_single_piece(t))
+    assert got == {1: piece(b" " * 1_000_000) + 1, 2: piece(b"\n" * 999_999) + 4, 3: 1}
+
+
+@pytest.mark.parametrize("span", [4096, 2, 1])
+def test_scan_of_flat_files(spark, monkeypatch, span):
+    monkeypatch.setattr(separators, "RANGE", span)
     flat = np.array([5, 9, 5, 5, 9, 9, 5, 5, 5, 5, 5, 9, 5], "<u2")
     for block in (1, 2, 3, 13):
         rows = [(0, k // block, flat[k : k + block].tobytes()) for k in range(0, 13, block)]
@@ -294,10 +342,38 @@ def test_token_file(docs, small, awkward, empty):
 def test_pieces_are_encoded_like_whole_texts():
     enc = tokens.Encoder(tokens.tokenizer_path(tokenfile.TOKENIZER))
     hard = ["It's I'LL we'd 'tis don't", "a,b c... d!? e;", "É́a Ａ½ ǅ İ ß Σσς", "x y z\u0085w\x1cv", "<|startoftext|>a <|endoftext|>", "12ab3 漢字かな̀ é́", "\t\r\n\x0b\x0c", "K Å ﬁ"]
+    hard += ["a=\u0338b .e\u0301 x.y'z \"'s a'b'c. (it's) '(s", "q" * 500 + "." * 300 + "r,s" * 200, "", "A.B!C?9x-9,x é.a a.é", "x\x00y \x7f.a", "a<|endoftext|>.b,<|startoftext|>c |x|> y<z"]
     for t in hard:
         assert np.frombuffer(enc.encode([t.encode()])[0], "<u2").tolist() == enc.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_those_of_split():
+    rng = random.Random(3)
+    alphabet = [b"a", b"B", b"\xc3\xa9", b" ", b"\n", b"\x0b", b"\x1c", b".", b"'", b"\x00", b"q" * 70]
+    some = [b"".join(rng.choices(alphabet, k=rng.randrange(40))) for _ in range(300)]
+    w = words.Words(some)
+    assert [[w.of(k) for k in range(a, b)] for a, b in zip(w.cut, w.cut[1:])] == [t.lower().split() for t in some]
+    named = {w.of(k): int(x) for k, x in enumerate(w.key)}
+    assert len(set(named.values())) == len(named) and all(words.key(x) == k for x, k in named.items())
+    assert b"".join(x for _, run in words.chunks(some, 50) for x in run) == b"".join(some)
+
+
+def test_tables_of_words():
+    key = np.unique(np.random.default_rng(2).integers(1, 1 << 63, 20_000).astype(np.uint64))
+    t = words.Table(4)
+    for at in range(0, len(key) // 2, 1000):
+        t.add(key[at : min(at + 1000, len(key) // 2)], np.arange(at, min(at + 1000, len(key) // 2), dtype=np.int32))
+    found = t.find(key)
+    assert found[: len(key) // 2].tolist() == list(range(len(key) // 2)) and (found[len(key) // 2 :] == -1).all()
+
+
+def test_a_full_table_starts_anew(monkeypatch):
+    enc, small = tokens.Encoder(tokens.tokenizer_path(tokenfile.TOKENIZER)), [b"one two three", b"four two! five", b"two one six"]
+    expect = [enc._encode([t], b"") for t in small]
+    monkeypatch.setattr(tokens, "CACHE", 2)
+    assert [enc._encode([t], b"") for t in small] == expect
+
+
 # 9
 
 
@@ -344,32 +420,27 @@ def test_tree_beats_its_root(spark):
     assert sum(r.score for r in got) > 0.8 * sum(r.base_score for r in got)
 
 
-def test_tree_probabilities_sum_to_one():
-    m, total = 4, 1000.0
-    tree = suffixtree.Tree(np.array([0.4, 0.3, 0.2, 0.05]), m)
-    key = np.array([0 * m + 1, 0 * m + 2, 1 * m + 0])
-    count = np.array([400.0, 300, 200, 50])
-    tree.levels[0] = suffixtree._level(key, np.array([300, 50, 280]), count, lambda c, s: tree.root[s], m, total)
-    for c in tree.levels[0][0]:
-        sym = np.arange(m)
-        logs, listed = tree.logs(0, np.full(m, c), sym)
-        rest = 10 ** tree.logs(0, np.array([c]), np.array([-1]))[0][0]
-        total_p = np.where(listed, 10**logs, 10**logs * tree.root).sum() + rest * (1 - tree.root.sum())
-        assert abs(total_p - 1) < 1e-9
-
-
 def expect_scores(rows, held):
-    """Scores by dictionaries: every context and next symbol of all words, by the rules of the module."""
+    """(scores, nodes, prob) by dictionaries: every context and next symbol of all words, by the rules of the module."""
     train = [[*(t or "").encode().lower().split(), None] for d, t in rows if not held(d)]
     one = Counter(x for w in train for x in w)
     total, unit = sum(one.values()), sum(one.values()) + len(one) + 1
-    prob = lambda ctx, x: nodes[ctx][1].get(x, 0) or nodes[ctx][0] * prob(ctx[1:], x) if ctx in nodes else prob(ctx[1:], x) if ctx else (one[x] + 1) / unit
     nodes = {}
-    for k in (1, 2):
+
+    def prob(ctx, x):
+        if not ctx:
+            return (one[x] + 1) / unit
+        if ctx not in nodes:
+            return prob(ctx[1:], x)
+        return nodes[ctx][1].get(x) or nodes[ctx][0] * prob(ctx[1:], x)
+
+    for k in range(1, suffixtree.DEPTH + 1):
         after = {}
         for w in train:
             for i in range(k, len(w)):
-                after.setdefault(tuple(w[i - k : i]), Counter())[w[i]] += 1
+                ctx = tuple(w[i - k : i])
+                if k == 1 or ctx[1:] in nodes:
+                    after.setdefault(ctx, Counter())[w[i]] += 1
         found = {}
         for ctx, c in after.items():
             m, seen = sum(c.values()), {x: n for x, n in c.items() if n >= suffixtree.MIN_COUNT}
@@ -379,25 +450,51 @@ def expect_scores(rows, held):
             if seen and kl * m > 0.5 * math.log(total) * len(seen):
                 d = {x: (n - suffixtree.DISCOUNT) / m for x, n in seen.items()}
                 found[ctx] = (max(1 - sum(d.values()), 1e-12) / rest_q, d)
+        if not found:
+            break
         nodes |= found
+
+    def state(w, i):
+        return next((w[i - k : i] for k in range(min(i, suffixtree.DEPTH), 0, -1) if all(tuple(w[i - j : i]) in nodes for j in range(1, k + 1))), [])
+
     out = {}
     for d, t in rows:
         w = [*(t or "").encode().lower().split(), None]
-        out[d] = sum(math.log10(prob(tuple(w[max(0, i - 2) : i]), x)) for i, x in enumerate(w))
+        out[d] = sum(math.log10(prob(tuple(state(w, i)), x)) for i, x in enumerate(w))
+    unseen = 1 - sum((n + 1) / unit for n in one.values())
+    for ctx in nodes:  # a node's probabilities, and what the root leaves for unseen symbols as it reaches the node, sum to 1
+        factor = math.prod(nodes[ctx[k:]][0] for k in range(len(ctx)))
+        assert abs(sum(prob(ctx, x) for x in one) + factor * unseen - 1) < 1e-6
     return out, nodes
 
 
 @pytest.mark.parametrize("bound", [250_000, 20])
 def test_scores_are_brute_force(monkeypatch, docs, small, awkward, bound):
     monkeypatch.setattr(suffixtree, "NODES", bound)  # most of the tree is met by the join
-    monkeypatch.setattr(suffixtree, "HOT", bound)
+    monkeypatch.setattr(suffixtree, "HELD", 1000 * bound)
     for df, rows in ((docs, small), (awkward, texts(AWKWARD))):
         want, nodes = expect_scores(rows, is_held)
-        assert df is awkward or {len(c) for c in nodes} == {1, 2}
+        assert df is awkward or {len(c) for c in nodes} >= {1, 2}
         for r in suffixtree.score_documents(df, suffixtree.held_out()).collect():
             assert abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id]))
 
 
+def test_deep_contexts(spark):
+    """Symbols that only the five words before tell."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(600):
+        w = []
+        for _ in range(12):
+            x = rng.integers(0, 2, 5)
+            w += [f"p{j}" for j in x] + [f"q{int(x.sum() % 2)}"]
+        rows.append((k, " ".join(w)))
+    want, nodes = expect_scores(rows, is_held)
+    assert max(map(len, nodes)) >= 3
+    for r in suffixtree.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), suffixtree.held_out()).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-6 * max(1, abs(want[r.doc_id]))
+
+
 def test_rare_contexts_stay_in_the_tree(spark):
     rows = [(k, " ".join(f"c{(k * j) % 97}" for j in range(400))) for k in range(1, 701)]
     rows += [(1000 + k, "zig zag zog") for k in range(8)]  # their share of 280,000 tokens is below 5e-5
@@ -450,6 +547,20 @@ def test_neighbours_awkward(spark):
     assert [r.vec_id for r in sorted(ivfpq.search(few, few["vec_id"] == 0).collect(), key=lambda r: r.rank)] == [1, 2, 3, 4]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(20, [1.0, 2.0]), (1, [0.5, 1.0]), (1, [3.0, 1.0]), (2, [1.0, 1.0])]
+    lists = lambda rows: sorted(tuple(r) for r in ivfpq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect())
+    assert lists(rows) == [(20, 1, 1, 5.0), (20, 2, 2, 3.0), (20, 3, 1, 2.5)]
+    assert lists([*rows, (20, [2.0, 2.0])]) == [(20, 1, 1, 5.0), (20, 1, 1, 8.0), (20, 2, 2, 3.0), (20, 2, 2, 4.0), (20, 3, 1, 2.5), (20, 3, 1, 3.0)]
+    rng = np.random.default_rng(4)
+    many = [(int(i), [float(x) for x in rng.integers(-3, 4, 3)]) for i in rng.integers(0, 40, 120)]
+    want = []
+    for i, v in {(i, tuple(v)) for i, v in many if i % 20 == 0 and any(v)}:
+        near = sorted((-float(np.dot(v, w)), j) for j, w in many if j != i and any(w))[:20]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(near, 1)]
+    assert lists(many) == sorted(want)
+
+
 # 10
 
 
@@ -496,6 +607,33 @@ def test_pipeline_stages(spark, data, docs):
     assert corpus_pipeline.run(spark, data).count() == seen[-1]
 
 
+INNER = "own _topic _TOKENS _weight _Probability _selected _source _lang topic tokens Lang_Pred SCORE spans Items N_words _row _D _h root fp n m component_id a.b".split()
+
+
+def test_other_columns_pass_untouched(spark, data):
+    words_of = lambda k: " ".join(f"{w}{k}" for w in "the cat sat on the mat and the dog ran off".split())
+    rows = [(k, words_of(k % 7) + " and then home", "en", "s") for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.concat(F.lit(f"own {c} "), F.col("doc_id")) for c in INNER})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, data)
+        got = out.collect()
+        assert out.columns == df.columns and got
+        for r in got:
+            assert list(r) == [*rows[r.doc_id], *(f"own {c} {r.doc_id}" for c in INNER)]
+    items = spark.createDataFrame([("1", words_of(3)), ("2", words_of(5))], "item_id string, text string")
+    found = decontaminate.overlaps(df, items, group_mb=5e-5, keep=("doc_id", "_row")).collect()
+    assert all(r._row == f"own _row {r.doc_id}" and r["items"] == {3: ["1"], 5: ["2"]}.get(r.doc_id % 7, []) for r in found) and len(found) == 20
+
+
+def test_settings_stay(spark, data):
+    common.shared_dir(spark)  # sets spark.checkpoint.dir where it isn't, as in tests
+    before, tables = dict(spark.conf.getAll), spark.catalog.listTables()
+    for name, query in registry.QUERIES.items():
+        query(spark, data)
+        assert dict(spark.conf.getAll) == before, name
+    assert spark.catalog.listTables() == tables
+
+
 def test_pipeline_awkward(spark, data, awkward, empty):
     for start in (awkward, empty):
         df = start
