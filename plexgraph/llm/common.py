@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.shared import spread
+from plexgraph.shared import shared_dir, spread
 
 #: Rows, and bytes, that a Python worker handles together; a longer text is alone.
 BATCH_ROWS = 1000
@@ -25,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="plexgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, f"plexgraph-{uuid.uuid4().hex}")
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     return _written(df, shared_dir(df.sparkSession))
@@ -89,16 +77,6 @@ def doc_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches by rows and bytes: whole texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception as e:  # the setting is newer than the rest
-        if "CANNOT_MODIFY" not in str(e) and "INVALID" not in str(e):
-            raise
-
-
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

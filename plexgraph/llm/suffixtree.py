@@ -17,10 +17,11 @@ The tree is a table in the shared folder. A text's score is its root score and a
 sum of one number for each run of tokens: as a context, its backoff factor, and as
 a context with a listed symbol, by how much that differs from it and from the
 suffix. So a text meets the tree in one join by key. Only the ``NODES`` entries met
-most often are broadcast, with the ``HEAD`` most frequent words, 16 bytes each;
-what remains is joined and not frequent, so no key is hot. Bitmaps of ``BITS`` bits
-keep runs that cannot occur in a table out of the shuffles; what they let pass
-wrongly finds nothing in the join.
+most often are broadcast, with the ``HEAD`` most frequent words, some 20 bytes each;
+what remains is joined and not frequent, so no key is hot. Bitmaps of a fixed
+number of bits keep runs that cannot occur in a table out of the shuffles; what
+they let pass wrongly finds nothing in the join. A run is looked up only if one of
+its two parts may be in the tree, without which it can't be.
 
 A word is known by a 64-bit hash, and a run of words by one of the keys of the run
 without its last word and of the run without its first: with n of them a false
@@ -39,9 +40,11 @@ from pyspark.sql import functions as F
 from plexgraph.llm.common import Scratch, doc_text, sliced, stored, table
 from plexgraph.llm.words import Table, Words, chunks, mixed
 
-HEAD = 500_000
-NODES = 1_000_000
+HEAD = 1_000_000
+NODES = 2_000_000
 BITS = 26
+#: The same for what is left of the tree, which every run of every text is held against.
+TREE_BITS = 28
 DEPTH = 12
 MIN_COUNT = 4
 DISCOUNT = 0.5
@@ -83,20 +86,25 @@ def run_key(a, b):
 
 
 def _passes(bits, key):
+    """Of keys: may they be among those that the bitmap was made of?"""
     import numpy as np
 
-    place = key >> np.uint64(64 - BITS)
-    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+    n = (len(bits) * 64 - 1).bit_length()
+    bit = lambda at: (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+    out = bit(key >> np.uint64(64 - n))
+    some = np.flatnonzero(out)
+    out[some] = bit(key[some] & np.uint64((1 << n) - 1))
+    return out
 
 
-def _bitmap(keys: DataFrame):
-    """A broadcast of 2 ** BITS bits, set where the upper bits of a ``key`` fall: of the same size whatever the table."""
+def _bitmap(keys: DataFrame, n: int = BITS):
+    """A broadcast of 2 ** n bits, set where the upper and where the lower n bits of a ``key`` say: of the same size whatever the table."""
     import numpy as np
 
     spark = keys.sparkSession
-    place = F.shiftrightunsigned("key", 64 - BITS)
-    found = keys.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(key, {64 - BITS}) & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
+    place = F.explode(F.array(F.shiftrightunsigned("key", 64 - n), F.col("key").bitwiseAND(F.lit((1 << n) - 1)))).alias("place")
+    found = keys.select(place).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (n - 6), np.uint64)
     out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return spark.sparkContext.broadcast(out)
 
@@ -221,7 +229,11 @@ def fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, total: int, disti
     last = scratch.put(counts.filter(F.col("n") >= MIN_COUNT).select("key", "n", F.log10((F.col("n") + 1) / unit).alias("q")))
     grown, entries = None, []
     for words in range(1, DEPTH + 1):
-        runs = scratch.put(runs_of(texts, words + 1, _bitmap(last), grown))
+        often = _bitmap(last)
+        runs = scratch.put(runs_of(texts, words + 1, often, grown))
+        for used in (often, grown):
+            if used is not None:
+                used.destroy()
         told = scratch.put(runs.join(last.select(F.col("key").alias("b"), "q"), "b").select("a", "b", "n", "q"))
         nodes = scratch.put(_nodes(told, last, total))
         scratch.drop(runs)
@@ -306,7 +318,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
     # what isn't broadcast: a word's share, known by its key, and an entry of the tree, known by the complement of its key
     seldom = counts.filter(~often).select("key", F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("one"), F.lit(0).alias("node"))
     deep = tree.filter(~near).select("key", F.col("d").alias("value"), F.lit(0).alias("one"), F.lit(1).alias("node"))
-    bits, rare_bits = _bitmap(deep), _bitmap(seldom)
+    bits, rare_bits = _bitmap(deep, TREE_BITS), _bitmap(seldom)
     rest = seldom.unionByName(deep.withColumn("key", F.bitwise_not("key")))
     names = ["row", "key", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
 
@@ -332,17 +344,23 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
                 rare = rare[_passes(rare_bits.value, r.key[rare])]
                 asked = [(rare, r.key[rare].view(np.int64))]
                 known = np.add.reduceat(k >= 0, first, dtype=np.int64)
+                alive = np.ones(len(r.key), bool)  # runs that may be in the tree
                 for _ in range(words + 1):
-                    j = node.find(r.key)
-                    fine = r.left >= r.order
-                    value = node_value[j]
-                    value[~fine] = 0
-                    more[: len(value)] += value
-                    far = np.flatnonzero(fine & (j < 0))
-                    far = far[_passes(bits.value, r.key[far])]
-                    asked.append((far, ~r.key[far].view(np.int64)))
+                    at_ = np.flatnonzero(alive & (r.left >= r.order))
+                    if not len(at_):
+                        break
+                    key = r.key[at_]
+                    j = node.find(key)
+                    more[at_] += node_value[j]
+                    out = np.flatnonzero(j < 0)
+                    far = out[_passes(bits.value, key[out])]
+                    asked.append((at_[far], ~key[far].view(np.int64)))
                     if len(r.key) < 2:
                         break
+                    alive = np.zeros(len(r.key), bool)
+                    alive[at_[j >= 0]] = True
+                    alive[at_[far]] = True
+                    alive = alive[:-1] | alive[1:]
                     r.longer()
                 add = lambda x: np.add.reduceat(x, first)
                 total_base = add(base)
