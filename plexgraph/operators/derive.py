@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plexgraph.functions.scalar import config_key_norm, decorator_tokens, has_config_extension, is_test_name, is_test_path, route_canon, template_match, test_to_prod_path
 from plexgraph.graph import PropertyGraph
 from plexgraph.schema import prop
+from plexgraph.shared import stored
 
 MAX_COMMIT_FILES = 20
 MIN_CO_CHANGES = 3
@@ -104,8 +105,12 @@ def satisfied_interfaces(methods: DataFrame, labels: DataFrame) -> DataFrame:
     m = methods.distinct().join(labels.withColumnRenamed("id", "owner"), "owner")
     i = m.filter("label = 'Interface'").select(F.col("owner").alias("interface_id"), "name")
     c = m.filter("label = 'Class'").select(F.col("owner").alias("class_id"), "name")
-    need = i.groupBy("interface_id").agg(F.count(F.lit(1)).alias("need"))
-    return i.join(c, "name").groupBy("class_id", "interface_id").agg(F.count(F.lit(1)).alias("have")).join(need, "interface_id").filter("have = need").select("class_id", "interface_id")
+    # an interface meets the classes that have the rarest of its methods, not those of every common name
+    often = c.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    rarest = i.join(often, "name", "left").groupBy("interface_id").agg(F.collect_list("name").alias("need"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "name")).alias("r")).filter("r.n > 0")
+    own = c.groupBy("class_id").agg(F.collect_list("name").alias("own"))
+    met = rarest.select("interface_id", "need", F.col("r.name").alias("name")).join(c, "name").join(own, "class_id")
+    return met.filter(F.size(F.array_except("need", "own")) == 0).select("class_id", "interface_id")
 
 
 def inheritance_edges(bases: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -124,38 +129,85 @@ def overrides(inherits: DataFrame, methods: DataFrame) -> DataFrame:
 
 MAX_CANDIDATES = 256
 #: Scores of the ways to resolve a call.
-STRATEGIES = {"import_map": 0.95, "same_module": 0.90, "unique_name": 0.75, "suffix_match": 0.55}
+STRATEGIES = {"import_map": 0.95, "import_map_suffix": 0.85, "same_module": 0.90, "qualified_suffix": 0.90, "unique_name": 0.75, "suffix_match": 0.55}
+
+
+def _segments(c: Column) -> Column:
+    return F.split(c, r"\.")
+
+
+def _exactly(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(module, callee, target_id, strategy): the pairs that a whole or partial qualified name settles, by equi-joins alone.
+
+    pairs: (module, callee, dotted, prefix, suffix, target); nodes: (id, name, qualified_name, file_path).
+    """
+    whole = nodes.groupBy(F.col("qualified_name").alias("key")).agg(F.min("id").alias("target_id"))
+    of = F.min(F.struct(is_test_path(F.col("file_path")).alias("t"), "qualified_name", "id"))
+    own = nodes.groupBy(F.concat_ws(".", F.regexp_replace("qualified_name", r"\.[^.]*$", ""), "name").alias("key")).agg(of.alias("o")).select("key", F.col("o.id").alias("target_id"))
+    to = lambda strategy, rank, key: F.struct(F.lit(rank).alias("rank"), F.lit(strategy).alias("strategy"), key.alias("key"))
+    tries = F.array(
+        to("import_map", 0, F.when(F.col("suffix").isNull(), F.col("target"))),
+        to("import_map", 1, F.concat("target", F.lit("."), F.coalesce("suffix", "prefix"))),
+        to("same_module", 3, F.concat("module", F.lit("."), "dotted")),
+        to("same_module", 4, F.concat("module", F.lit("."), "suffix")),
+    )
+    asked = pairs.select("module", "callee", F.explode(tries).alias("x")).select("module", "callee", "x.*").filter("key IS NOT NULL")
+    found = asked.filter("rank < 2").join(whole, "key").unionByName(asked.filter("rank > 2").join(own, "key")).select("module", "callee", "rank", "strategy", "key", "target_id")
+
+    # an import's target and what the name ends in: each definition under each of its leading parts
+    dotted = pairs.filter("suffix IS NOT NULL")
+    parts = _segments(F.col("qualified_name"))
+    named = nodes.select(F.col("id").alias("target_id"), "qualified_name", parts.alias("p")).filter(F.size("p") > 1)
+    heads = named.select("target_id", "qualified_name", F.element_at("p", -1).alias("last"), F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("k"), "p").withColumn("target", F.array_join(F.slice("p", 1, F.col("k")), "."))
+    below = dotted.filter("target IS NOT NULL").withColumn("last", F.element_at(_segments(F.col("suffix")), -1)).join(heads.select("target", "last", "qualified_name", "target_id"), ["target", "last"])
+    below = below.filter(F.endswith("qualified_name", F.concat(F.lit("."), F.col("suffix"))) & (F.length("qualified_name") >= F.length("target") + F.length("suffix") + 2))
+    found = found.unionByName(below.select("module", "callee", F.lit(2).alias("rank"), F.lit("import_map_suffix").alias("strategy"), F.col("qualified_name").alias("key"), "target_id"))
+
+    # the only definition whose qualified name ends in the whole dotted callee
+    tails = named.select("target_id", "qualified_name", F.explode(F.sequence(F.lit(2), F.size("p"))).alias("k"), "p").withColumn("dotted", F.array_join(F.slice("p", F.size("p") - F.col("k") + 1, F.col("k")), "."))
+    tails = tails.groupBy("dotted").agg(F.count_distinct("qualified_name").alias("n"), F.min("qualified_name").alias("key"), F.min("target_id").alias("target_id")).filter("n = 1")
+    found = found.unionByName(dotted.join(tails, "dotted").select("module", "callee", F.lit(5).alias("rank"), F.lit("qualified_suffix").alias("strategy"), "key", "target_id"))
+    best = found.groupBy("module", "callee").agg(F.min(F.struct("rank", "key", "target_id", "strategy")).alias("b"))
+    return best.select("module", "callee", "b.target_id", "b.strategy")
 
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame, imports: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
     """(call_id, target_id, strategy, confidence): the best definition for each call.
 
-    calls: (call_id, module, callee); nodes: (id, name, qualified_name, file_path);
-    imports: (module, local_name, target_qn). A name meets its candidates by an
-    equi-join, after names with more than ``most`` definitions are left out, so a
-    call has a bounded number of rows. In order: the import's own target, the
-    caller's module, the only definition, or any with a penalty of 3 / n; the last
-    two are halved if no import of the module reaches the definition.
+    calls: (call_id, module, callee), a callee being a name or a dotted (or ::) one;
+    nodes: (id, name, qualified_name, file_path); imports: (module, local_name,
+    target_qn). In order: the import's own target or what the callee names in it,
+    what lies deeper in it, the caller's module, the only definition that ends in a
+    dotted callee: these are equi-joins on qualified names. Only what they leave
+    meets the definitions of its last segment, unless there are more than ``most``:
+    the only one, or the nearest with a penalty of 3 / n; both are halved if no
+    import of the module reaches the definition.
     """
-    cand = nodes.select(F.col("id").alias("target_id"), F.col("name").alias("callee"), "qualified_name", "file_path")
-    n = cand.groupBy("callee").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
-    via = imports.select("module", F.col("local_name").alias("callee"), "target_qn")
+    dotted = F.regexp_replace("callee", "::", ".")
+    pairs = calls.select("module", "callee").distinct().withColumn("dotted", dotted)
+    pairs = pairs.withColumns({"prefix": F.substring_index("dotted", ".", 1), "suffix": F.nullif(F.regexp_extract("dotted", r"^[^.]*\.(.+)$", 1), F.lit(""))})
+    via = imports.groupBy("module", F.col("local_name").alias("prefix")).agg(F.min("target_qn").alias("target"))
+    pairs = stored(pairs.join(via, ["module", "prefix"], "left"))
+    exact = stored(_exactly(pairs, nodes))
+    sure = F.element_at(F.create_map(*[F.lit(x) for k in STRATEGIES.items() for x in k]), F.col("strategy"))
+    sure = exact.withColumn("confidence", sure)
+
+    rest = pairs.join(exact.select("module", "callee"), ["module", "callee"], "left_anti").select("module", "callee", F.element_at(_segments(F.col("dotted")), -1).alias("name"))
+    cand = nodes.select(F.col("id").alias("target_id"), "name", "qualified_name", "file_path").withColumn("home", F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
+    n = cand.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most)
     reach = imports.groupBy("module").agg(F.collect_set("target_qn").alias("seen"))
-    pairs = calls.select("module", "callee").distinct()
-    cand = cand.withColumn("home", F.regexp_replace("qualified_name", r"\.[^.]*$", ""))
     home = F.col("home")
-    # whether a module reaches another is asked once for each two, not for each candidate
-    meet = pairs.join(n, "callee").join(cand.select("callee", "home").distinct(), "callee").select("module", "home").distinct()
-    near = meet.join(reach, "module").filter(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q))).select("module", "home", F.lit(True).alias("near"))
-    m = pairs.join(n, "callee").join(cand, "callee").join(via, ["module", "callee"], "left").join(near, ["module", "home"], "left")
+    # of each name in each package the best one stands for all, and whether a module reaches a package is asked once for each two
+    of = F.struct(is_test_path(F.col("file_path")).alias("t"), "qualified_name", "target_id")
+    cand = cand.groupBy("name", "home").agg(F.min(of).alias("c")).join(n, "name")
+    met = rest.join(cand, "name")
+    near = met.select("module", "home").distinct().join(reach, "module").filter(F.exists("seen", lambda q: F.contains(q, home) | F.contains(home, q))).select("module", "home", F.lit(True).alias("near"))
     half = F.when(F.col("near"), 1.0).otherwise(0.5)
-    strategy = F.when(F.col("qualified_name") == F.col("target_qn"), "import_map").when(home == F.col("module"), "same_module").when(F.col("n") == 1, "unique_name").otherwise("suffix_match")
-    score = F.when(strategy == "import_map", 0.95).when(strategy == "same_module", 0.9).when(strategy == "unique_name", half * 0.75).otherwise(half * 0.55 * F.least(F.lit(1.0), 3.0 / F.col("n")))
-    rank = F.when(strategy == "import_map", 0).when(strategy == "same_module", 1).when(strategy == "unique_name", 2).otherwise(3)
-    m = m.withColumns({"strategy": strategy, "confidence": score, "rank": rank})
-    order = F.struct("rank", (-F.col("confidence")).alias("c"), is_test_path(F.col("file_path")).alias("t"), "qualified_name", "target_id", "strategy", "confidence")
-    best = m.groupBy("module", "callee").agg(F.min(order).alias("b"))  # combined before the shuffle
-    return calls.join(best, ["module", "callee"]).select("call_id", "b.target_id", "b.strategy", "b.confidence")
+    score = F.when(F.col("n") == 1, half * 0.75).otherwise(half * 0.55 * F.least(F.lit(1.0), 3.0 / F.col("n")))
+    met = met.join(near, ["module", "home"], "left").withColumn("confidence", score)
+    best = met.groupBy("module", "callee").agg(F.min(F.struct((-F.col("confidence")).alias("s"), "c.t", "c.qualified_name", "c.target_id", "confidence", "n")).alias("b"))
+    guessed = best.select("module", "callee", "b.target_id", F.when(F.col("b.n") == 1, "unique_name").otherwise("suffix_match").alias("strategy"), "b.confidence")
+    return calls.join(sure.unionByName(guessed), ["module", "callee"]).select("call_id", "target_id", "strategy", "confidence")
 
 
 def resolved_by_type(calls: DataFrame, records: DataFrame) -> DataFrame:
@@ -303,7 +355,6 @@ def loop_depths(nodes: DataFrame, calls: DataFrame, cap: int = 256, rounds: int
     fall and end at ``cap``, as those on a cycle with a loop do, so a fixed point
     is reached. ``rounds``, if given, stops before it and cuts longer chains.
     """
-    from plexgraph.shared import stored
 
     e = stored(calls.select("source_id", "target_id").filter("source_id <> target_id").distinct())
     cur, own = nodes.select("id", F.col("loop_depth").alias("depth")), nodes.select("id", "loop_depth")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plexgraph.graph import PropertyGraph
@@ -46,9 +46,13 @@ def neighbour_names(g: PropertyGraph, limit: int = 10) -> DataFrame:
     """(id, callers, callees): sorted distinct names over calls of any kind, the first ``limit`` of each."""
     names = g.nodes.select(F.col("id").alias("other"), "name")
     e = g.of_type(*CALL_TYPES)
-    out = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("other")).join(names, "other").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, limit).alias("callees"))
-    into = e.select(F.col("target_id").alias("id"), F.col("source_id").alias("other")).join(names, "other").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, limit).alias("callers"))
-    return into.join(out, "id", "full")
+
+    def first(own: str, other: str, name: str) -> DataFrame:
+        met = e.select(F.col(own).alias("id"), F.col(other).alias("other")).join(names, "other").filter("name IS NOT NULL").select("id", "name").distinct()
+        few = met.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("name"))).filter(F.col("k") <= limit)  # each task keeps no more than these
+        return few.groupBy("id").agg(F.array_sort(F.collect_list("name")).alias(name))
+
+    return first("target_id", "source_id", "callers").join(first("source_id", "target_id", "callees"), "id", "full")
 
 
 def dependent_files(g: PropertyGraph, files: list[str]) -> DataFrame:

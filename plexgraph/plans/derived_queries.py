@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from plexgraph.functions import scalar as S
 from plexgraph.operators import architecture as A
-from plexgraph.operators import community, derive, similar
+from plexgraph.graph import PropertyGraph
+from plexgraph.operators import community, derive, similar, traverse
 from plexgraph.plans.basic_queries import WITH, on_code, table
 from plexgraph.plans.projection import CODE_SQL, code_graph
 from plexgraph.plans.registry import register
 from plexgraph.schema import prop
-from plexgraph.shared import spread, stored
+from plexgraph.shared import shared_dir, spread, stored
 from plexgraph.sources import files as X
 from plexgraph.sources import git, traces
 from plexgraph.streaming import incremental as I
@@ -49,6 +49,25 @@ register("architecture_clusters")(lambda spark, d: A.cluster_summary(code_graph(
 register("derive_leiden")(lambda spark, d: community.communities(code_graph(spark, d)))
 
 
+def leiden_check(g):
+    """What any division into communities has to hold: each node with a call is in one, each is connected, its name is its smallest id, and modularity is above that of one community of all."""
+    m = stored(community.communities(g))
+    calls = stored(g.of_type("CALLS").filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id"), "type").distinct())
+    of = lambda c: m.select(F.col("id").alias(c), F.col("community").alias(f"c_{c}"))
+    met = stored(calls.join(of("source_id"), "source_id").join(of("target_id"), "target_id"))
+    seeds = m.select(F.col("community").alias("id")).distinct()
+    reached = traverse.bfs(PropertyGraph(g.nodes, met.filter("c_source_id = c_target_id")), seeds, ("CALLS",), "both", traverse.MAX_DEPTH).select("id").unionByName(seeds)
+    n = met.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    inside = met.filter("c_source_id = c_target_id").agg(F.count(F.lit(1)).alias("k"))
+    ends = met.select(F.explode(F.array("c_source_id", "c_target_id")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("k"))
+    rows = m.join(m.groupBy("community").agg(F.min("id").alias("least")), "community").join(reached.withColumn("met", F.lit(True)), "id", "left")
+    total = rows.agg(F.count_distinct("id").alias("nodes"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated"), F.count_if(F.col("met").isNull()).alias("unreached"), F.count_if(F.col("least") != F.col("community")).alias("misnamed"))
+    return total.withColumn("better", inside.scalar() / n.scalar() > ends.scalar() / (4 * n.scalar() * n.scalar()))
+
+
+on_code("derive_leiden_check", "SELECT count(DISTINCT id) AS nodes, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS unreached, CAST(0 AS BIGINT) AS misnamed, true AS better FROM (SELECT unnest([source_id, target_id]) AS id FROM edges WHERE type = 'CALLS' AND source_id <> target_id)")(lambda g: leiden_check(g))
+
+
 # change coupling: an order is a commit, a brand and type of its parts a file
 
 def commits(spark, d):
@@ -174,7 +193,7 @@ _TOK = "t AS (SELECT doc_id AS id, [x FOR x IN string_split_regex(lower(text), '
 _HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 _FP = f"s AS (SELECT DISTINCT id, {_HASH.format(chr(39) + chr(39) + ' || array_to_string(list_slice(tokens, k, k + 2), chr(32))')} % 2147483647 AS h FROM (SELECT id, tokens, unnest(range(1, len(tokens) - 1)) AS k FROM t WHERE len(tokens) >= 3)), f AS (SELECT id, i, min((h * (2 * i + 1) * 48271 % 2147483647 + i * 69621) % 2147483647) AS m FROM s, range(64) r(i) GROUP BY ALL)"
 register("derive_minhash", f"WITH {_TOK}, {_FP} SELECT id, array_to_string(list(m ORDER BY i), ',') AS fp FROM f GROUP BY id")(lambda spark, d: similar.minhash(texts(spark, d)).select("id", F.array_join("fp", ",").alias("fp")))
-register("derive_lsh_similar", f"WITH {_TOK}, {_FP}, g AS (SELECT id, list(m ORDER BY i) AS fp FROM f GROUP BY id), q AS (SELECT fp, min(id) AS rep, list(id) AS ids FROM g GROUP BY fp), p AS (SELECT a.rep AS a, b.rep AS b, len(list_filter(list_zip(a.fp, b.fp), lambda z: z[1] = z[2])) / 64 AS jaccard FROM q a JOIN q b ON a.rep < b.rep), u AS (SELECT rep AS a, unnest(ids) AS b, 1.0::DOUBLE AS jaccard FROM q UNION ALL SELECT a, b, jaccard FROM p WHERE jaccard >= 0.95) SELECT a, b, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS k FROM u WHERE a <> b) WHERE k <= 10")(lambda spark, d: similar.similar(similar.minhash(texts(spark, d)).withColumn("ext", F.lit("txt"))))
+register("derive_lsh_similar", f"WITH {_TOK}, {_FP}, g AS (SELECT id, list(m ORDER BY i) AS fp FROM f GROUP BY id), q AS (SELECT fp, min(id) AS rep, list(id) AS ids FROM g GROUP BY fp), p AS (SELECT a.rep AS a, b.rep AS b, len(list_filter(list_zip(a.fp, b.fp), lambda z: z[1] = z[2])) / 64 AS jaccard FROM q a JOIN q b ON a.rep < b.rep), u AS (SELECT rep AS a, unnest(ids) AS b, 1.0::DOUBLE AS jaccard FROM q) SELECT a, b, jaccard FROM u WHERE a <> b UNION ALL SELECT a, b, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS k FROM p WHERE jaccard >= 0.95) WHERE k <= 10")(lambda spark, d: similar.similar(similar.minhash(texts(spark, d)).withColumn("ext", F.lit("txt"))))
 register("derive_idf", f"WITH {_TOK} SELECT w AS term, round(ln((SELECT count(*) FROM t) / count(*)), 9) AS idf FROM (SELECT DISTINCT id, unnest(tokens) AS w FROM t) GROUP BY w")(lambda spark, d: similar.idf(texts(spark, d)).withColumn("idf", F.round("idf", 9)))
 register("derive_cooccurrence", f"WITH {_TOK}, p AS (SELECT id, k, tokens[k] AS w FROM (SELECT id, tokens, unnest(range(1, len(tokens) + 1)) AS k FROM t)), c AS (SELECT a.w AS a, b.w AS b, 1.0 / (b.k - a.k) AS x FROM p a JOIN p b ON a.id = b.id AND b.k > a.k AND b.k <= a.k + 5) SELECT a, b, round(sum(x), 6) AS w FROM (SELECT * FROM c UNION ALL SELECT b, a, x FROM c) GROUP BY a, b")(lambda spark, d: similar.cooccurrence(texts(spark, d)).withColumn("w", F.round("w", 6)))
 register("derive_tfidf_cosine", f"WITH {_TOK}, f AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(tokens) AS w FROM t) GROUP BY ALL), i AS (SELECT w, ln((SELECT count(*) FROM t) / count(*)) AS idf FROM f GROUP BY w), v AS (SELECT id, w, tf * idf AS x FROM f JOIN i USING (w) WHERE idf > 0), n AS (SELECT id, sqrt(sum(x * x)) AS n FROM v GROUP BY id), p AS (SELECT id AS a, id + 1 AS b FROM t) SELECT a, b, round(coalesce(s, 0), 6) AS score FROM p LEFT JOIN (SELECT p.a, p.b, sum(x.x / m.n * y.x / o.n) AS s FROM p JOIN v x ON x.id = p.a JOIN v y ON y.id = p.b AND y.w = x.w JOIN n m ON m.id = p.a JOIN n o ON o.id = p.b GROUP BY ALL) USING (a, b)")(lambda spark, d: similar.tfidf_cosine(similar.tfidf(texts(spark, d)), texts(spark, d).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).withColumn("score", F.round("score", 6)))
@@ -235,10 +254,7 @@ register("stream_event_windows", _HOURS)(lambda spark, d: I.event_counts(table(s
 
 def streamed(spark, d):
     """The same windows through a file stream, run over what is there and compared as a table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="plexgraph-")
-    import uuid
-
-    at = f"{root}/stream-{uuid.uuid4().hex}"
+    at = shared_dir(spark)
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     rows = source.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     out = f"{at}/out"

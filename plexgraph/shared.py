@@ -6,19 +6,26 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back: iterations keep short plans and survive lost executors."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``. Where that is unset, it is a temporary folder on one machine; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plexgraph-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = os.path.join(root, f"plexgraph-{uuid.uuid4().hex}")
+    return os.path.join(root, f"plexgraph-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` below ``spark.checkpoint.dir`` and reads it back: iterations keep short plans and survive lost executors."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
