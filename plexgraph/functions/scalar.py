@@ -117,6 +117,11 @@ def is_test_path(c: Column) -> Column:
     return F.coalesce(c.rlike(TEST_PATH), F.lit(False))
 
 
+def is_test_file_path(c: Column) -> Column:
+    """The form that reports use: fixtures in testdata/ count too."""
+    return is_test_path(c) | F.coalesce(c.rlike(r"(^|/)testdata/"), F.lit(False))
+
+
 def is_test_name(c: Column) -> Column:
     return F.coalesce(c.rlike(TEST_NAME), F.lit(False))
 
@@ -166,18 +171,44 @@ def is_checked_exception(c: Column) -> Column:
 
 
 def proximity(a: Column, b: Column) -> Column:
-    """1 + 0.1 x shared leading directories / the deeper path's directories."""
+    """1 + 0.1 x shared leading directories / the deeper path's directories; 1 where a path is missing."""
     p, q = (F.slice(F.split(x, "/"), 1, F.size(F.split(x, "/")) - 1) for x in (a, b))
     deep = F.greatest(F.size(p), F.size(q))
     same = F.zip_with(p, q, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, F.lit(False))
     shared = F.when(first > 0, first - 1).otherwise(F.least(F.size(p), F.size(q)))
-    return F.lit(1.0) + F.when(deep > 0, F.lit(0.1) * shared / deep).otherwise(0.0)
-
-
-def fqn(project: Column, path: Column, name: Column) -> Column:
-    """project.path.segments.name, without the file's extension."""
-    return F.concat_ws(".", project, F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), "/", "."), name)
+    return F.lit(1.0) + F.when(a.isNotNull() & b.isNotNull() & (deep > 0), F.lit(0.1) * shared / deep).otherwise(0.0)
+
+
+def fqn(project: Column, path: Column, name: Column | None = None) -> Column:
+    """project.path.segments.name, without the file's extension.
+
+    Symbols of a package's file (__init__, index) belong to the package. Without a
+    name it is the module, which keeps that file's name, and for the name __file__
+    the file, which keeps its ending too. '' without a project.
+    """
+    name = F.lit("") if name is None else F.coalesce(name, F.lit(""))
+    path = F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/")
+    path = F.when(name == "__file__", path).otherwise(F.regexp_replace(path, r"\.[^./]*$", ""))
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    parts = F.when(F.coalesce(F.try_element_at(parts, F.lit(-1)).isin("__init__", "index"), F.lit(False)) & (name != ""), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    out = F.array_join(F.concat(F.array(project), parts, F.when(name != "", F.array(name)).otherwise(F.array().cast("array<string>"))), ".")
+    return F.when(project.isNull(), "").otherwise(out)
+
+
+def fqn_folder(project: Column, path: Column) -> Column:
+    """project.path.segments of a directory."""
+    parts = F.filter(F.split(F.regexp_replace(F.coalesce(path, F.lit("")), r"\\", "/"), "/"), lambda x: x != "")
+    return F.when(project.isNull(), "").otherwise(F.array_join(F.concat(F.array(project), parts), "."))
+
+
+def project_name(path: Column) -> Column:
+    """A directory's path as a project's name of letters, digits, '_', '.' and '-': other ASCII signs become '-', other letters the hexadecimal digits of their bytes; 'root' if nothing is left."""
+    letters = F.transform(F.split(F.coalesce(path, F.lit("")), ""), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), F.lower(F.hex(F.encode(x, "UTF-8")))).otherwise(x))
+    out = F.array_join(letters, "")
+    for pattern, to in ((r"[^A-Za-z0-9._-]", "-"), (r"-+", "-"), (r"\.+", "."), (r"^[.-]+|-+$", "")):
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(out == "", "root").otherwise(out)
 
 
 def resolve_relative(path: str, target: str) -> str | None:

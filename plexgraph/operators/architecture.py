@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plexgraph.functions.scalar import is_test_path, qn_package
+from plexgraph.functions.scalar import is_test_file_path, qn_package
 from plexgraph.graph import PropertyGraph
 from plexgraph.operators.lookup import under
 from plexgraph.schema import flag, keys, prop
@@ -41,7 +41,7 @@ def packages(g: PropertyGraph) -> DataFrame:
 
 
 def entry_points(g: PropertyGraph) -> DataFrame:
-    return g.nodes.filter(flag("is_entry_point") & ~is_test_path(F.col("file_path"))).select("name", "qualified_name", "file_path")
+    return g.nodes.filter(flag("is_entry_point") & ~is_test_file_path(F.col("file_path"))).select("name", "qualified_name", "file_path")
 
 
 def routes(g: PropertyGraph) -> DataFrame:
@@ -50,7 +50,7 @@ def routes(g: PropertyGraph) -> DataFrame:
 
 def hotspots(g: PropertyGraph, k: int = 20) -> DataFrame:
     into = g.of_type("CALLS").groupBy(F.col("target_id").alias("id")).agg(F.count(F.lit(1)).alias("fan_in"))
-    return g.nodes.filter(~is_test_path(F.col("file_path"))).join(into, "id").select("name", "qualified_name", "fan_in").orderBy(F.desc("fan_in"), "qualified_name").limit(k)
+    return g.nodes.filter(~is_test_file_path(F.col("file_path"))).join(into, "id").select("name", "qualified_name", "fan_in").orderBy(F.desc("fan_in"), "qualified_name").limit(k)
 
 
 def boundaries(g: PropertyGraph) -> DataFrame:

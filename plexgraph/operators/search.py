@@ -109,8 +109,10 @@ def enclosing(nodes: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def snippet(files: DataFrame, nodes: DataFrame, qn: str) -> DataFrame:
-    """Source lines of a definition; files: (path, text)."""
-    n = nodes.filter(F.col("qualified_name") == qn)
+    """Source lines of a definition, by its qualified name, else by the end of it, else by its name; files: (path, text)."""
+    rank = F.when(F.col("qualified_name") == qn, 0).when(F.endswith("qualified_name", F.lit(f".{qn}")), 1).when(F.col("name") == qn, 2)
+    told = nodes.withColumn("_rank", rank).filter("_rank IS NOT NULL")
+    n = told.filter(F.col("_rank") == told.agg(F.min("_rank")).scalar())
     return n.join(files, n["file_path"] == files["path"]).select("qualified_name", F.array_join(F.slice(F.split("text", "\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n").alias("source"))
 
 

@@ -60,10 +60,10 @@ def bounded(visited: DataFrame, most: int) -> tuple[DataFrame, bool]:
 
 def trace(g: PropertyGraph, seeds: DataFrame, direction: str = "outbound", depth: int = 3, types: tuple = ("CALLS",), include_tests: bool = True) -> DataFrame:
     """(id, qualified_name, hop, risk)."""
-    from plexgraph.functions.scalar import is_test_path
+    from plexgraph.functions.scalar import is_test_file_path
 
     n = g.nodes.select("id", "qualified_name", "file_path")
-    n = n if include_tests else n.filter(~is_test_path(F.col("file_path")))
+    n = n if include_tests else n.filter(~is_test_file_path(F.col("file_path")))
     return bfs(g, seeds, types, direction, depth).join(n, "id").select("id", "qualified_name", "hop", risk(F.col("hop")).alias("risk"))
 
 
@@ -87,14 +87,14 @@ def detect_changes(g: PropertyGraph, hunks: DataFrame, depth: int = 3) -> DataFr
 
 def dead_code(g: PropertyGraph) -> DataFrame:
     """(id, status) of callables: structural, test, entry, exported, dead, single or normal, the first that holds."""
-    from plexgraph.functions.scalar import is_test_path
+    from plexgraph.functions.scalar import is_test_file_path
 
     callers = g.of_type("CALLS", "USAGE", "CALL_REFERENCE").groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("n"))
     n = g.nodes.join(callers, "id", "left")
     count = F.coalesce("n", F.lit(0))
     status = (
         F.when(~F.col("label").isin("Function", "Method"), "structural")
-        .when(is_test_path(F.col("file_path")), "test")
+        .when(is_test_file_path(F.col("file_path")), "test")
         .when(flag("is_entry_point"), "entry")
         .when(flag("is_exported"), "exported")
         .when(count == 0, "dead")

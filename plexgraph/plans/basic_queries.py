@@ -38,7 +38,7 @@ scalar("decorator_tokens", "part", "p_partkey", lambda: {"v": F.array_join(S.dec
 scalar("config_key_norm", "part", "p_partkey", lambda: {"v": S.config_key_norm(F.expr(_MIXED))}, f"SELECT p_partkey, lower(replace(trim(regexp_replace({_CAMEL.format('regexp_replace(m, ' + chr(39) + '[_.-]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, ' +', ' ', 'g')), ' ', '_')) AS v FROM (SELECT p_partkey, {_MIXED} AS m FROM part)")
 scalar("glob_like", "nodes", "id", lambda: {"a": c("file_path").like(S.glob_to_like("**/*.py")), "b": c("file_path").like(S.glob_to_like("**/economy/**")), "d": c("file_path").like(S.glob_to_like("src/**")), "e": c("file_path").like(S.glob_to_like("src/large/brand?.go"))}, "SELECT id, file_path LIKE '%%.py' AS a, file_path LIKE '%economy%' AS b, file_path LIKE 'src%' AS d, file_path LIKE 'src/large/brand_.go' AS e FROM nodes")
 scalar("qn_package", "nodes", "id", lambda: {"p": S.qn_package(c("qualified_name")), "t": S.qn_top_package(c("qualified_name")), "one": S.qn_package(c("name"))}, "SELECT id, CASE WHEN len(s) >= 4 THEN s[3] WHEN len(s) >= 2 THEN s[2] ELSE '' END AS p, CASE WHEN len(s) >= 2 THEN s[2] ELSE '' END AS t, '' AS one FROM (SELECT id, string_split(qualified_name, '.') AS s FROM nodes)")
-scalar("test_path", "nodes", "id", lambda: {"p": S.is_test_path(c("file_path")), "n": S.is_test_name(c("name")), "prod": S.test_to_prod_path(c("file_path"))}, f"SELECT id, regexp_matches(file_path, '{S.TEST_PATH}') AS p, regexp_matches(name, '{S.TEST_NAME}') AS n, CASE WHEN suffix(file_path, '_test.go') THEN regexp_replace(file_path, '_test\\.go$', '.go') WHEN regexp_matches(file_path, '(^|/)test_[^/]*\\.py$') THEN regexp_replace(file_path, '(^|/)test_([^/]*\\.py)$', '\\1\\2') END AS prod FROM nodes")
+scalar("test_path", "nodes", "id", lambda: {"p": S.is_test_path(c("file_path")), "f": S.is_test_file_path(F.concat(F.lit("testdata/"), c("file_path"))), "n": S.is_test_name(c("name")), "prod": S.test_to_prod_path(c("file_path"))}, f"SELECT id, regexp_matches(file_path, '{S.TEST_PATH}') AS p, true AS f, regexp_matches(name, '{S.TEST_NAME}') AS n, CASE WHEN suffix(file_path, '_test.go') THEN regexp_replace(file_path, '_test\\.go$', '.go') WHEN regexp_matches(file_path, '(^|/)test_[^/]*\\.py$') THEN regexp_replace(file_path, '(^|/)test_([^/]*\\.py)$', '\\1\\2') END AS prod FROM nodes")
 _ROUTE = "'/api/' || lower(p_type) || CASE p_partkey % 5 WHEN 0 THEN '/:id' WHEN 1 THEN '/{{id}}/x' WHEN 2 THEN '/<int:id>' WHEN 3 THEN '/$' || '{{id}}' ELSE '/a:b' END".replace("{{", "{").replace("}}", "}")
 scalar("route_canon", "part", "p_partkey", lambda: {"v": S.route_canon(F.expr(_ROUTE))}, "SELECT p_partkey, '/api/' || lower(p_type) || CASE p_partkey % 5 WHEN 0 THEN '/{}' WHEN 1 THEN '/{}/x' WHEN 2 THEN '/{}' WHEN 3 THEN '/{}' ELSE '/a:b' END AS v FROM part")
 scalar("url_path", "pages", "page_id", lambda: {"v": S.url_path(c("url"))}, "SELECT page_id, regexp_extract(url, '^[^/]*/[^/]*/[^/]*(/[^?]*)', 1) AS v FROM pages")
@@ -47,7 +47,17 @@ scalar("confidence_band", "edges", "id", lambda: {"v": S.confidence_band(prop("c
 scalar("risk_label", "nodes", "id", lambda: {"v": S.risk(c("id") % 7)}, "SELECT id, CASE WHEN id % 7 <= 1 THEN 'CRITICAL' WHEN id % 7 = 2 THEN 'HIGH' WHEN id % 7 = 3 THEN 'MEDIUM' ELSE 'LOW' END AS v FROM nodes")
 scalar("json_props", "nodes", "id", lambda: {"k": prop("complexity").cast("int"), "e": flag("is_entry_point"), "bad": prop("x", F.lit("no json"))}, "SELECT id, CAST(json_extract_string(properties, '$.complexity') AS INT) AS k, coalesce(json_extract_string(properties, '$.is_entry_point') = 'true', false) AS e, CAST(NULL AS VARCHAR) AS bad FROM nodes")
 scalar("proximity", "nodes", "id", lambda: {"v": F.round(S.proximity(c("file_path"), F.lit("src/economy/brand1.py")), 6)}, "SELECT id, round(1 + 0.1 * CASE WHEN p[1] = 'src' THEN CASE WHEN p[2] = 'economy' THEN 2 ELSE 1 END ELSE 0 END / 2.0, 6) AS v FROM (SELECT id, string_split(file_path, '/') AS p FROM nodes)")
-scalar("fqn", "nodes", "id", lambda: {"v": S.fqn(c("project"), c("file_path"), c("name"))}, "SELECT id, project || '.' || replace(regexp_replace(file_path, '\\.[^./]*$', ''), '/', '.') || '.' || name AS v FROM nodes")
+_FILES = "concat('pkg/', lower(p_type), CASE p_partkey % 6 WHEN 0 THEN '/__init__.py' WHEN 1 THEN '/index.ts' WHEN 2 THEN '/a.test.js' WHEN 3 THEN '\\\\b.go' WHEN 4 THEN '//.env.local' ELSE '' END)"
+_NAMES = "CASE p_partkey % 4 WHEN 0 THEN '__file__' WHEN 1 THEN '' ELSE p_brand END"
+scalar(
+    "fqn", "part", "p_partkey",
+    lambda: {"v": S.fqn(F.lit("proj"), F.expr(_FILES), F.expr(_NAMES)), "module": S.fqn(F.lit("proj"), F.expr(_FILES)), "folder": S.fqn_folder(F.lit("proj"), F.expr(_FILES)), "project": S.project_name(F.expr(_FILES))},
+    f"""WITH p AS (SELECT p_partkey, replace({_FILES.replace(chr(92) * 2, chr(92))}, '\\', '/') AS f, {_NAMES} AS n, {_FILES.replace(chr(92) * 2, chr(92))} AS raw FROM part),
+q AS (SELECT *, [x FOR x IN string_split(f, '/') IF x <> ''] AS whole, [x FOR x IN string_split(regexp_replace(f, '\\.[^./]*$', ''), '/') IF x <> ''] AS bare FROM p),
+r AS (SELECT *, CASE WHEN n = '__file__' THEN whole WHEN n <> '' AND bare[-1] IN ('__init__', 'index') THEN bare[:-2] ELSE bare END AS own FROM q)
+SELECT p_partkey, array_to_string(['proj'] || own || CASE WHEN n = '' THEN [] ELSE [n] END, '.') AS v, array_to_string(['proj'] || bare, '.') AS module, array_to_string(['proj'] || whole, '.') AS folder,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '[^A-Za-z0-9._-]', '-', 'g'), '-+', '-', 'g'), '\\.+', '.', 'g'), '^[.-]+|-+$', '', 'g') AS project FROM r""",
+)
 scalar("secrets", "documents", "doc_id", lambda: {"v": S.is_secret(c("source"), c("text"))}, f"SELECT doc_id, coalesce(regexp_matches(lower(source), '{'|'.join(S.SECRET_KEYS)}'), false) OR coalesce(regexp_matches(text, '{S.SECRET_VALUES}'), false) AS v FROM documents")
 scalar("names", "orders", "o_orderkey", lambda: {"env": S.is_env_var_name(c("o_orderpriority")), "cfg": S.has_config_extension(F.concat(F.lit("a/b."), F.lower("o_orderstatus"), F.lit("/x.yml"))), "exc": S.is_checked_exception(c("o_orderpriority"))}, "SELECT o_orderkey, regexp_matches(o_orderpriority, '^[A-Z0-9_]{2,}$') AND regexp_matches(o_orderpriority, '[A-Z]') AS env, true AS cfg, NOT regexp_matches(o_orderpriority, 'Error|Panic') AS exc FROM orders")
 scalar("sha256", "nodes", "id", lambda: {"v": F.sha2(c("qualified_name"), 256)}, "SELECT id, sha256(qualified_name) AS v FROM nodes")

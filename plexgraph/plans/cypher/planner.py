@@ -37,6 +37,7 @@ class CypherResult:
     df: DataFrame
     columns: list[str]
     warnings: list[str] = field(default_factory=list)
+    whole: tuple = ()  # (all rows, the ceiling)
 
 
 @dataclass
@@ -505,10 +506,23 @@ def _conjuncts(e: Expr | None) -> list[Expr]:
 
 
 def execute(graph: PropertyGraph, text: str, project: str | None = None, max_rows: int = 0) -> CypherResult:
-    """Plans a query; nothing runs before the DataFrame does. At most ``max_rows`` rows, 100,000 where that is 0."""
+    """Plans a query; only the check of an unconnected pattern's size runs before the DataFrame does.
+
+    At most ``max_rows`` rows, 100,000 where that is 0, all where it is negative; ``truncated`` tells whether that cuts any off.
+    """
     planner = _Planner(graph.of_project(project))
     df, names = planner.run(parse(text))
-    return CypherResult(df.limit(max_rows or MAX_ROWS), names, planner.warnings)
+    most = max_rows or MAX_ROWS
+    return CypherResult(df if most < 0 else df.limit(most), names, planner.warnings, (df, most))
+
+
+def truncated(result: CypherResult) -> bool:
+    """Runs the query as far as its ceiling and one row more; a cut becomes a warning of the result."""
+    df, most = result.whole
+    cut = most >= 0 and df.limit(most + 1).count() > most
+    if cut:
+        result.warnings.append(f"results are cut at {most} rows")
+    return cut
 
 
 def run_with_deadline(result: CypherResult, seconds: float) -> list:

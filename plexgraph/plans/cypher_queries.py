@@ -11,7 +11,7 @@ FLAGSHIP = "MATCH (c:Customer)-[:PLACED]->(o:Order) WHERE o.status = 'F' RETURN
 
 def cypher(name: str, text: str, sql: str, graph: str = "code") -> None:
     base, build = (CODE_SQL, code_graph) if graph == "code" else (TRADE_SQL, trade_graph)
-    register(f"cypher_{name}", f"WITH {base}\n{sql}")(lambda spark, sf_dir: execute(build(spark, sf_dir), text).df)
+    register(f"cypher_{name}", f"WITH {base}\n{sql}")(lambda spark, sf_dir: execute(build(spark, sf_dir), text, max_rows=-1).df)
 
 
 def _j(key: str, of: str = "n") -> str:

@@ -71,6 +71,32 @@ def config_files(spark, d):
 register("ingest_env_urls", "SELECT 'svc' || k || '/Dockerfile' AS path, 'API_URL' AS key, 'https://h/' || k AS url FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 0) UNION ALL SELECT 'svc' || k || '/main.tf', 'url', 'https://t/' || k FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 1)")(lambda spark, d: X.env_urls(config_files(spark, d)))
 register("ingest_dockerfile", "SELECT 'svc' || k || '/Dockerfile' AS path, unnest(['FROM', 'ENV', 'ENV', 'EXPOSE']) AS kind, unnest(['base:' || k, 'API_URL=https://h/' || k, 'DB_PASSWORD=https://x', '80']) AS value FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 0)")(lambda spark, d: X.dockerfile(config_files(spark, d)))
 register("ingest_terraform", "SELECT 'svc' || k || '/main.tf' AS path, 'resource' AS kind, 'aws_x' AS type, 'r' || k AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT 'svc' || CAST(o_orderkey AS VARCHAR) || '/main.tf', 'variable', NULL, 'v' FROM orders WHERE o_orderkey % 2 = 1")(lambda spark, d: X.terraform(config_files(spark, d)))
+def manifests_of(spark, d):
+    return X.packages(table(spark, d, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "/requirements.txt").otherwise("/package.json")).alias("path"), F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("lib"), (F.col("o_custkey") % 9).cast("string"), F.lit("==1.0\nother>=2"))).otherwise(F.concat(F.lit('{"name":"n","dependencies":{"lib'), (F.col("o_custkey") % 9).cast("string"), F.lit('":"1"}}'))).alias("text")))
+
+
+register("derive_depends_on", """SELECT path, 'alpha.__' || eco || '_dep__.' || name AS target_qn, name, eco AS ecosystem FROM (
+  SELECT 'a' || CAST(o_orderkey AS VARCHAR) || '/requirements.txt' AS path, 'pip' AS eco, unnest(['lib' || CAST(o_custkey % 9 AS VARCHAR), 'other']) AS name FROM orders WHERE o_orderkey % 2 = 0
+  UNION ALL SELECT 'a' || CAST(o_orderkey AS VARCHAR) || '/package.json', 'npm', 'lib' || CAST(o_custkey % 9 AS VARCHAR) FROM orders WHERE o_orderkey % 2 = 1)""")(lambda spark, d: X.depends_on(manifests_of(spark, d), "alpha"))
+
+
+def compose_files(spark, d):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("version: '3'\nservices:\n  web"), k, F.lit(":\n    image: img:"), k, F.lit("\n    ports:\n      - \"80"), k, F.lit(":80\"\n    depends_on:\n      - db\n  db:\n    build:\n      context: ./db\n    environment:\n      SIZE: "), F.col("p_size").cast("string"), F.lit("\n"))
+    return table(spark, d, "part").select(F.concat(F.lit("p"), k, F.when(F.col("p_partkey") % 2 == 0, "/docker-compose.prod.yml").otherwise("/compose.yaml")).alias("path"), text.alias("text"))
+
+
+register("ingest_compose", """WITH f AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey, CAST(p_size AS VARCHAR) AS size, 'p' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN '/docker-compose.prod.yml' ELSE '/compose.yaml' END AS path FROM part)
+SELECT path, unnest(['web' || k, 'web' || k, 'web' || k, 'db', 'db']) AS service, unnest(['image', 'ports', 'depends_on', 'build', 'environment']) AS kind, unnest(['img:' || k, '80' || k || ':80', 'db', './db', 'SIZE=' || size]) AS value FROM f""")(lambda spark, d: X.compose(compose_files(spark, d)))
+
+
+def charts(spark, d):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("apiVersion: v2\nname: chart"), k, F.lit("\ndependencies:\n  - name: redis\n    version: "), F.col("p_size").cast("string"), F.lit(".0.0\n    repository: https://charts.example/x\n  - name: pg"), k, F.lit("\n"))
+    return table(spark, d, "part").select(F.concat(F.lit("c"), k, F.lit("/Chart.yaml")).alias("path"), text.alias("text"))
+
+
+register("ingest_helm_dependencies", "SELECT 'c' || k || '/Chart.yaml' AS path, 'chart' || k AS chart, unnest(['redis', 'pg' || k]) AS name, unnest([size || '.0.0', NULL]) AS version, unnest(['https://charts.example/x', NULL]) AS repository FROM (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST(p_size AS VARCHAR) AS size FROM part)")(lambda spark, d: X.helm_dependencies(charts(spark, d)))
 register("ingest_packages", "SELECT 'a' || k || '/package.json' AS path, unnest(['package', 'dependency']) AS kind, unnest(['n' || k, 'lib' || CAST(o_custkey % 9 AS VARCHAR)]) AS name FROM (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_custkey FROM orders)")(lambda spark, d: X.packages(table(spark, d, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string"), F.lit("/package.json")).alias("path"), F.concat(F.lit('{"name":"n'), F.col("o_orderkey").cast("string"), F.lit('","dependencies":{"lib'), (F.col("o_custkey") % 9).cast("string"), F.lit('":"1"}}')).alias("text"))))
 register("ingest_kubernetes", "SELECT 'k' || CAST(o_orderkey AS VARCHAR) || '.yaml' AS path, 'Service' AS kind, 'web' || CAST(o_orderkey AS VARCHAR) AS name, 'a' || CAST(o_custkey % 9 AS VARCHAR) AS app FROM orders")(lambda spark, d: X.kubernetes(table(spark, d, "orders").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string"), F.lit(".yaml")).alias("path"), F.concat(F.lit("kind: Service\nmetadata:\n  name: web"), F.col("o_orderkey").cast("string"), F.lit("\nspec:\n  selector:\n    app: a"), (F.col("o_custkey") % 9).cast("string"), F.lit("\n")).alias("text"))).select("path", "kind", "name", F.col("selector")["app"].alias("app")))
 register("ingest_compile_flags", "SELECT p_partkey AS id, 'inc/' || p_type AS include, 'B=' || CAST(p_size AS VARCHAR) AS define FROM part")(lambda spark, d: X.compile_flags(table(spark, d, "part").select(F.col("p_partkey").alias("file"), F.concat(F.lit("cc -Iinc/"), "p_type", F.lit(" -D B="), F.col("p_size").cast("string"), F.lit(" -c x.c")).alias("command"))).select(F.col("file").alias("id"), F.element_at("includes", 1).alias("include"), F.element_at("defines", 1).alias("define")))

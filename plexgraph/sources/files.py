@@ -267,6 +267,54 @@ def packages(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, "path string, kind string, name string")
 
 
+#: Names of manifests and of the ecosystems they belong to.
+ECOSYSTEMS = {"go.mod": "gomod", "requirements.txt": "pip", "Cargo.toml": "cargo", "package.json": "npm", "Chart.yaml": "helm"}
+
+
+def depends_on(found: DataFrame, project: str) -> DataFrame:
+    """(path, target_qn, name, ecosystem) of DEPENDS_ON edges, from packages (path, kind, name)."""
+    base = F.element_at(F.split("path", "/"), -1)
+    eco = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ECOSYSTEMS.items() for x in kv]), base), F.lit("external"))
+    need = found.filter((F.col("kind") == "dependency") & (F.col("name") != "")).select("path", "name", eco.alias("ecosystem")).distinct()
+    return need.select("path", F.concat(F.lit(f"{project}.__"), "ecosystem", F.lit("_dep__."), "name").alias("target_qn"), "name", "ecosystem")
+
+
+def _from_yaml(files: DataFrame, pattern: str, rows_of, schema: str, columns: list[str]) -> DataFrame:
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(p, *r) for p, t in zip(pdf["path"], pdf["text"]) for d in yaml_documents(t or "") if isinstance(d, dict) for r in rows_of(d)]
+            yield pd.DataFrame(rows, columns=columns)
+
+    return files.filter(F.col("path").rlike(pattern)).select("path", "text").mapInPandas(run, schema)
+
+
+def compose(files: DataFrame) -> DataFrame:
+    """(path, service, kind, value) of the services in compose files: image, build, ports, environment and depends_on, one row for each value."""
+    def rows_of(d):
+        services = d.get("services") if isinstance(d.get("services"), dict) else {}
+        for name, x in services.items():
+            for kind in ("image", "build", "ports", "environment", "depends_on") if isinstance(x, dict) else ():
+                v = x.get(kind)
+                if kind == "build" and isinstance(v, dict):
+                    v = v.get("context")
+                values = [f"{k}={y}" if kind == "environment" else k for k, y in v.items()] if isinstance(v, dict) else v if isinstance(v, list) else [v]
+                yield from ((name, kind, str(y)) for y in values if y is not None and not isinstance(y, dict))
+
+    return _from_yaml(files, r"(?i)(^|/)(docker-compose[^/]*|compose)\.ya?ml$", rows_of, "path string, service string, kind string, value string", ["path", "service", "kind", "value"])
+
+
+def helm_dependencies(files: DataFrame) -> DataFrame:
+    """(path, chart, name, version, repository) of the dependencies in Chart.yaml and requirements.yaml files."""
+    def rows_of(d):
+        need = d.get("dependencies") if isinstance(d.get("dependencies"), list) else []
+        text = lambda v: None if v is None else str(v)
+        yield from ((text(d.get("name")), text(x.get("name")), text(x.get("version")), text(x.get("repository"))) for x in need if isinstance(x, dict) and x.get("name"))
+
+    return _from_yaml(files, r"(^|/)(Chart|requirements)\.ya?ml$", rows_of, "path string, chart string, name string, version string, repository string", ["path", "chart", "name", "version", "repository"])
+
+
 def alias_target(aliases: dict[str, list[str]], target: str, base: str = "") -> str | None:
     """A path behind an alias of a compiler's configuration: the longest prefix before * wins."""
     best = None

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plexgraph.functions import scalar as S
 from plexgraph.graph import PropertyGraph, dedup_edges
 from plexgraph.operators import community, derive, lookup, search, similar, traverse
-from plexgraph.plans.cypher import CypherError, UnsupportedCypher, execute, parse
+from plexgraph.plans.cypher import CypherError, UnsupportedCypher, execute, parse, run_with_deadline, truncated
 from plexgraph.schema import EDGE_SCHEMA, NODE_SCHEMA
 from plexgraph.sources import documents, files, git, traces
 from plexgraph.streaming import incremental
@@ -216,3 +216,86 @@ def test_patch_follows_names(spark, chain):
     old = PropertyGraph(chain.nodes.withColumn("file_path", F.when(F.col("id") == 2, "src/b.py").otherwise(F.col("file_path"))), chain.edges)
     got = incremental.patch(old, new, spark.createDataFrame([("src/b.py",)], "file_path string"))
     assert ids(got.edges, "source_id", "target_id") == [(1, 90), (3, 4), (5, 1)]
+
+
+def test_names_of_files(spark):
+    one = lambda **c: spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
+    fqn = lambda p, f, n=None: S.fqn(F.lit(p), F.lit(f), None if n is None else F.lit(n))
+    r = one(a=fqn("myproj", "pkg/__init__.py", "Foo"), b=fqn("myproj", "src/index.ts", "App"), c=fqn("myproj", "cmd/server/main.go"), d=fqn("proj", "main.go", "main"), e=fqn("proj", "pkg/__init__.py"), f=fqn("proj", "pkg/.env.local", "__file__"), g=fqn("proj", "index.js", "x"), h=fqn(None, "a.py", "x"), i=fqn("proj", "", ""))
+    assert tuple(r) == ("myproj.pkg.Foo", "myproj.src.App", "myproj.cmd.server.main", "proj.main.main", "proj.pkg.__init__", "proj.pkg..env.local.__file__", "proj.x", "", "proj")
+    r = one(a=S.fqn_folder(F.lit("myproj"), F.lit("cmd/server")), b=S.project_name(F.lit("/Users/dev/project")), c=S.project_name(F.lit("/")), d=S.project_name(F.lit("/home/u/my  project..x/é")))
+    assert tuple(r) == ("myproj.cmd.server", "Users-dev-project", "root", "home-u-my-project.x-c3a9")
+
+
+def test_test_paths(spark):
+    paths = ["internal/handler/handler.go", "src/__tests__/handler.test.ts", "src/test/java/com/example/Test.java", "tests/test_handler.py", "testdata/fixture.json", "", None]
+    df = spark.createDataFrame([(k, p) for k, p in enumerate(paths)], "k int, p string")
+    assert [r.t for r in df.orderBy("k").select(S.is_test_file_path(F.col("p")).alias("t")).collect()] == [False, True, True, True, True, False, False]
+    r = spark.range(1).select(S.proximity(F.lit(None).cast("string"), F.lit("foo.c")), S.proximity(F.lit("foo.c"), F.lit(None).cast("string")), S.proximity(F.lit("src/main.c"), F.lit("src/main.c")), S.proximity(F.lit("src/foo/a.c"), F.lit("tests/bar/b.c"))).first()
+    assert tuple(r) == (1.0, 1.0, 1.1, 1.0)
+
+
+@pytest.mark.parametrize("bucket", [200, 3])
+def test_similar_loses_no_pair(spark, bucket):
+    import random
+
+    rng, rows = random.Random(7), []
+    for g in range(12):
+        base = [rng.randrange(1000) for _ in range(64)]
+        for _ in range(15):
+            fp = list(base)
+            for at in rng.sample(range(64), rng.randrange(5)):
+                fp[at] = rng.randrange(1000)
+            rows.append((len(rows), "py" if g % 2 else "go", fp))
+    rows += [(1000 + k, "py", [1] * 64) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, ext string, fp array<long>")
+    got = similar.similar(df, most=1000, bucket=bucket).collect()
+    rep = {}
+    for i, ext, fp in rows:
+        rep.setdefault((ext, tuple(fp)), i)
+    want = {(rep[ext, tuple(fp)], i, 1.0) for i, ext, fp in rows if rep[ext, tuple(fp)] != i}
+    some = [(i, ext, fp) for (ext, fp), i in rep.items()]
+    for i, e, f in some:
+        want |= {(i, j, s) for j, h, x in some if i < j and e == h and (s := sum(p == q for p, q in zip(f, x)) / 64) >= 0.95}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_interfaces_by_their_rarest_method(spark):
+    labels = [(1, "Interface"), (2, "Interface"), (3, "Interface")] + [(k, "Class") for k in range(10, 60)]
+    methods = [(1, "close"), (1, "read"), (2, "close"), (3, "close"), (3, "never")] + [(k, "close") for k in range(10, 60)] + [(k, "read") for k in (12, 13, 13)]
+    got = derive.satisfied_interfaces(spark.createDataFrame(methods, "owner long, name string"), spark.createDataFrame(labels, "id long, label string")).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(12, 1), (13, 1)] + [(k, 2) for k in range(10, 60)])
+
+
+def test_resolution_chain(spark):
+    names = ["proj.lib.App.Alpha.save", "proj.lib.App.Beta.save", "proj.lib.App.Gamma.save", "proj.svcA.Foo.Bar.run", "proj.svcB.Foo.Bar.run", "proj.pkg.worker.Process", "proj.pkg.worker.deep.Start", "proj.lib.authorization.requireAdmin", "proj.lib.users.requireAdmin", "proj.security_scan.scan_bash", "proj.cmd.main.helper", "proj.far.only"]
+    nodes = spark.createDataFrame([(k, q.split(".")[-1], q, "a.go") for k, q in enumerate(names)], "id long, name string, qualified_name string, file_path string")
+    imports = spark.createDataFrame([("proj.cmd.main", "worker", "proj.pkg.worker"), ("proj.cmd.main", "requireAdmin", "proj.lib.authorization"), ("proj.cmd.main", "_scan", "proj.security_scan.scan_bash")], "module string, local_name string, target_qn string")
+    asked = ["App::Alpha::save", "App.Beta.save", "Other::Pkg::save", "Foo::Bar::run", "worker.Process", "worker.Start", "requireAdmin", "_scan", "helper", "only", "x.only", "none"]
+    calls = spark.createDataFrame([(k, "proj.cmd.main", x) for k, x in enumerate(asked)], "call_id long, module string, callee string")
+    got = {asked[r.call_id]: (names[r.target_id], r.strategy, round(r.confidence, 3)) for r in derive.resolve_calls(calls, nodes, imports).collect()}
+    assert got == {
+        "App::Alpha::save": ("proj.lib.App.Alpha.save", "qualified_suffix", 0.9), "App.Beta.save": ("proj.lib.App.Beta.save", "qualified_suffix", 0.9),
+        "Other::Pkg::save": ("proj.lib.App.Alpha.save", "suffix_match", 0.275), "Foo::Bar::run": ("proj.svcA.Foo.Bar.run", "suffix_match", 0.275),
+        "worker.Process": ("proj.pkg.worker.Process", "import_map", 0.95), "worker.Start": ("proj.pkg.worker.deep.Start", "import_map_suffix", 0.85),
+        "requireAdmin": ("proj.lib.authorization.requireAdmin", "import_map", 0.95), "_scan": ("proj.security_scan.scan_bash", "import_map", 0.95),
+        "helper": ("proj.cmd.main.helper", "same_module", 0.9), "only": ("proj.far.only", "unique_name", 0.375), "x.only": ("proj.far.only", "unique_name", 0.375),
+    }
+
+
+def test_ceiling_and_deadline(spark):
+    nodes = spark.createDataFrame([(k, "p", "Class", f"c{k}", f"p.c{k}", "a.py", 1, 2, "{}") for k in range(5)], NODE_SCHEMA)
+    g = PropertyGraph(nodes, spark.createDataFrame([], EDGE_SCHEMA))
+    r = execute(g, "MATCH (n:Class) RETURN n.name AS name", max_rows=3)
+    assert r.df.count() == 3 and truncated(r) and r.warnings == ["results are cut at 3 rows"]
+    assert execute(g, "MATCH (n:Class) RETURN n.name AS name", max_rows=-1).df.count() == 5
+    r = execute(g, "MATCH (n:Class) RETURN n.name AS name", max_rows=5)
+    assert not truncated(r) and not r.warnings
+    assert len(run_with_deadline(r, 60)) == 5
+    slow = execute(g, "MATCH (n:Class) RETURN n.name AS name")
+    from pyspark.sql.types import LongType
+
+    wait = F.udf(lambda x: __import__("time").sleep(30) or x, LongType())
+    slow.df = spark.range(1).select(wait("id"))
+    with pytest.raises(Exception):
+        run_with_deadline(slow, 2)
