@@ -7,7 +7,8 @@ classified by a softmax; a document gets the mean of its windows' probabilities,
 weighted by their bytes. The network is trained in numpy on a bounded sample of
 labelled rows (``MAX_DOCS`` documents, spread evenly over the languages, of each
 ``DOC_WINDOWS`` windows spread evenly over the text) and applied batch by batch
-with no shuffle.
+with no shuffle. Classes are the ``MAX_LANGS`` languages with the most rows; rows of
+any further language are not learned from and are told as one of these.
 
 Nulls: rows with a null lang are not learned from; a null text, or one without a
 letter, is ``und`` with score 0. A null doc_id counts as not held out. Repeated

@@ -201,6 +201,22 @@ def test_languages_of_held_out_rows(spark, data):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_network_is_plain_loops():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
+    p = langid.train(rng.integers(97, 123, (40, langid.WINDOW)).astype(np.uint8), rng.integers(0, 3, 40), 3, epochs=1)
+    reach = max(langid.WIDTHS)
+    w = p["w"].reshape(reach, langid.EMBED, -1)
+    for window, got in zip(x, langid.probabilities(p, x)):
+        act = []
+        for k, width in enumerate(langid.WIDTHS):
+            for f in range(k * langid.FILTERS, (k + 1) * langid.FILTERS):
+                places = [sum(float(p["e"][window[at + j]] @ w[j, :, f]) for j in range(width)) for at in range(langid.WINDOW - reach + 1)]
+                act.append(max(0.0, max(places) + float(p["b"][f])))
+        z = np.array(act) @ p["u"] + p["c"]
+        assert np.allclose(got, np.exp(z - z.max()) / np.exp(z - z.max()).sum(), atol=1e-4)
+
+
 def test_languages_awkward(awkward, empty, docs):
     model = langid.fit(docs)
     got = langid.predict(awkward.select("doc_id", "text", "lang_pred"), model).collect()
@@ -252,6 +268,33 @@ def test_ordinal_gradient():
     assert np.allclose(g, [(toxicity._loss(v + d, *args)[0] - toxicity._loss(v - d, *args)[0]) / 2e-6 for d in e], atol=1e-6)
 
 
+def test_ordinal_fit_is_the_minimum():
+    """The fitted weights against the objective written plainly: it is convex in weights and thresholds, so no step near or far may lower it."""
+    rng = np.random.default_rng(6)
+    rows = [{int(j): float(rng.random()) for j in rng.choice(6, 3, replace=False)} for _ in range(80)]
+    grade = np.array([0, 1, 2] + [int(sum(r.get(j, 0) for j in (0, 1)) + rng.random() > 0.9) + int(r.get(0, 0) > 0.6) for r in rows[3:]])
+    weight = rng.random(80) + 0.5
+    at, value, row = (np.array(x) for x in zip(*((j, x, i) for i, r in enumerate(rows) for j, x in r.items())))
+    w, theta = toxicity.fit(at, value, row, grade, weight, 6, l2=0.05, rounds=500)
+
+    def loss(w, theta):
+        total = 0.05 / 2 * sum(x * x for x in w)
+        for r, g, k in zip(rows, grade, weight / weight.sum()):
+            z = sum(w[j] * x for j, x in r.items())
+            below = [1 / (1 + math.exp(z - t)) for t in theta] + [1.0]
+            total -= k * math.log(below[g] - (below[g - 1] if g else 0.0))
+        return total
+
+    best = loss(w, theta)
+    assert len(theta) == 2 and theta[0] < theta[1]
+    for k in range(300):
+        d, e = rng.normal(size=6), rng.normal(size=2)
+        size = 10.0 ** -(k % 5) / 2
+        t = theta + size * e
+        if t[0] < t[1]:
+            assert loss(w + size * d, t) >= best - 1e-6
+
+
 # 2
 
 
