@@ -275,31 +275,40 @@ def _blocks_of(bits: int, blocks: int):
     return run
 
 
-def _close(most: int):
-    """For a bucket's (id, sketch): edges of a spanning forest of the pairs whose sketches differ by ``most`` bits at most."""
+def _close(most: int, few: int = 8):
+    """For a bucket's (id, sketch): the pairs whose sketches differ by ``most`` bits at most, of more than ``few`` ids the edges of a spanning forest of them."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         ones = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+        near = lambda x: sum(ones[(x >> np.uint64(s)).astype(np.uint16)] for s in (0, 16, 32, 48)) <= most
         for b in batches:
+            met = b.column("met")
+            size = met.value_lengths().to_numpy()
+            ids, v = (met.flatten().field(c).to_numpy() for c in ("id", "sketch"))
+            v, of, end = v.view(np.uint64), np.repeat(np.arange(len(size)), size), np.cumsum(size)
             src, dst = [], []
-            for got in b.column("met"):
-                ids, v = (got.values.field(c).to_numpy() for c in ("id", "sketch"))
-                v, todo = v.view(np.uint64), np.random.default_rng(int(ids.min()) & 0xFFFF).permutation(len(ids))
+            for step in range(1, few):  # the small ones together
+                i = np.flatnonzero((of[:-step] == of[step:]) & (size[of[:-step]] <= few))
+                i = i[near(v[i] ^ v[i + step])]
+                src.append(ids[i])
+                dst.append(ids[i + step])
+            for k in np.flatnonzero(size > few):
+                own = np.arange(end[k] - size[k], end[k])
+                todo = np.random.default_rng(int(ids[own].min()) & 0xFFFF).permutation(own)
                 while len(todo):
-                    root, queue, todo = todo[0], [todo[0]], todo[1:]
+                    queue, todo = [todo[0]], todo[1:]
                     while queue and len(todo):
                         at = queue.pop()
-                        x = v[todo] ^ v[at]
-                        near = sum(ones[(x >> np.uint64(s)).astype(np.uint16)] for s in (0, 16, 32, 48)) <= most
-                        found = todo[near]
+                        close = near(v[todo] ^ v[at])
+                        found = todo[close]
                         queue += found.tolist()
-                        src += [ids[at]] * len(found)
-                        dst += ids[found].tolist()
-                        todo = todo[~near]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (src, dst)], ["a", "b"])
+                        src.append(np.full(len(found), ids[at]))
+                        dst.append(ids[found])
+                        todo = todo[~close]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (src, dst)], ["a", "b"])
 
     return run
 
@@ -314,7 +323,7 @@ def candidates(keyed: DataFrame, most: int, bucket: int) -> DataFrame:
     for level in range(4):
         met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         rows = keyed.join(met, "key")
-        found = rows.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("met")).select("met").mapInArrow(sliced(_close(most)), "a long, b long")
+        found = rows.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("met")).select("met").mapInArrow(sliced(_close(most), 20_000), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
         hot = rows.filter(F.col("n") > bucket)
         if level == 3:
