@@ -299,3 +299,9 @@ def test_ceiling_and_deadline(spark):
     slow.df = spark.range(1).select(wait("id"))
     with pytest.raises(Exception):
         run_with_deadline(slow, 2)
+
+
+def test_merge_with_overlapping_ids(spark):
+    a = graph(spark, [(1, "Function", "A"), (2, "Function", "B"), (3, "Function", "C")], [(1, 2, "CALLS"), (2, 3, "CALLS")])
+    b = graph(spark, [(2, "Function", "A"), (3, "Function", "B"), (4, "Function", "C")], [(2, 3, "CALLS"), (3, 4, "CALLS")])
+    assert ids(a.merged(b).edges, "source_id", "target_id") == [(1, 2), (2, 3)]
