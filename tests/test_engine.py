@@ -305,3 +305,24 @@ def test_merge_with_overlapping_ids(spark):
     a = graph(spark, [(1, "Function", "A"), (2, "Function", "B"), (3, "Function", "C")], [(1, 2, "CALLS"), (2, 3, "CALLS")])
     b = graph(spark, [(2, "Function", "A"), (3, "Function", "B"), (4, "Function", "C")], [(2, 3, "CALLS"), (3, 4, "CALLS")])
     assert ids(a.merged(b).edges, "source_id", "target_id") == [(1, 2), (2, 3)]
+
+
+def test_leiden_check_reaches_the_ends_of_a_long_community(spark, monkeypatch):
+    from plexgraph.plans.derived_queries import leiden_check
+
+    n = 60  # a path, put into one community: its end is 59 steps from its smallest id
+    g = graph(spark, [(k, "Function", f"f{k}") for k in range(n)], [(k, k + 1, "CALLS") for k in range(n - 1)])
+    monkeypatch.setattr(community, "communities", lambda g: g.nodes.select("project", "id", F.lit(0).cast("long").alias("community")))
+    assert leiden_check(g).select("nodes", "repeated", "unreached", "misnamed").first() == (n, 0, 0, 0)
+    monkeypatch.setattr(community, "communities", lambda g: g.nodes.select("project", "id", (F.col("id") % 2).alias("community")))
+    assert leiden_check(g).first().unreached == n - 2
+
+
+def test_connected(spark):
+    import random
+
+    rnd = random.Random(3)
+    order = rnd.sample(range(200), 200)
+    chain = list(zip(order[:120], order[1:120])) + [(order[150], order[151]), (order[160], order[160])]
+    want = {x: min(order[:120]) for x in order[:120]} | {x: min(order[150:152]) for x in order[150:152]}
+    assert {r.id: r.root for r in traverse.connected(spark.createDataFrame(chain, "a long, b long")).collect()} == want
