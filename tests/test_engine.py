@@ -326,3 +326,16 @@ def test_connected(spark):
     chain = list(zip(order[:120], order[1:120])) + [(order[150], order[151]), (order[160], order[160])]
     want = {x: min(order[:120]) for x in order[:120]} | {x: min(order[150:152]) for x in order[150:152]}
     assert {r.id: r.root for r in traverse.connected(spark.createDataFrame(chain, "a long, b long")).collect()} == want
+
+
+def test_leiden_of_many_nodes_moves_them_together(monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    pairs = [p for k in range(0, 300, 10) for p in itertools.combinations(range(k, k + 10), 2)] + [(k, k + 10) for k in range(0, 290, 10)]
+    monkeypatch.setattr(community, "_moved_singly", None)
+    monkeypatch.setattr(community, "TOGETHER", 0)
+    c = community.leiden(300, pairs)
+    assert all(len(set(c[k : k + 10])) == 1 for k in range(0, 300, 10)) and 10 <= len(set(c)) <= 30
+    assert (community.leiden(5, np.empty((0, 2), np.int64)) == np.arange(5)).all()
