@@ -339,3 +339,18 @@ def test_leiden_of_many_nodes_moves_them_together(monkeypatch):
     c = community.leiden(300, pairs)
     assert all(len(set(c[k : k + 10])) == 1 for k in range(0, 300, 10)) and 10 <= len(set(c)) <= 30
     assert (community.leiden(5, np.empty((0, 2), np.int64)) == np.arange(5)).all()
+
+
+def test_minhash_hex_is_made_once_for_each_reading(spark):
+    from pyspark.sql.types import StringType
+
+    made = spark.sparkContext.accumulator(0)
+
+    def hexed(k):
+        made.add(1)
+        return "".join(f"{k + i:08x}" for i in range(64))
+
+    df = spark.range(3).select("id", S.minhash_from_hex(F.udf(hexed, StringType())("id")).alias("v"))
+    assert all(r.v == list(range(r.id, r.id + 64)) for r in df.collect()) and made.value == 3
+    plan = spark.range(1).select(S.minhash_from_hex(F.md5(F.col("id").cast("string"))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array(md5(") == 1
