@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plexgraph.llm.common import doc_text, packed, sliced, stored, table, unpacked
@@ -42,6 +42,9 @@ BUCKET = 1024
 WORDS = 5
 SIMILARITY = 0.8
 RECALL = 0.95
+#: Ids of a key that are compared as pairs, by sketches first; the standard deviations above the mean by which the sketches of a pair at the bound may differ.
+FEW = 8
+SKETCH = 6.0
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -275,66 +278,118 @@ def _blocks_of(bits: int, blocks: int):
     return run
 
 
-def _close(most: int, few: int = 8):
-    """For a bucket's (id, sketch): the pairs whose sketches differ by ``most`` bits at most, of more than ``few`` ids the edges of a spanning forest of them."""
+def _met_pairs(most: int):
+    """For the (id, sketch) of a key that few ids share: the pairs whose sketches differ by ``most`` bits at most."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ones = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
-        near = lambda x: sum(ones[(x >> np.uint64(s)).astype(np.uint16)] for s in (0, 16, 32, 48)) <= most
         for b in batches:
             met = b.column("met")
             size = met.value_lengths().to_numpy()
             ids, v = (met.flatten().field(c).to_numpy() for c in ("id", "sketch"))
-            v, of, end = v.view(np.uint64), np.repeat(np.arange(len(size)), size), np.cumsum(size)
-            src, dst = [], []
-            for step in range(1, few):  # the small ones together
-                i = np.flatnonzero((of[:-step] == of[step:]) & (size[of[:-step]] <= few))
-                i = i[near(v[i] ^ v[i + step])]
+            v, of = v.view(np.uint64), np.repeat(np.arange(len(size)), size)
+            src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for step in range(1, int(size.max(initial=0))):
+                i = np.flatnonzero(of[:-step] == of[step:])
+                i = i[np.bitwise_count(v[i] ^ v[i + step]) <= most]
                 src.append(ids[i])
                 dst.append(ids[i + step])
-            for k in np.flatnonzero(size > few):
-                own = np.arange(end[k] - size[k], end[k])
-                todo = np.random.default_rng(int(ids[own].min()) & 0xFFFF).permutation(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["a", "b"])
+
+    return run
+
+
+def _whole(fps, total: int):
+    """Fingerprints (Arrow binary) as rows of 64-bit words, of which ``total`` bits count."""
+    import numpy as np
+
+    rows = np.frombuffer(b"".join(fps.to_pylist()), np.uint8).reshape(len(fps), -1)[:, : total // 8]
+    return np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view(np.uint64)
+
+
+def _close(most: int, total: int):
+    """For a bucket's (id, fp): the edges of a spanning forest of all its pairs that differ in ``most`` of ``total`` bits at most."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k in range(b.num_rows):
+                met = b.column("met").slice(k, 1).flatten()
+                ids, v = met.field("id").to_numpy(), _whole(met.field("fp"), total)
+                todo = np.arange(len(ids))
                 while len(todo):
                     queue, todo = [todo[0]], todo[1:]
                     while queue and len(todo):
                         at = queue.pop()
-                        close = near(v[todo] ^ v[at])
+                        close = np.bitwise_count(v[todo] ^ v[at]).sum(axis=1, dtype=np.int64) <= most
                         found = todo[close]
                         queue += found.tolist()
                         src.append(np.full(len(found), ids[at]))
                         dst.append(ids[found])
                         todo = todo[~close]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (src, dst)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["a", "b"])
 
     return run
 
 
-def candidates(keyed: DataFrame, most: int, bucket: int) -> DataFrame:
-    """(a, b): pairs of ids that share a key (key, id, sketch) and whose sketches are close, a spanning forest for each key.
+def _across(most: int, total: int):
+    """For two chunks ``one`` and ``two`` of a key's (id, root, fp): (id, root) for each id of the first and each other root that it is close to in the second."""
 
-    A key that more than ``bucket`` ids share is split by 16 bits of their sketches, each quarter in turn, then by two
-    quarters, then by the whole sketch; ids that share even this are linked to the least.
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            src, dst = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k in range(b.num_rows):
+                one, two = (b.column(c).slice(k, 1).flatten() for c in ("one", "two"))
+                v, w = _whole(one.field("fp"), total), _whole(two.field("fp"), total)
+                root = two.field("root").to_numpy()
+                for x, at, own in zip(one.field("id").to_numpy(), v, one.field("root").to_numpy()):
+                    near = np.unique(root[np.bitwise_count(w ^ at).sum(axis=1, dtype=np.int64) <= most])
+                    near = near[near != own]
+                    src.append(np.full(len(near), x))
+                    dst.append(near)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["a", "b"])
+
+    return run
+
+
+def _bucketed(rows: DataFrame, fps: DataFrame, most: int, total: int) -> DataFrame:
+    """Edges (a, b) of a spanning forest for each key of rows (key, id)."""
+    met = rows.select("key", "id").join(fps, "id").groupBy("key").agg(F.collect_list(F.struct("id", "fp")).alias("met"))
+    return met.select("met").mapInArrow(sliced(_close(most, total)), "a long, b long")
+
+
+def _hot(hot: DataFrame, edges: DataFrame, fps: DataFrame, most: int, total: int, bucket: int) -> DataFrame:
+    """Edges that ``edges`` and the keys of more than ``bucket`` ids (key, id, sketch) give: the closure is that of all close pairs.
+
+    First the ids of a key are compared where 16 bits of their sketches are alike, each quarter in turn, then where two are:
+    that links nearly all. Then, of each key, the ids outside its largest component are compared with all of the key.
     """
-    edges, quarter = None, lambda q: F.shiftright("sketch", 16 * q).bitwiseAND(F.lit(0xFFFF))
-    for level in range(4):
-        met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        rows = keyed.join(met, "key")
-        found = rows.filter(F.col("n") <= bucket).groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("met")).select("met").mapInArrow(sliced(_close(most), 20_000), "a long, b long")
-        edges = found if edges is None else edges.unionByName(found)
-        hot = rows.filter(F.col("n") > bucket)
-        if level == 3:
+    quarter = lambda q: F.shiftright("sketch", 16 * q).bitwiseAND(F.lit(0xFFFF))
+    part = hot
+    for parts in ([(q,) for q in range(4)], list(combinations(range(4), 2)), [(0, 1, 2, 3)]):
+        part = stored(part.select(F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[quarter(q) for q in p]) for k, p in enumerate(parts)])).alias("key"), "id", "sketch"))
+        n = part.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = part.join(n, "key")
+        edges = edges.unionByName(_bucketed(rows.filter(F.col("n") <= bucket), fps, most, total))
+        part = stored(rows.filter(F.col("n") > bucket).select("key", "id", "sketch"))
+        if part.isEmpty():
             break
-        parts = [(q,) for q in range(4)] if level == 0 else list(combinations(range(4), 2)) if level == 1 else [(0, 1, 2, 3)]
-        keyed = hot.select(F.explode(F.array(*[F.xxhash64("key", F.lit(k), *[quarter(q) for q in p]) for k, p in enumerate(parts)])).alias("key"), "id", "sketch")
-        keyed = stored(keyed)
-        if keyed.isEmpty():
-            return edges
-    first = hot.groupBy("key").agg(F.min("id").alias("b"))
-    return edges.unionByName(hot.join(first, "key").select(F.col("id").alias("a"), "b").filter("a <> b"))
+    edges = stored(edges)
+    comp = components(edges).withColumnRenamed("v", "id")
+    told = stored(hot.select("key", "id").join(comp, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    largest = told.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select("key", F.col("m.root").alias("most"))
+    told = told.join(largest, "key").join(fps, "id").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / bucket)))
+    chunks = lambda df, c: df.groupBy("key", "chunk").agg(F.collect_list(F.struct("id", "root", "fp")).alias(c))
+    rest = chunks(told.filter("root <> most"), "one").drop("chunk")
+    return edges.unionByName(rest.join(chunks(told, "two"), "key").select("one", "two").mapInArrow(sliced(_across(most, total)), "a long, b long"))
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WORDS, recall: float = RECALL, bucket: int = BUCKET, keep: tuple = ("doc_id",)) -> DataFrame:
@@ -344,8 +399,13 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
     marks = stored(long_fingerprints(docs, -(-bits * blocks // 64) + 1, shingle, keep).withColumn("id", F.xxhash64("fp")))
     fps = stored(marks.groupBy("id").agg(F.first("fp").alias("fp")))
     keyed = stored(fps.select("id", "fp").mapInArrow(sliced(_blocks_of(bits, blocks)), "key long, id long, sketch long"))
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    pairs = stored(candidates(keyed, math.ceil(64 * p + 3.5 * math.sqrt(64 * p * (1 - p))), bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    p, total = math.acos(2 * similarity / (1 + similarity)) / math.pi, bits * blocks
+    unlike = math.ceil(64 * p + SKETCH * math.sqrt(64 * p * (1 - p)))
+    few = min(FEW, bucket)
+    met = keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "key")
+    pairs = met.filter(F.col("n") <= few).groupBy("key").agg(F.collect_list(F.struct("id", "sketch")).alias("met")).select("met").mapInArrow(sliced(_met_pairs(unlike), 20_000), "a long, b long")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    more = stored(met.filter(F.col("n") > few))
     one, other = (fps.select(F.col("id").alias(c), F.col("fp").alias(f"fp_{c}")) for c in "ab")
 
     def verify(batches):
@@ -353,12 +413,13 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, shingle:
         import pyarrow as pa
 
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1)[:, : bits * blocks // 8] for c in ("fp_a", "fp_b"))
-            fine = np.unpackbits(x ^ y, axis=1).sum(axis=1) <= most if b.num_rows else np.zeros(0, bool)
-            yield b.select(["a", "b"]).filter(pa.array(fine))
+            x, y = (_whole(b.column(c), total) if b.num_rows else np.empty((0, 1), np.uint64) for c in ("fp_a", "fp_b"))
+            yield b.select(["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= most))
 
     edges = pairs.join(one, "a").join(other, "b").select("a", "b", "fp_a", "fp_b").mapInArrow(sliced(verify), "a long, b long")
-    comp = components(stored(edges))
+    edges = edges.unionByName(_bucketed(more.filter(F.col("n") <= bucket), fps, most, total))
+    hot = more.filter(F.col("n") > bucket).select("key", "id", "sketch")
+    comp = components(stored(edges if hot.isEmpty() else _hot(hot, edges, fps, most, total, bucket)))
     return marks.drop("fp").join(comp, marks["id"] == comp["v"], "left").select(*keep, F.coalesce("root", "id").alias("root"))
 
 

@@ -132,6 +132,35 @@ def test_similar_documents(spark, monkeypatch):
     assert {r.doc_id for r in left} >= {1000, 1002, 1004, 1005} and not {r.doc_id for r in left} & {1001, 1003, None}
 
 
+def _long(bits):
+    return np.packbits(np.array(bits, np.uint8)).tobytes()
+
+
+def test_close_links_what_a_far_hub_would_hide(spark):
+    """Each bucket's forest is of links that hold by all bits, not of sketches alone."""
+    rng = np.random.default_rng(3)
+    rows, base = [], rng.integers(0, 2, (3, 512))
+    for k in range(30):
+        rows.append((k + 1, _long(np.where(rng.random(512) < 0.05, 1 - base[k % 3], base[k % 3]))))
+    fps = spark.createDataFrame(rows, "id long, fp binary")
+    met = fps.selectExpr("1L AS key", "id")
+    edges = simhash._bucketed(met, fps, 90, 512)
+    root = {r.v: r.root for r in simhash.components(edges).collect()}
+    assert len(edges.collect()) == 27 and all(root.get(k + 1, k + 1) == k % 3 + 1 for k in range(30))
+
+
+def test_hot_keys_lose_no_close_pair(spark):
+    """Ids of one key whose sketches share no quarter are compared too."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2, 512)
+    rows = [(k + 1, _long(np.where(rng.random(512) < 0.05, 1 - base, base)), int(rng.integers(-(2**62), 2**62))) for k in range(40)]
+    rows += [(100 + k, _long(rng.integers(0, 2, 512)), int(rng.integers(-(2**62), 2**62))) for k in range(10)]
+    df = spark.createDataFrame(rows, "id long, fp binary, sketch long")
+    edges = simhash._hot(df.selectExpr("1L AS key", "id", "sketch"), spark.createDataFrame([], "a long, b long"), df.select("id", "fp"), 90, 512, 4)
+    root = {r.v: r.root for r in simhash.components(simhash.stored(edges)).collect()}
+    assert {root.get(k, k) for k in range(1, 41)} == {1} and all(root.get(100 + k, 100 + k) == 100 + k for k in range(10))
+
+
 def test_block_plan():
     for n in (10, 10**5, 10**8):
         bits, blocks, most = simhash.block_plan(n)
