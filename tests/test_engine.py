@@ -354,3 +354,19 @@ def test_minhash_hex_is_made_once_for_each_reading(spark):
     assert all(r.v == list(range(r.id, r.id + 64)) for r in df.collect()) and made.value == 3
     plan = spark.range(1).select(S.minhash_from_hex(F.md5(F.col("id").cast("string"))).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array(md5(") == 1
+
+
+def test_cooccurrence_adds_up_exactly(spark, monkeypatch):
+    from collections import defaultdict
+
+    monkeypatch.setattr(similar, "TOKENS", 7)  # texts of a batch are cut apart, never a text
+    rows = [(k, list("axya")) for k in range(30)] + [(50, ["one"]), (51, []), (52, None), (53, list("abcabcddd"))]
+    want = defaultdict(int)
+    for _, t in rows:
+        for i, x in enumerate(t or []):
+            for j in range(1, 6):
+                if i + j < len(t):
+                    want[x, t[i + j]] += 60 // j
+                    want[t[i + j], x] += 60 // j
+    got = {(r.a, r.b): r.w for r in similar.cooccurrence(spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(1)).collect()}
+    assert got == {k: v / 60 for k, v in want.items()}
