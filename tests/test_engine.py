@@ -370,3 +370,12 @@ def test_cooccurrence_adds_up_exactly(spark, monkeypatch):
                     want[t[i + j], x] += 60 // j
     got = {(r.a, r.b): r.w for r in similar.cooccurrence(spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(1)).collect()}
     assert got == {k: v / 60 for k, v in want.items()}
+
+
+def test_import_resolution_meets_one_definition_of_a_file(spark):
+    n = spark.range(300).selectExpr("id", "'Function' AS label", "concat('p.m.f', id) AS qualified_name", "'src/m.py' AS file_path")
+    asked = spark.range(300).selectExpr("id AS import_id", "'src/a.py' AS from_path", "'src/m.py' AS target", "'' AS member")
+    got = derive.resolve_imports(asked, n)
+    assert {(r.import_id, r.target_id, r.how) for r in got.collect()} == {(k, 0, "file") for k in range(300)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(struct(rank") == 1  # the definitions are grouped before they are joined
