@@ -379,3 +379,11 @@ def test_import_resolution_meets_one_definition_of_a_file(spark):
     assert {(r.import_id, r.target_id, r.how) for r in got.collect()} == {(k, 0, "file") for k in range(300)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("min(struct(rank") == 1  # the definitions are grouped before they are joined
+
+
+def test_dependency_links_send_no_imports_to_the_driver(spark):
+    deps = spark.createDataFrame([("a",), ("a",), ("p.b",)], "name string")
+    got = derive.dependency_links(deps, spark.createDataFrame([(1, "p.a"), (2, "p.b"), (3, "a"), (4, "x/a.y")], "id long, qn string"))
+    assert ids(got, "dep", "import_id", "confidence") == [("a", 1, 0.8), ("a", 3, 0.95), ("a", 4, 0.8), ("p.b", 2, 0.95)]
+    small = spark.range(9).selectExpr("id", "concat('p.', id) AS qn")
+    assert "Broadcast" not in derive.dependency_links(deps, small)._jdf.queryExecution().sparkPlan().toString()
