@@ -146,6 +146,59 @@ def test_semantic_links_are_those_of_all_pairs(spark, data, monkeypatch):
     assert want and len(set(got) & set(want)) >= 0.95 * len(set(got) | set(want))
 
 
+def test_vectors_of_terms_and_documents(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    texts = {1: "a b a c d e f g".split(), 2: ["a"], 3: [], 4: "b b x".split(), 5: "h i".split()}
+    df = spark.createDataFrame(list(texts.items()), "id long, tokens array<string>").coalesce(1)
+    own = dict(zip("abcdefghix", similar.random_index(16)(list("abcdefghix"))))
+    sums = {t: own[t].copy() for t in own}
+    for w in texts.values():
+        for i, x in enumerate(w):
+            for j in range(max(0, i - 5), min(len(w), i + 6)):
+                if i != j:
+                    sums[x] += own[w[j]] / abs(i - j)
+    unit = lambda v: v / np.linalg.norm(v)
+    terms, idf = similar.term_vectors(df, 16), similar.idf(df)
+    got = dict(terms.collect())
+    assert set(got) == set(own) and all(np.allclose(got[t], unit(sums[t]), atol=1e-6) for t in own)
+    df_of = {t: sum(t in w for w in texts.values()) for t in own}
+    want = {k: unit(sum(math.log(5 / df_of[t]) * unit(sums[t]) for t in w)) for k, w in texts.items() if w}
+    for numbers in (8_000_000, 3 * 16, 0):  # all, some and none of the terms are broadcast
+        monkeypatch.setattr(similar, "NUMBERS", numbers)
+        got = dict(similar.document_vectors(df, terms, idf, 16).collect())
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+        rows = {r.id: r for r in similar.document_profiles(df, terms, idf, 16).collect()}
+        for k in want:
+            w = np.array([texts[k].count(t) * math.log(5 / df_of[t]) for t in set(texts[k])])
+            assert np.allclose(rows[k].v, want[k], atol=1e-6) and np.allclose(sorted(rows[k].w), sorted(unit(w)), atol=1e-6)
+            assert len(set(rows[k].terms)) == len(rows[k].terms)
+
+
+def test_nearest_of_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng, n = np.random.default_rng(1), 60
+    v = rng.normal(size=(n, 8))
+    v[7] = v[5] = v[3]  # copies, and a row without terms
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sparse = rng.random((n, 30)) * (rng.random((n, 30)) < np.r_[np.full(5, 0.7), np.full(25, 0.1)])
+    sparse[[5, 7]], sparse[9] = sparse[3], 0
+    norm = np.linalg.norm(sparse, axis=1, keepdims=True)
+    sparse = np.divide(sparse, norm, out=sparse, where=norm > 0)
+    rows = [(int(k), v[k].tolist(), (np.flatnonzero(sparse[k]) * 7 - 50).tolist(), sparse[k][sparse[k] > 0].tolist()) for k in range(n)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, terms array<long>, w array<double>")
+    score = np.round(0.6 * v @ v.T + 0.2 * sparse @ sparse.T, 9)
+    ends = [sorted((j for j in range(n) if j != i and score[i, j] >= 0.1), key=lambda j: (-score[i, j], j))[:4] for i in range(n)]
+    want = sorted((i, j) for i in range(n) for j in ends[i] if i < j and i in ends[j])
+    monkeypatch.setattr(similar, "MET", 20)
+    monkeypatch.setattr(similar, "CELLS", 200)
+    for group in (1000, 17):
+        assert ids(similar.capped(similar.nearest(df, 0.6, 0.2, 0.1, 4, group), 4, 0.1), "a", "b") == want
+
+
 def test_loop_depth_is_bounded_on_cycles(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, loop_depth long")
     calls = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "source_id long, target_id long")
