@@ -199,6 +199,31 @@ def test_nearest_of_all_pairs(spark, monkeypatch):
         assert ids(similar.capped(similar.nearest(df, 0.6, 0.2, 0.1, 4, group), 4, 0.1), "a", "b") == want
 
 
+def _keys_of_many_rows(spark, monkeypatch):
+    """Plain rows for joins on frequent keys, and lists so short that each key has several."""
+    import random
+
+    monkeypatch.setattr(derive, "LIST", 3)
+    monkeypatch.setattr(derive, "GRIDS", 2)
+    monkeypatch.setattr(derive, "PAIRS", 4)
+    return random.Random(7)
+
+
+def _no_shuffle_of_pairs(df):
+    """The last exchange is below the step that lists pairs."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("MapInArrow")] and "Repartition" not in plan[: plan.index("MapInArrow")]
+
+
+def test_overrides_count_each_edge(spark, monkeypatch):
+    rnd = _keys_of_many_rows(spark, monkeypatch)
+    edges = [(rnd.randrange(4), rnd.randrange(4)) for _ in range(20)]
+    methods = [(rnd.randrange(4), rnd.choice("xy"), k, "a.go" if k % 5 == 0 else "a.py") for k in range(40)]
+    got = derive.overrides(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame(methods, "owner long, name string, id long, file_path string"))
+    _no_shuffle_of_pairs(got)
+    assert ids(got, "source_id", "target_id") == sorted((a[2], b[2]) for s, t in edges for a in methods for b in methods if a[0] == s and b[0] == t and a[1] == b[1] and a[3] != "a.go")
+
+
 def test_loop_depth_is_bounded_on_cycles(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, loop_depth long")
     calls = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "source_id long, target_id long")
