@@ -224,6 +224,17 @@ def test_overrides_count_each_edge(spark, monkeypatch):
     assert ids(got, "source_id", "target_id") == sorted((a[2], b[2]) for s, t in edges for a in methods for b in methods if a[0] == s and b[0] == t and a[1] == b[1] and a[3] != "a.go")
 
 
+def test_flows_but_direct_calls(spark, monkeypatch):
+    rnd = _keys_of_many_rows(spark, monkeypatch)
+    monkeypatch.setattr(derive, "BLOCKED", 2)
+    calls = [(rnd.randrange(20), rnd.choice("rs")) for _ in range(40)]
+    handlers = [(rnd.choice("rs"), rnd.randrange(20)) for _ in range(40)]
+    direct = [(rnd.randrange(20), rnd.randrange(20)) for _ in range(60)] + [(1, k) for k in range(20)]
+    want = {(c, h, r) for c, r in calls for q, h in handlers if q == r and c != h and (c, h) not in direct}
+    got = derive.data_flows(spark.createDataFrame(calls, "caller long, route string"), spark.createDataFrame(handlers, "route string, handler long"), spark.createDataFrame(direct, "source_id long, target_id long"))
+    assert ids(got, "caller", "handler", "route") == sorted(want)
+
+
 def test_loop_depth_is_bounded_on_cycles(spark):
     nodes = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "id long, loop_depth long")
     calls = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "source_id long, target_id long")
