@@ -224,6 +224,15 @@ def test_overrides_count_each_edge(spark, monkeypatch):
     assert ids(got, "source_id", "target_id") == sorted((a[2], b[2]) for s, t in edges for a in methods for b in methods if a[0] == s and b[0] == t and a[1] == b[1] and a[3] != "a.go")
 
 
+def test_cross_typed_gives_no_pair_twice(spark, monkeypatch):
+    rnd = _keys_of_many_rows(spark, monkeypatch)
+    side = lambda n: [(rnd.choice("pqr"), rnd.choice(["GRPC", "TRPC"]), rnd.choice("uv"), rnd.randrange(n)) for _ in range(40)] + [(None, "GRPC", "u", 5), ("p", None, "u", 6)]
+    a, b = side(60), side(60)
+    df = lambda rows: spark.createDataFrame(rows, "project string, type string, qn string, id long")
+    want = {("CROSS_" + x[1], x[3], y[3]) for x in a for y in b if x[1] and x[1:3] == y[1:3] and x[0] and y[0] and x[0] != y[0]}
+    assert ids(derive.cross_typed(df(a), df(b)), "type", "caller", "handler") == sorted(want)
+
+
 def test_flows_but_direct_calls(spark, monkeypatch):
     rnd = _keys_of_many_rows(spark, monkeypatch)
     monkeypatch.setattr(derive, "BLOCKED", 2)
