@@ -215,6 +215,17 @@ def _no_shuffle_of_pairs(df):
     assert "Aggregate" not in plan[: plan.index("MapInArrow")] and "Repartition" not in plan[: plan.index("MapInArrow")]
 
 
+def test_interfaces_of_equal_sets(spark, monkeypatch):
+    rnd = _keys_of_many_rows(spark, monkeypatch)
+    own = {k: {rnd.choice("abc") for _ in range(rnd.randint(1, 4))} for k in range(60)}
+    label = {k: "Class" if k % 2 else "Interface" for k in own} | {99: "Interface"}
+    rows = [(k, x) for k in own for x in own[k]] * 2 + [(99, "a"), (99, None), (1, None)]  # a method without a name is nobody's
+    m = spark.createDataFrame(rows, "owner long, name string")
+    got = derive.satisfied_interfaces(m, spark.createDataFrame(list(label.items()), "id long, label string"))
+    _no_shuffle_of_pairs(got)
+    assert ids(got, "class_id", "interface_id") == sorted((c, i) for c in own for i in own if label[c] == "Class" and label[i] == "Interface" and own[i] <= own[c])
+
+
 def test_overrides_count_each_edge(spark, monkeypatch):
     rnd = _keys_of_many_rows(spark, monkeypatch)
     edges = [(rnd.randrange(4), rnd.randrange(4)) for _ in range(20)]
