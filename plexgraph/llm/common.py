@@ -106,11 +106,11 @@ def sliced(run, rows: int = BATCH_ROWS, size: int = BATCH_BYTES):
     return lambda batches: run(x for b in batches for x in cut(b))
 
 
-def parts_for(df: DataFrame) -> int:
-    """Parts for a shuffle of whole rows: the session's number, or more for an input of more than ``PART_BYTES`` for each."""
+def parts_for(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
+    """Parts for a shuffle of whole rows: the session's number, or more for an input of more than ``part_bytes`` for each."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if size > 1 << 60 else max(n, -(-size // PART_BYTES))  # a size that Spark doesn't know is about 2 ** 63
+    return n if size > 1 << 60 else max(n, -(-size // part_bytes))  # a size that Spark doesn't know is about 2 ** 63
 
 
 def utf8(texts) -> list:

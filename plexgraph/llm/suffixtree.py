@@ -37,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexgraph.llm.common import Scratch, doc_text, sliced, stored, table
+from plexgraph.llm.common import Scratch, doc_text, parts_for, sliced, stored, table
 from plexgraph.llm.words import Table, Words, chunks, mixed
 
 HEAD = 1_000_000
@@ -48,6 +48,12 @@ TREE_BITS = 28
 DEPTH = 12
 MIN_COUNT = 4
 DISCOUNT = 0.5
+#: Bytes of input (as stored, about) for each part of a shuffle of runs.
+PART_BYTES = 16 << 20
+#: Pieces of such a part, a power of two, that are handled one after the other.
+PIECES = 8
+#: Runs that a worker gathers before it asks for them.
+ASKED = 250_000
 #: Records that a worker sums before it emits them.
 HELD = 1_500_000
 #: The key of the end, which no word has by more than chance.
@@ -97,35 +103,113 @@ def _passes(bits, key):
     return out
 
 
-def _bitmap(keys: DataFrame, n: int = BITS):
-    """A broadcast of 2 ** n bits, set where the upper and where the lower n bits of a ``key`` say: of the same size whatever the table."""
+def _bitmap(keys: DataFrame, parts: int, n: int = BITS):
+    """A broadcast of 2 ** n bits, set where the upper and where the lower n bits of a ``key`` say: of the same size whatever the table.
+
+    Places go through the shuffle as 16-bit numbers within pieces of 2 ** 16 bits, and pieces come to the driver as bits.
+    """
+    import numpy as np
+
+    def places(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held, size = [], 0
+
+        def out():
+            key = np.concatenate(held)
+            place = np.sort(np.concatenate([key >> np.uint64(64 - n), key & np.uint64((1 << n) - 1)]).astype(np.uint32))
+            cut = np.concatenate([[0], np.flatnonzero(place[1:] >> 16 != place[:-1] >> 16) + 1, [len(place)]])
+            low = place.astype(np.uint16)
+            return pa.RecordBatch.from_arrays([pa.array((place[cut[:-1]] >> 16).astype(np.int32)), pa.array([low[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], ["piece", "data"])
+
+        for b in batches:
+            held.append(b.column("key").to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size > HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    def bits(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        found: dict = {}
+        for b in batches:
+            for piece, x in zip(b.column("piece").to_pylist(), b.column("data")):
+                if piece not in found:
+                    found[piece] = np.zeros(1 << 16, bool)
+                found[piece][np.frombuffer(x.as_buffer(), np.uint16)] = True
+        data = [np.packbits(x, bitorder="little").tobytes() for x in found.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(data, pa.binary())], ["piece", "data"])
+
+    kind, tasks = "piece int, data binary", min(parts, 1 << (n - 16))
+    dealt = keys.select("key").mapInArrow(places, kind).repartitionById(tasks, F.col("piece") % tasks)
+    found = dealt.mapInArrow(bits, kind).toArrow()
+    out = np.zeros((1 << (n - 16), 1 << 10), np.uint64)
+    for piece, x in zip(found.column("piece").to_pylist(), found.column("data")):
+        out[piece] = np.frombuffer(x.as_buffer(), np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out.ravel())
+
+
+def _dealt(key, cols: list, parts: int):
+    """Batches (piece, data): of each of ``PIECES`` times ``parts`` equal ranges of keys its entries, the columns (64 bits each) one after the other in bytes."""
     import numpy as np
+    import pyarrow as pa
 
-    spark = keys.sparkSession
-    place = F.explode(F.array(F.shiftrightunsigned("key", 64 - n), F.col("key").bitwiseAND(F.lit((1 << n) - 1)))).alias("place")
-    found = keys.select(place).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (n - 6), np.uint64)
-    out[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(out)
+    order = None if (key[1:] >= key[:-1]).all() else np.argsort(key)
+    for at in range(0, len(key), 1 << 17):
+        x = slice(at, at + (1 << 17)) if order is None else order[at : at + (1 << 17)]
+        piece = ((key[x] >> np.uint64(32)) * np.uint64(parts * PIECES)) >> np.uint64(32)
+        cut = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)]])
+        some = [c[x] for c in cols]
+        data = [b"".join(c[i:j].tobytes() for c in some) for i, j in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(piece[cut[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["piece", "data"])
 
 
-def _summed(batches_of, names: list[str]):
-    """Batches (*names, n) of arrays of keys from many, those of one worker summed; batches_of yields (key, arrays)."""
+def _by_part(dealt: DataFrame, parts: int) -> DataFrame:
+    return dealt.repartitionById(parts, F.shiftright("piece", PIECES.bit_length() - 1))
+
+
+def _taken(batches, width: int):
+    """The columns, as unsigned numbers, of all entries of each piece that was dealt to this task."""
     import numpy as np
+
+    held: dict[int, list] = {}
+    for b in batches:
+        for piece, x in zip(b.column("piece").to_pylist(), b.column("data")):
+            held.setdefault(piece, []).append(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1))
+    while held:
+        yield np.concatenate(held.popitem()[1], axis=1)
+
+
+def _batches(names: list[str], cols: list, rows: int = 200_000):
     import pyarrow as pa
 
+    for at in range(0, len(cols[0]), rows):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + rows]) for c in cols], names)
+
+
+def _merged(key, cols: list, n):
+    """Of arrays with keys that repeat: each key once, its columns and the sum of n."""
+    import numpy as np
+
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], [c[order[at]] for c in cols], np.add.reduceat(n[order], at)
+
+
+def _summed(batches_of, parts: int):
+    """Batches (piece, data) of the columns and a count, those of one worker summed; batches_of yields (key, columns)."""
+    import numpy as np
+
     held, size = [], 0
 
     def merged():
-        key, n = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
-        order = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
-        one = order[at]
-        return key[one], [np.concatenate([h[1][k] for h in held])[one] for k in range(len(names))], np.add.reduceat(n[order], at)
-
-    def out():
-        _, cols, n = held[0]
-        return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in cols), pa.array(n)], [*names, "n"])
+        return _merged(np.concatenate([h[0] for h in held]), [np.concatenate(c) for c in zip(*(h[1] for h in held))], np.concatenate([h[2] for h in held]))
 
     for key, cols in batches_of:
         if not len(key):
@@ -136,14 +220,32 @@ def _summed(batches_of, names: list[str]):
             held = [merged()]
             size = len(held[0][0])
             if size > HELD * 2 // 3:
-                yield out()
+                yield from _dealt(held[0][0], [*held[0][1], held[0][2]], parts)
                 held, size = [], 0
     if held:
-        held = [merged()]
-        yield out()
+        key, cols, n = merged()
+        yield from _dealt(key, [*cols, n], parts)
+
+
+def _added(texts: DataFrame, run, parts: int, names: list[str], least: int = 1) -> DataFrame:
+    """(key, *names, n): what ``run`` has summed in the workers, added up for each key; those of ``least`` or more.
 
+    names: the parts of a run, which its key is made of; none for a symbol, which has its key alone. The entries go
+    through the shuffle in bytes, one row for each worker's share of a part, and are added up in numpy.
+    """
+
+    def add(batches):
+        import numpy as np
+
+        for *cols, n in _taken(batches, (len(names) or 1) + 1):
+            key, cols, n = _merged(run_key(*cols) if names else cols[0], cols if names else [], n.view(np.int64))
+            some = n >= least
+            yield from _batches(["key", *names, "n"], [*(c[some].view(np.int64) for c in (key, *cols)), n[some]])
 
-def symbol_counts(texts: DataFrame) -> DataFrame:
+    return _by_part(texts.mapInArrow(sliced(run), "piece int, data binary"), parts).mapInArrow(add, ", ".join(f"{c} long" for c in ("key", *names, "n")))
+
+
+def symbol_counts(texts: DataFrame, parts: int) -> DataFrame:
     """(key, n) of all symbols over all rows of ``text``."""
 
     def run(batches):
@@ -155,13 +257,13 @@ def symbol_counts(texts: DataFrame) -> DataFrame:
                     key = Runs(some).key
                     yield key, [key]
 
-        return _summed(keys(), ["key"])
+        return _summed(keys(), parts)
 
-    return texts.mapInArrow(sliced(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return _added(texts, run, parts, [])
 
 
-def runs_of(texts: DataFrame, order: int, shorter, grown=None) -> DataFrame:
-    """(a, b, n): runs of ``order`` symbols that occur MIN_COUNT times or more, by the keys of their parts.
+def runs_of(texts: DataFrame, order: int, parts: int, shorter, grown=None) -> DataFrame:
+    """(key, a, b, n): runs of ``order`` symbols that occur MIN_COUNT times or more, with the keys of their parts.
 
     shorter: a bitmap of the runs of one symbol less that do so, which both parts of such a run are among; grown: one of the contexts retained so far, which what is between the first and the last symbol is among.
     """
@@ -185,24 +287,9 @@ def runs_of(texts: DataFrame, order: int, shorter, grown=None) -> DataFrame:
                     a, b_ = r.key[:-1][ok], r.key[1:][ok]
                     yield run_key(a, b_), [a, b_]
 
-        return _summed(keys(), ["a", "b"])
-
-    found = texts.mapInArrow(sliced(run), "a long, b long, n long")
-    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_COUNT)
+        return _summed(keys(), parts)
 
-
-def _keyed(df: DataFrame) -> DataFrame:
-    """df with the keys of the runs of its columns a and b."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            key = run_key(*(b.column(c).to_numpy().view(np.uint64) for c in "ab"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", *b.schema.names])
-
-    return df.mapInArrow(run, f"key long, {', '.join(f'{c} {t}' for c, t in df.dtypes)}")
+    return _added(texts, run, parts, ["a", "b"], MIN_COUNT)
 
 
 def _nodes(rows: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
@@ -220,7 +307,7 @@ def _nodes(rows: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
     return by.filter(kl * m > F.lit(0.5) * F.log(F.lit(float(max(total, 2)))) * k).select("a", "m", F.log10(left / rest_q).alias("back"))
 
 
-def fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, total: int, distinct: int) -> DataFrame:
+def fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, total: int, distinct: int, parts: int) -> tuple[DataFrame, int]:
     """(key, n, d): the tree. What a run adds to log10 of a text's probability at the root, and how often it occurs.
 
     counts: (key, n) of all symbols.
@@ -229,24 +316,24 @@ def fit(scratch: Scratch, texts: DataFrame, counts: DataFrame, total: int, disti
     last = scratch.put(counts.filter(F.col("n") >= MIN_COUNT).select("key", "n", F.log10((F.col("n") + 1) / unit).alias("q")))
     grown, entries = None, []
     for words in range(1, DEPTH + 1):
-        often = _bitmap(last)
-        runs = scratch.put(runs_of(texts, words + 1, often, grown))
+        often = _bitmap(last, parts)
+        runs = scratch.put(runs_of(texts, words + 1, parts, often, grown))
         for used in (often, grown):
             if used is not None:
                 used.destroy()
-        told = scratch.put(runs.join(last.select(F.col("key").alias("b"), "q"), "b").select("a", "b", "n", "q"))
-        nodes = scratch.put(_nodes(told, last, total))
+        told = scratch.put(runs.join(last.select(F.col("key").alias("b"), "q"), "b").select("key", "a", "n", "q"))
         scratch.drop(runs)
+        nodes = scratch.put(_nodes(told, last, total))
         if nodes.isEmpty():
             break
         p = F.log10((F.col("n") - DISCOUNT) / F.col("m"))
-        state = _keyed(told).join(nodes, "a", "left").select("key", "n", F.coalesce(p, "q").alias("q"), (p - F.col("q") - F.col("back")).alias("d"))
+        state = told.join(nodes, "a", "left").select("key", "n", F.coalesce(p, "q").alias("q"), (p - F.col("q") - F.col("back")).alias("d"))
         scratch.drop(last)
         last = scratch.put(state)
         scratch.drop(told)
         entries.append(nodes.select(F.col("a").alias("key"), F.col("m").alias("n"), F.col("back").alias("d")))
         entries.append(scratch.put(last.filter("d IS NOT NULL").select("key", "n", "d")))
-        grown = _bitmap(nodes.select(F.col("a").alias("key")))
+        grown = _bitmap(nodes.select(F.col("a").alias("key")), parts)
     tree = entries[0] if entries else last.select("key", "n", F.col("q").alias("d")).limit(0)
     for part in entries[1:]:
         tree = tree.unionByName(part)
@@ -308,7 +395,7 @@ def _ge(df: DataFrame, least: int | None) -> F.Column:
     return F.lit(False) if least is None else F.col("n") >= least
 
 
-def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame, words: int, total: int, distinct: int) -> DataFrame:
+def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame, words: int, total: int, distinct: int, parts: int) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score) of docs (doc_id, text, held_out)."""
     import numpy as np
 
@@ -318,9 +405,9 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
     # what isn't broadcast: a word's share, known by its key, and an entry of the tree, known by the complement of its key
     seldom = counts.filter(~often).select("key", F.log10(F.col("n") + 1).alias("value"), F.lit(1).alias("one"), F.lit(0).alias("node"))
     deep = tree.filter(~near).select("key", F.col("d").alias("value"), F.lit(0).alias("one"), F.lit(1).alias("node"))
-    bits, rare_bits = _bitmap(deep, TREE_BITS), _bitmap(seldom)
+    bits, rare_bits = _bitmap(deep, parts, TREE_BITS), _bitmap(seldom, parts)
     rest = seldom.unionByName(deep.withColumn("key", F.bitwise_not("key")))
-    names = ["row", "key", "doc_id", "held_out", "n_tokens", "known", "base", "score"]
+    kinds = {"row": "long", "doc_id": "long", "held_out": "boolean", "n_tokens": "long", "known": "long", "base": "double", "score": "double", "piece": "int", "data": "binary"}
 
     def run(batches):
         import numpy as np
@@ -331,7 +418,14 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
 
         (log, log_value), (node, node_value) = _met(model)
         base_row = TaskContext.get().partitionId() << 40
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+        held, size = [], 0
+
+        def asking():
+            key, row = (np.concatenate(x) for x in zip(*held))
+            for dealt in _dealt(key, [key, row.view(np.uint64)], parts):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(dealt.num_rows, t) for t in types[:7]), *dealt.columns], list(kinds))
+
         for b in batches:
             for at, some in chunks(utf8(b.column("text"))):
                 r = Runs(some)
@@ -342,7 +436,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
                 base, more = log_value[k] - unit, np.zeros(len(r.key))
                 rare = np.flatnonzero(k < 0)
                 rare = rare[_passes(rare_bits.value, r.key[rare])]
-                asked = [(rare, r.key[rare].view(np.int64))]
+                asked = [(rare, r.key[rare])]
                 known = np.add.reduceat(k >= 0, first, dtype=np.int64)
                 alive = np.ones(len(r.key), bool)  # runs that may be in the tree
                 for _ in range(words + 1):
@@ -354,7 +448,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
                     more[at_] += node_value[j]
                     out = np.flatnonzero(j < 0)
                     far = out[_passes(bits.value, key[out])]
-                    asked.append((at_[far], ~key[far].view(np.int64)))
+                    asked.append((at_[far], ~key[far]))
                     if len(r.key) < 2:
                         break
                     alive = np.zeros(len(r.key), bool)
@@ -364,18 +458,64 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
                     r.longer()
                 add = lambda x: np.add.reduceat(x, first)
                 total_base = add(base)
-                cols = [rows, None, b.column("doc_id").slice(at, len(some)), b.column("held_out").slice(at, len(some)), n, known, total_base, total_base + add(more)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds)], names)
+                cols = [rows, b.column("doc_id").slice(at, len(some)), b.column("held_out").slice(at, len(some)), n, known, total_base, total_base + add(more), None, None]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(some), t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)], list(kinds))
                 of, key = np.concatenate([x for x, _ in asked]), np.concatenate([x for _, x in asked])
-                row = rows[np.searchsorted(end, of, side="right")]
-                for s in range(0, len(row), 500_000):
-                    x = slice(s, s + 500_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(row[x], kinds[0]), pa.array(key[x], kinds[1]), *(pa.nulls(len(row[x]), t) for t in kinds[2:])], names)
-
-    told = scratch.put(docs.mapInArrow(sliced(run), "row long, key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"))
-    met = told.filter("key IS NOT NULL").select("row", "key").join(rest, "key")
-    more = met.groupBy("row").agg(F.sum("one").alias("ones"), F.sum(F.col("value") * F.col("one")).alias("logs"), F.sum(F.col("value") * F.col("node")).alias("deep"))
-    rows = told.filter("key IS NULL").drop("key").join(more, "row", "left")
+                held.append((key, rows[np.searchsorted(end, of, side="right")]))
+                size += len(key)
+                if size > ASKED:
+                    yield from asking()
+                    held, size = [], 0
+        if size:
+            yield from asking()
+
+    def entries(batches):
+        for b in batches:
+            key, value, node = (b.column(c).to_numpy() for c in ("key", "value", "node"))
+            key = key.view(np.uint64)
+            yield from _dealt(key, [key, value.view(np.uint64), node.astype(np.uint64)], parts)
+
+    def added(signed, value, n):
+        """Each row, or its complement where nodes are met, once, with the sums of the values and of n."""
+        signed, of = np.unique(signed, return_inverse=True)
+        return signed, np.bincount(of, value, len(signed)), np.bincount(of, n, len(signed)).astype(np.int64)
+
+    def looked_up(batches):
+        """What is met, added up by row: the row, or its complement where nodes are met, the sum of the values and their number."""
+        asked, known, found = {}, {}, []
+        for b in batches:
+            for piece, x, entry in zip(b.column("piece").to_pylist(), b.column("data"), b.column("entry").to_pylist()):
+                held, width = (known, 3) if entry else (asked, 2)
+                held.setdefault(piece, []).append(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1))
+        for piece in known.keys() & asked.keys():
+            key, value, node = np.concatenate(known.pop(piece), axis=1)
+            order = np.argsort(key)
+            key, value, node = key[order], value[order].view(float), node[order] > 0
+            want, row = np.concatenate(asked.pop(piece), axis=1)
+            at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            met = np.flatnonzero(key[at] == want)
+            row, at = row[met], at[met]
+            found.append((np.where(node[at], ~row, row), value[at]))
+        if found:
+            signed, value = (np.concatenate(x) for x in zip(*found))
+            signed, value, k = added(signed, value, np.ones(len(signed)))
+            row = np.where(signed >> np.uint64(63) > 0, ~signed, signed)
+            yield from _dealt(mixed(row), [signed, value.view(np.uint64), k.view(np.uint64)], parts)
+
+    def sums(batches):
+        for signed, value, k in _taken(batches, 3):
+            signed, value, k = added(signed, value.view(float), k.view(np.int64))
+            node = signed >> np.uint64(63) > 0
+            cols = [np.where(node, ~signed, signed).view(np.int64), np.where(node, 0, k), np.where(node, 0.0, value), np.where(node, value, 0.0)]
+            yield from _batches(["row", "ones", "logs", "deep"], cols)
+
+    told = scratch.put(docs.mapInArrow(sliced(run), ", ".join(f"{k} {t}" for k, t in kinds.items())))
+    both = told.filter("piece IS NOT NULL").select("piece", "data", F.lit(False).alias("entry"))
+    both = both.unionByName(rest.mapInArrow(entries, "piece int, data binary").withColumn("entry", F.lit(True)))
+    met = _by_part(both, parts).mapInArrow(looked_up, "piece int, data binary")
+    more = _by_part(met, parts).mapInArrow(sums, "row long, ones long, logs double, deep double")
+    more = more.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("ones", "logs", "deep")))  # words and nodes
+    rows = told.filter("piece IS NULL").drop("piece", "data").join(more, "row", "left")
     of = lambda c: F.coalesce(c, F.lit(0))
     return rows.select("doc_id", "held_out", "n_tokens", (F.col("known") + of("ones")).alias("n_known"), (F.col("base") + of("logs")).alias("base_score"), (F.col("score") + of("logs") + of("deep")).alias("score"))
 
@@ -389,10 +529,11 @@ def score_documents(docs: DataFrame, held: F.Column) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     docs = doc_text(docs).withColumn("held_out", held)
     train = docs.filter(~F.col("held_out")).select("text")
-    counts = scratch.put(symbol_counts(train))
+    parts = parts_for(docs, PART_BYTES)
+    counts = scratch.put(symbol_counts(train, parts))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    tree, words = fit(scratch, train, counts, total, distinct)
-    out = stored(score(scratch, docs, counts, tree, words, total, distinct).withColumn("train_tokens", F.lit(total).cast("long")))
+    tree, words = fit(scratch, train, counts, total, distinct, parts)
+    out = stored(score(scratch, docs, counts, tree, words, total, distinct, parts).withColumn("train_tokens", F.lit(total).cast("long")))
     scratch.drop()
     return out
 
