@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plexgraph.llm.common import Scratch, doc_text, parts_for, sliced, stored, table
-from plexgraph.llm.words import Table, Words, chunks, mixed
+from plexgraph.llm.words import Table, Words, chunks, mixed, unmixed
 
 HEAD = 1_000_000
 NODES = 2_000_000
@@ -91,6 +91,13 @@ def run_key(a, b):
     return mixed((a + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9) + b)
 
 
+def _start_of(key, b):
+    """The key of a run without its last symbol, from its own and that of the run without its first."""
+    import numpy as np
+
+    return (unmixed(key) - b) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64)) - np.uint64(0x9E3779B97F4A7C15)
+
+
 def _passes(bits, key):
     """Of keys: may they be among those that the bitmap was made of?"""
     import numpy as np
@@ -155,34 +162,50 @@ def _bitmap(keys: DataFrame, parts: int, n: int = BITS):
 
 
 def _dealt(key, cols: list, parts: int):
-    """Batches (piece, data): of each of ``PIECES`` times ``parts`` equal ranges of keys its entries, the columns (64 bits each) one after the other in bytes."""
+    """Batches (piece, data): of each of ``PIECES`` times ``parts`` equal ranges of keys its entries, the columns (64 bits each) one after the other in bytes.
+
+    Keys come first, sorted, as differences whose bytes are in 8 rows: those of the upper ones are 0 and are compressed away.
+    """
     import numpy as np
     import pyarrow as pa
 
+    def keys(k):
+        return np.ascontiguousarray(np.diff(k, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
     order = None if (key[1:] >= key[:-1]).all() else np.argsort(key)
     for at in range(0, len(key), 1 << 17):
         x = slice(at, at + (1 << 17)) if order is None else order[at : at + (1 << 17)]
-        piece = ((key[x] >> np.uint64(32)) * np.uint64(parts * PIECES)) >> np.uint64(32)
+        own = key[x]
+        piece = ((own >> np.uint64(32)) * np.uint64(parts * PIECES)) >> np.uint64(32)
         cut = np.concatenate([[0], np.flatnonzero(piece[1:] != piece[:-1]) + 1, [len(piece)]])
         some = [c[x] for c in cols]
-        data = [b"".join(c[i:j].tobytes() for c in some) for i, j in zip(cut[:-1], cut[1:])]
+        data = [b"".join([keys(own[i:j]), *(c[i:j].tobytes() for c in some)]) for i, j in zip(cut[:-1], cut[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(piece[cut[:-1]].astype(np.int32)), pa.array(data, pa.binary())], ["piece", "data"])
 
 
+def _entries(data, width: int):
+    """The key and the other columns of a piece's entries, as rows of unsigned numbers."""
+    import numpy as np
+
+    out = np.frombuffer(data, np.uint64).reshape(width, -1).copy()
+    np.cumsum(np.ascontiguousarray(out[0].view(np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), out=out[0])
+    return out
+
+
 def _by_part(dealt: DataFrame, parts: int) -> DataFrame:
     return dealt.repartitionById(parts, F.shiftright("piece", PIECES.bit_length() - 1))
 
 
 def _taken(batches, width: int):
-    """The columns, as unsigned numbers, of all entries of each piece that was dealt to this task."""
+    """The keys and columns, as unsigned numbers, of all entries of each piece that was dealt to this task."""
     import numpy as np
 
     held: dict[int, list] = {}
     for b in batches:
         for piece, x in zip(b.column("piece").to_pylist(), b.column("data")):
-            held.setdefault(piece, []).append(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1))
+            held.setdefault(piece, []).append(x.as_buffer())
     while held:
-        yield np.concatenate(held.popitem()[1], axis=1)
+        yield np.concatenate([_entries(x, width) for x in held.popitem()[1]], axis=1)
 
 
 def _batches(names: list[str], cols: list, rows: int = 200_000):
@@ -237,10 +260,13 @@ def _added(texts: DataFrame, run, parts: int, names: list[str], least: int = 1)
     def add(batches):
         import numpy as np
 
-        for *cols, n in _taken(batches, (len(names) or 1) + 1):
-            key, cols, n = _merged(run_key(*cols) if names else cols[0], cols if names else [], n.view(np.int64))
-            some = n >= least
-            yield from _batches(["key", *names, "n"], [*(c[some].view(np.int64) for c in (key, *cols)), n[some]])
+        for key, *cols, n in _taken(batches, 3 if names else 2):
+            key, cols, n = _merged(key, cols, n.view(np.int64))
+            some = np.flatnonzero(n >= least)
+            cols = [key[some], *(c[some] for c in cols)]
+            if names:
+                cols.insert(1, _start_of(*cols))
+            yield from _batches(["key", *names, "n"], [*(c.view(np.int64) for c in cols), n[some]])
 
     return _by_part(texts.mapInArrow(sliced(run), "piece int, data binary"), parts).mapInArrow(add, ", ".join(f"{c} long" for c in ("key", *names, "n")))
 
@@ -255,7 +281,7 @@ def symbol_counts(texts: DataFrame, parts: int) -> DataFrame:
             for b in batches:
                 for _, some in chunks(utf8(b.column("text"))):
                     key = Runs(some).key
-                    yield key, [key]
+                    yield key, []
 
         return _summed(keys(), parts)
 
@@ -285,7 +311,7 @@ def runs_of(texts: DataFrame, order: int, parts: int, shorter, grown=None) -> Da
                     if inner is not None:
                         ok &= _passes(grown.value, inner[1 : len(ok) + 1])
                     a, b_ = r.key[:-1][ok], r.key[1:][ok]
-                    yield run_key(a, b_), [a, b_]
+                    yield run_key(a, b_), [b_]
 
         return _summed(keys(), parts)
 
@@ -423,7 +449,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
 
         def asking():
             key, row = (np.concatenate(x) for x in zip(*held))
-            for dealt in _dealt(key, [key, row.view(np.uint64)], parts):
+            for dealt in _dealt(key, [row.view(np.uint64)], parts):
                 yield pa.RecordBatch.from_arrays([*(pa.nulls(dealt.num_rows, t) for t in types[:7]), *dealt.columns], list(kinds))
 
         for b in batches:
@@ -473,7 +499,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
         for b in batches:
             key, value, node = (b.column(c).to_numpy() for c in ("key", "value", "node"))
             key = key.view(np.uint64)
-            yield from _dealt(key, [key, value.view(np.uint64), node.astype(np.uint64)], parts)
+            yield from _dealt(key, [value.view(np.uint64), node.astype(np.uint64)], parts)
 
     def added(signed, value, n):
         """Each row, or its complement where nodes are met, once, with the sums of the values and of n."""
@@ -486,7 +512,7 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
         for b in batches:
             for piece, x, entry in zip(b.column("piece").to_pylist(), b.column("data"), b.column("entry").to_pylist()):
                 held, width = (known, 3) if entry else (asked, 2)
-                held.setdefault(piece, []).append(np.frombuffer(x.as_buffer(), np.uint64).reshape(width, -1))
+                held.setdefault(piece, []).append(_entries(x.as_buffer(), width))
         for piece in known.keys() & asked.keys():
             key, value, node = np.concatenate(known.pop(piece), axis=1)
             order = np.argsort(key)
@@ -499,12 +525,11 @@ def score(scratch: Scratch, docs: DataFrame, counts: DataFrame, tree: DataFrame,
         if found:
             signed, value = (np.concatenate(x) for x in zip(*found))
             signed, value, k = added(signed, value, np.ones(len(signed)))
-            row = np.where(signed >> np.uint64(63) > 0, ~signed, signed)
-            yield from _dealt(mixed(row), [signed, value.view(np.uint64), k.view(np.uint64)], parts)
+            yield from _dealt(mixed(signed), [value.view(np.uint64), k.view(np.uint64)], parts)
 
     def sums(batches):
-        for signed, value, k in _taken(batches, 3):
-            signed, value, k = added(signed, value.view(float), k.view(np.int64))
+        for key, value, k in _taken(batches, 3):
+            signed, value, k = added(unmixed(key), value.view(float), k.view(np.int64))
             node = signed >> np.uint64(63) > 0
             cols = [np.where(node, ~signed, signed).view(np.int64), np.where(node, 0, k), np.where(node, 0.0, value), np.where(node, value, 0.0)]
             yield from _batches(["row", "ones", "logs", "deep"], cols)

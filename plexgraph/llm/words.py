@@ -24,6 +24,17 @@ def mixed(x):
     return x ^ (x >> np.uint64(33))
 
 
+def unmixed(x):
+    """The number that ``mixed`` made x of."""
+    import numpy as np
+
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(pow(0x81DADEF4BC2DD44D, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0x7FB5D329728EA185, -1, 1 << 64))
+    return x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+
+
 class Words:
     """The words of some texts, in order: arrays ``start`` and ``end`` in ``flat``, ``key``, and ``cut``, the first word of each text and the number of all.
 

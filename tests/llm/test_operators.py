@@ -478,6 +478,22 @@ def test_base_scores(monkeypatch, docs, small, awkward, head):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == w[:4] and abs(r.base_score - w[4]) < 1e-6 * max(1, abs(w[4]))
 
 
+def test_runs_go_in_packed_pieces():
+    """Of 3,000 runs no row of a shuffle is made, one of each piece; a piece has all of a key, and a run's start is told from its key."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 63, (2, 3000), dtype=np.uint64) * np.uint64(2)
+    key, n = suffixtree.run_key(a, b), rng.integers(1, 9, 3000)
+    batches = [x for some in (slice(0, 2000), slice(1000, 3000)) for x in suffixtree._dealt(key[some], [b[some], n[some].view(np.uint64)], 2)]
+    assert sum(x.num_rows for x in batches) == 2 * 2 * suffixtree.PIECES
+    got, pieces = {}, list(suffixtree._taken(batches, 3))
+    for k, b_, m in pieces:
+        k, (b_,), m = suffixtree._merged(k, [b_], m.view(np.int64))
+        assert not got.keys() & set(k.tolist())
+        got |= dict(zip(k.tolist(), zip(suffixtree._start_of(k, b_).tolist(), b_.tolist(), m.tolist())))
+    twice = np.where((np.arange(3000) >= 1000) & (np.arange(3000) < 2000), 2, 1)
+    assert len(pieces) == 2 * suffixtree.PIECES and got == dict(zip(key.tolist(), zip(a.tolist(), b.tolist(), (n * twice).tolist())))
+
+
 def test_tree_beats_its_root(spark):
     rng = np.random.default_rng(4)
     rows = []
