@@ -168,10 +168,12 @@ def _texts_of(batches):
         yield pa.RecordBatch.from_arrays(cols, ["anchor", "u", "twice", "at", "content"])
 
 
-def sort_suffixes(t, raw: bytes, depth: int = LENGTH):
+def sort_suffixes(t, raw: bytes, depth: int = LENGTH, asked=None):
     """Two-stage suffix sorting of symbols ``t`` (0 ends a string, bytes are 1 up), right to ``depth`` symbols.
 
-    raw: the same text as bytes, padded by ``depth``.
+    raw: the same text as bytes, padded by ``depth``; asked: where the suffixes start that must be in the result, all
+    if None. Of the others only those are sorted that asked ones are induced from: after a run of asked places these go
+    on to the next suffix that is smaller than its successor.
     """
     import numpy as np
 
@@ -181,6 +183,11 @@ def sort_suffixes(t, raw: bytes, depth: int = LENGTH):
     after = np.where(nxt < len(change), t[np.minimum(change[np.minimum(nxt, max(0, len(change) - 1))] + 1, n - 1)] if len(change) else 0, -1)
     small = (t < after) | (t == 0)  # smaller than its successor
     own = np.flatnonzero(small)
+    if asked is not None:
+        after_run = np.flatnonzero(asked[:-1] & ~asked[1:]) + 1
+        needed = asked.copy()
+        needed[own[np.searchsorted(own, after_run)]] = True  # there is one: the end of the string
+        own = own[needed[own]]
     view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), depth)
     order = np.argsort(np.ascontiguousarray(view[own]).view(f"S{depth}").ravel(), kind="stable")
     direct = own[order]
@@ -233,7 +240,7 @@ def repeated(strings: list[bytes], length: int = LENGTH) -> list:
     firsts = ends - [len(s) for s in strings]
     for a, b in zip(firsts, ends):
         whole[a : max(a, b - length + 1)] = True
-    sa = sort_suffixes(t, raw, length)
+    sa = sort_suffixes(t, raw, length, whole)
     sa = sa[whole[sa]]
     same = common_prefixes(sa, raw, length - length % 8) >= length - length % 8
     if length % 8 and len(sa):

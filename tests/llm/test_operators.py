@@ -208,6 +208,21 @@ def test_two_stage_sorting(seed):
     assert [x.tolist() for x in suffixarray.repeated(strings, 8)] == [[i for i in range(len(s) - 7) if n[s[i : i + 8]] > 1] for s in strings]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_suffixes_asked_for(seed):
+    """They are in the order that they have among all, and few others are sorted with them."""
+    rng = np.random.default_rng(seed)
+    strings = [bytes(rng.integers(97, 98 + seed, 300).astype(np.uint8)) for _ in range(20)]
+    raw = b"\0".join(strings) + bytes(208)
+    t = np.frombuffer(raw, np.uint8)[: 301 * 20].astype(np.int64) + 1
+    t[300::301] = 0
+    asked = np.arange(len(t)) % 301 <= 100
+    some = suffixarray.sort_suffixes(t, raw, 200, asked)
+    assert len(some) == len(set(some.tolist())) and set(some.tolist()) >= set(np.flatnonzero(asked).tolist())
+    of = [bytes(raw[p : p + 200]) for p in some[asked[some]]]
+    assert of == sorted(of) and (seed == 0 or len(some) < 0.5 * len(t))
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     monkeypatch.setattr(suffixarray, "CHUNK", 700)
     monkeypatch.setattr(suffixarray, "_TABLES", {})
