@@ -1,15 +1,19 @@
 """Op 3. Approximate nearest neighbours by an inverted file with product quantisation.
 
 Coarse centroids split the vectors into lists; the direction of a vector's
-residual from its centroid is product-quantised and its length kept, so that
-tight and wide lists are told apart equally well. A query probes the lists of the centroids nearest
-by inner product, scores their codes with one asymmetric table of inner products,
-and reranks the best of each list exactly, in double precision, on the original
-vectors, which the index keeps. Centroids and codebooks are fitted on at most
-about ``SAMPLE`` vectors; every vector is indexed. The number of probes is the
-least that finds ``RECALL`` of the neighbours inside that sample, so it is small
-for clustered vectors and large for scattered ones. A query's (k + 1)-th best in
-the sample bounds its results from below, and lists return nothing beneath it.
+residual from its centroid is product-quantised, and its length and the distance
+of its code from it are kept. A query scores codes with one asymmetric table of
+inner products and reranks exactly, in double precision, on the original vectors,
+which the index keeps. Centroids and codebooks are fitted on at most about
+``SAMPLE`` vectors; every vector is indexed.
+
+Nothing is left out by guess: a query's (k + 1)-th best in the sample bounds its
+results from below. By the inequality of Cauchy and Schwarz the inner product of q
+with a vector is at most that with its centroid plus |q| times the longest residual
+of the list, and at most that with its code plus |q| times the code's distance. Lists
+and vectors that can't reach the bound are passed over, all others are probed and
+reranked, so the neighbours are those of brute force whatever the vectors are.
+The ``RERANK`` best codes of a list part go first and raise the bound for its rest.
 
 Equal vectors are indexed and searched once: as they tie everywhere, only the
 smallest ids of such a group can be results, and these stay with it.
@@ -34,11 +38,11 @@ K = 20
 SAMPLE = 20_000
 SAMPLE_MB = 32
 MAX_LISTS = 4096
-MIN_PROBES = 4
-RECALL = 0.97
 RERANK = 256
 SUB = 4
 PART = 32_768
+#: Part of the product of two lengths that rounding may take from an inner product of theirs.
+ROUNDING = 1e-12
 
 
 def valid(rows: DataFrame) -> DataFrame:
@@ -88,23 +92,8 @@ def fit(x, lists: int, seed: int = 5):
     return c, np.stack([_kmeans(r[:, k : k + SUB], 256, 8, rng) for k in range(0, r.shape[1], SUB)])
 
 
-def calibrate(x, c, k: int, recall: float = RECALL, seed: int = 6) -> int:
-    """The least number of probes that finds ``recall`` of the k nearest of sample vectors within the sample."""
-    import numpy as np
-
-    who = np.random.default_rng(seed).choice(len(x), min(len(x), 300), replace=False)
-    s = x[who] @ x.T
-    s[np.arange(len(who)), who] = -np.inf
-    top = np.argsort(-s, axis=1)[:, :k]
-    order = np.argsort(-(x[who] @ c.T), axis=1)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(c)), order.shape), 1)
-    found = place[np.arange(len(who))[:, None], _near(x, c)[top]]
-    return next((p for p in range(min(MIN_PROBES, len(c)), len(c)) if (found < p).mean() >= recall), len(c))
-
-
 def _index(model):
-    """Adds the list and the code of each vector."""
+    """Adds the list and the code of each vector, the length of its residual and the distance of the code from it."""
 
     def run(batches):
         import numpy as np
@@ -118,13 +107,15 @@ def _index(model):
             near = _near(x, c)
             r, length = _residuals(x, c, near)
             code = np.stack([_near(r[:, k * SUB : (k + 1) * SUB], books[k]) for k in range(len(books))], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array([row.tobytes() for row in code], pa.binary()), pa.array(length)], [*b.schema.names, "list", "code", "length"])
+            coded = books[np.arange(len(books)), code].reshape(len(x), -1)
+            off = length * np.linalg.norm(r - coded, axis=1) + ROUNDING * np.linalg.norm(x, axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array([row.tobytes() for row in code], pa.binary()), pa.array(length), pa.array(off)], [*b.schema.names, "list", "code", "length", "off"])
 
     return run
 
 
-def _probe(model, sampled, sizes: dict, probes: int, k: int):
-    """The lists that a query probes; those first ones that hold k + 1 vectors return their best whatever the bound."""
+def _probe(model, sampled, reach: dict, k: int):
+    """The lists that a query probes, those that may hold what reaches its k-th best in the sample. reach: of each list the longest residual."""
 
     def run(batches):
         import numpy as np
@@ -132,21 +123,19 @@ def _probe(model, sampled, sizes: dict, probes: int, k: int):
 
         c, _ = model.value
         some = sampled.value
-        held = np.array([sizes.get(j, 0) for j in range(len(c))])
+        longest = np.array([reach.get(j, -np.inf) for j in range(len(c))])
+        most = max(np.linalg.norm(some, axis=1).max(), np.linalg.norm(c, axis=1).max(), longest.max())
         for b in batches:
             x = np.array(b.column("v").to_pylist(), float)
             if not len(x):
                 continue
-            order = np.argsort(-(x @ c.T), axis=1)
-            before = np.cumsum(held[order], axis=1) - held[order]
-            freely = before <= k
-            chosen = freely | (np.arange(len(c)) < probes)
-            who, top = np.nonzero(chosen)[0], order[chosen]
+            norm = np.linalg.norm(x, axis=1)
             least = np.full(len(x), -np.inf)
-            for at in range(0, len(x) if len(some) > k else 0, 256):
-                least[at : at + 256] = np.partition(x[at : at + 256] @ some.T, len(some) - k - 1, axis=1)[:, len(some) - k - 1]
-            least = np.where(freely[chosen], -np.inf, (least - 1e-9 * np.abs(least))[who])
-            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(least), pa.array(top.astype(np.int32))], ["q", "v", "least", "list"])
+            for at in range(0, len(x) if len(some) >= k else 0, 256):
+                least[at : at + 256] = np.partition(x[at : at + 256] @ some.T, len(some) - k, axis=1)[:, len(some) - k]
+            least -= ROUNDING * norm * most
+            who, top = np.nonzero(~(x @ c.T + norm[:, None] * longest < least[:, None]))  # what overflows is kept
+            yield pa.RecordBatch.from_arrays([b.column("q").take(pa.array(who)), b.column("v").take(pa.array(who)), pa.array(least[who]), pa.array(top.astype(np.int32))], ["q", "v", "least", "list"])
 
     return run
 
@@ -185,7 +174,7 @@ def _packed(most: int, columns: list[str]):
 
 
 def _search(model, k: int, rerank: int):
-    """Packed vectors and packed queries of a list part: each query's best k."""
+    """Packed vectors and packed queries of a list part: each query's best k; of the codes, only those are passed over that can't be among them."""
 
     def run(batches):
         import numpy as np
@@ -199,19 +188,28 @@ def _search(model, k: int, rerank: int):
                 vectors = np.array(get("v").to_pylist(), float)
                 code = np.frombuffer(b"".join(get("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 order = np.argsort(ids, kind="stable")
-                ids, groups, vectors, code, length = ids[order], groups[order], vectors[order], code[order], np.array(get("length").to_pylist())[order]
+                ids, groups, vectors, code = ids[order], groups[order], vectors[order], code[order]
+                length, off = (np.array(get(n).to_pylist())[order] for n in ("length", "off"))
                 qs, qv = np.array(get("q").to_pylist()), np.array(get("qv").to_pylist(), float)
+                middle = qv @ c[b.column("list")[j].as_py()]
                 padded = np.pad(qv, ((0, 0), (0, len(books) * SUB - qv.shape[1]))).reshape(len(qv), len(books), 1, SUB)
                 tables = (padded * books[None]).sum(-1)  # queries, sub-vectors, 256
                 out = ([], [], [], [])
-                for t, q, v, least in zip(tables, qs, qv, get("least").to_pylist()):
-                    best = np.arange(len(ids))
-                    if len(ids) > rerank:
-                        approx = t[np.arange(len(books)), code].sum(1) * length  # the centroid's share is the same for the whole list
-                        cut = np.partition(approx, len(ids) - rerank)[len(ids) - rerank]
-                        best = np.flatnonzero(approx >= cut)
-                    exact = vectors[best] @ v
-                    best, exact = best[exact >= least], exact[exact >= least]
+                for t, q, v, mid, norm, least in zip(tables, qs, qv, middle, np.linalg.norm(qv, axis=1), get("least").to_pylist()):
+                    approx = t[np.arange(len(books)), code].sum(1) * length + mid
+                    above = approx + norm * off
+                    best = np.flatnonzero(~(above < least))
+                    if len(best) > rerank:
+                        far = np.argpartition(-approx[best], rerank)
+                        first, rest = best[far[:rerank]], best[far[rerank:]]
+                        exact = vectors[first] @ v
+                        if rerank >= k:
+                            # as many as are asked for reach this, so that what can't is none of them
+                            rest = rest[~(above[rest] < np.partition(exact, rerank - k)[rerank - k])]
+                        best, exact = np.r_[first, rest], np.r_[exact, vectors[rest] @ v]
+                    else:
+                        exact = vectors[best] @ v
+                    best, exact = best[~(exact < least)], exact[~(exact < least)]
                     top = np.lexsort((ids[best], -exact))[:k]
                     out[0].append(np.full(len(top), q))
                     out[1].append(ids[best][top])
@@ -222,8 +220,8 @@ def _search(model, k: int, rerank: int):
     return run
 
 
-def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int | None = None, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on vec_id) selects, its k nearest others found."""
+def search(rows: DataFrame, queries: F.Column, k: int = K, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on vec_id) selects, its k nearest others."""
     spark = rows.sparkSession
     own = valid(rows).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.reverse("v")).alias("h2"))
     asked = own.filter(queries).select("vec_id", "h1", "h2")
@@ -247,19 +245,18 @@ def search(rows: DataFrame, queries: F.Column, k: int = K, probes: int | None =
     x = drawn.column("v").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dim)
     lists = int(min(MAX_LISTS, max(1, round(n ** (1 / 3))), len(x)))
     fitted = fit(x, lists)
-    probes = probes or calibrate(x, fitted[0], k)
     model, sampled = spark.sparkContext.broadcast(fitted), spark.sparkContext.broadcast(x)
-    indexed = stored(groups.select("g", "x", "v").mapInArrow(sliced(_index(model), 5000), "g long, x long, v array<double>, list int, code binary, length double"))
-    parts = indexed.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each list, MAX_LISTS at most
-    sizes = {r.list: r.size for r in parts.collect()}
-    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("g"), "parts").alias("part"), "g", "x", "v", "code", "length")
+    indexed = stored(groups.select("g", "x", "v").mapInArrow(sliced(_index(model), 5000), "g long, x long, v array<double>, list int, code binary, length double, off double"))
+    parts = indexed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.max("length").alias("longest"))  # a row for each list, MAX_LISTS at most
+    reach = {r.list: r.longest for r in parts.collect()}
+    cut = indexed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.pmod(F.xxhash64("g"), "parts").alias("part"), "g", "x", "v", "code", "length", "off")
     one = lambda df, most, cols: df.repartition("list", "part").sortWithinPartitions("list", "part").mapInArrow(sliced(_packed(most, cols), 5000), f"list int, part long, {', '.join(f'{c} array<{dict(df.dtypes)[c]}>' for c in cols)}")
-    blocks = stored(one(cut, 8192, ["g", "x", "v", "code", "length"]))
+    blocks = stored(one(cut, 8192, ["g", "x", "v", "code", "length", "off"]))
     asked_groups = asked.select("h1", "h2").distinct().join(groups, ["h1", "h2"])
-    probed = asked_groups.select(F.col("g").alias("q"), "v").mapInArrow(sliced(_probe(model, sampled, sizes, probes, m - 1), 5000), "q long, v array<double>, least double, list int")
-    probed = probed.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"), "least")
+    probed = asked_groups.select(F.col("g").alias("q"), "v").mapInArrow(sliced(_probe(model, sampled, reach, m), 5000), "q long, v array<double>, least double, list int")
+    probed = probed.join(F.broadcast(parts.select("list", "parts")), "list").select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "q", F.col("v").alias("qv"), "least")
     met = stored(one(probed, 256, ["q", "qv", "least"])).join(blocks, ["list", "part"])
-    found = met.select("q", "qv", "least", "g", "x", "v", "code", "length").mapInArrow(sliced(_search(model, m, rerank), 16), "q long, x long, g long, score double")
+    found = met.select("list", "q", "qv", "least", "g", "x", "v", "code", "length", "off").mapInArrow(sliced(_search(model, m, rerank), 16), "q long, x long, g long, score double")
     best = Window.partitionBy("q").orderBy(F.desc("score"), "x", "g")
     top = stored(found.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= m).select("q", "g", "score"))
     members = groups.select("g", "ids")

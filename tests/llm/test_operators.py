@@ -664,6 +664,24 @@ def test_neighbours_of_repeated_ids(spark):
     assert lists(many) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["clusters", "queries"])
+def test_neighbours_of_other_vectors_are_all_found(spark, kind):
+    rng = np.random.default_rng(7)
+    ids = np.arange(4000)
+    v = rng.normal(size=(len(ids), 32))
+    if kind == "clusters":
+        v = (3 * rng.normal(size=(100, 32)))[rng.integers(0, 100, len(ids))] + 0.3 * v
+    else:  # queries unlike the rest, and lengths that differ
+        v *= rng.lognormal(size=len(ids))[:, None]
+        v[ids % 200 == 0] = rng.normal(size=(20, 32)) * np.r_[np.full(4, 8.0), np.full(28, 0.1)]
+    df = spark.createDataFrame([(int(k), x.tolist()) for k, x in zip(ids, v)], "vec_id long, embedding array<double>")
+    want = expect_near(ids, v, np.flatnonzero(ids % 200 == 0), 20)
+    got: dict = {}
+    for r in sorted(ivfpq.search(df, F.col("vec_id") % 200 == 0, sample=500).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 # 10
 
 
