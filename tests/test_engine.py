@@ -235,6 +235,17 @@ def test_overrides_count_each_edge(spark, monkeypatch):
     assert ids(got, "source_id", "target_id") == sorted((a[2], b[2]) for s, t in edges for a in methods for b in methods if a[0] == s and b[0] == t and a[1] == b[1] and a[3] != "a.go")
 
 
+def test_communities_are_found_in_one_way_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(community, "_moved_singly", None)
+    monkeypatch.setattr(community, "MAX_EDGES", 0, raising=False)
+    pairs = [(10 * k + i, 10 * k + j) for k in range(6) for i in range(10) for j in range(i)] + [(10 * k, 10 * k + 10) for k in range(5)]
+    e = spark.createDataFrame([(p, a, b, "CALLS") for p in "pq" for a, b in (pairs if p == "p" else pairs[:45])], "project string, source_id long, target_id long, type string")
+    got = community.communities(PropertyGraph(None, e)).collect()
+    whole = community.leiden(60, pairs)
+    assert sorted((r.id, r.community) for r in got if r.project == "p") == [(k, int(min((whole == c).nonzero()[0]))) for k, c in enumerate(whole)]
+    assert {(r.id, r.community) for r in got if r.project == "q"} == {(k, 0) for k in range(10)}
+
+
 def test_cross_typed_gives_no_pair_twice(spark, monkeypatch):
     rnd = _keys_of_many_rows(spark, monkeypatch)
     side = lambda n: [(rnd.choice("pqr"), rnd.choice(["GRPC", "TRPC"]), rnd.choice("uv"), rnd.randrange(n)) for _ in range(40)] + [(None, "GRPC", "u", 5), ("p", None, "u", 6)]
