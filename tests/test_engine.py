@@ -235,6 +235,16 @@ def test_overrides_count_each_edge(spark, monkeypatch):
     assert ids(got, "source_id", "target_id") == sorted((a[2], b[2]) for s, t in edges for a in methods for b in methods if a[0] == s and b[0] == t and a[1] == b[1] and a[3] != "a.go")
 
 
+def test_overrides_of_short_lists_are_few_tasks(spark):
+    n = 20 * spark.sparkContext.defaultParallelism
+    edges, methods = [(k, k) for k in range(n)] * 2, [(k, "x", k, "a.py") for k in range(n)]
+    got = derive.overrides(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame(methods, "owner long, name string, id long, file_path string"))
+    assert got.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct" not in plan[: plan.index("MapInArrow")]  # plain values are listed by generated code
+    assert ids(got, "source_id", "target_id") == sorted(edges)
+
+
 def test_communities_are_found_in_one_way_at_every_size(spark, monkeypatch):
     monkeypatch.setattr(community, "_moved_singly", None)
     monkeypatch.setattr(community, "MAX_EDGES", 0, raising=False)
