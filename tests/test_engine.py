@@ -486,6 +486,29 @@ def test_minhash_hex_is_made_once_for_each_reading(spark):
     assert plan.count("array(md5(") == 1
 
 
+def test_nearest_selects_from_few_places(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(3), 3000
+    v = rng.normal(size=(n, 4))
+    v[1:40] = v[0]  # many equal scores: the smallest ids of them
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    t = pa.table({"id": np.arange(n), "v": pa.array(list(v)), "terms": pa.array([[k % 7] for k in range(n)], pa.list_(pa.int64())), "w": pa.array([[1.0]] * n)}).combine_chunks()
+    wide, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *more, **named: (wide.append(a.shape[1]), partition(a, *more, **named))[1])
+
+    class Index:
+        value = similar._index(t)
+
+    got = pa.Table.from_batches(similar._best(Index, 0.6, 0.2, 0.3, 10)(t.slice(0, 300).to_batches())).to_pydict()
+    score = np.round(0.6 * v[:300] @ v.T + 0.2 * (np.arange(300)[:, None] % 7 == np.arange(n) % 7), 9)
+    score[np.arange(300), np.arange(300)] = -1
+    want = [(i, int(j), score[i, j]) for i in range(300) for j in np.argsort(-score[i], kind="stable")[:10] if score[i, j] >= 0.3]
+    assert list(zip(got["id"], got["near"])) == [w[:2] for w in want] and np.allclose(got["score"], [w[2] for w in want], atol=2e-9)
+    assert wide and max(wide) < n / 10
+
+
 def test_cooccurrence_adds_up_exactly(spark, monkeypatch):
     from collections import defaultdict
 
